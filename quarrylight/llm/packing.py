@@ -50,6 +50,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Codes(dict):
+    """Counts up a code for each new key and notes the key."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
+
+
 class WordwiseEncoder:
     """Ids of whole texts for a byte-level BPE, encoding each distinct word once.
 
@@ -59,6 +72,7 @@ class WordwiseEncoder:
 
     #: The characters that engines class differently as white space are no place to cut.
     CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​﻿])")
+    NO_CUT = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|\Z)")
 
     def __init__(self, path: str, most_words: int = 300_000):
         with open(path) as f:
@@ -85,53 +99,47 @@ class WordwiseEncoder:
         return self._whole
 
     def _forget(self) -> None:
-        #: Words by their text without the blank before them, and words at the start of a text; values count from 0.
-        self.known: dict[str, int] = {}
-        self.leading: dict[str, int] = {}
-        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str], leading: list[str]) -> None:
-        flat, sizes = [self.flat], [self.sizes]
-        if words:
-            ids = np.array(self.fast.encode_ordinary(" " + " ".join(words)), np.uint32)
-            ends = np.cumsum([len(w.encode()) + 1 for w in words])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
-            flat.append(ids)
-            sizes.append(np.diff(cuts, prepend=0))
-            self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        at = len(self.sizes) + len(words)
-        for k, x in enumerate(leading):
-            flat.append(np.array(self.fast.encode_ordinary(x), np.uint32))
-            sizes.append(np.array([len(flat[-1])], np.int64))
-            self.leading[x] = at + k
-        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        """Words are known without the blank before them; those that start a text are kept apart."""
+        self.known, self.leading = Codes(), Codes()
+        self.words, self.firsts = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self) -> None:
+        if new := self.known.new:
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), np.uint32)
+            ends = np.cumsum([len(w.encode()) + 1 for w in new])
+            sizes = np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1, prepend=0)
+            self.words = np.concatenate([self.words[0], ids]), np.concatenate([self.words[1], sizes])
+            self.known.new = []
+        if new := self.leading.new:
+            got = [self.fast.encode_ordinary(x) for x in new]
+            self.firsts = np.concatenate([self.firsts[0], np.array([i for x in got for i in x], np.uint32)]), np.concatenate([self.firsts[1], np.array([len(x) for x in got], np.int64)])
+            self.leading.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.known) + len(self.leading) > self.most_words:
             self._forget()
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = []
+        plain, counts, codes = [], [0], []
+        known, leading = self.known.__getitem__, self.leading.__getitem__
         for k, text in enumerate(texts):
             if any(x in text for x in self.added):
                 out[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             else:
+                words = self.CUT.split(text) if self.NO_CUT.search(text) else text.split(" ")
+                first = leading(words.pop(0))
+                codes.append(np.array([-1 - first, *map(known, words)], np.int64))
                 plain.append(k)
-        parts = [self.CUT.split(texts[k]) for k in plain]
-        firsts = [x[0] for x in parts]
-        inner = set().union(*(x[1:] for x in parts)) - self.known.keys()
-        self._learn(list(inner), list(set(firsts) - self.leading.keys()))
-        counts = np.array([len(x) for x in parts], np.int64)
-        cuts = np.concatenate([[0], np.cumsum(counts)])
-        at = np.empty(cuts[-1], np.int64)
-        get = self.known.__getitem__
-        for x, a, b in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            at[a] = self.leading[x[0]]
-            at[a + 1 : b] = np.fromiter(map(get, x[1:]), np.int64, b - a - 1)
-        starts = np.cumsum(self.sizes) - self.sizes
-        n = self.sizes[at]
+                counts.append(len(words) + 1)
+        self._learn()
+        cuts = np.cumsum(counts)
+        at = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        flat, sizes = np.concatenate([self.words[0], self.firsts[0]]), np.concatenate([self.words[1], self.firsts[1]])
+        at = np.where(at < 0, len(self.words[1]) - 1 - at, at)
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
         bounds = ends[cuts].tolist()
         for k, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
             out[k] = ids[a:b]
