@@ -1,9 +1,10 @@
 """The queries of this package and, where SQL can express one, the SQL for its rows."""
 
-from quarrylight.llm import exact_dedup, packing
+from quarrylight.llm import exact_dedup, packing, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLE: dict[str, str] = {**exact_dedup.ORACLE}
