@@ -1,4 +1,8 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES in order, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last, returns the columns
+of docs.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylight.llm.common import Scratch, documents
 from quarrylight.llm.exact_dedup import drop_copies
 from quarrylight.llm.packing import pack
+from quarrylight.llm.quality import keep_good
+from quarrylight.llm.simhash import keep_one
+from quarrylight.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a component of near copies the one with the least doc_id stays."""
+    return keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes and more that occur twice go from the texts."""
+    return remove_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048: one row a piece."""
+    return pack(docs)
+
 
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: drop_copies(docs)),
-    ("packing", lambda spark, docs, sf_dir: pack(docs)),
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", repeats),
+    ("packing", packing),
 ]
+#: A trained classifier, components and tokens are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

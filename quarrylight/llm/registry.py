@@ -1,10 +1,11 @@
 """The queries of this package and, where SQL can express one, the SQL for its rows."""
 
-from quarrylight.llm import exact_dedup, packing, simhash, suffix_dedup
+from quarrylight.llm import exact_dedup, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op3_quality": quality.op3_quality,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
