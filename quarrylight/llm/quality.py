@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.llm.common import Scratch, documents, slices, text_or_empty
 from quarrylight.llm.models import Logistic
@@ -68,7 +69,7 @@ def document_features(docs: DataFrame, *carried: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest.columns, x], [*rest.schema.names, "x"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_key"), *carried, text_or_empty().cast("binary").alias("text"))
-    out = rows.drop("text").schema.add("x", "array<double>")
+    out = rows.drop("text").schema.add("x", T.ArrayType(T.DoubleType()))
     return rows.mapInArrow(run, out)
 
 

@@ -277,7 +277,7 @@ def with_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs, in order."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+    for a, b in sorted((x["a"], x["b"]) for x in (() if spans is None else spans)):
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:
