@@ -1,8 +1,9 @@
 """The queries of this package and, where SQL can express one, the SQL for its rows."""
 
-from quarrylight.llm import exact_dedup, packing, quality, simhash, suffix_dedup
+from quarrylight.llm import exact_dedup, packing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op10_packing": packing.op10_packing,
     "op3_quality": quality.op3_quality,
