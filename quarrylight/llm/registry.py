@@ -1,12 +1,13 @@
 """The queries of this package and, where SQL can express one, the SQL for its rows."""
 
-from quarrylight.llm import exact_dedup, language, media, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from quarrylight.llm import exact_dedup, language, media, packing, pieces, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_language": language.op4_language,
     "op5_media": media.op5_media,
+    "op6_pieces": pieces.op6_pieces,
     "op7_sharding": sharding.op7_sharding,
     "op10_packing": packing.op10_packing,
     "op3_quality": quality.op3_quality,
