@@ -32,8 +32,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
+        """Write df and read it back; the shuffle files of that job may go now."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -8,11 +8,12 @@ level of the family for grams that both hold, stored as level 0, and while two l
 merged into the next. Only suffixes with a matched gram can take part in a repeat.
 
 Of those, stretches that occur twice are repeats as a whole. A stretch that occurs once, but shares its gram with a
-different one, is resolved by a suffix array of all its windows' suffixes (bounded at `length` bytes): tasks build it by
-prefix doubling over the texts dealt to them, and runs of equal prefixes are then counted over all tasks.
+different one, is resolved by a suffix array of the suffixes at all windows of that gram's different stretches, bounded at
+`length` bytes and built by prefix doubling. Grams with very many different stretches are split into parts; what is
+alone in its part is then counted by the digest of its window over all parts.
 
-No step gathers the rows of one gram, one stretch or one window in a task: sums are partial first and joins may
-be split. The result is exact; hashes of 128 bits stand for equal strings.
+No step gathers the rows of one gram, one stretch or one window in a task beyond that bound: sums are partial first and
+joins may be split. The result is exact; hashes of 128 bits stand for equal strings.
 
 Defined results: null text counts as empty; texts below `length` bytes lose nothing; a null doc_id is carried through;
 a document given twice (rows equal in doc_id and text) is two documents, which repeat each other; an empty table gives
@@ -115,7 +116,7 @@ def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 2
             view = memoryview(data)
             classes = np.frombuffer(b"".join([digest(view[a : a + k + length - 1]) for a, k in zip(lo.tolist(), n.tolist(), strict=True)]), ">i8").reshape(-1, 2).astype(np.int64)
             owner = np.searchsorted(starts, lo, "right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(np.array(rows, np.int64)[owner] if len(owner) else owner), pa.array(lo - starts[owner] + shift), pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(np.array(rows, np.int64)[owner] if len(owner) else owner), pa.array((lo - starts[owner] + shift).astype(np.int32)), pa.array(n.astype(np.int32))], names)
 
         for part in slices(batches, "text", block):
             rows, texts = part.column("row_id").to_pylist(), part.column("text").to_pylist()
@@ -125,7 +126,7 @@ def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 2
             else:
                 yield found(rows, texts)
 
-    return docs.select("row_id", "text").mapInArrow(run, "gram long, c1 long, c2 long, row_id long, lo long, n long")
+    return docs.select("row_id", "text").mapInArrow(run, "gram long, c1 long, c2 long, row_id long, lo int, n int")
 
 
 class SuffixFamily:
@@ -166,6 +167,13 @@ class SuffixFamily:
                 self.scratch.drop(x)
         self.levels[k] = (rows, name)
 
+    def drop(self) -> None:
+        """Delete the levels and what the scans found."""
+        for _, name in self.levels.values():
+            self.scratch.drop(name)
+        for k in range(1, self.made + 1):
+            self.scratch.drop(f"matched-{k}")
+
     def candidates(self) -> DataFrame:
         """The suffixes whose gram was matched in any scan."""
         rows = matched = None
@@ -198,49 +206,88 @@ def bounded_suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple
     return order, rank[at]
 
 
-def window_runs(picks: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
-    """Suffix arrays of the windows of stretches. picks: row_id, text, stretches (array of lo, n).
+def cut_stretches(picks: DataFrame, length: int) -> DataFrame:
+    """The bytes of each stretch. picks: row_id, text, stretches (array of gram, part, parts, times, lo, n)."""
+    kinds = [("gram", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("times", pa.int64()), ("lo", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, stretches in zip(batch.column("row_id").to_pylist(), batch.column("text"), batch.column("stretches").to_pylist(), strict=True):
+                view = memoryview(text.as_buffer())
+                pieces = pa.array([bytes(view[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in stretches], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in stretches], t) for k, t in kinds), pa.array([row] * len(stretches), pa.int64()), pieces], [*(k for k, _ in kinds), "row_id", "piece"])
+
+    return picks.select("row_id", "text", "stretches").mapInArrow(run, "gram long, part int, parts int, times long, lo long, row_id long, piece binary")
 
-    One row a window: d1 and d2 (digest of its bytes), row_id, at (its place in the text).
+
+def window_runs(pieces: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
+    """Suffix arrays of the windows of stretches; pieces: what cut_stretches gives, a gram's part lying together.
+
+    Rows with null d1: windows [a, b) (their first bytes) of a stretch that occurs once, which occur elsewhere in the same
+    part. Other rows, for grams of several parts: the digest (d1, d2) of a window and, where it is alone in its part and
+    in a stretch that occurs once, its row_id and place a; b is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            data = b"".join(x for _, _, x in held)
-            sizes = np.array([len(x) for _, _, x in held], np.int64)
+        names = ["d1", "d2", "row_id", "a", "b"]
+
+        def found(held: list[tuple]) -> pa.RecordBatch:
+            data = b"".join(x["piece"] for x in held)
+            sizes = np.array([len(x["piece"]) for x in held], np.int64)
             starts = np.cumsum(sizes) - sizes
             n = np.maximum(sizes - length + 1, 0)
+            which = np.repeat(np.arange(len(held)), n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(starts, n) + inner
+            at = starts[which] + inner
             order, rank = bounded_suffix_array(np.frombuffer(data, np.uint8), at, length)
             runs = rank[order]
-            first = np.concatenate([[True], runs[1:] != runs[:-1]]) if len(runs) else np.zeros(0, bool)
+            first = np.concatenate([[True], runs[1:] != runs[:-1]])
+            run_of = np.cumsum(first) - 1
+            repeated = np.empty(len(at), bool)
+            repeated[order] = (np.bincount(run_of) > 1)[run_of]
+            single = np.array([x["times"] == 1 for x in held])[which]
+            row, lo = np.array([x["row_id"] for x in held], np.int64), np.array([x["lo"] for x in held], np.int64)
+            hit = np.nonzero(repeated & single)[0]  # in text order within a stretch
+            new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
+            begin, end = hit[new], hit[np.concatenate([new[1:], [True]])] if len(hit) else hit
+            split = np.array([x["parts"] > 1 for x in held])[which]
+            rest = order[first & split[order]]  # one window of each run
             view, digest = memoryview(data), xxhash.xxh3_128_digest
-            own = np.frombuffer(b"".join([digest(view[a : a + length]) for a in at[order[first]].tolist()]), ">i8").reshape(-1, 2).astype(np.int64)
-            own = own[np.cumsum(first) - 1] if len(runs) else own
-            rows = np.repeat(np.array([x for x, _, _ in held], np.int64), n)[order]
-            place = (np.repeat(np.array([x for _, x, _ in held], np.int64), n) + inner)[order]
-            return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(rows), pa.array(place)], ["d1", "d2", "row_id", "at"])
-
-        held, total = [], 0
+            own = np.frombuffer(b"".join([digest(view[k : k + length]) for k in at[rest].tolist()]), ">i8").reshape(-1, 2).astype(np.int64)
+            alone = single[rest] & ~repeated[rest]
+            none, place = np.zeros(len(begin), bool), lo[which] + inner
+            empty = lambda x, known: pa.array(x, pa.int64(), mask=~known)
+            return pa.RecordBatch.from_arrays(
+                [
+                    empty(np.concatenate([np.zeros(len(begin), np.int64), own[:, 0]]), np.concatenate([none, np.ones(len(rest), bool)])),
+                    empty(np.concatenate([np.zeros(len(begin), np.int64), own[:, 1]]), np.concatenate([none, np.ones(len(rest), bool)])),
+                    empty(np.concatenate([row[which[begin]], row[which[rest]]]), np.concatenate([~none, alone])),
+                    empty(np.concatenate([place[begin], place[rest]]), np.concatenate([~none, alone])),
+                    empty(np.concatenate([place[end] + 1, place[rest]]), np.concatenate([~none, np.zeros(len(rest), bool)])),
+                ],
+                names,
+            )
+
+        held, total, last = [], 0, None
         for batch in batches:
-            for row, text, stretches in zip(*(batch.column(x).to_pylist() for x in ("row_id", "text", "stretches")), strict=True):
-                for x in stretches:
-                    held.append((row, x["lo"], text[x["lo"] : x["lo"] + x["n"] + length - 1]))
-                    total += x["n"] + length - 1
-                    if total > block:
-                        yield found(held)
-                        held, total = [], 0
+            for x in batch.to_pylist():
+                key = x["gram"], x["part"]
+                if total > block and key != last:
+                    yield found(held)
+                    held, total = [], 0
+                held.append(x)
+                total += len(x["piece"])
+                last = key
         if held:
             yield found(held)
 
-    return picks.select("row_id", "text", "stretches").mapInArrow(run, "d1 long, d2 long, row_id long, at long")
+    return pieces.mapInArrow(run, "d1 long, d2 long, row_id long, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4, most_in_part: int = 2000) -> DataFrame:
     """(row_id, a, b): spans of bytes [a, b) covered by strings of `length` bytes that also start elsewhere.
 
-    docs: row_id (unique) and text (binary).
+    docs: row_id (unique) and text (binary). A gram with more than most_in_part different stretches is split into parts.
     """
     suffixes = scratch.table(sparse_suffixes(docs, length, gram).withColumn("batch", F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int")), "suffixes")
     family = SuffixFamily(scratch)
@@ -248,12 +295,21 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
         family.add(suffixes.where(F.col("batch") == k).drop("batch"))
     scratch.drop("suffixes")
     rows = scratch.table(family.candidates(), "candidates")
+    family.drop()
     stretches = scratch.table(rows.groupBy("gram", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("row_id", "lo", "n")).alias("one")), "stretches")
     mixed = stretches.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
-    picks = stretches.join(mixed.select("gram"), "gram", "left_semi").groupBy("one.row_id").agg(F.collect_list(F.struct("one.lo", "one.n")).alias("stretches"))
-    windows = scratch.table(window_runs(docs.join(picks, "row_id"), length), "windows")
-    equal = windows.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1")
-    single = windows.join(equal, ["d1", "d2"], "left_semi").select("row_id", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    mixed = mixed.select("gram", F.ceil(F.col("kinds") / most_in_part).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("c1", "c2"), F.col("parts")).cast("int").alias("part")
+    picks = stretches.join(mixed, "gram").groupBy("one.row_id").agg(F.collect_list(F.struct("gram", part, "parts", "times", "one.lo", "one.n")).alias("stretches"))
+    pieces = scratch.table(cut_stretches(docs.join(picks, "row_id"), length), "pieces")
+    together = pieces.repartition("gram", "part").sortWithinPartitions("gram", "part")
+    windows = scratch.table(window_runs(together, length), "windows")
+    scratch.drop("pieces")
+    over_parts = windows.where("d1 is not null")
+    equal = over_parts.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2")
+    split = over_parts.where("row_id is not null").join(equal, ["d1", "d2"], "left_semi").select("row_id", "a", (F.col("a") + length).alias("b"))
+    # a window alone in its part counts by its row; one repeated there is a hit already, and its row here stands for all
+    single = windows.where("d1 is null").select("row_id", "a", (F.col("b") - 1 + length).alias("b")).unionByName(split)
     copied = rows.join(stretches.where("times > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
     return single.unionByName(copied.select("row_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")))
 
