@@ -9,15 +9,16 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def symbol_id(names: pd.Series) -> pd.Series:
     """The first 8 bytes of BLAKE2b as a big-endian signed integer; null for null."""
     return names.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) if x is not None else None).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_hash(joined: pd.Series) -> pd.Series:
     """BLAKE2b of 16 bytes in hexadecimal."""
     return joined.map(lambda x: hashlib.blake2b(x.encode(), digest_size=16).hexdigest() if x is not None else None)
@@ -28,7 +29,7 @@ def stable_id(*parts: Column) -> Column:
     return stable_hash(F.concat_ws("||", *parts))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_uuid(names: pd.Series) -> pd.Series:
     """UUID version 5 in the object-identifier namespace."""
     return names.map(lambda x: str(uuid.uuid5(uuid.NAMESPACE_OID, x)) if x is not None else None)
@@ -104,7 +105,7 @@ def _qualified(symbol: str) -> str:
     return f"{name} {rest}".strip() if name and name != "." and len(parts) > 4 else rest
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def qualified_name(symbols: pd.Series) -> pd.Series:
     """A symbol without its scheme, manager and version; blanks within back-ticks don't part it."""
     return symbols.map(lambda x: _qualified(x) if x is not None else None)
