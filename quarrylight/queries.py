@@ -107,7 +107,8 @@ def ownership(t: Tables) -> DataFrame:
 @query(f"""WITH {OWNERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(weight, 9) DESC, author) AS r, count(*) OVER (PARTITION BY path) AS total_authors FROM owners WHERE weight > 0)
 SELECT path, author, round(weight + 1e-9, 6) AS weight, total_authors FROM ranked WHERE r <= 3""")
 def find_owners(t: Tables) -> DataFrame:
-    return rounded(history.find_owners(_owners(t).withColumn("weight", F.round("weight", 9)), 3).select("path", "author", (F.col("weight") + 1e-9).alias("weight"), "total_authors"), "weight")
+    edges = _owners(t).withColumns({"shown": F.round(F.col("weight") + 1e-9, 6), "weight": F.round("weight", 9)})  # near ties go by author
+    return history.find_owners(edges, 3).select("path", "author", F.col("shown").alias("weight"), "total_authors")
 
 
 @query(f"""WITH {OWNERS}, best AS (SELECT path, max(weight) AS top FROM owners WHERE weight > 0 GROUP BY path)
