@@ -102,7 +102,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, powers: Powers, length: int, g
     return hashes[at[cuts[real]]], cuts[real], sizes[real]
 
 
-def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 22) -> DataFrame:
+def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 20) -> DataFrame:
     """One row an anchor: gram, c1 and c2 (digest of the stretch), doc (row), lo (its first window), n (windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,8 @@ class SuffixFamily:
     def _sorted(self, rows: DataFrame) -> DataFrame:
         self.made += 1
         name = f"level-{self.made}"
-        return self.scratch.table(rows.repartition("gram", "c1").sortWithinPartitions("gram", "c1", "c2"), name), name
+        salt = F.pmod(F.xxhash64("row_id"), F.lit(16))  # so that a gram or stretch with very many rows lies in many partitions
+        return self.scratch.table(rows.repartition("gram", salt).sortWithinPartitions("gram", "c1", "c2"), name), name
 
     def add(self, suffixes: DataFrame) -> None:
         """Scan a new batch against each level, store it, then merge levels of equal size."""
@@ -181,7 +182,7 @@ class SuffixFamily:
             rows = level if rows is None else rows.unionByName(level)
         for x in self.matched:
             matched = x if matched is None else matched.unionByName(x)
-        return rows.join(matched.distinct(), "gram", "left_semi")
+        return rows.join(self.scratch.table(matched.distinct(), "matched"), "gram", "left_semi")
 
 
 def bounded_suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +221,7 @@ def cut_stretches(picks: DataFrame, length: int) -> DataFrame:
     return picks.select("row_id", "text", "stretches").mapInArrow(run, "gram long, part int, parts int, times long, lo long, row_id long, piece binary")
 
 
-def window_runs(pieces: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
+def window_runs(pieces: DataFrame, length: int, block: int = 1 << 19) -> DataFrame:
     """Suffix arrays of the windows of stretches; pieces: what cut_stretches gives, a gram's part lying together.
 
     Rows with null d1: windows [a, b) (their first bytes) of a stretch that occurs once, which occur elsewhere in the same
@@ -284,7 +285,7 @@ def window_runs(pieces: DataFrame, length: int, block: int = 1 << 20) -> DataFra
     return pieces.mapInArrow(run, "d1 long, d2 long, row_id long, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4, most_in_part: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4, most_in_part: int = 1000) -> DataFrame:
     """(row_id, a, b): spans of bytes [a, b) covered by strings of `length` bytes that also start elsewhere.
 
     docs: row_id (unique) and text (binary). A gram with more than most_in_part different stretches is split into parts.
@@ -298,7 +299,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     family.drop()
     stretches = scratch.table(rows.groupBy("gram", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("row_id", "lo", "n")).alias("one")), "stretches")
     mixed = stretches.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
-    mixed = mixed.select("gram", F.ceil(F.col("kinds") / most_in_part).cast("int").alias("parts"))
+    mixed = scratch.table(mixed.select("gram", F.ceil(F.col("kinds") / most_in_part).cast("int").alias("parts")), "mixed")
     part = F.pmod(F.xxhash64("c1", "c2"), F.col("parts")).cast("int").alias("part")
     picks = stretches.join(mixed, "gram").groupBy("one.row_id").agg(F.collect_list(F.struct("gram", part, "parts", "times", "one.lo", "one.n")).alias("stretches"))
     pieces = scratch.table(cut_stretches(docs.join(picks, "row_id"), length), "pieces")
