@@ -187,6 +187,7 @@ def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3) ->
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_fp = scratch.table(of_fp, "components")  # written, so that the join below may split a fingerprint with very many rows
     return rows.join(of_fp, "fp").select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
