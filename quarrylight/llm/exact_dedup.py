@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, documents, text_or_empty
+from quarrylight.llm.common import Scratch, documents, spare, text_or_empty
 
 
 class DigestIndex:
@@ -78,10 +78,11 @@ def exact_dedup(docs: DataFrame, buckets: int = 64, batches: int = 2) -> DataFra
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that exact_dedup keeps, each once, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_digest")).distinct()
-    own = docs.withColumn("_digest", F.sha2(text_or_empty(), 256))
-    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["_digest"] == kept["_digest"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["_digest"]).select(docs.columns)
+    digest = spare(docs, "digest")
+    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias(digest)).distinct()
+    own = docs.withColumn(digest, F.sha2(text_or_empty(), 256))
+    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[digest] == kept[digest])
+    return own.join(kept, same, "left_semi").dropDuplicates([digest]).select(docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,17 +12,17 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import documents, slices
 
-A_LETTER = re.compile(r"[^\W\d_]")
+A_LETTER = regex.compile(r"\p{L}")
 IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 

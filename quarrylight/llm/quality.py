@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import Scratch, documents, slices, text_or_empty
+from quarrylight.llm.common import Scratch, documents, slices, spare, text_or_empty
 from quarrylight.llm.models import Logistic
 
 LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
@@ -100,7 +100,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     rows = scratch.table(document_features(docs, *site_columns()), "features")
-    sample = labelled_sample(labels.where("quality is not null").select("doc_id", "quality").dropDuplicates(["doc_id"]), most_labelled)
+    sample = labelled_sample(labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), most_labelled)
     seen = rows.join(F.broadcast(sample), "doc_id").select("x", "quality").limit(2 * most_labelled).toPandas()  # the sample's bound, twice for repeated rows
     model = None
     if seen["quality"].nunique() > 1:
@@ -130,10 +130,11 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.2) -> DataFrame:
-    """The documents whose quality is at least `least`, with all columns."""
-    bad = quality_posteriors(docs, labels).where(F.col("quality") < least).select("doc_id", "text_key").distinct()
-    own = docs.withColumn("_text_key", F.xxhash64(text_or_empty()))
-    same = own["doc_id"].eqNullSafe(bad["doc_id"]) & (own["_text_key"] == bad["text_key"])
+    """The documents whose quality is at least `least`, with all columns; rows equal in doc_id and text go together."""
+    key = spare(docs, "text_key")
+    bad = quality_posteriors(docs, labels).where(F.col("quality") < least).select("doc_id", F.col("text_key").alias(key)).distinct()
+    own = docs.withColumn(key, F.xxhash64(text_or_empty()))
+    same = own["doc_id"].eqNullSafe(bad["doc_id"]) & (own[key] == bad[key])
     return own.join(bad, same, "left_anti").select(docs.columns)
 
 

@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, documents
+from quarrylight.llm.common import Scratch, documents, spare
 
 
 class ShardStore:
@@ -114,9 +114,11 @@ class ShardStore:
             folder = f"data/v{now['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
             group = {x["file"]: k for k, run in enumerate(runs) for x in run}
             places = self.spark.createDataFrame(list(group.items()), "file string, target int")
-            rows = self._read(now["schema"], list(group)).withColumn("_file", F.concat_ws("/", F.lit("data"), F.element_at(F.split("_metadata.file_path", "/"), -2), F.col("_metadata.file_name")))
-            dealt = rows.join(F.broadcast(places), F.col("_file") == F.col("file")).repartitionById(len(runs), F.col("target"))
-            dealt.drop("_file", "file", "target").write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            rows = self._read(now["schema"], list(group))
+            file, target, told = spare(rows, "file"), spare(rows, "target"), rows.metadataColumn("_metadata")
+            named = rows.withColumn(file, F.concat_ws("/", F.lit("data"), F.element_at(F.split(told["file_path"], "/"), -2), told["file_name"]))
+            dealt = named.join(F.broadcast(places.toDF(file, target)), file).repartitionById(len(runs), F.col(target))
+            dealt.select(rows.columns).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             left = [x for x in now["shards"] if x["file"] not in group]
             self._commit(now["version"] + 1, now["schema"], left + self._shards_in(folder))
         return self.manifest()["version"]
@@ -158,4 +160,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies in the last version: doc_id, shard, version, text_bytes, text_crc32 (null text: null)."""
     store = shard(documents(spark, sf_dir), Scratch(spark, "shards").path("store"))
     raw = F.col("text").cast("binary")
-    return store.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), F.lit(store.manifest()["version"]).alias("version"), F.octet_length(raw).cast("long").alias("text_bytes"), F.crc32(raw).alias("text_crc32"))
+    rows = store.read()
+    return rows.select("doc_id", rows.metadataColumn("_metadata")["file_name"].alias("shard"), F.lit(store.manifest()["version"]).alias("version"), F.octet_length(raw).cast("long").alias("text_bytes"), F.crc32(raw).alias("text_crc32"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, documents, slices, text_or_empty
+from quarrylight.llm.common import Scratch, documents, slices, spare, text_or_empty
 from quarrylight.llm.components import connected_components
 
 #: Fixed value: the generator polynomial of the binary Golay code.
@@ -177,7 +177,8 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
-    """One row a document: doc_id, fingerprint, component_id (the least doc_id reachable over links)."""
+    """One row a document: doc_id, text_key, fingerprint, root (a fingerprint that names the component) and component_id
+    (the least doc_id reachable over links)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     rows = scratch.table(fingerprints(docs, shingle), "fingerprints")
@@ -186,21 +187,24 @@ def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3) ->
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_fp = distinct.join(linked.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
+    of_fp = of_fp.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     of_fp = scratch.table(of_fp, "components")  # written, so that the join below may split a fingerprint with very many rows
-    return rows.join(of_fp, "fp").select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """The document with the least doc_id of each component, with all columns.
+    """One document of each component, with all columns: the one with the least doc_id (nulls last).
 
-    Rows equal in doc_id and text are one document; documents without doc_id stay unless linked to one that has it.
+    Of several rows with that doc_id the one with the least hash of its text stays; rows equal in both are one document.
     """
-    kept = simhash_components(docs, threshold).where("doc_id <=> component_id").select("doc_id", "text_key").distinct()
-    own = docs.withColumn("_text_key", F.xxhash64(text_or_empty()))
-    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["_text_key"] == kept["text_key"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(docs.columns)
+    key = spare(docs, "text_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    kept = simhash_components(docs, threshold).groupBy("root").agg(first.alias("one")).select("one.doc_id", F.col("one.text_key").alias(key))
+    own = docs.withColumn(key, F.xxhash64(text_or_empty()))
+    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[key] == kept[key])
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(documents(spark, sf_dir)).drop("text_key")
+    return simhash_components(documents(spark, sf_dir)).drop("text_key", "root")

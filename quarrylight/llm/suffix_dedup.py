@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, documents, slices, text_or_empty
+from quarrylight.llm.common import Scratch, documents, slices, spare, text_or_empty
 
 #: A fixed odd multiplier and a fixed seed for the rolling hash.
 BASE, SEED = np.uint64(0x9E3779B97F4A7C15), 20240229
@@ -315,20 +315,20 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     return single.unionByName(copied.select("row_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")))
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with row_id: the doc_id where it names each row, else a number given in a written copy."""
+def numbered(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs with a column `name`: the doc_id where it names each row, else a number given in a written copy."""
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1):
-        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
-    return scratch.table(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def with_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs with spans: an array of (a, b), unsorted and overlapping, null where nothing is removed."""
-    scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    rows = numbered(docs, scratch)
-    texts = rows.select("row_id", text_or_empty().cast("binary").alias("text"))
-    spans = repeated_spans(texts, scratch, length).groupBy("row_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(spans, "row_id", "left").drop("row_id")
+def with_spans(docs: DataFrame, name: str, length: int = 400) -> DataFrame:
+    """docs with a column `name`: an array of (a, b), unsorted and overlapping, null where nothing is removed."""
+    scratch, row = Scratch(docs.sparkSession, "suffix-dedup"), spare(docs, "row_id")
+    rows = numbered(docs, scratch, row)
+    texts = rows.select(F.col(row).alias("row_id"), text_or_empty().cast("binary").alias("text"))
+    spans = repeated_spans(texts, scratch, length).groupBy("row_id").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    return rows.join(spans.withColumnRenamed("row_id", row), row, "left").drop(row)
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -354,10 +354,11 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([x if s is None else without(x.encode(), merged(s)).decode(errors="ignore") for x, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = with_spans(docs, length)
-    out = found.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", "spans")))
+    name = spare(docs, "spans")
+    found = with_spans(docs, name, length)
+    out = found.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(kept("text", name)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 
@@ -372,6 +373,6 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(text, runs)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = with_spans(documents(spark, sf_dir))
+    found = with_spans(documents(spark, sf_dir).select("doc_id", "text"), "spans")
     rows = found.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"), "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

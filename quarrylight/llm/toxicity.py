@@ -102,7 +102,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     """
     spark, names = docs.sparkSession, list(categories)
     scratch = Scratch(spark, "toxicity")
-    known = labels.select("doc_id", *(c.cast("int").alias(k) for k, c in categories.items())).dropna().dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", *(c.cast("int").alias(k) for k, c in categories.items())).dropna().groupBy("doc_id").agg(*(F.max(k).alias(k) for k in names))
     sample = labelled_sample(known, most_labelled)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
 
