@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quarrylight") -> SparkSession:
-    """A UTC session on this machine; on a cluster, pass your own session to the operators instead."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quarrylight", **settings: str) -> SparkSession:
+    """A UTC session on this machine; on a cluster, pass your own session to the operators instead.
+
+    settings: further ones, with __ for the dots of their names.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -17,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
+        .config(map={k.replace("__", "."): v for k, v in settings.items()})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
