@@ -13,9 +13,14 @@ def elapsed_seconds(text: Column) -> Column:
     return F.when(text.rlike(pattern), ((number(1) * 24 + number(2)) * 60 + number(3)) * 60 + number(4))
 
 
+def cpu_seconds(text: Column) -> Column:
+    """The same with hundredths, rounded half up."""
+    return elapsed_seconds(text) + F.when(F.regexp_extract(text, r"\.(\d)", 1) >= "5", 1).otherwise(0)
+
+
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    return F.unix_timestamp(later.cast("timestamp")) - F.unix_timestamp(earlier.cast("timestamp"))
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1e6

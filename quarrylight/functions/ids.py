@@ -73,6 +73,12 @@ def skew_level(versions_major: Column, versions_minor: Column, readable: Column)
     return F.when(readable < 2, "unknown").when(versions_major > 1, "major").when(versions_minor > 1, "minor").otherwise("patch")
 
 
+def version_difference(a: Column, b: Column) -> Column:
+    """major, minor or patch: the highest part in which two versions differ (patch if in none); unknown if one can't be read."""
+    part = lambda k: version_part(a, k) != version_part(b, k)
+    return F.when(part(0).isNull(), "unknown").when(part(0), "major").when(part(1), "minor").otherwise("patch")
+
+
 def normal_signature(signature: Column) -> Column:
     return F.regexp_replace(F.trim(signature), r"\s+", " ")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +108,34 @@ def coverage_pct(found: Column, evicted: Column) -> Column:
 def share(part: Column, total: Column) -> Column:
     """part / total, 0 where the total is 0 or null."""
     return F.when(total > 0, part / total).otherwise(F.lit(0.0))
+
+
+# Paths where a swallowed error matters more, kinds of swallowed errors, and paths that need tests most.
+CRITICAL_PATH = r"(?i)\b(signer|crypto|hd[-_]?wallet|hmac|sign|auth|mnemonic|seed|pubkey|keystore|secp256k1|ed25519|ripemd160)\b"
+SWALLOWED = ("try_optional_swallow", "try_optional_in_crypto_path", "nil_coalesce_swallows_error")
+DELICATE = ("wallet", "crypto", "seed", "key", "payment", "transaction")
+
+
+def critical_path_severity(severity: Column, kind: Column, path: Column, context: Column) -> Column:
+    """Swallowed errors are of medium severity on a critical path, else low; in examples and tests low; suppressed ones stay."""
+    tuned = F.when(~context.isin("example", "test") & path.rlike(CRITICAL_PATH), "medium").otherwise("low")
+    return F.when((severity == "informational") | ~kind.isin(*SWALLOWED), severity).otherwise(tuned)
+
+
+def untestable_severity(path: Column) -> Column:
+    return F.when(F.lower(path).rlike("|".join(DELICATE)), "high").otherwise("medium")
+
+
+def node_confidence(kind: Column, resolution: Column, weak: Sequence[str], partly: Sequence[str]) -> Column:
+    """low for weak kinds, medium for those that are resolved in part, else high."""
+    return F.when(kind.isin(*weak), "low").when(resolution.isin(*partly), "medium").otherwise("high")
+
+
+def edge_confidence(kind: Column, resolution: Column, trigger: Column, partly: Sequence[str]) -> Column:
+    """medium for edges resolved in part and effects whose trigger is unknown, else high."""
+    return F.when(resolution.isin(*partly) | ((kind == "triggers_effect") & trigger.isNull()), "medium").otherwise("high")
+
+
+def control_kind(context: Column) -> Column:
+    """button, image, icon, textfield, tappable_view or other."""
+    return F.when(F.lower(context).isin("button", "image", "icon", "textfield", "tappable_view"), F.lower(context)).otherwise("other")

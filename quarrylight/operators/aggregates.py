@@ -65,3 +65,15 @@ def trailing_counts(rows: DataFrame, keys: Sequence[str], at: str, seconds: int,
     """rows with the number of the key's rows in the last seconds up to each, itself included."""
     w = Window.partitionBy(*keys).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
     return rows.withColumn(name, F.count("*").over(w))
+
+
+def keep_worst(rows: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:
+    """One row a key: the one of the least rank, of several the least by its columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(rank.alias("_r"), *rest)).alias("_v")).select(*keys, *(F.col(f"_v.{c}").alias(c) for c in rest))
+
+
+def hash_statistics(ids: DataFrame, column: str) -> DataFrame:
+    """total, distinct, collisions, negative and share_negative of 64-bit ids."""
+    found = ids.agg(F.count("*").alias("total"), F.count_distinct(column).alias("distinct_ids"), F.count_if(F.col(column) < 0).alias("negative"))
+    return found.withColumns({"collisions": F.col("total") - F.col("distinct_ids"), "share_negative": F.when(F.col("total") > 0, F.col("negative") / F.col("total"))})

@@ -93,3 +93,42 @@ def canonical(rows: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """rows with the canonical form of a lower-cased name; without an alias the name itself."""
     known = aliases.select(F.lower("raw").alias("_raw"), F.lower("canonical").alias("_to")).dropDuplicates(["_raw"])
     return rows.join(known, F.lower(F.col(column)) == F.col("_raw"), "left").withColumn(column, F.coalesce("_to", F.lower(F.col(column)))).drop("_raw", "_to")
+
+
+def owner_by_prefix(files: DataFrame, roots: DataFrame, path: str, root: str, module: str) -> DataFrame:
+    """files with module and status: resolved if all roots above the file name one module, ambiguous if several, else unresolved."""
+    tried = files.select(path).distinct().select(path, F.explode(path_prefixes(F.col(path))).alias("_r"))
+    own = roots.select(F.regexp_replace(root, "/+$", "").alias("_r"), module)
+    found = tried.join(own, "_r").groupBy(path).agg(F.count_distinct(module).alias("_n"), F.min(module).alias(module))
+    status = F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("unresolved")
+    return files.join(found, path, "left").withColumn("status", status).withColumn(module, F.when(F.col("_n") == 1, F.col(module))).drop("_n")
+
+
+def reconciled_owner(first: DataFrame, second: DataFrame, key: str, module: str) -> DataFrame:
+    """key, module, status of two resolutions (key, module, status): the first counts, unless they contradict each other."""
+    b = second.select(key, F.col(module).alias("_m"), F.col("status").alias("_s"))
+    rows = first.join(b, key, "full_outer").withColumns({"_a": F.coalesce("status", F.lit("unresolved")), "_s": F.coalesce("_s", F.lit("unresolved"))})
+    clash = (F.col("_a") == "ambiguous") | ((F.col("_a") == "unresolved") & (F.col("_s") == "ambiguous")) | ((F.col("_a") == "resolved") & (F.col("_s") == "resolved") & (F.col(module) != F.col("_m")))
+    status = F.when(clash, "ambiguous").when(F.col("_a") == "resolved", "resolved").otherwise(F.col("_s"))
+    return rows.select(key, F.when(~clash, F.coalesce(module, "_m")).alias(module), status.alias("status"))
+
+
+def suffix_lookup(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """asked (name) with status and match: the one known name that ends with it; none or several are told apart.
+
+    Names meet by their last part, so no pairs of all names are made.
+    """
+    last = lambda c: F.element_at(F.split(c, r"[./:#]"), -1)
+    a, b = asked.select(name).distinct().withColumn("_l", last(F.col(name))), known.select(F.col(name).alias("_k")).distinct().withColumn("_l", last(F.col("_k")))
+    found = a.join(b, "_l").where(F.endswith(F.col("_k"), F.col(name))).groupBy(name).agg(F.count("*").alias("_n"), F.min("_k").alias("match"))
+    status = F.when(F.coalesce("_n", F.lit(0)) == 0, "not_found").when(F.col("_n") == 1, "ok").otherwise("ambiguous")
+    return asked.join(found, name, "left").withColumn("status", status).withColumn("match", F.when(F.col("_n") == 1, F.col("match"))).drop("_n")
+
+
+def unallowed(findings: DataFrame, allowed: DataFrame, text: str, literal: str) -> DataFrame:
+    """findings whose text holds none of the allowed literals. allowed is a configuration of a project, a few rows."""
+    literals = [r[0] for r in allowed.select(literal).where(F.col(literal) != "").distinct().take(10_001)]
+    if len(literals) > 10_000:
+        raise ValueError("an allowlist has at most 10,000 literals")
+    listed = F.array(*map(F.lit, literals)) if literals else F.array().cast("array<string>")
+    return findings.where(~F.exists(listed, lambda x: F.contains(F.coalesce(F.col(text), F.lit("")), x)))

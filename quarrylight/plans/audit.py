@@ -81,3 +81,39 @@ def render(project: str, top: DataFrame, most_sections: int = 100, most_rows: in
             out += ["", f"## {at} ({r['total']})", ""]
         out.append(f"- **{r['severity']}** {r['message']}")
     return "\n".join(out if rows else [*out, "", "No findings."]) + "\n"
+
+
+def summaries(hotspots: DataFrame, dead: DataFrame, deps: DataFrame, owners: DataFrame, skew: DataFrame, public: DataFrame, contracts: DataFrame) -> DataFrame:
+    """section, statistic, value: the figures at the head of each section of a report."""
+    figures = [
+        hotspots.agg(F.count("*").cast("double").alias("file_count"), F.coalesce(F.max("hotspot_score"), F.lit(0.0)).alias("max_score")),
+        dead.agg(*(F.count_if(F.col("state") == s).cast("double").alias(s) for s in ("confirmed_dead", "unused_candidate", "skipped"))),
+        deps.agg(F.count_distinct("scope").cast("double").alias("scopes"), F.coalesce(F.bool_and(F.col("version") == "unresolved"), F.lit(False)).cast("int").cast("double").alias("missing_lockfile")),
+        owners.agg(F.count("*").cast("double").alias("files_analysed"), F.count_if(F.coalesce("weight", F.lit(1.0)) < 0.2).cast("double").alias("diffuse_ownership_count")),
+        skew.agg(*(F.count_if(F.col("severity") == s).cast("double").alias(s) for s in ("major", "minor", "patch"))),
+        public.agg(F.count_distinct("module").cast("double").alias("module_count")),
+        contracts.agg(F.count_if(F.col("removed") > 0).cast("double").alias("breaking"), F.count_if(F.col("changed") > 0).cast("double").alias("signature_changes")),
+    ]
+    names = ["hotspot", "dead_symbols", "dependencies", "ownership", "version_skew", "public_api", "contracts"]
+    parts = [f.unpivot([], f.columns, "statistic", "value").select(F.lit(n).alias("section"), "statistic", "value") for n, f in zip(names, figures, strict=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def library_warning(findings: DataFrame, least: int = 10) -> DataFrame:
+    """library, example, test, other and warning: more than `least` findings and none in library code."""
+    counts = findings.agg(*(F.count_if(F.col("context") == c).alias(c) for c in ("library", "example", "test", "other")), F.count("*").alias("total"))
+    return counts.withColumn("warning", (F.col("total") > least) & (F.col("library") == 0)).drop("total")
+
+
+def health(tables: dict[str, DataFrame], runs: DataFrame, projects: DataFrame) -> DataFrame:
+    """kind, name, value, at: rows of every table, the last run of every extractor, and projects without any run."""
+    from quarrylight.operators.aggregates import label_counts
+
+    counts = label_counts(tables).select(F.lit("rows").alias("kind"), F.col("label").alias("name"), F.col("n").alias("value"), F.lit(None).cast("timestamp").alias("at"))
+    last = runs.groupBy("extractor").agg(F.max_by(F.struct("success", "started_at"), F.col("started_at")).alias("r"))
+    last = last.select(F.lit("last_run").alias("kind"), F.col("extractor").alias("name"), F.col("r.success").cast("long").alias("value"), F.col("r.started_at").cast("timestamp").alias("at"))
+    unused = projects.join(runs.select(F.col("project").alias("slug")).distinct(), "slug", "left_anti").select(F.lit("never_run").alias("kind"), F.col("slug").cast("string").alias("name"), F.lit(0).cast("long").alias("value"), F.lit(None).cast("timestamp").alias("at"))
+    return counts.unionByName(last).unionByName(unused)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,17 @@ class Tables:
         return events.select(
             F.col("event_id").alias("key"), F.col("user_id").alias("symbol"), F.when(F.col("event_type") == "signup", "def").otherwise("use").alias("kind"), (F.col("value") / F.lit(most)).alias("importance"), F.col("ts").cast("timestamp").alias("last_seen")
         )
+
+    def feed_time(self) -> Column:
+        """The server's time: that of the last event."""
+        return F.lit(self.read("events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+
+    def issues(self) -> DataFrame:
+        """An issue a user, as its last event leaves it."""
+        status = F.coalesce(F.create_map(*map(F.lit, ("view", "todo", "click", "in_progress", "purchase", "in_review", "error", "blocked")))[F.col("last.event_type")], F.lit("done"))
+        last = self.read("events").groupBy("user_id").agg(F.max("ts").alias("at"), F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("last"))
+        event = F.col("last.event_id")
+        return last.select(
+            F.col("user_id").alias("issue_id"), (event % 40).alias("assignee"), F.when(event % 4 == 0, event).alias("run_id"), status.alias("status"), F.lit(None).cast("string").alias("origin"),
+            F.when(F.col("user_id") % 3 == 0, F.col("user_id") + 1).alias("parent_id"), F.col("at").cast("timestamp").alias("updated_at"),
+        )

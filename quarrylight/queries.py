@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions import clock, ids, paths, scoring
-from quarrylight.operators import aggregates, graph, joins, lookup, upsert
+from quarrylight.operators import aggregates, graph, joins, ledger, lookup, upsert
 from quarrylight.plans import architecture, audit, history, search, symbols
 from quarrylight.proxies import Tables
+from quarrylight.session import shared_folder
+from quarrylight.streaming import alerts, detectors, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -634,3 +636,84 @@ def previous_speaker(t: Tables) -> DataFrame:
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_property_counts(t: Tables) -> DataFrame:
     return t.read("events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+# issue feed -----------------------------------------------------------------------------------------------------------
+
+ISSUES = """issues AS (SELECT user_id AS issue_id, last.id % 40 AS assignee, CASE WHEN last.id % 4 = 0 THEN last.id END AS run_id,
+ CASE last.kind WHEN 'view' THEN 'todo' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'in_review' WHEN 'error' THEN 'blocked' ELSE 'done' END AS status,
+ CASE WHEN user_id % 3 = 0 THEN user_id + 1 END AS parent_id, seen AS updated_at, epoch(now) - epoch(seen) AS age
+ FROM (SELECT user_id, max(ts) AS seen, arg_max({'id': event_id, 'kind': event_type}, (ts, event_id)) AS last FROM events GROUP BY 1), (SELECT max(ts) AS now FROM events))"""
+
+
+@query(f"""WITH {ISSUES} SELECT issue_id, 'wrong_assignee' AS finding, CAST(floor(age) AS BIGINT) AS age_seconds FROM issues
+WHERE status IN ('todo', 'in_progress', 'in_review') AND assignee >= 30 AND age BETWEEN 180 AND 14400 * 60""")
+def wrong_assignee(t: Tables) -> DataFrame:
+    agents = t.spark.range(30).select(F.col("id").alias("agent_id"))
+    return detectors.wrong_assignee(t.issues(), agents, t.feed_time(), window_minutes=14_400).select("issue_id", "finding", "age_seconds")
+
+
+@query(f"""WITH {ISSUES}, said AS (SELECT user_id AS issue_id, event_id, ts, CASE WHEN value >= 95 THEN 'cloudflare_1010' WHEN value >= 90 THEN 'rate_limit_429' WHEN value >= 85 THEN 'service_unavailable' WHEN value >= 80 THEN 'cloudflare_generic' END AS kind
+ FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY)
+SELECT issue_id, arg_min(kind, (ts, event_id)) AS error_kind FROM said JOIN issues USING (issue_id)
+WHERE kind IS NOT NULL AND status IN ('todo', 'in_progress', 'in_review', 'blocked') AND floor(age) <= 14400 * 60 GROUP BY 1""")
+def infra_block(t: Tables) -> DataFrame:
+    body = F.when(F.col("value") >= 95, "error 1010").when(F.col("value") >= 90, "HTTP 429").when(F.col("value") >= 85, "HTTP 503 here").when(F.col("value") >= 80, "Cloudflare page").otherwise("fine")
+    comments = t.read("events").select(F.col("event_id").alias("comment_id"), F.col("user_id").alias("issue_id"), F.lit(0).alias("author"), body.alias("body"), F.col("ts").cast("timestamp").alias("created_at"))
+    found = detectors.infra_block(t.issues(), comments, t.feed_time(), 3 * 24 * 60, 14_400)
+    return found.select("issue_id", F.col("snapshot")["error_kind"].alias("error_kind"))
+
+
+@query(f"""WITH {ISSUES} SELECT issue_id, assignee FROM issues i WHERE status <> 'blocked' AND run_id IS NULL AND floor(age) BETWEEN 60 * 60 AND 20000 * 60
+AND issue_id NOT IN (SELECT parent_id FROM issues WHERE parent_id IS NOT NULL AND status IN ('todo', 'in_progress', 'in_review'))""")
+def died_mid_work(t: Tables) -> DataFrame:
+    return detectors.died_mid_work(t.issues(), t.feed_time(), 60, 20_000).select("issue_id", "assignee")
+
+
+@query("""WITH log AS (SELECT user_id % 7 AS tick, CASE WHEN event_type IN ('view', 'click') THEN 'alert' ELSE 'repair' END AS action FROM events)
+SELECT tick, count(*) FILTER (action = 'alert') AS alerts, count(*) FILTER (action = 'alert') > 5 AS over_soft, greatest(count(*) FILTER (action = 'alert') - 20, 0) AS dropped FROM log GROUP BY 1""")
+def alert_budget(t: Tables) -> DataFrame:
+    log = t.read("events").select((F.col("user_id") % 7).alias("tick"), F.when(F.col("event_type").isin("view", "click"), "alert").otherwise("repair").alias("action"))
+    return alerts.budget_use(log)
+
+
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT start, event_type, n FROM h WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 180 MINUTE""")
+def streamed_hourly_counts(t: Tables) -> DataFrame:
+    stream = windows.tumbling_counts(windows.table_stream(t.spark, t.folder, "events"), "ts", ["event_type"])
+    return windows.run_to_table(stream, shared_folder(t.spark, "hourly")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT DISTINCT CASE WHEN r_name IS NULL THEN n_name ELSE r_name || '.' || n_name END AS match, n_name AS name, 'ok' AS status FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def suffix_lookup(t: Tables) -> DataFrame:
+    nation, region = t.read("nation"), t.read("region")
+    known = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.concat_ws(".", "r_name", "n_name").alias("name"))
+    return joins.suffix_lookup(nation.select(F.col("n_name").alias("name")), known, "name").distinct()
+
+
+@query("""WITH f AS (SELECT user_id AS path, event_id AS line, event_type AS kind, CASE WHEN value >= 80 THEN 0 WHEN value >= 30 THEN 1 ELSE 2 END AS rank FROM events)
+SELECT path, kind, arg_min(line, (rank, line)) AS line, min(rank) AS rank FROM f GROUP BY 1, 2""")
+def worst_findings(t: Tables) -> DataFrame:
+    rank = F.when(F.col("value") >= 80, 0).when(F.col("value") >= 30, 1).otherwise(2)
+    rows = t.read("events").select(F.col("user_id").alias("path"), F.col("event_type").alias("kind"), F.col("event_id").alias("line"), rank.alias("rank"))
+    return aggregates.keep_worst(rows, ["path", "kind"], F.col("rank"))
+
+
+@query("SELECT count(*) AS total, count(DISTINCT k) AS distinct_ids, count(*) FILTER (k < 0) AS negative, count(*) - count(DISTINCT k) AS collisions, count(*) FILTER (k < 0) / count(*) AS share_negative FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN -l_orderkey ELSE l_orderkey END AS k FROM lineitem)")
+def hash_statistics(t: Tables) -> DataFrame:
+    signed = F.when(F.col("l_linenumber") % 2 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return aggregates.hash_statistics(t.read("lineitem").select(signed.alias("k")), "k")
+
+
+@query("""SELECT 'run-' || user_id AS run_id, min(ts) FILTER (event_type = 'view') AS started_at, max(ts) FILTER (event_type = 'purchase') AS finished_at, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'purchase') AS nodes FROM events GROUP BY 1""")
+def run_ledger(t: Tables) -> DataFrame:
+    event = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "end").otherwise("other")
+    log = t.read("events").select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), event.alias("event"), F.col("ts").alias("at"), F.lit("p").alias("project"), F.lit("x").alias("extractor"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error_code"), F.col("event_id").alias("nodes"), F.lit(0).alias("edges"))
+    return ledger.runs(log).select("run_id", "started_at", "finished_at", "nodes")
+
+
+@query("""WITH m AS (SELECT DISTINCT user_id % 5 AS bundle, user_id AS member FROM events), r AS (SELECT user_id % 5 AS bundle, user_id AS member, bool_or(event_type = 'purchase') AS ok FROM events WHERE user_id % 5 <> 0 OR user_id % 2 = 0 GROUP BY 1, 2)
+SELECT bundle, count(*) AS members, count(ok) AS done, count(*) FILTER (NOT ok) AS failed, CASE WHEN count(ok) < count(*) THEN 'running' WHEN count(*) FILTER (NOT ok) > 0 THEN 'failed' ELSE 'succeeded' END AS state FROM m LEFT JOIN r USING (bundle, member) GROUP BY 1""")
+def ingest_progress(t: Tables) -> DataFrame:
+    rows = t.read("events").select((F.col("user_id") % 5).alias("bundle"), F.col("user_id").alias("member"), (F.col("event_type") == "purchase").alias("ok"))
+    return windows.ingest_progress(rows.select("bundle", "member"), rows.where("bundle <> 0 or member % 2 = 0"))

@@ -12,7 +12,7 @@ LOG_FORMAT = "%H%x00%an%x00%ae%x00%cI%x00%P%x00%s%x1e"
 
 def commits(blobs: DataFrame, text: str = "text") -> DataFrame:
     """sha, name, email, committed_at, parents, subject, is_merge, is_bot from `git log --format` with LOG_FORMAT."""
-    records = blobs.select(F.explode(F.split(text, "\x1e")).alias("r")).where(F.trim("r") != "")
+    records = blobs.select(F.explode(F.split(text, "\x1e")).alias("r")).where(F.col("r").rlike(r"\S"))
     f = F.split(F.regexp_replace("r", r"^\s+", ""), "\x00")
     part = lambda k: F.get(f, k)
     rows = records.select(
@@ -28,7 +28,7 @@ def message_excerpt(message: Column, most: int = 1024) -> Column:
 
 def numstat(blobs: DataFrame, text: str = "text") -> DataFrame:
     """sha, path, added, deleted from `git log --numstat --format=commit:%H`; binary files have null counts."""
-    lines = blobs.select(F.monotonically_increasing_id().alias("_b"), F.posexplode(F.split(text, "\r?\n")).alias("_n", "line"))
+    lines = blobs.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.posexplode(F.split(text, "\r?\n")).alias("_n", "line"))
     from pyspark.sql.window import Window
 
     sha = F.nullif(F.regexp_extract("line", r"^commit:([0-9a-f]{7,40})$", 1), F.lit(""))

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Detectors over an issue feed and the stateful streams that follow them."""
