@@ -10,7 +10,9 @@ merged into the next. Only suffixes with a matched gram can take part in a repea
 Of those, stretches that occur twice are repeats as a whole. A stretch that occurs once, but shares its gram with a
 different one, is resolved by a suffix array of the suffixes at all windows of that gram's different stretches, bounded at
 `length` bytes and built by prefix doubling. Grams with very many different stretches are split into parts; what is
-alone in its part is then counted by the digest of its window over all parts.
+alone in its part is then counted by the digest of its window over all parts. Before that, the windows of such a
+stretch are taken in cells of neighbours: the bytes that all windows of a cell share have to occur in another stretch at
+the same distance from the gram, or no window of the cell can.
 
 No step gathers the rows of one gram, one stretch or one window in a task beyond that bound: sums are partial first and
 joins may be split. The result is exact; hashes of 128 bits stand for equal strings.
@@ -221,12 +223,37 @@ def cut_stretches(picks: DataFrame, length: int) -> DataFrame:
     return picks.select("row_id", "text", "stretches").mapInArrow(run, "gram long, part int, parts int, times long, lo long, row_id long, piece binary")
 
 
-def window_runs(pieces: DataFrame, length: int, block: int = 1 << 19) -> DataFrame:
-    """Suffix arrays of the windows of stretches; pieces: what cut_stretches gives, a gram's part lying together.
+def shared_cells(pieces: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """row_id, lo, off, cells: for stretches of grams with several parts the cells of windows that may occur elsewhere.
+
+    A window's cell is its distance before the gram over `width`; off is the distance of the stretch's first window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, digest, low = Powers(), xxhash.xxh3_128_digest, np.uint64(0xFFFFFF)
+        for batch in batches:
+            out: list[tuple] = []
+            for row, lo, piece in zip(batch.column("row_id").to_pylist(), batch.column("lo").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                off = int(np.argmin(powers.grams(np.frombuffer(piece, np.uint8, length), gram) & ~low))
+                for cell in range((off - (len(piece) - length)) // width, off // width + 1):
+                    start = off - width * cell
+                    core = digest(piece[start : start + length - width + 1], cell)
+                    out.append((int.from_bytes(core[:8], "big", signed=True), int.from_bytes(core[8:], "big", signed=True), row, lo, off, cell))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["d1", "d2", "row_id", "lo", "off", "cell"])
+
+    cores = pieces.where("parts > 1").select("row_id", "lo", "piece").mapInArrow(run, "d1 long, d2 long, row_id long, lo long, off int, cell int")
+    again = cores.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2")
+    return cores.join(again, ["d1", "d2"], "left_semi").groupBy("row_id", "lo").agg(F.max("off").alias("off"), F.collect_set("cell").alias("cells"))
+
+
+def window_runs(pieces: DataFrame, length: int, width: int, block: int = 1 << 19) -> DataFrame:
+    """Suffix arrays of the windows of stretches; pieces: what cut_stretches gives, with off and cells of shared_cells, a
+    gram's part lying together.
 
     Rows with null d1: windows [a, b) (their first bytes) of a stretch that occurs once, which occur elsewhere in the same
-    part. Other rows, for grams of several parts: the digest (d1, d2) of a window and, where it is alone in its part and
-    in a stretch that occurs once, its row_id and place a; b is null.
+    part. Other rows, for grams of several parts and windows of their cells: the digest (d1, d2) of a window and, where it
+    is alone in its part and in a stretch that occurs once, its row_id and place a; b is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +278,9 @@ def window_runs(pieces: DataFrame, length: int, block: int = 1 << 19) -> DataFra
             hit = np.nonzero(repeated & single)[0]  # in text order within a stretch
             new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
             begin, end = hit[new], hit[np.concatenate([new[1:], [True]])] if len(hit) else hit
-            split = np.array([x["parts"] > 1 for x in held])[which]
+            off, cells = np.array([x["off"] or 0 for x in held])[which], [x["cells"] or () for x in held]
+            codes = np.array([k << 10 | c for k, own in enumerate(cells) for c in own], np.int64)
+            split = np.isin(which << 10 | (off - inner) // width, codes)
             rest = order[first & split[order]]  # one window of each run
             view, digest = memoryview(data), xxhash.xxh3_128_digest
             own = np.frombuffer(b"".join([digest(view[k : k + length]) for k in at[rest].tolist()]), ">i8").reshape(-1, 2).astype(np.int64)
@@ -285,10 +314,11 @@ def window_runs(pieces: DataFrame, length: int, block: int = 1 << 19) -> DataFra
     return pieces.mapInArrow(run, "d1 long, d2 long, row_id long, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4, most_in_part: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4, most_in_part: int = 1000, width: int = 16) -> DataFrame:
     """(row_id, a, b): spans of bytes [a, b) covered by strings of `length` bytes that also start elsewhere.
 
-    docs: row_id (unique) and text (binary). A gram with more than most_in_part different stretches is split into parts.
+    docs: row_id (unique) and text (binary). A gram with more than most_in_part different stretches is split into parts,
+    and windows in cells of `width` neighbours.
     """
     suffixes = scratch.table(sparse_suffixes(docs, length, gram).withColumn("batch", F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int")), "suffixes")
     family = SuffixFamily(scratch)
@@ -303,8 +333,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     part = F.pmod(F.xxhash64("c1", "c2"), F.col("parts")).cast("int").alias("part")
     picks = stretches.join(mixed, "gram").groupBy("one.row_id").agg(F.collect_list(F.struct("gram", part, "parts", "times", "one.lo", "one.n")).alias("stretches"))
     pieces = scratch.table(cut_stretches(docs.join(picks, "row_id"), length), "pieces")
-    together = pieces.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    windows = scratch.table(window_runs(together, length), "windows")
+    cells = scratch.table(shared_cells(pieces, length, gram, width), "cells")
+    whole = pieces.where("parts = 1").withColumns({"off": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<int>")})
+    split = pieces.where("parts > 1").join(cells, ["row_id", "lo"], "left").select(whole.columns)
+    together = whole.unionByName(split).repartition("gram", "part").sortWithinPartitions("gram", "part")
+    windows = scratch.table(window_runs(together, length, width), "windows")
     scratch.drop("pieces")
     over_parts = windows.where("d1 is not null")
     equal = over_parts.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2")

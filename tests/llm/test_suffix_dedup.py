@@ -63,7 +63,7 @@ def test_small_alphabets_many_parts(spark, seed):
     texts += [texts[1][10:60] + "x" + texts[3][:70], "a" * 90, "a" * 90, "ab" * 60, ""]
     docs = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "row_id long, text binary").repartition(3)
     for most in (2, 1000)[seed % 2 :]:
-        spans = op.repeated_spans(docs, Scratch(spark, "test"), length=24, gram=6, batches=3, most_in_part=most)
+        spans = op.repeated_spans(docs, Scratch(spark, "test"), length=24, gram=6, batches=3, most_in_part=most, width=1 + seed * 4)
         got = {k: [] for k in range(len(texts))}
         for x in spans.collect():
             got[x["row_id"]].append({"a": x["a"], "b": x["b"]})
