@@ -22,14 +22,18 @@ def audit_status(projects: DataFrame, extractors: DataFrame, profile: DataFrame,
     projects: project, language; extractors: extractor; profile: language, extractor; runs: as in latest_runs.
     """
     fits = profile.select("language", "extractor").distinct().withColumn("_fits", F.lit(True))
-    grid = projects.crossJoin(F.broadcast(extractors)) if _small(extractors) else projects.join(extractors)
+    grid = projects.withColumn("extractor", F.explode(F.array(*map(F.lit, _registered(extractors)))))
     joined = grid.join(fits, ["language", "extractor"], "left").join(latest_runs(runs), ["project", "extractor"], "left")
     status = F.when(F.col("_fits").isNull(), "NOT_APPLICABLE").when(F.col("run_id").isNull(), "NOT_ATTEMPTED").when(~F.col("success"), "RUN_FAILED").otherwise("OK")
     return joined.select("project", "extractor", status.alias("status"))
 
 
-def _small(extractors: DataFrame, most: int = 1000) -> bool:
-    return len(extractors.limit(most + 1).collect()) <= most
+def _registered(extractors: DataFrame, most: int = 1000) -> list[str]:
+    """Names of the registry, which a program holds: an error beyond `most`."""
+    names = [r["extractor"] for r in extractors.select("extractor").distinct().orderBy("extractor").take(most + 1)]
+    if not 0 < len(names) <= most:
+        raise ValueError(f"a registry has 1 to {most} extractors")
+    return names
 
 
 def sections(findings: DataFrame, per_section: int, position: Column) -> DataFrame:
@@ -102,12 +106,6 @@ def summaries(hotspots: DataFrame, dead: DataFrame, deps: DataFrame, owners: Dat
     return out
 
 
-def library_warning(findings: DataFrame, least: int = 10) -> DataFrame:
-    """library, example, test, other and warning: more than `least` findings and none in library code."""
-    counts = findings.agg(*(F.count_if(F.col("context") == c).alias(c) for c in ("library", "example", "test", "other")), F.count("*").alias("total"))
-    return counts.withColumn("warning", (F.col("total") > least) & (F.col("library") == 0)).drop("total")
-
-
 def health(tables: dict[str, DataFrame], runs: DataFrame, projects: DataFrame) -> DataFrame:
     """kind, name, value, at: rows of every table, the last run of every extractor, and projects without any run."""
     from quarrylight.operators.aggregates import label_counts

@@ -49,4 +49,4 @@ def overview(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     """label, n of every table and, in each row, when the last run started."""
     from quarrylight.operators.aggregates import label_counts
 
-    return label_counts(tables).crossJoin(runs.agg(F.max("started_at").alias("last_run_at")))
+    return label_counts(tables).withColumn("last_run_at", F.lit(runs.agg(F.max("started_at")).first()[0]))

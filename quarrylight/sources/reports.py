@@ -74,9 +74,9 @@ def string_tables(files: DataFrame) -> DataFrame:
 
 def coverage(tables: DataFrame, base: str = "en") -> DataFrame:
     """locale, keys, coverage_pct against the base locale's first table by path."""
-    most = tables.where(F.col("locale") == base).agg(F.min_by("keys", "path").alias("_b"))
+    most = tables.where(F.col("locale") == base).agg(F.min_by("keys", "path")).first()[0]
     counted = tables.groupBy("locale").agg(F.sum("keys").alias("keys"))
-    return counted.join(F.broadcast(most)).select("locale", "keys", F.when(F.col("_b") > 0, F.round(100 * F.col("keys") / F.col("_b"), 1)).alias("coverage_pct"))
+    return counted.select("locale", "keys", (F.round(100 * F.col("keys") / F.lit(most), 1) if most else F.lit(None).cast("double")).alias("coverage_pct"))
 
 
 TRACE = "trace_id string, threshold_cpu_share double, summary struct<total_cpu_samples: bigint, total_wall_ms: bigint>, samples array<struct<symbol_name: string, cpu_samples: bigint, wall_ms: bigint, thread_name: string>>"

@@ -153,8 +153,8 @@ def test_decisions_and_envelopes(spark):
 
 
 def test_audit_figures(spark):
-    assert audit.library_warning(spark.createDataFrame([("test",)] * 11, "context string")).first()["warning"]
-    assert not audit.library_warning(spark.createDataFrame([("test",)] * 10 + [("library",)], "context string")).first()["warning"]
+    contexts = spark.createDataFrame([("x", "test")] * 11 + [("y", "test")] * 10 + [("y", "library")], "section string, context string")
+    assert {r["section"]: r["no_library"] for r in audit.source_distribution(contexts).collect()} == {"x": True, "y": False}
     table = lambda rows, shape: spark.createDataFrame(rows, shape)
     found = audit.summaries(
         table([("a", 2.5)], "path string, hotspot_score double"), table([("skipped",), ("unused_candidate",)], "state string"), table([("test", "unresolved")], "scope string, version string"), table([("a", 0.1), ("b", None)], "path string, weight double"),
