@@ -20,10 +20,16 @@ from quarrylight.llm.common import Scratch, documents, spare, text_or_empty
 
 
 class DigestIndex:
-    """A bucketed, sorted table (digest, keep_id) in the warehouse; first come, first kept."""
+    """A bucketed, sorted table (digest, keep_id) in the warehouse; first come, first kept.
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    buckets: of a new index; by default as many as the session's shuffles have partitions, so that a task writes one file.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+        self.spark, self.table = spark, table
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if spark.catalog.tableExists(table):
+            self.buckets = int(spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Num Buckets'").first()["data_type"])
 
     def _append(self, rows: DataFrame) -> None:
         (
@@ -52,7 +58,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, buckets: int = 64, batches: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, buckets: int | None = None, batches: int = 2) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id of equal texts stays.
 
     The documents enter the index in `batches` parts, those with the largest doc_id first, so that the index's

@@ -40,6 +40,8 @@ def test_the_index_persists_over_batches(spark):
     index.drop()
     batch = lambda rows: op.digests(spark.createDataFrame(rows, "doc_id long, text string"))
     index.add(batch([(1, "a"), (2, "a"), (3, "b")]))
+    index = op.DigestIndex(spark, index.table)  # another program goes on with it
+    assert index.buckets == 4
     index.add(batch([(9, "a"), (10, "c"), (None, "d")]))
     held = {bytes(r["digest"]): r["keep_id"] for r in index.rows().collect()}
     sha = lambda x: hashlib.sha256(x.encode()).digest()
