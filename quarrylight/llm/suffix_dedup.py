@@ -105,10 +105,11 @@ def anchors(data: np.ndarray, starts: np.ndarray, powers: Powers, length: int, g
 
 
 def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 20) -> DataFrame:
-    """One row an anchor: gram, c1 and c2 (digest of the stretch), doc (row), lo (its first window), n (windows)."""
+    """One row a document and stretch: gram, c1 and c2 (digest of the stretch), row_id, los (first window of each of its
+    occurrences there), n (windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, names = Powers(), ["gram", "c1", "c2", "row_id", "lo", "n"]
+        powers, names = Powers(), ["gram", "c1", "c2", "row_id", "los", "n"]
 
         def found(rows: list[int], texts: list[bytes], shift: int = 0) -> pa.RecordBatch:
             data = b"".join(texts)
@@ -118,7 +119,12 @@ def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 2
             view = memoryview(data)
             classes = np.frombuffer(b"".join([digest(view[a : a + k + length - 1]) for a, k in zip(lo.tolist(), n.tolist(), strict=True)]), ">i8").reshape(-1, 2).astype(np.int64)
             owner = np.searchsorted(starts, lo, "right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(np.array(rows, np.int64)[owner] if len(owner) else owner), pa.array((lo - starts[owner] + shift).astype(np.int32)), pa.array(n.astype(np.int32))], names)
+            order = np.lexsort((lo, classes[:, 1], classes[:, 0], owner))
+            keys = np.stack([owner, classes[:, 0], classes[:, 1]], 1)[order]
+            first = np.nonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]).any(1)]))[0]
+            one = order[first]
+            los = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array((lo - starts[owner] + shift)[order].astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)[one]), pa.array(classes[one, 0]), pa.array(classes[one, 1]), pa.array(np.array(rows, np.int64)[owner[one]]), los, pa.array(n[one].astype(np.int32))], names)
 
         for part in slices(batches, "text", block):
             rows, texts = part.column("row_id").to_pylist(), part.column("text").to_pylist()
@@ -128,7 +134,7 @@ def sparse_suffixes(docs: DataFrame, length: int, gram: int, block: int = 1 << 2
             else:
                 yield found(rows, texts)
 
-    return docs.select("row_id", "text").mapInArrow(run, "gram long, c1 long, c2 long, row_id long, lo int, n int")
+    return docs.select("row_id", "text").mapInArrow(run, "gram long, c1 long, c2 long, row_id long, los array<int>, n int")
 
 
 class SuffixFamily:
@@ -147,7 +153,7 @@ class SuffixFamily:
     def add(self, suffixes: DataFrame) -> None:
         """Scan a new batch against each level, store it, then merge levels of equal size."""
         rows, name = self._sorted(suffixes)
-        grams = rows.groupBy("gram").agg(F.count("*").alias("times"))
+        grams = rows.groupBy("gram").agg(F.sum(F.size("los")).alias("times"))
         found = [grams.where("times > 1").select("gram")]
         for level, _ in self.levels.values():
             found.append(grams.select("gram").join(level.select("gram").distinct(), "gram", "left_semi"))
@@ -315,7 +321,7 @@ def window_runs(pieces: DataFrame, length: int, width: int, block: int = 1 << 19
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 128, batches: int = 4, most_in_part: int = 1000, width: int = 16) -> DataFrame:
-    """(row_id, a, b): spans of bytes [a, b) covered by strings of `length` bytes that also start elsewhere.
+    """(row_id, runs): arrays of spans of bytes (a, b) covered by strings of `length` bytes that also start elsewhere.
 
     docs: row_id (unique) and text (binary). A gram with more than most_in_part different stretches is split into parts,
     and windows in cells of `width` neighbours.
@@ -327,7 +333,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     scratch.drop("suffixes")
     rows = scratch.table(family.candidates(), "candidates")
     family.drop()
-    stretches = scratch.table(rows.groupBy("gram", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("row_id", "lo", "n")).alias("one")), "stretches")
+    stretches = scratch.table(rows.groupBy("gram", "c1", "c2").agg(F.sum(F.size("los")).alias("times"), F.min(F.struct("row_id", F.get("los", 0).alias("lo"), "n")).alias("one")), "stretches")
     mixed = stretches.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
     mixed = scratch.table(mixed.select("gram", F.ceil(F.col("kinds") / most_in_part).cast("int").alias("parts")), "mixed")
     part = F.pmod(F.xxhash64("c1", "c2"), F.col("parts")).cast("int").alias("part")
@@ -345,7 +351,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     # a window alone in its part counts by its row; one repeated there is a hit already, and its row here stands for all
     single = windows.where("d1 is null").select("row_id", "a", (F.col("b") - 1 + length).alias("b")).unionByName(split)
     copied = rows.join(stretches.where("times > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
-    return single.unionByName(copied.select("row_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b")))
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    runs = F.transform("los", lambda lo: span(lo, lo + F.col("n") - 1 + length))
+    return single.select("row_id", F.array(span(F.col("a"), F.col("b"))).alias("runs")).unionByName(copied.select("row_id", runs.alias("runs")))
 
 
 def numbered(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -360,7 +368,7 @@ def with_spans(docs: DataFrame, name: str, length: int = 400) -> DataFrame:
     scratch, row = Scratch(docs.sparkSession, "suffix-dedup"), spare(docs, "row_id")
     rows = numbered(docs, scratch, row)
     texts = rows.select(F.col(row).alias("row_id"), text_or_empty().cast("binary").alias("text"))
-    spans = repeated_spans(texts, scratch, length).groupBy("row_id").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    spans = repeated_spans(texts, scratch, length).groupBy("row_id").agg(F.flatten(F.collect_list("runs")).alias(name))
     return rows.join(spans.withColumnRenamed("row_id", row), row, "left").drop(row)
 
 

@@ -66,7 +66,7 @@ def test_small_alphabets_many_parts(spark, seed):
         spans = op.repeated_spans(docs, Scratch(spark, "test"), length=24, gram=6, batches=3, most_in_part=most, width=1 + seed * 4)
         got = {k: [] for k in range(len(texts))}
         for x in spans.collect():
-            got[x["row_id"]].append({"a": x["a"], "b": x["b"]})
+            got[x["row_id"]] += x["runs"]
         assert [op.merged(got[k]) for k in range(len(texts))] == covered([t.encode() for t in texts], 24)
 
 
@@ -78,10 +78,10 @@ def test_a_very_long_text_goes_in_blocks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "row_id long, text binary")
     rows = op.sparse_suffixes(docs, 400, 128, block=1_000).collect()
     whole = op.sparse_suffixes(docs, 400, 128).collect()
-    windows = lambda got: {(x["row_id"], x["lo"] + k) for x in got for k in range(x["n"])}
+    windows = lambda got: {(x["row_id"], lo + k) for x in got for lo in x["los"] for k in range(x["n"])}
     assert windows(rows) == windows(whole) == {(k, a) for k, t in enumerate(texts) for a in range(len(t) - 399)}
     spans = op.repeated_spans(docs, Scratch(spark, "test")).collect()
-    runs = [op.merged([x.asDict() for x in spans if x["row_id"] == k]) for k in range(3)]
+    runs = [op.merged([s for x in spans if x["row_id"] == k for s in x["runs"]]) for k in range(3)]
     assert runs == covered(texts, 400) == [[(4_000, 4_700)], [(0, 700)], []]
 
 
