@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of automated authors, anchored at the start.
 BOT_EMAILS = [r".*\[bot\]@users\.noreply\.github\.com$", r".*@dependabot\.com$", r"renovate\[bot\]@.*"]
-BOT_NAMES = [r"github-actions(\[bot\])?$", r"dependabot(\[bot\])?$", r"renovate(\[bot\])?$", r"paperclip-bot$", r".*\[bot\]$"]
+BOT_NAMES = [r"github-actions(\[bot\])?$", r"dependabot(\[bot\])?$", r"renovate(\[bot\])?$", r".*\[bot\]$"]
 # Patterns of source contexts, in the order in which they are tried.
 EXAMPLE = r"(?i)(^|/)(?:[^/]*[-_ ])?(Example|Examples|Sample|Samples|Demo|Demos)(?:[-_ ][^/]*)?(/|$)"
 TEST = r"(?i)(^|/)(Tests?|spec)(/|$)|Test(s)?\.swift$|_test\.py$|Test\.kt$"
@@ -23,9 +23,9 @@ def any_of(value: Column, patterns: list[str], flags: str = "") -> Column:
     return value.rlike(f"{flags}^(?:{'|'.join(patterns)})")
 
 
-def is_bot(email: Column, name: Column) -> Column:
-    """Known automated authors; null email and name are none."""
-    return F.coalesce(any_of(email, BOT_EMAILS), F.lit(False)) | F.coalesce(any_of(name, BOT_NAMES, "(?i)"), F.lit(False))
+def is_bot(email: Column, name: Column, own_names: Sequence[str] = ()) -> Column:
+    """Known automated authors and those of one's own (patterns of names); null email and name are none."""
+    return F.coalesce(any_of(email, BOT_EMAILS), F.lit(False)) | F.coalesce(any_of(name, [*BOT_NAMES, *own_names], "(?i)"), F.lit(False))
 
 
 def glob_regex(pattern: str) -> str:

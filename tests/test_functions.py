@@ -15,6 +15,7 @@ def values(spark, rows, schema, column):
 def test_bots(spark):
     rows = [("a@dependabot.com", "x"), ("a@b.c", "Dependabot[bot]"), ("a@b.c", "Ann"), (None, None), ("1+renovate[bot]@users.noreply.github.com", "r"), ("a@b.c", "my-bot")]
     assert values(spark, rows, "email string, name string", paths.is_bot(F.col("email"), F.col("name"))) == [True, True, False, False, True, False]
+    assert values(spark, rows, "email string, name string", paths.is_bot(F.col("email"), F.col("name"), ["my-bot$"]))[-1]
 
 
 @pytest.mark.parametrize("pattern", ["*.py", "src/**", "a?c", "[!x]*", "*", "m[0-9]", "a.b", "(x)"])
