@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.common import Scratch, documents
 from quarrylight.llm.exact_dedup import drop_copies
+from quarrylight.llm.near_copies import keep_one_similar
 from quarrylight.llm.packing import pack
 from quarrylight.llm.quality import keep_good
-from quarrylight.llm.simhash import keep_one
 from quarrylight.llm.suffix_dedup import remove_repeats
 
 
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near copies the one with the least doc_id stays."""
-    return keep_one(docs)
+    """Of a component of texts linked by a Jaccard similarity of 0.8 over 5-word shingles the one with the least doc_id stays."""
+    return keep_one_similar(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact_dedup),
-    ("simhash near-dedup", near_dedup),
+    ("minhash near-dedup", near_dedup),
     ("suffix-array dedup", repeats),
     ("packing", packing),
 ]
