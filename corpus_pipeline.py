@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that occur twice go from the texts."""
-    return remove_repeats(docs)
+    """Strings of 400 bytes and more, and passages of over 50 words, that occur twice go from the texts."""
+    return remove_repeats(docs, words=51)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

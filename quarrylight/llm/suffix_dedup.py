@@ -25,6 +25,7 @@ an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from quarrylight.llm.common import Scratch, documents, slices, spare, text_or_em
 
 #: A fixed odd multiplier and a fixed seed for the rolling hash.
 BASE, SEED = np.uint64(0x9E3779B97F4A7C15), 20240229
+#: Bytes of a word's code.
+WORD = 8
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -388,15 +391,61 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs without the repeated bytes; characters cut in half go too, and n_chars follows the text."""
+def word_codes(texts: DataFrame) -> DataFrame:
+    """row_id and text: WORD bytes a word, its hash, so that equal runs of words are equal strings whatever the words' lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 8 << 20):
+            coded = [b"".join(map(xxhash.xxh64_digest, x.split())) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(coded, pa.binary())], ["row_id", "text"])
+
+    return texts.select("row_id", "text").mapInArrow(run, "row_id long, text binary")
+
+
+def with_passages(docs: DataFrame, name: str, length: int, words: int) -> DataFrame:
+    """docs with a column `name`: an array of (a, b, coded), spans of with_spans (coded false) and spans over word_codes of
+    passages of `words` words and more that occur again (coded true); null where nothing is removed."""
+    scratch, row = Scratch(docs.sparkSession, "suffix-dedup"), spare(docs, "row_id")
+    rows = numbered(docs, scratch, row)
+    texts = rows.select(F.col(row).alias("row_id"), text_or_empty().cast("binary").alias("text"))
+    found = None
+    for coded, of, n in ((False, texts, length), (True, word_codes(texts), words * WORD)):
+        own = Scratch(docs.sparkSession, "suffix-dedup")
+        spans = repeated_spans(scratch.table(of, "codes") if coded else of, own, n)
+        marked = F.transform("runs", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(coded).alias("coded")))  # noqa: B023
+        spans = scratch.table(spans.select("row_id", marked.alias("runs")), f"spans-{coded}")
+        own.drop("")
+        found = spans if found is None else found.unionByName(spans)
+    spans = found.groupBy("row_id").agg(F.flatten(F.collect_list("runs")).alias(name))
+    return rows.join(spans.withColumnRenamed("row_id", row), row, "left").drop(row)
+
+
+def of_words(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
+    """Spans of bytes of the text for runs over its word codes: all words that lie in a run as a whole."""
+    if not runs:
+        return []
+    places = [m.span() for m in re.finditer(rb"\S+", text)]
+    return [{"a": places[-(-a // WORD)][0], "b": places[b // WORD - 1][1]} for a, b in runs]
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """docs without the repeated bytes; characters cut in half go too, and n_chars follows the text.
+
+    With `words`, passages of that many words in a row that occur again go as well, however short their words are.
+    """
+
+    def spans_of(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+        if words is None:
+            return merged(spans)
+        plain, coded = ([x for x in spans if x["coded"] == k] for k in (False, True))
+        return merged(plain + of_words(text, merged(coded)))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([x if s is None else without(x.encode(), merged(s)).decode(errors="ignore") for x, s in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([x if s is None else without(x.encode(), spans_of(x.encode(), s)).decode(errors="ignore") for x, s in zip(texts, spans, strict=True)], dtype=object)
 
     name = spare(docs, "spans")
-    found = with_spans(docs, name, length)
+    found = with_spans(docs, name, length) if words is None else with_passages(docs, name, length, words)
     out = found.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(kept("text", name)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
