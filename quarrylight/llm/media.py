@@ -110,6 +110,8 @@ def resolve(found: DataFrame, key: str, store: DataFrame) -> DataFrame:
     """
     items = found.select(key, F.explode("items").alias("i")).select(key, "i.*")
     items = items.withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64)))
+    # items without a digest get keys of their own that match nothing, so that they don't meet in one task
+    items = items.withColumn("digest", F.coalesce("digest", F.concat_ws("-", F.lit("none"), F.xxhash64(key, "position"))))
     return items.join(store, "digest", "left").drop("digest")
 
 
@@ -147,8 +149,16 @@ def image_features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={mean:.4f};std={spread:.4f};entropy={-(share * np.log2(share)).sum():.4f};ahash={bits}"
 
 
+def page(raw: bytes, digest: str) -> str:
+    """The whole text as a page: its start as heading, a figure that refers to the payload, then a paragraph a line, with
+    further references to the payload between paragraphs."""
+    text, image = raw.decode(errors="replace"), f'<img src="sha256:{digest}" alt="">'
+    lines = [f"<p>{escape(x)}</p>" for x in text[60:].split("\n") if x.strip()]
+    return f"<article><h1>{escape(text[:60])}</h1><figure>{image}<figcaption>{len(raw)} bytes</figcaption></figure>{image.join(lines)}</article>"
+
+
 def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written table: doc_id, n_bytes, html (one figure that refers to the payload), digest, media.
+    """Written table: doc_id, n_bytes, html (page), digest, media.
 
     A task stores each payload once; other rows of the digest have null media.
     """
@@ -165,8 +175,7 @@ def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 if digest.digest() not in seen:
                     seen.add(digest.digest())
                     media = to_pgm(payload)
-                title = escape(raw[:60].decode(errors="ignore"))
-                html = f'<article><h1>{title}</h1><figure><img src="sha256:{digest.hexdigest()}" alt=""><figcaption>{len(raw)} bytes</figcaption></figure></article>'
+                html = page(raw, digest.hexdigest())
                 out.append((len(raw), html, digest.hexdigest(), media))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "html", "digest", "media"])
 
@@ -199,13 +208,18 @@ def media_features(stored: DataFrame) -> DataFrame:
     return found.dropDuplicates(["digest"])
 
 
+def document_sequences(stored: DataFrame, features: DataFrame) -> DataFrame:
+    """item and items: the whole page of each stored document, in order, with the features of its media."""
+    columns = [c for c in features.columns if c != "digest"]
+    return aligned(resolve(sequences(stored, "item", "html"), "item", features), "item", *columns)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's payload as a media item of its own small page, resolved through the store."""
+    """Each document's payload as the first media item of its own page, taken from the aligned sequence."""
     scratch = Scratch(spark, "media")
     stored = store_payloads(documents(spark, sf_dir), scratch)
     features = scratch.table(media_features(stored), "features")
-    items = resolve(sequences(stored, "item", "html"), "item", features).where("kind = 'media'")
-    ids = stored.select("item", "doc_id", "n_bytes")
-    return ids.join(items.drop("text", "kind", "ref"), "item").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+    found = document_sequences(stored, features).select("item", F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0)).alias("m"))
+    return stored.select("item", "doc_id", "n_bytes").join(found, "item").select(
+        "doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption"
     )
