@@ -75,9 +75,9 @@ def source_distribution(findings: DataFrame) -> DataFrame:
     return counted.withColumn("no_library", (F.col("total") > 10) & (F.col("library") == 0))
 
 
-def render(project: str, top: DataFrame, most_sections: int = 100, most_rows: int = 2000) -> str:
-    """A report in Markdown of what sections() gives; its rows are capped there and again here."""
-    rows = top.orderBy("section", "rank").limit(most_rows).collect()
+def render(project: str, top: DataFrame) -> str:
+    """A report in Markdown of all that sections() gives; the rows of each section are capped there."""
+    rows = top.orderBy("section", "rank").collect()
     out, at = [f"# Audit of {project}"], None
     for r in rows:
         if r["section"] != at:
