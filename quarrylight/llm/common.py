@@ -11,11 +11,16 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one only on a local master whose session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,9 +37,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the shuffle files of that job may go now."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()
+        """Write df and read it back; Spark removes the shuffle files of that job when it ends."""
+        before = self.spark.conf.get(SHUFFLES_GO, None)
+        self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(SHUFFLES_GO, before) if before else self.spark.conf.unset(SHUFFLES_GO)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -58,21 +58,34 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, buckets: int | None = None, batches: int = 2) -> DataFrame:
+def deal(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """rows in parts of about equal size, those with the largest doc_id first and null ones last; any two longs may occur."""
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    place = F.lit(0)
+    for cut in sorted(set(cuts or [])):
+        place = place + F.when(F.col("doc_id") >= cut, 0).otherwise(1)
+    return [rows.where(place == k) for k in range(len(set(cuts or [])) + 1)]
+
+
+def exact_dedup(docs: DataFrame, buckets: int | None = None, batches: int = 2, index: str | None = None) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id of equal texts stays.
 
     The documents enter the index in `batches` parts, those with the largest doc_id first, so that the index's
     rule (first come, first kept) keeps the largest doc_id over all parts.
+
+    index: name of an index table that stays: what it holds from earlier runs is kept before any new document, and what is
+    new is appended. Without a name the index goes when the result is known.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     rows = scratch.table(digests(docs), "digests")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
-    place = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) * batches / (F.lit(high) - low + 1)), F.lit(batches - 1)) if high is not None else F.lit(0)
-    for k in range(batches if high is not None else 1):
-        index.add(rows.where(place == k))
-    groups = rows.groupBy("digest").agg(F.count("*").alias("group_size")).join(index.rows().hint("merge"), "digest")
+    held = DigestIndex(spark, index or f"digest_index_{uuid.uuid4().hex}", buckets)
+    for part in deal(rows, batches):
+        held.add(part)
+    groups = rows.groupBy("digest").agg(F.count("*").alias("group_size")).join(held.rows().hint("merge"), "digest")
+    groups = scratch.table(groups, "groups")  # written, so that the join below may split a digest with very many rows
+    if index is None:
+        held.drop()
     return rows.join(groups, "digest").select(
         "doc_id",
         "keep_id",
@@ -83,12 +96,18 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None, batches: int = 2) -
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, each once, with all their columns."""
+    """The documents that exact_dedup keeps, each once, with all their columns. Texts move through one exchange."""
     digest = spare(docs, "digest")
-    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias(digest)).distinct()
+    scratch = Scratch(docs.sparkSession, "drop-copies")
+    found = exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias(digest)).agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    found = scratch.table(found, "kept")
+    kept = found.where("kept")
     own = docs.withColumn(digest, F.sha2(text_or_empty(), 256))
     same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[digest] == kept[digest])
-    return own.join(kept, same, "left_semi").dropDuplicates([digest]).select(docs.columns)
+    out = own.join(kept, same, "left_semi")
+    if kept.where("times > 1").take(1):  # rows equal in doc_id and text
+        out = out.dropDuplicates([digest])
+    return out.select(docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

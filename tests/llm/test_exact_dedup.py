@@ -26,6 +26,27 @@ def test_against_brute_force(spark, batches):
     assert cases.plain_rows(found) == brute(cases.rows())
 
 
+@pytest.mark.parametrize("ids", [[1, 5 * 10**18, 4], [-(2**63), 2**63 - 1, 0], [-(2**63)] * 3, [hash((k, "x")) for k in range(40)]])
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_any_two_longs(spark, ids, batches):
+    rows = [(x, f"text {k % 2}") for k, x in enumerate(ids)]
+    found = op.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), buckets=4, batches=batches)
+    assert cases.plain_rows(found) == brute(rows)
+
+
+def test_only_a_named_index_stays(spark):
+    name = "digest_index_that_stays"
+    op.DigestIndex(spark, name).drop()
+    before = {t.name for t in spark.catalog.listTables()}
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    op.exact_dedup(table([(1, "a"), (2, "a")]), buckets=4).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    op.exact_dedup(table([(1, "a"), (2, "a"), (3, "b")]), buckets=4, index=name).collect()
+    later = op.exact_dedup(table([(8, "a"), (9, "c")]), index=name)
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in later.collect()} == {(8, 2, False), (9, 9, True)}
+    op.DigestIndex(spark, name).drop()
+
+
 def test_sql_gives_the_same(spark):
     at = cases.sf()
     db = duckdb.connect()
