@@ -7,8 +7,9 @@ the vocabulary; the occurrences are the edges of a lattice. Edges are sorted by
 The vocabularies at hand merge pairs by score. The last piece of the encoding of a prefix then is unique: it is the longest
 edge that ends there and may follow the last piece of the prefix it starts from. Two pieces may follow each other
 if encoding their concatenation gives just these two, which undoing the merges on both sides of the cut decides. So
-relaxing keeps one piece a position, and the path back from the end is the encoding. Unigram vocabularies would keep the
-best sum instead; the operator refuses them.
+relaxing keeps one piece a position, and the path back from the end is the encoding. The words of a batch are relaxed
+together, position by position; only very long ones are taken alone. Unigram vocabularies would keep the best sum
+instead; the operator refuses them.
 
 Words with two marks in a row are merged plainly: their pieces' scores tie, which position decides. Characters that no
 piece has become byte pieces.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ from quarrylight.llm.packing import Codes
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, BYTE, BPE = 1, 6, 2
+#: Above all ranks; what stands for the start of a word and for an unknown character among numbered pieces.
+NEVER, START, UNKNOWN = 1 << 60, -2, -1
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -64,8 +68,23 @@ class PieceModel:
         order = sorted((x for x in self.id_of if len(x) > 1), key=lambda x: (-told.pieces[self.id_of[x]].score, self.id_of[x]))
         self.rank = {x: -1 for x in self.id_of if len(x) == 1} | {x: k for k, x in enumerate(order)}
         self.halves: dict[str, tuple[str, str]] = {}
-        self.may: dict[tuple[str, str], bool] = {}
         self.usable = {x for x in self.id_of if len(x) == 1 or self._split(x)}
+        self._number()
+
+    def _number(self) -> None:
+        """Arrays over numbered pieces: rank, halves, ids, and the rank of what two pieces give together."""
+        self.names = list(self.rank)
+        self.number = {x: k for k, x in enumerate(self.names)}
+        self.ranks = np.array([self.rank[x] for x in self.names], np.int64)
+        halves = [self.halves.get(x, ("", "")) for x in self.names]
+        self.left, self.right = (np.array([self.number.get(x[k], -1) for x in halves], np.int64) for k in (0, 1))
+        self.ids = np.array([self.id_of[x] for x in self.names], np.uint32)
+        self.n_chars = np.array([len(x) for x in self.names], np.int64)
+        get, n = self.number.get, len(self.names)
+        pairs = [(a * n + b, k) for k, x in enumerate(self.names) for i in range(1, len(x)) if (a := get(x[:i])) is not None and (b := get(x[i:])) is not None]
+        keys, made = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(self.ranks[made[order]], NEVER)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best pair first, of equal ones the leftmost."""
@@ -93,30 +112,31 @@ class PieceModel:
         self.halves[piece] = parts[0], parts[1]
         return True
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether the encoding of left + right is just these two."""
-        key = left, right
-        if key not in self.may:
-            if len(self.may) > 2_000_000:
-                self.may.clear()
-            self.may[key] = self._follows(left, right)
-        return self.may[key]
-
-    def _follows(self, left: str, right: str) -> bool:
-        """Undo the later of the two last merges at the cut, until a merge across it would have come first."""
-        rank, inf = self.rank, 1 << 60
-        limit, ties_allowed = inf, False  # a merge across comes first if it ranks below the limit
-        while True:
-            across = rank.get(left + right, inf)
-            if across < limit or (across == limit and ties_allowed):
-                return False
-            a, b = rank[left], rank[right]
-            if a < 0 and b < 0:
-                return True
-            if a > b:  # the left piece was made later: undo it; an equal merge across stands to its right
-                limit, ties_allowed, left = a, False, self.halves[left][1]
-            else:  # undo the right one; of equal merges the one across stands to the left and comes first
-                limit, ties_allowed, right = b, True, self.halves[right][0]
+    def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For pairs of numbered pieces, whether the encoding of both together is just these two.
+
+        Undoes the later of the two last merges at the cut, until a merge across it would have come first: one that ranks
+        below the last one undone. Of equal merges the left one comes first.
+        """
+        keys, back = np.unique(left * len(self.names) + right, return_inverse=True)
+        left, right = np.divmod(keys, len(self.names))
+        out, at = np.zeros(len(keys), bool), np.arange(len(keys))
+        limit = np.full(len(keys), NEVER)
+        ties = np.zeros(len(keys), bool)
+        while len(at):
+            key = left * len(self.names) + right
+            place = np.searchsorted(self.pair_keys, key)
+            across = np.where(self.pair_keys[place] == key, self.pair_ranks[place], NEVER)
+            a, b = self.ranks[left], self.ranks[right]
+            first = (across < limit) | ((across == limit) & ties)
+            done = ~first & (a < 0) & (b < 0)
+            out[at[done]] = True
+            go = ~first & ~done
+            at, left, right, a, b = at[go], left[go], right[go], a[go], b[go]
+            later = a > b  # the left piece was made later: undo it
+            limit, ties = np.where(later, a, b), ~later
+            left, right = np.where(later, self.right[left], left), np.where(later, right, self.left[right])
+        return out[back]
 
 
 class SuffixSearch:
@@ -150,6 +170,8 @@ class PieceEncoder:
     def __init__(self, path: str, most_words: int = 400_000):
         self.model, self.most = PieceModel(path), most_words
         self.order = [x for x in self.model.usable if len(x) > 1]
+        self.numbers = np.array([self.model.number[x] for x in self.order], np.int64)
+        self.is_byte = np.isin(np.arange(len(self.model.pieces)), list(self.model.value_of))
         raw = [x.encode() for x in self.order]
         self.sizes = np.array([len(x) for x in raw], np.int64)
         self.chars = np.array([len(x) for x in self.order], np.int64)
@@ -161,7 +183,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids = Codes(), []
+        self.known, self.flat, self.at, self.n = Codes(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(where it ends, length in characters, piece) of every piece in the joined words, sorted by end, longest first."""
@@ -184,38 +206,88 @@ class PieceEncoder:
         return end[order], self.chars[piece][order], piece[order]
 
     def _learn(self, words: list[str]) -> None:
+        """Adds the ids of new words to the flat table."""
+        plain = [MARK * 2 in w for w in words]
+        ids, n = self.lattice([w for w, p in zip(words, plain, strict=True) if not p])
+        merged = [np.array(self._ids(self.model.merge(w)), np.uint32) for w, p in zip(words, plain, strict=True) if p]
+        order = np.argsort(np.array(plain), kind="stable")
+        sizes = np.empty(len(words), np.int64)
+        sizes[order] = np.concatenate([n, np.array([len(x) for x in merged], np.int64)])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
+        self.flat, self.at, self.n = np.concatenate([self.flat, ids, *merged]), np.concatenate([self.at, starts]), np.concatenate([self.n, sizes])
+
+    def lattice(self, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has. Words of up to `together` characters are relaxed together."""
         model = self.model
-        plain = [w for w in words if MARK * 2 in w]
-        lattice = [w for w in words if MARK * 2 not in w]
-        found: dict[str, list[int]] = {w: self._ids(model.merge(w)) for w in plain}
-        if lattice:
-            end, size, piece = self.edges(lattice)
-            cuts = np.cumsum([len(w) + 1 for w in lattice]) - 1  # after each word's last character
-            lasts = np.searchsorted(end, cuts, "right").tolist()
-            end, size, piece = end.tolist(), size.tolist(), piece.tolist()
-            order, may, usable, follows = self.order, model.may, model.usable, model.follows
-            k = shift = 0
-            for w, stop in zip(lattice, lasts, strict=True):
-                last: list[str | None] = [None, *w]  # the last piece of each prefix; at first its last character
-                done = 0
-                while k < stop:
-                    e, s = end[k] - shift, size[k]
-                    if e != done:
-                        x = order[piece[k]]
-                        left = last[e - s]
-                        ok = True if left is None else False if left not in usable else may.get((left, x))
-                        if ok is None:
-                            ok = follows(left, x)
-                        if ok or (left is not None and left not in usable):
-                            last[e], done = x, e
-                    k += 1
-                at, parts = len(w), []
-                while at:
-                    parts.append(last[at])
-                    at -= len(last[at])
-                found[w] = self._ids(parts[::-1])
-                shift += len(w) + 1
-        self.ids += [np.array(found[w], np.uint32) for w in words]
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        end, size, piece = self.edges(words)
+        piece = self.numbers[piece]
+        lengths = np.array([len(w) for w in words], np.int64)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        text = "\n".join(words)
+        letters = {c: model.number.get(c, UNKNOWN) for c in set(text)}
+        last = np.empty(len(text) + 1, np.int64)  # the last piece of the prefix that ends there; at first its last character
+        last[1:] = [letters[c] for c in text]
+        last[starts] = START
+        word = np.searchsorted(starts, end - 1, "right") - 1
+        depth = end - starts[word]
+        of_end = np.concatenate([[0], np.nonzero(end[1:] != end[:-1])[0] + 1]) if len(end) else np.zeros(0, np.int64)
+        turn = np.arange(len(end)) - np.repeat(of_end, np.diff(np.append(of_end, len(end))))
+        alone = lengths[word] > together
+        set_here = np.zeros(len(last), bool)
+        step = depth * 1024 + turn
+        order = np.argsort(np.where(alone, np.iinfo(np.int64).max, step), kind="stable")[: len(end) - int(alone.sum())]
+        cuts = np.concatenate([[0], np.nonzero(np.diff(step[order]))[0] + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            k = order[a:b]
+            k = k[~set_here[end[k]]]
+            before = last[end[k] - size[k]]
+            ok = before < 0
+            known = np.nonzero(~ok)[0]
+            ok[known] = model.follow(before[known], piece[k[known]])
+            k = k[ok]
+            last[end[k]], set_here[end[k]] = piece[k], True
+        self._relax_alone(np.nonzero(alone)[0], end, size, piece, last)
+        return self._paths(words, starts, lengths, last)
+
+    def _relax_alone(self, edges: np.ndarray, end: np.ndarray, size: np.ndarray, piece: np.ndarray, last: np.ndarray) -> None:
+        """The same for the edges of very long words, one at a time."""
+        done, held = -1, {}
+        for k in edges.tolist():
+            e = int(end[k])
+            if e != done:
+                pair = int(last[e - size[k]]), int(piece[k])
+                ok = pair[0] < 0 or held.get(pair)
+                if ok is None:
+                    ok = held[pair] = bool(self.model.follow(np.array(pair[:1]), np.array(pair[1:]))[0])
+                if ok:
+                    last[e], done = pair[1], e
+
+    def _paths(self, words: list[str], starts: np.ndarray, lengths: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each word's end back to its start; an unknown character gives its bytes."""
+        at, own = starts + lengths, np.arange(len(words))
+        places, owners = [], []
+        while len(own):
+            places.append(at)
+            owners.append(own)
+            x = last[at]
+            at = at - np.where(x < 0, 1, self.model.n_chars[np.maximum(x, 0)])
+            go = at > starts[own]
+            at, own = at[go], own[go]
+        place = np.sort(np.concatenate(places))
+        x = last[place]
+        owner = np.searchsorted(starts, place - 1, "right") - 1
+        ids = self.model.ids[np.maximum(x, 0)]
+        if (x < 0).any():
+            text = "\n".join(words)
+            raw = [self.model.byte_id[b] for k in place[x < 0].tolist() for b in text[k - 1].encode()]
+            n = np.ones(len(x), np.int64)
+            n[x < 0] = [len(text[k - 1].encode()) for k in place[x < 0].tolist()]
+            ids, unknown, owner = np.repeat(ids, n), np.repeat(x < 0, n), np.repeat(owner, n)
+            ids[unknown] = raw
+        return ids, np.bincount(owner, minlength=len(words))
 
     def _ids(self, parts: list[str]) -> list[int]:
         """Pieces to ids; an unknown character gives its bytes."""
@@ -228,16 +300,22 @@ class PieceEncoder:
         get, codes = self.known.__getitem__, []
         for text in texts:
             marked = (" " + text if self.model.prefix and text else text).replace(" ", MARK)
-            codes.append([get(w) for w in self.cut.split(marked) if w])
+            codes.append(np.fromiter(map(get, filter(None, self.cut.split(marked))), np.int64))
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
-        own = self.ids
-        return [np.concatenate([own[k] for k in x]) if x else np.zeros(0, np.uint32) for x in codes]
+        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        n = self.n[every]
+        ids = self.flat[np.repeat(self.at[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(x) for x in codes])] if codes else []
+        return np.split(ids, ends[:-1]) if codes else []
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces joined, bytes of byte pieces put together, marks to blanks, less the blank put before the text."""
         pieces, value = self.model.pieces, self.model.value_of
+        if not self.is_byte[ids].any():
+            text = "".join(map(pieces.__getitem__, ids.tolist())).replace(MARK, " ")
+            return text[1:] if self.model.prefix and text.startswith(" ") else text
         out, held = [], bytearray()
         for i in ids.tolist():
             if i in value:
@@ -254,10 +332,10 @@ class PieceEncoder:
 
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), round_trip, ids."""
-    path = model or model_path()
+    held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(PieceEncoder(model or model_path())))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = cloudpickle.loads(held.value)
         for part in slices(batches, "text", 4 << 20):
             texts = part.column("text").to_pylist()
             found = encoder.encode(texts)
