@@ -21,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.llm.common import Scratch, documents, slices, text_or_empty
 
 WIDTH = 64
-ITEM = "struct<position: int, kind: string, text: string, ref: string, caption: string>"
+ITEM_COLUMNS = "position int, kind string, text string, ref string, caption string"
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "figcaption", "td", "tr", "br", "title", "blockquote", "pre"}
 SILENT = {"script", "style", "template"}
 MEDIA = {"img", "audio", "video", "source", "embed"}
@@ -92,15 +93,17 @@ def interleave(html: str | None) -> list[dict]:
     return parser.items
 
 
-def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """pages with the column items: an ordered array of text and media-reference structs."""
+def sequences(pages: DataFrame, key: str, html: str, *carried: str) -> DataFrame:
+    """key, the carried columns and items: an ordered array of text and media-reference structs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
-        for part in slices(batches, "html", 4 << 20):
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([interleave(x) for x in part.column("html").to_pylist()], pa.list_(kind))], ["key", "items"])
+        for part in slices(batches, html, 4 << 20):
+            rest = part.drop_columns([html])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([interleave(x) for x in part.column(html).to_pylist()], pa.list_(kind))], [*rest.schema.names, "items"])
 
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html")).mapInArrow(run, f"key long, items array<{ITEM}>").withColumnRenamed("key", key)
+    rows = pages.select(F.col(key).cast("long").alias(key), *carried, html)
+    return rows.mapInArrow(run, T.StructType([*rows.drop(html).schema, T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM_COLUMNS)))]))
 
 
 def resolve(found: DataFrame, key: str, store: DataFrame) -> DataFrame:
@@ -157,11 +160,8 @@ def page(raw: bytes, digest: str) -> str:
     return f"<article><h1>{escape(text[:60])}</h1><figure>{image}<figcaption>{len(raw)} bytes</figcaption></figure>{image.join(lines)}</article>"
 
 
-def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written table: doc_id, n_bytes, html (page), digest, media.
-
-    A task stores each payload once; other rows of the digest have null media.
-    """
+def payload_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, html (page), digest, media. A task gives each payload once; other rows of the digest have null media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -175,12 +175,22 @@ def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 if digest.digest() not in seen:
                     seen.add(digest.digest())
                     media = to_pgm(payload)
-                html = page(raw, digest.hexdigest())
-                out.append((len(raw), html, digest.hexdigest(), media))
+                out.append((len(raw), page(raw, digest.hexdigest()), digest.hexdigest(), media))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "html", "digest", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary").withColumn("item", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
+
+
+def store_payloads(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
+    """Written table: item (names a row), doc_id, n_bytes, digest, media, items (the sequence of the row's page).
+
+    texts: whether the items keep their texts; without, their places, kinds, references and captions stay.
+    """
+    made = sequences(payload_pages(docs), "doc_id", "html", "n_bytes", "digest", "media")
+    if not texts:
+        made = made.withColumn("items", F.transform("items", lambda x: x.withField("text", F.lit(None).cast("string"))))
+    made = made.withColumn("item", F.monotonically_increasing_id())
     made.write.option("compression", "zstd").parquet(scratch.path("media"))
     return docs.sparkSession.read.schema(made.schema).parquet(scratch.path("media"))
 
@@ -191,7 +201,7 @@ def media_features(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
+        for batch in slices(batches, "media", 8 << 20):
             out = []
             for digest, x in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
                 media = x.as_py()
@@ -211,15 +221,19 @@ def media_features(stored: DataFrame) -> DataFrame:
 def document_sequences(stored: DataFrame, features: DataFrame) -> DataFrame:
     """item and items: the whole page of each stored document, in order, with the features of its media."""
     columns = [c for c in features.columns if c != "digest"]
-    return aligned(resolve(sequences(stored, "item", "html"), "item", features), "item", *columns)
+    return aligned(resolve(stored.select("item", "items"), "item", features), "item", *columns)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's payload as the first media item of its own page, taken from the aligned sequence."""
+    """Each document's payload as the first media item of its own page, taken from the aligned sequence.
+
+    The result has no texts of items, so they are left behind where the pages are parsed and no exchange moves them.
+    """
     scratch = Scratch(spark, "media")
-    stored = store_payloads(documents(spark, sf_dir), scratch)
+    stored = store_payloads(documents(spark, sf_dir), scratch, texts=False)
     features = scratch.table(media_features(stored), "features")
-    found = document_sequences(stored, features).select("item", F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0)).alias("m"))
+    first = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0))
+    found = document_sequences(stored, features).select("item", first.alias("m"), F.size("items").cast("long").alias("n_items"))
     return stored.select("item", "doc_id", "n_bytes").join(found, "item").select(
-        "doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption"
+        "doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption", "n_items"
     )
