@@ -56,8 +56,8 @@ class Engine:
 
     def find_references(self, names: Sequence[str], project: str) -> DataFrame:
         """occurrences, evicted: project, symbol; runs: project."""
-        asked = self._table("occurrences").sparkSession.createDataFrame([(x,) for x in names], "symbol string")
-        own = [self._table(t, project).join(F.broadcast(asked), "symbol", "left_semi") for t in ("occurrences", "evicted")]
+        asked = self._table("occurrences").sparkSession.createDataFrame([(project, x) for x in names], "project string, symbol string")
+        own = [self._table(t, project).join(F.broadcast(asked), ["project", "symbol"], "left_semi") for t in ("occurrences", "evicted")]
         return symbols.find_references(*own, self._table("runs", project), asked)
 
     def find_version_skew(self, slugs: Sequence[str] | None = None, ecosystem: str | None = None, least: str = "unknown", top_n: int = 50) -> DataFrame:
@@ -104,9 +104,18 @@ class Engine:
         return spark.sql(sql, **self.tables) if "{" in sql else self._with_views(sql)
 
     def _with_views(self, sql: str) -> DataFrame:
-        for name, rows in self.tables.items():
-            rows.createOrReplaceTempView(name)
-        return next(iter(self.tables.values())).sparkSession.sql(sql)
+        """The plan keeps the tables, so that the views go again; a view that the session has by a name comes back."""
+        spark, before = next(iter(self.tables.values())).sparkSession, {}
+        for t in spark.catalog.listTables():
+            if t.isTemporary and t.name in self.tables:
+                before[t.name] = spark.table(t.name)
+        try:
+            for name, rows in self.tables.items():
+                rows.createOrReplaceTempView(name)
+            return spark.sql(sql)
+        finally:
+            for name in self.tables:
+                before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
 
     # git -------------------------------------------------------------------------------------------------------------
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylight.operators.lookup import ranked
+
 
 def counts_with_zero(dimension: DataFrame, facts: DataFrame, keys: Sequence[str], name: str = "n", condition: Column | None = None) -> DataFrame:
     """Every key of the dimension with how many facts (that meet the condition) it has."""
@@ -25,9 +28,14 @@ def label_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def share_of(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """rows with value / its sum over the key, 0 where that is 0."""
-    total = F.sum(value).over(Window.partitionBy(*keys))
-    return rows.withColumn(name, F.when(total > 0, F.col(value) / total).otherwise(F.lit(0.0)))
+    """rows with value / its sum over the key, 0 where that is 0. Sums are partial first; a null key is a key.
+
+    The sums have one row a key, so that the join may broadcast them where they are small and split a hot key elsewhere.
+    """
+    totals = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.sum(value).alias("_total"))
+    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(totals[f"_k{i}"]) for i, k in enumerate(keys)))
+    share = F.when(F.col("_total") > 0, F.col(value) / F.col("_total")).otherwise(F.lit(0.0))
+    return rows.join(totals, same).withColumn(name, share).select(*rows.columns, name)
 
 
 def mode(rows: DataFrame, keys: Sequence[str], choice: str) -> DataFrame:
@@ -40,20 +48,19 @@ def mode(rows: DataFrame, keys: Sequence[str], choice: str) -> DataFrame:
 def heavy_hitters(rows: DataFrame, key: str, most: int, slack: float = 0.1) -> DataFrame:
     """key, n: exact counts; if there are more than most (1 + slack) keys, exactly most / 10 fewer remain, the least going.
 
-    Ties at the cut go by key. The counts are bounded by the number of keys and ranked in parts.
+    Ties at the cut go by key. The counts are ranked over a range-partitioned sort, never in one task.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     keys = counts.count()
     drop = most // 10 if keys > most * (1 + slack) else 0
-    return counts.orderBy(F.desc("n"), key).limit(keys - drop) if drop else counts
+    return ranked(counts, [F.desc("n"), F.asc(key)], "_r").where(F.col("_r") <= keys - drop).drop("_r") if drop else counts
 
 
 def top_share(rows: DataFrame, order: Sequence[Column], share: float = 0.05) -> DataFrame:
     """The top share of rows (at least one), with rank from 0 and confidence 1 - rank / cutoff."""
     cutoff = max(1, int(rows.count() * share))
-    top = rows.orderBy(*order).limit(cutoff)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)  # only the top share is in one task
-    return ranked.withColumn("confidence", 1 - F.col("rank") / F.lit(cutoff))
+    top = ranked(rows, order, "rank").where(F.col("rank") <= cutoff).withColumn("rank", F.col("rank") - 1)
+    return top.withColumn("confidence", 1 - F.col("rank") / F.lit(cutoff))
 
 
 def status_counts(rows: DataFrame, known: Sequence[str], column: str = "status") -> DataFrame:

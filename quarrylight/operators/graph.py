@@ -8,18 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here, in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="quarrylight-")  # only where the session names no shared folder, as in tests
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from quarrylight.session import cut
 
 
 def trace(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
@@ -29,18 +18,18 @@ def trace(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
     links = edges.select("src", "dst").distinct()
     for hop in range(1, max(1, min(5, depth)) + 1):
         front = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = _cut(seen.unionByName(front.withColumn("hop", F.lit(hop))))
+        seen = cut(seen.unionByName(front.withColumn("hop", F.lit(hop))))
         front = seen.where(F.col("hop") == hop).select("node")
     return seen.where("hop > 0")
 
 
 def reachability(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(src, dst) of every path, by doubling its length each round."""
-    held = _cut(edges.select("src", "dst").distinct())
+    held = cut(edges.select("src", "dst").distinct())
     size = held.count()
     for _ in range(most_rounds):
         further = held.alias("a").join(held.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        held = _cut(held.unionByName(further).distinct())
+        held = cut(held.unionByName(further).distinct())
         now = held.count()
         if now == size:
             return held
@@ -54,12 +43,12 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Nodes without way in or out are trimmed; then the least label is passed forward and, among nodes of one forward label,
     backward from its owner. What both reach is a component; the rest goes on without it. No paths are built.
     """
-    left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     for _ in range(most_rounds):
         while True:
             size = left.count()
-            left = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             if left.count() == size:
                 break
         if not size:
@@ -70,9 +59,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         owners = labels.where("node = label").select("node", "label")
         hit = _backward(inner, labels, owners)
         own = hit.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").join(hit, "label").select("node", F.col("label").alias("component"))
-        found = _cut(own if found is None else found.unionByName(own))
+        found = cut(own if found is None else found.unionByName(own))
         gone = hit.select("node")
-        left = _cut(inner.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        left = cut(inner.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     else:
         raise RuntimeError("components did not settle")
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
@@ -82,7 +71,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The least label that reaches each node."""
     while True:
         passed = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-        new = _cut(labels.unionByName(passed).groupBy("node").agg(F.min("label").alias("label")))
+        new = cut(labels.unionByName(passed).groupBy("node").agg(F.min("label").alias("label")))
         if not new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").take(1):
             return new
         labels = new
@@ -93,7 +82,7 @@ def _backward(edges: DataFrame, labels: DataFrame, owners: DataFrame) -> DataFra
     hit, size = owners, owners.count()
     while True:
         came = edges.join(hit.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label")
-        hit = _cut(hit.unionByName(came).distinct())
+        hit = cut(hit.unionByName(came).distinct())
         now = hit.count()
         if now == size:
             return hit

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylight.session import cut
+
 Filters = Mapping[str, Callable[[Any], Column]]
 
 
@@ -67,6 +69,25 @@ def latest_value(rows: DataFrame, keys: Sequence[str], order: Column, *values: s
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, "_v.*")
 
 
+def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """rows with their place from 1 in an order that names ties.
+
+    A range-partitioned sort, kept in the shared folder, is numbered within its partitions; one number a partition goes
+    through the driver, so that no task sees all rows.
+    """
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    held = cut(own)
+    part = F.shiftright("_m", 33)
+    sizes = held.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).orderBy("_p").collect()
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["_p"], before))
+        before += r["n"]
+    offsets = held.sparkSession.createDataFrame(starts, "_p long, _before long")
+    place = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, place).drop("_m", "_p", "_before")
+
+
 def over_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
     """The rows of each key beyond the first `cap`."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") > cap).drop("_n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.paths import glob_regex
 from quarrylight.operators.aggregates import mode
 from quarrylight.operators.graph import strong_components
-from quarrylight.operators.joins import set_differences
+from quarrylight.operators.joins import overlap, set_differences
 
 KINDS = ("forbidden_dependency", "forbidden_module_glob_dependency", "no_circular_module_deps", "manifest_dep_actually_used", "ast_dep_not_declared")
 
@@ -83,6 +83,7 @@ def convention_outliers(choices: DataFrame, least: int = 5) -> DataFrame:
 
 def suppressed(findings: DataFrame, marks: DataFrame) -> DataFrame:
     """findings (path, start, end) with suppressed: a mark (path, line) lies on the line before or within."""
-    near = findings.select("path", "start", "end").distinct().join(marks, "path").where("line >= start - 1 and line <= end")
-    hit = near.groupBy("path", "start", "end").agg(F.lit(True).alias("suppressed"))
+    spans = findings.select("path", "start", "end").distinct().select("*", (F.col("start") - 1).alias("_s"), F.col("end").alias("_e"))
+    points = marks.select("path", F.col("line").alias("_s"), F.col("line").alias("_e")).distinct()
+    hit = overlap(spans, points, ["path"], "_s", "_e", 50).groupBy("path", "start", "end").agg(F.lit(True).alias("suppressed"))
     return findings.join(hit, ["path", "start", "end"], "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))

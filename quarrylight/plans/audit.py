@@ -38,9 +38,9 @@ def _registered(extractors: DataFrame, most: int = 1000) -> list[str]:
 
 def sections(findings: DataFrame, per_section: int, position: Column) -> DataFrame:
     """The worst findings of each section, ranked by severity and, within it, by position; with the section's total."""
-    w = Window.partitionBy("section")
-    ranked = findings.withColumn("rank", F.row_number().over(w.orderBy(severity_rank(F.col("severity")), position))).withColumn("total", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= per_section)
+    w = Window.partitionBy("section").orderBy(severity_rank(F.col("severity")), position)
+    top = findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_section)  # cut in every task before the exchange
+    return top.join(findings.groupBy("section").agg(F.count("*").alias("total")), "section")
 
 
 def section_order(names: DataFrame, pinned: list[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import scoring
-from quarrylight.operators.aggregates import share_of
 from quarrylight.operators.lookup import latest
 
 
@@ -48,10 +47,11 @@ def ownership(blame: DataFrame, churned: DataFrame, alpha: float = 0.5) -> DataF
 
     blame: path, author, lines; churned: what recency_churn gives.
     """
-    a = share_of(blame.groupBy("path", "author").agg(F.sum("lines").alias("lines")), ["path"], "lines", "blame_share")
-    b = share_of(churned, ["path"], "recency_score", "churn_share")
-    joined = a.join(b, ["path", "author"], "full_outer").fillna({"blame_share": 0.0, "churn_share": 0.0, "lines": 0, "commit_count": 0})
-    weighted = joined.withColumn("weight", scoring.ownership_weight(F.col("blame_share"), F.col("churn_share"), alpha))
+    a = blame.groupBy("path", "author").agg(F.sum("lines").alias("lines"))  # both sides come grouped by the keys of this join
+    both = a.join(churned, ["path", "author"], "full_outer").fillna({"lines": 0, "commit_count": 0, "recency_score": 0.0})
+    totals = both.groupBy("path").agg(F.sum("lines").alias("_lines"), F.sum("recency_score").alias("_recency"))
+    shares = {"blame_share": scoring.share(F.col("lines"), F.col("_lines")), "churn_share": scoring.share(F.col("recency_score"), F.col("_recency"))}
+    weighted = both.join(totals, "path").withColumns(shares).withColumn("weight", scoring.ownership_weight(F.col("blame_share"), F.col("churn_share"), alpha))
     return weighted.where("weight > 0").select("path", "author", "weight", "blame_share", "churn_share", F.col("lines").alias("lines_attributed"), "commit_count", "last_touched_at")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrylight.functions import ids, scoring
 from quarrylight.operators.joins import snapshot_diff
-from quarrylight.operators.lookup import over_cap
+from quarrylight.operators.lookup import over_cap, ranked
 
 KEPT_KINDS = ("def", "decl")
 
@@ -27,7 +27,7 @@ def evict(shadow: DataFrame, key: str, threshold: float, per_symbol: int, total:
     second = over_cap(left.where(movable), ["symbol"], [F.desc("last_seen"), F.desc(key)], per_symbol).select(key)
     left = left.join(second, key, "left_anti")
     beyond = max(0, left.count() - total)
-    third = left.where(movable).orderBy(*order).limit(beyond).select(key)
+    third = ranked(left.where(movable), order, "_r").where(F.col("_r") <= beyond).select(key) if beyond else left.select(key).limit(0)
     gone = first.withColumn("evicted_in", F.lit(1)).unionByName(second.withColumn("evicted_in", F.lit(2))).unionByName(third.withColumn("evicted_in", F.lit(3)))
     return shadow.join(gone, key, "left")
 
@@ -45,16 +45,17 @@ def phases(occurrences: DataFrame, budget: int) -> DataFrame:
 
 
 def find_references(occurrences: DataFrame, evicted: DataFrame, runs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each asked symbol with references, evicted and state: not_indexed, partial (some were evicted) or ok.
+    """Each asked symbol with references, evicted and state: not_indexed (its project has no run), partial (some were evicted) or ok.
 
-    occurrences, evicted, symbols: symbol; runs: one row a finished ingest of anything. coverage_pct is whole percent.
+    occurrences, evicted, symbols: project, symbol; runs: project, one row a finished ingest. coverage_pct is whole percent.
     """
-    found = occurrences.groupBy("symbol").agg(F.count("*").alias("references"))
-    gone = evicted.groupBy("symbol").agg(F.count("*").alias("evicted"))
-    indexed = bool(runs.take(1))
-    joined = symbols.select("symbol").distinct().join(found, "symbol", "left").join(gone, "symbol", "left").fillna(0, ["references", "evicted"])
-    state = F.when(~F.lit(indexed), "not_indexed").when(F.col("evicted") > 0, "partial").otherwise("ok")
-    return joined.withColumns({"state": state, "coverage_pct": scoring.coverage_pct(F.col("references"), F.col("evicted"))})
+    keys = ["project", "symbol"]
+    found = occurrences.groupBy(*keys).agg(F.count("*").alias("references"))
+    gone = evicted.groupBy(*keys).agg(F.count("*").alias("evicted"))
+    indexed = runs.select("project", F.lit(True).alias("_indexed")).distinct()
+    joined = symbols.select(*keys).distinct().join(found, keys, "left").join(gone, keys, "left").join(indexed, "project", "left").fillna(0, ["references", "evicted"])
+    state = F.when(F.col("_indexed").isNull(), "not_indexed").when(F.col("evicted") > 0, "partial").otherwise("ok")
+    return joined.withColumns({"state": state}).drop("_indexed").withColumns({"coverage_pct": scoring.coverage_pct(F.col("references"), F.col("evicted"))})
 
 
 def skew_groups(deps: DataFrame) -> DataFrame:

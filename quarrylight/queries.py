@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,30 +12,10 @@ from quarrylight.functions import clock, ids, paths, scoring
 from quarrylight.operators import aggregates, graph, joins, ledger, lookup, upsert
 from quarrylight.plans import architecture, audit, history, search, symbols
 from quarrylight.proxies import Tables
+from quarrylight.registry import ORACLE, QUERIES, query, rounded
 from quarrylight.session import shared_folder
 from quarrylight.streaming import alerts, detectors, windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
-    """Register a function of Tables under its name, with its SQL."""
-
-    def register(f: Callable[[Tables], DataFrame]) -> Query:
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return QUERIES[f.__name__]
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 # SQL shared by several queries --------------------------------------------------------------------------------------
 
 TOUCHED = "touched AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem)"
@@ -136,11 +115,12 @@ def bot_authors(t: Tables) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("author"), paths.is_bot(F.lit(None).cast("string"), F.col("name")).alias("bot"))
 
 
-@query("""WITH raw AS (SELECT o_orderkey, CASE WHEN c_custkey % 10 = 0 THEN 'alias-' || CAST(c_custkey + 1 AS VARCHAR) ELSE 'alias-' || CAST(c_custkey AS VARCHAR) END AS author FROM orders JOIN customer ON o_custkey = c_custkey)
+@query("""WITH raw AS (SELECT o_orderkey, 'alias-' || CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1 ELSE c_custkey END AS VARCHAR) AS author FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT author, count(*) AS commits FROM raw GROUP BY 1""")
 def mailmap_commits(t: Tables) -> DataFrame:
     name = F.concat(F.lit("Alias-"), F.col("o_custkey").cast("string"))
-    aliases = t.read("customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("alias-"), F.col("c_custkey").cast("string")).alias("raw"), F.concat(F.lit("ALIAS-"), (F.col("c_custkey") + 1).cast("string")).alias("canonical"))
+    own = F.col("c_custkey")
+    aliases = t.read("customer").select(F.concat(F.lit("alias-"), own.cast("string")).alias("raw"), F.concat(F.lit("ALIAS-"), F.when(own % 10 == 0, own + 1).otherwise(own).cast("string")).alias("canonical"))
     known = t.read("orders").join(t.read("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = joins.canonical(known.select(name.alias("author")), aliases, "author")
     return rows.groupBy("author").agg(F.count("*").alias("commits"))
@@ -174,14 +154,17 @@ def importance(t: Tables) -> DataFrame:
 
 @query(f"""WITH {SHADOW}, ev AS (SELECT symbol, count(*) AS evicted FROM shadow WHERE importance < 0.02 AND kind <> 'def' GROUP BY 1),
 f AS (SELECT symbol, count(*) AS n FROM shadow WHERE NOT (importance < 0.02 AND kind <> 'def') GROUP BY 1),
-asked AS (SELECT DISTINCT symbol FROM shadow WHERE symbol % 3 = 0)
-SELECT symbol, coalesce(n, 0) AS "references", coalesce(evicted, 0) AS evicted, CASE WHEN coalesce(evicted, 0) > 0 THEN 'partial' ELSE 'ok' END AS state,
+asked AS (SELECT DISTINCT symbol FROM shadow UNION SELECT -1 - symbol FROM shadow),
+indexed AS (SELECT DISTINCT user_id % 11 AS project FROM events WHERE event_type = 'error' AND value > 70)
+SELECT symbol % 11 AS project, symbol, coalesce(n, 0) AS "references", coalesce(evicted, 0) AS evicted, CASE WHEN symbol % 11 NOT IN (SELECT project FROM indexed) THEN 'not_indexed' WHEN coalesce(evicted, 0) > 0 THEN 'partial' ELSE 'ok' END AS state,
 CASE WHEN coalesce(n, 0) + coalesce(evicted, 0) = 0 THEN 100 ELSE CAST(floor(100 * coalesce(n, 0) / (coalesce(n, 0) + coalesce(evicted, 0))) AS INTEGER) END AS coverage_pct
 FROM asked LEFT JOIN f USING (symbol) LEFT JOIN ev USING (symbol)""")
 def find_references(t: Tables) -> DataFrame:
-    rows = t.shadow()
+    rows = t.shadow().withColumn("project", F.col("symbol") % 11)
     gone = (F.col("importance") < 0.02) & (F.col("kind") != "def")
-    return symbols.find_references(rows.where(~gone), rows.where(gone), t.runs(), rows.where("symbol % 3 = 0"))
+    unknown = rows.select((-1 - F.col("symbol")).alias("symbol")).withColumn("project", F.col("symbol") % 11)
+    runs = t.runs().where("extractor = 'error' and value > 70").withColumn("project", F.col("project") % 11)
+    return symbols.find_references(rows.where(~gone), rows.where(gone), runs, rows.select("project", "symbol").unionByName(unknown))
 
 
 @query(f"WITH {SHADOW} SELECT key, CASE WHEN kind = 'def' THEN 'phase1_defs' WHEN symbol % 4 <> 0 AND (SELECT count(*) FROM shadow WHERE kind = 'def') < 50000 THEN 'phase2_user_uses' WHEN symbol % 4 = 0 AND (SELECT count(*) FROM shadow WHERE kind = 'def' OR symbol % 4 <> 0) < 30000 THEN 'phase3_vendor_uses' END AS phase FROM shadow")
@@ -264,7 +247,7 @@ def call_trace(t: Tables) -> DataFrame:
     return graph.trace(t.module_edges(), t.spark.range(0, 1).select(F.col("id").cast("int").alias("node")), 3)
 
 
-@query(f"""WITH {EDGES}, imports AS (SELECT DISTINCT consumer AS src, producer AS dst FROM uses WHERE y = 1995 AND symbol % 50 = 0 AND consumer <> producer)
+@query(f"""WITH {EDGES}, imports AS (SELECT DISTINCT consumer AS src, CASE WHEN consumer < 5 THEN 24 - producer ELSE producer END AS dst FROM uses WHERE consumer <> producer)
 SELECT 'layers' AS rule_id, 'forbidden_dependency' AS kind, 'high' AS severity, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM edges JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE a.n_regionkey IN (0, 1) AND b.n_regionkey = 2
 UNION ALL SELECT 'globs', 'forbidden_module_glob_dependency', 'medium', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM edges WHERE CAST(src AS VARCHAR) LIKE '1%' AND CAST(dst AS VARCHAR) LIKE '2_'
 UNION ALL SELECT 'unused', 'manifest_dep_actually_used', 'low', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM (SELECT src, dst FROM edges EXCEPT SELECT src, dst FROM imports)
@@ -279,7 +262,8 @@ def architecture_violations(t: Tables) -> DataFrame:
             {"id": "undeclared", "kind": "ast_dep_not_declared", "severity": "medium"},
         ]
     )
-    imports = t.uses(1995).where("symbol % 50 = 0 and consumer <> producer").select(F.col("consumer").alias("src"), F.col("producer").alias("dst"))
+    used = F.when(F.col("consumer") < 5, 24 - F.col("producer")).otherwise(F.col("producer"))
+    imports = t.uses().where("consumer <> producer").select(F.col("consumer").alias("src"), used.alias("dst"))
     layers = t.module_layers().select(F.col("module").cast("string"), "layer")
     return architecture.violations(rules, text(t.module_edges()), text(imports), layers)
 
@@ -313,18 +297,16 @@ def latest_successful_run(t: Tables) -> DataFrame:
     return lookup.latest(t.runs().where("success"), ["project"], [F.desc("started_at"), F.desc("run_id")]).select("project", "run_id", "extractor")
 
 
-@query(f"""WITH {RUNS}, last AS (SELECT project, extractor, arg_max(success, (started_at, run_id)) AS ok FROM runs WHERE run_id % 7 <> 0 GROUP BY 1, 2),
-p AS (SELECT DISTINCT project, CASE WHEN project % 2 = 0 THEN 'python' ELSE 'swift' END AS language FROM runs), x AS (SELECT DISTINCT extractor FROM runs)
+@query(f"""WITH {RUNS}, last AS (SELECT project, extractor, arg_max(success, (started_at, run_id)) AS ok FROM runs GROUP BY 1, 2),
+p AS (SELECT DISTINCT project, CASE WHEN project % 2 = 0 THEN 'python' ELSE 'swift' END AS language FROM runs), x AS (SELECT DISTINCT extractor FROM runs UNION SELECT 'lint')
 SELECT project, extractor, CASE WHEN language = 'python' AND extractor = 'error' OR language = 'swift' AND extractor = 'view' THEN 'NOT_APPLICABLE' WHEN ok IS NULL THEN 'NOT_ATTEMPTED' WHEN NOT ok THEN 'RUN_FAILED' ELSE 'OK' END AS status
 FROM p CROSS JOIN x LEFT JOIN last USING (project, extractor)""")
 def audit_status(t: Tables) -> DataFrame:
     runs = t.runs()
     projects = runs.select("project").distinct().withColumn("language", F.when(F.col("project") % 2 == 0, "python").otherwise("swift"))
-    extractors = runs.select("extractor").distinct()
-    names = [r["extractor"] for r in extractors.take(1000)]
-    languages = t.spark.createDataFrame([("python",), ("swift",)], "language string")
-    profile = languages.withColumn("extractor", F.explode(F.array(*map(F.lit, names)))).where("not (language = 'python' and extractor = 'error') and not (language = 'swift' and extractor = 'view')")
-    return audit.audit_status(projects, extractors, profile, runs.where("run_id % 7 <> 0"))
+    extractors = runs.select("extractor").distinct().unionByName(t.spark.createDataFrame([("lint",)], "extractor string"))
+    profile = extractors.withColumn("language", F.explode(F.array(F.lit("python"), F.lit("swift")))).where("not (language = 'python' and extractor = 'error') and not (language = 'swift' and extractor = 'view')")
+    return audit.audit_status(projects, extractors, profile, runs)
 
 
 FINDINGS = """findings AS (SELECT event_type AS section, event_id AS position, CASE WHEN value >= 80 THEN 'critical' WHEN value >= 60 THEN 'HIGH' WHEN value >= 30 THEN 'medium' WHEN value >= 10 THEN 'low' ELSE 'odd' END AS severity FROM events),
@@ -352,16 +334,17 @@ def parsed_severities(t: Tables) -> DataFrame:
     return _findings(t).groupBy(scoring.parsed_severity(F.col("severity")).alias("severity")).agg(F.count("*").alias("n"))
 
 
-HEALTH = f"""{RUNS}, last AS (SELECT project, max(started_at) AS started_at, arg_max(success, (started_at, run_id)) AS ok FROM runs WHERE project % 9 <> 0 GROUP BY 1), now AS (SELECT max(ts) AS t FROM events),
-m AS (SELECT DISTINCT user_id % 5 AS bundle, user_id AS member FROM events),
+HEALTH = f"""{RUNS}, last AS (SELECT project, max(started_at) AS started_at, arg_max(success, (started_at, run_id)) AS ok FROM runs GROUP BY 1), now AS (SELECT max(ts) AS t FROM events),
+m AS (SELECT DISTINCT user_id % 5 AS bundle, user_id AS member FROM events UNION SELECT DISTINCT user_id % 5, -1 - user_id FROM events),
 health AS (SELECT bundle, member, CASE WHEN started_at IS NULL THEN 'never' WHEN NOT ok THEN 'failed' WHEN epoch(t) - epoch(started_at) < 86400 THEN 'fresh' ELSE 'stale' END AS health FROM m LEFT JOIN last ON member = project, now)"""
 
 
 def _health(t: Tables) -> DataFrame:
     runs = t.runs().withColumnRenamed("project", "member")
-    members = runs.select((F.col("member") % 5).alias("bundle"), "member").distinct()
+    known = runs.select((F.col("member") % 5).alias("bundle"), "member").distinct()
+    members = known.unionByName(known.withColumn("member", -1 - F.col("member")))  # each has a twin that never ran
     now = runs.agg(F.max("started_at")).first()[0]
-    return audit.bundle_health(members, runs.where("member % 9 <> 0"), F.lit(now), 1)
+    return audit.bundle_health(members, runs, F.lit(now), 1)
 
 
 @query(f"WITH {HEALTH} SELECT * FROM health")
@@ -445,12 +428,12 @@ def ambiguous_lookup(t: Tables) -> DataFrame:
     return joins.ambiguous_lookup(part.select("p_partkey", "p_name"), known, ["p_name"], "value")
 
 
-@query("""WITH f AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages), r AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS root FROM f WHERE page_id % 3 = 0 UNION SELECT DISTINCT split_part(path, '/', 1) FROM f WHERE page_id % 2 = 0)
+@query("""WITH f AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages), r AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) ELSE 'none/' || path END AS root FROM f)
 SELECT page_id, (SELECT arg_max(root, length(root)) FROM r WHERE f.path = root OR starts_with(f.path, root || '/')) AS root FROM f""")
 def longest_prefix(t: Tables) -> DataFrame:
     files = t.read("pages").select("page_id", F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"))
     part = lambda n: F.concat_ws("/", F.slice(F.split("path", "/"), 1, n))
-    roots = files.where("page_id % 3 = 0").select(part(2).alias("root")).union(files.where("page_id % 2 = 0").select(part(1).alias("root"))).distinct()
+    roots = files.select(F.when(F.col("page_id") % 3 == 0, part(2)).otherwise(F.concat(F.lit("none/"), "path")).alias("root")).distinct()
     found = joins.longest_prefix(files, roots.withColumn("owner", F.col("root")), "path", "root", "owner")
     return found.select("page_id", F.col("owner").alias("root"))
 
@@ -517,11 +500,11 @@ def set_intersection(t: Tables) -> DataFrame:
     return t.read("customer").select("c_custkey").intersect(t.read("orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
-@query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 0 AND md5(text) IS DISTINCT FROM (SELECT CASE WHEN o.doc_id % 10 = 0 THEN md5('x') ELSE md5(o.text) END FROM documents o WHERE o.doc_id = d.doc_id AND o.doc_id % 3 <> 0)")
+@query("SELECT doc_id FROM documents d WHERE md5(text) IS DISTINCT FROM (SELECT CASE WHEN o.doc_id % 10 = 0 THEN md5('x') ELSE md5(o.text) END FROM documents o WHERE o.doc_id = d.doc_id AND CASE WHEN o.doc_id % 3 = 0 THEN -1 - o.doc_id ELSE o.doc_id END = d.doc_id)")
 def changed_by_hash(t: Tables) -> DataFrame:
     docs = t.read("documents")
-    new = docs.where("doc_id % 2 = 0").select("doc_id", F.md5("text").alias("h"))
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.md5(F.lit("x"))).otherwise(F.md5("text")).alias("h"))
+    new = docs.select("doc_id", F.md5("text").alias("h"))
+    old = docs.select(F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 10 == 0, F.md5(F.lit("x"))).otherwise(F.md5("text")).alias("h"))
     return joins.changed_rows(old, new, "doc_id", "h").select("doc_id")
 
 
@@ -574,7 +557,7 @@ def evict_stale(t: Tables) -> DataFrame:
 @query("SELECT p_partkey AS path, CASE WHEN p_size < 10 AND p_partkey % 2 = 0 THEN 0 ELSE p_size END AS ccn, CASE WHEN p_size < 10 AND p_partkey % 2 = 0 THEN 'stale' ELSE 'fresh' END AS status FROM part")
 def mark_stale(t: Tables) -> DataFrame:
     rows = t.files().withColumns({"status": F.lit("fresh"), "seen": F.col("ccn")})
-    kept = rows.where("path % 2 = 1").select("path")
+    kept = rows.select(F.when(F.col("path") % 2 == 1, F.col("path")).otherwise(-F.col("path")).alias("path"))
     return upsert.mark_stale(rows, kept, "path", "seen", F.lit(10), {"ccn": F.lit(0), "status": F.lit("stale")}).select("path", "ccn", "status")
 
 
@@ -592,9 +575,9 @@ def token_budget(t: Tables) -> DataFrame:
     return search.budgeted(t.read("conversations").select("conv_id", "turn", "text"), "text", 100)
 
 
-@query("SELECT doc_id, sha256(substr(text, 1, 500)) AS excerpt_hash FROM documents WHERE contains(text, 'the') AND lang = 'en'")
+@query("SELECT doc_id, sha256(substr(text, 1, 500)) AS excerpt_hash FROM documents WHERE contains(text, 'the')")
 def keyword_search(t: Tables) -> DataFrame:
-    found = search.keyword_search(t.read("documents").where("lang = 'en'"), "text", "the")
+    found = search.keyword_search(t.read("documents"), "text", "the")
     return found.select("doc_id", F.sha2("excerpt", 256).alias("excerpt_hash"))
 
 
@@ -672,7 +655,7 @@ def died_mid_work(t: Tables) -> DataFrame:
 
 
 @query("""WITH log AS (SELECT user_id % 7 AS tick, CASE WHEN event_type IN ('view', 'click') THEN 'alert' ELSE 'repair' END AS action FROM events)
-SELECT tick, count(*) FILTER (action = 'alert') AS alerts, count(*) FILTER (action = 'alert') > 5 AS over_soft, greatest(count(*) FILTER (action = 'alert') - 20, 0) AS dropped FROM log GROUP BY 1""")
+SELECT tick, count(*) FILTER (action = 'alert') AS alerts, count(*) FILTER (action = 'alert') > 5 AS over_soft, greatest(count(*) FILTER (action = 'alert') - 20, 0) AS deferred FROM log GROUP BY 1""")
 def alert_budget(t: Tables) -> DataFrame:
     log = t.read("events").select((F.col("user_id") % 7).alias("tick"), F.when(F.col("event_type").isin("view", "click"), "alert").otherwise("repair").alias("action"))
     return alerts.budget_use(log)
@@ -713,8 +696,14 @@ def run_ledger(t: Tables) -> DataFrame:
     return ledger.runs(log).select("run_id", "started_at", "finished_at", "nodes")
 
 
-@query("""WITH m AS (SELECT DISTINCT user_id % 5 AS bundle, user_id AS member FROM events), r AS (SELECT user_id % 5 AS bundle, user_id AS member, bool_or(event_type = 'purchase') AS ok FROM events WHERE user_id % 5 <> 0 OR user_id % 2 = 0 GROUP BY 1, 2)
+@query("""WITH m AS (SELECT DISTINCT user_id % 5 AS bundle, user_id AS member FROM events), r AS (SELECT user_id % 5 AS bundle, user_id AS member, bool_or(CASE WHEN user_id % 5 <> 0 OR user_id % 2 = 0 THEN event_type = 'purchase' END) AS ok FROM events GROUP BY 1, 2)
 SELECT bundle, count(*) AS members, count(ok) AS done, count(*) FILTER (NOT ok) AS failed, CASE WHEN count(ok) < count(*) THEN 'running' WHEN count(*) FILTER (NOT ok) > 0 THEN 'failed' ELSE 'succeeded' END AS state FROM m LEFT JOIN r USING (bundle, member) GROUP BY 1""")
 def ingest_progress(t: Tables) -> DataFrame:
     rows = t.read("events").select((F.col("user_id") % 5).alias("bundle"), F.col("user_id").alias("member"), (F.col("event_type") == "purchase").alias("ok"))
-    return windows.ingest_progress(rows.select("bundle", "member"), rows.where("bundle <> 0 or member % 2 = 0"))
+    told = rows.withColumn("ok", F.when((F.col("bundle") != 0) | (F.col("member") % 2 == 0), F.col("ok")))  # of some nothing is known yet
+    return windows.ingest_progress(rows.select("bundle", "member"), told)
+
+
+from quarrylight import queries_rows, queries_sources  # noqa: E402, F401 - they register their own
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -71,25 +71,55 @@ def alert_actions(observations: DataFrame, delays: Delays = Delays()) -> DataFra
     return rows.groupBy("issue_id", "finding").applyInPandasWithState(step, ACTIONS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def within_budget(actions: DataFrame, most: int = 20) -> DataFrame:
-    """The first `most` alerts of a batch, by issue and finding; other actions need no budget."""
-    alerts = actions.where("action = 'alert'").orderBy("issue_id", "finding", "at").limit(most)
-    return alerts.unionByName(actions.where("action <> 'alert'"))
+def within_budget(actions: DataFrame, waiting: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(what goes out now, what waits for the next tick) of a tick's actions and the alerts that wait from earlier ones.
+
+    At most `most` alerts go out, the oldest first; other actions need no budget. An alert goes from the queue when its
+    finding is cleared meanwhile.
+    """
+    gone = actions.where("action = 'clear'").select("issue_id", "finding")
+    queue = waiting.join(gone, ["issue_id", "finding"], "left_anti").unionByName(actions.where("action = 'alert'"))
+    now = queue.orderBy("at", "issue_id", "finding").limit(most)
+    keys = ["issue_id", "finding", "at"]
+    return now.unionByName(actions.where("action <> 'alert'")), queue.join(now.select(*keys), keys, "left_anti")
 
 
 def write_actions(actions: DataFrame, path: str, checkpoint: str, most_alerts: int = 20):
-    """Start the stream into a table of actions; each batch is one part, so a batch that is tried again replaces its own."""
+    """Start the stream into path/actions, a part a batch; alerts over the budget wait in path/waiting for the next batch.
+
+    A batch that is tried again reads what the batch before it left and replaces its own parts.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        within_budget(batch, most_alerts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        held = spark.read.schema(ACTIONS).parquet(f"{path}/waiting/batch={number - 1}") if number else spark.createDataFrame([], ACTIONS)
+        batch = batch.persist()
+        try:
+            out, waiting = within_budget(batch, held, most_alerts)
+            out.write.mode("overwrite").parquet(f"{path}/actions/batch={number}")
+            waiting.write.mode("overwrite").parquet(f"{path}/waiting/batch={number}")
+        finally:
+            batch.unpersist()
 
     return actions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def budget_use(actions: DataFrame, soft: int = 5, hard: int = 20) -> DataFrame:
-    """tick, alerts, over_soft, dropped of a log of actions with a tick column."""
+    """tick, alerts, over_soft, deferred (beyond the tick's own budget) of a log of actions with a tick column."""
     n = F.count_if(F.col("action") == "alert")
-    return actions.groupBy("tick").agg(n.alias("alerts"), (n > soft).alias("over_soft"), F.greatest(n - hard, F.lit(0)).alias("dropped"))
+    return actions.groupBy("tick").agg(n.alias("alerts"), (n > soft).alias("over_soft"), F.greatest(n - hard, F.lit(0)).alias("deferred"))
+
+
+def alert_ticks(alerts: DataFrame, feed: str, tick: str, order: list[str], hard: int = 20) -> DataFrame:
+    """alerts with sent_at: the tick in which each goes out if a feed sends `hard` a tick, the oldest first.
+
+    The k-th alert of a feed takes a slot after its predecessor's and none before its own tick, so its slot is k plus the
+    largest of (tick * hard - place) up to it. A feed's queue lies in one partition of the window.
+    """
+    w = Window.partitionBy(feed).orderBy(tick, *order)
+    rows = alerts.withColumn("_k", F.row_number().over(w) - 1)
+    slot = F.col("_k") + F.max(F.col(tick) * hard - F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("sent_at", F.floor(slot / hard)).drop("_k")
 
 
 def ranked_within(findings: DataFrame, keys: list[str], most: int) -> DataFrame:

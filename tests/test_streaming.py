@@ -112,16 +112,39 @@ def test_alert_stream(spark, tmp_path):
         stream = spark.readStream.schema(spark.createDataFrame([], shape).schema).parquet(str(tmp_path / "in"))
         if k in (1, 4):  # the second start goes on from the first one's state
             alerts.write_actions(alerts.alert_actions(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out" / "actions"))
     assert sorted((r["issue_id"], r["action"], r["tier"]) for r in found.collect()) == [("1", "alert", 1), ("1", "escalate", 3), ("2", "alert", 1), ("2", "clear", 0)]
 
 
 def test_budgets(spark):
     log = spark.createDataFrame([(str(k), "f", "alert", 1, NOW) for k in range(30)] + [("x", "f", "repair", 2, NOW)], alerts.ACTIONS)
-    assert alerts.within_budget(log).count() == 21
+    none = log.limit(0)
+    out, waiting = alerts.within_budget(log, none)
+    assert out.count() == 21 and waiting.count() == 10
+    cleared = spark.createDataFrame([(waiting.orderBy("issue_id").first()["issue_id"], "f", "clear", 0, NOW)], alerts.ACTIONS)
+    later, left = alerts.within_budget(cleared, waiting, 6)  # the next tick: nothing new, one finding is gone
+    assert sorted(r["action"] for r in later.collect()) == ["alert"] * 6 + ["clear"] and left.count() == 3
+    sent = {r["issue_id"] for df in (out, later, left) for r in df.where("action = 'alert'").collect()} | {cleared.first()["issue_id"]}
+    assert sent == {str(k) for k in range(30)}  # none is lost
     assert alerts.budget_use(log.withColumn("tick", F.lit(1))).first()[1:] == (30, True, 10)
 
 
+def test_alerts_over_the_budget_go_out_in_later_ticks(spark, tmp_path):
+    shape = "issue_id string, finding string, at timestamp, present boolean, snapshot string, actionable boolean"
+    for k, issues in enumerate((["1", "2", "3"], ["9"])):
+        spark.createDataFrame([(x, "f", NOW + dt.timedelta(minutes=k), True, "s", True) for x in issues], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        alerts.write_actions(alerts.alert_actions(stream), str(tmp_path / "out"), str(tmp_path / "state"), 2).awaitTermination()
+        found = spark.read.parquet(str(tmp_path / "out" / "actions"))
+        assert sorted((r["batch"], r["issue_id"]) for r in found.collect()) == [(0, "1"), (0, "2"), (1, "3"), (1, "9")][: 2 * (k + 1)]
+
+
+def test_alert_ticks(spark):
+    rows = [("a", 0, k) for k in range(5)] + [("a", 1, 9), ("a", 7, 1), ("b", 3, 1)]
+    found = alerts.alert_ticks(spark.createDataFrame(rows, "feed string, tick long, id long"), "feed", "tick", ["id"], 2)
+    assert sorted((r["feed"], r["tick"], r["id"], r["sent_at"]) for r in found.collect()) == [("a", 0, 0, 0), ("a", 0, 1, 0), ("a", 0, 2, 1), ("a", 0, 3, 1), ("a", 0, 4, 2), ("a", 1, 9, 2), ("a", 7, 1, 7), ("b", 3, 1, 3)]
+
+
 def test_windows_over_a_stream(spark, tmp_path):
     rows = [(NOW + dt.timedelta(minutes=m), "k") for m in (1, 2, 70, 600)]
     spark.createDataFrame(rows, "ts timestamp, key string").coalesce(1).write.parquet(str(tmp_path / "in" / "events.parquet"))
