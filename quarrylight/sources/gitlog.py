@@ -45,6 +45,33 @@ def ls_tree(blobs: DataFrame, text: str = "text") -> DataFrame:
     return lines.where(F.col("line").rlike(pattern)).select(*(F.regexp_extract("line", pattern, k).alias(n) for k, n in enumerate(("mode", "kind", "blob", "path"), 1)))
 
 
+def diff(blobs: DataFrame, text: str = "text") -> DataFrame:
+    """path, old_path, hunks, added, deleted of each file of `git diff` or `git show`, in blobs named by a column `blob`."""
+    from pyspark.sql.window import Window
+
+    lines = blobs.select("blob", F.posexplode(F.split(text, "\r?\n")).alias("_n", "line"))
+    w = Window.partitionBy("blob").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.col("line").startswith("diff --git ")
+    rows = lines.withColumns({"_f": F.sum(head.cast("int")).over(w), "_at": F.last(F.when(head, "head").when(F.col("line").startswith("@@ "), "hunk"), ignorenulls=True).over(w)})
+    inside = (F.col("_at") == "hunk") & ~F.col("line").startswith("@@ ")
+    named = lambda mark: F.max(F.when(F.col("_at") == "head", F.nullif(F.regexp_extract("line", rf"^{mark} [ab]/(.*)$", 1), F.lit(""))))
+    count = lambda mark: F.count_if(inside & F.col("line").startswith(mark))
+    found = rows.where("_f > 0").groupBy("blob", "_f").agg(
+        named(r"\+\+\+").alias("path"), named("---").alias("old_path"), F.count_if((F.col("_at") == "hunk") & F.col("line").startswith("@@ ")).alias("hunks"), count("+").alias("added"), count("-").alias("deleted")
+    )
+    return found.drop("_f")
+
+
+def capped(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The first `most` lines of each output, and whether more were there."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(key).orderBy(order)
+    numbered = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most + 1)
+    more = numbered.groupBy(key).agg((F.max("_k") > most).alias("truncated"))
+    return numbered.where(F.col("_k") <= most).drop("_k").join(more, key)
+
+
 def blame(blobs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, name, email, lines, last_commit_at from `git blame --line-porcelain`, one text a file."""
     entries = blobs.select(path, F.explode(F.expr(f"regexp_extract_all({text}, '(?s)(?:^|\\\\n)([0-9a-f]{{40}} [^\\\\t]*?\\\\n\\\\t)', 1)")).alias("e"))
@@ -57,4 +84,5 @@ def new_commits(spark: SparkSession, commit_table: DataFrame, cursor: tuple | No
     """Commits after a cursor (committed_at, sha); an unknown cursor sha asks for all again."""
     if cursor is None or not commit_table.where(F.col("sha") == cursor[1]).take(1):
         return commit_table
-    return commit_table.where(F.struct("committed_at", "sha") > F.struct(F.lit(cursor[0]), F.lit(cursor[1])))
+    at, sha = (F.lit(x) for x in cursor)
+    return commit_table.where((F.col("committed_at") > at) | ((F.col("committed_at") == at) & (F.col("sha") > sha)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.ids import occurrence_kind, qualified_name, symbol_id
 from quarrylight.functions.paths import language_of
+from quarrylight.sources.trees import binary_files
 
 COLUMNS = "source string, error string, file_path string, language string, symbol string, roles int, line int, col_start int, col_end int"
 
@@ -87,7 +88,11 @@ def occurrences_of(data: bytes) -> Iterator[tuple]:
 def scip_occurrences(spark: SparkSession, path: str, commit: str, most_bytes: int = 500 << 20) -> DataFrame:
     """Occurrences of all indexes under a path, with kind, language, symbol_id and qualified name; unreadable files give
     one row with an error (too_large, malformed) and no symbol."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.scip").load(path)
+    return index_occurrences(binary_files(spark, path, "*.scip"), commit, most_bytes)
+
+
+def index_occurrences(files: DataFrame, commit: str, most_bytes: int = 500 << 20) -> DataFrame:
+    """The same of indexes that are rows (path, length, content)."""
     small = F.when(F.col("length") <= most_bytes, F.col("content"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,6 +110,24 @@ def scip_occurrences(spark: SparkSession, path: str, commit: str, most_bytes: in
     return named.withColumn("symbol_id", symbol_id("qualified_name"))
 
 
+def _coded(n: int) -> bytes:
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, value: int | bytes) -> bytes:
+    return _coded(number << 3) + _coded(value) if isinstance(value, int) else _coded(number << 3 | 2) + _coded(len(value)) + value
+
+
+def index_bytes(path: str, language: str, occurrences: Iterator[tuple[str, int, list[int]]]) -> bytes:
+    """An index of one document; occurrences: symbol, roles, range."""
+    own = b"".join(_field(2, _field(1, b"".join(map(_coded, span))) + _field(2, symbol.encode()) + _field(3, roles)) for symbol, roles, span in occurrences)
+    return _field(2, _field(1, path.encode()) + own + _field(4, language.encode()))
+
+
 def synthetic_occurrences(spark: SparkSession, n: int, symbols: int = 1000, files: int = 100) -> DataFrame:
     """n occurrences in modular cycles: each tenth is a definition, every seventh lies in vendor code."""
     k = F.col("id")

@@ -23,9 +23,19 @@ def in_stop_folder(path: Column, folders: Sequence[str] = STOP_FOLDERS) -> Colum
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, folders)))
 
 
+def binary_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """path, length, content of the files under root, those whose name matches a glob."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (found.option("pathGlobFilter", pattern) if pattern else found).load(root)
+
+
 def source_tree(spark: SparkSession, root: str, extensions: Sequence[str] = MEASURED, most_bytes: int = 1 << 20) -> DataFrame:
     """path, length, text, language, module, context of each file under root; text is null above most_bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return source_rows(binary_files(spark, root), root, extensions, most_bytes)
+
+
+def source_rows(files: DataFrame, root: str, extensions: Sequence[str] = MEASURED, most_bytes: int = 1 << 20) -> DataFrame:
+    """The same of files that are rows (path, length, content)."""
     path = relative(F.col("path"), root)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     text = F.when(F.col("length") <= most_bytes, F.decode(F.col("content"), "UTF-8"))
@@ -35,13 +45,16 @@ def source_tree(spark: SparkSession, root: str, extensions: Sequence[str] = MEAS
 
 def named_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """path, text of files whose name matches a glob, such as *.api, outside stop folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select(relative(F.col("path"), root).alias("path"), F.decode(F.col("content"), "UTF-8").alias("text")).where(~in_stop_folder(F.col("path")))
+    return binary_files(spark, root, pattern).select(relative(F.col("path"), root).alias("path"), F.decode(F.col("content"), "UTF-8").alias("text")).where(~in_stop_folder(F.col("path")))
 
 
 def skipped_files(spark: SparkSession, root: str, most_bytes: int, generated: str = r"(^|/)(generated|vendor|Pods)(/|$)") -> DataFrame:
     """path, reason (too_large, generated) of files that an analysis leaves out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(F.col("path"), root).alias("path"), "length")
+    return left_out(binary_files(spark, root).select(relative(F.col("path"), root).alias("path"), "length"), most_bytes, generated)
+
+
+def left_out(files: DataFrame, most_bytes: int, generated: str = r"(^|/)(generated|vendor|Pods)(/|$)") -> DataFrame:
+    """The same of files that are rows (path, length)."""
     reason = F.when(F.col("path").rlike(f"(?i){generated}"), "generated").when(F.col("length") > most_bytes, "too_large")
     return files.withColumn("reason", reason).where("reason is not null").select("path", "reason")
 
