@@ -1,4 +1,6 @@
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from quarrylight.llm import near_copies as op
@@ -50,6 +52,26 @@ def test_stage_on_the_small_table(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute(rows)
 
 
+def test_a_dense_group_below_the_border_makes_few_pairs(spark, tmp_path):
+    """Copies of one short text with an edit each share bands, but no two are similar enough."""
+    rows = [(k, edited(cases.prose(7, 24), [k % 24]) + f" tail{k}") for k in range(300)]
+    from quarrylight.llm.common import Scratch
+
+    scratch = Scratch(spark, "dense")
+    texts = spark.createDataFrame([(k, t.encode()) for k, t in rows], "row_id long, text binary")
+    found = op.similar_components(texts, scratch)
+    roots = {r["row_id"]: r["root"] for r in found.collect()}
+    assert len(rows) - len(roots) + len(set(roots.values())) == len(brute(rows))
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_the_sketch_rules_no_similar_pair_out(a, b, both):
+    a, b = (np.array(sorted(x | both), np.uint64) for x in (a, b))
+    differ = int(np.bitwise_count(op.parities(a) ^ op.parities(b)).sum())
+    assert differ <= len(np.setxor1d(a, b))
+
+
 def test_similarity_at_the_border():
     a = np.arange(9, dtype=np.uint64)
     assert op.similar(a[:8], a[:8], 80) and op.similar(a[:4], a[:5], 80) and not op.similar(a[:7], a[:9], 80)

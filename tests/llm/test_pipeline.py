@@ -1,10 +1,9 @@
 import corpus_pipeline
 from quarrylight.llm import quality
 from tests.llm import cases
+from tests.llm.test_near_copies import brute as without_near_copies
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import components, plain_fingerprint
-from tests.llm.test_suffix_dedup import covered
-from quarrylight.llm.suffix_dedup import without
+from tests.llm.test_passages import brute as without_passages
 
 
 def brute(rows, rejected):
@@ -14,12 +13,10 @@ def brute(rows, rejected):
     for doc_id, text in kept:
         by_text[text or ""] = max(by_text.get(text or "", doc_id), doc_id)
     kept = [(d, t) for t, d in by_text.items()]
-    groups, least = components([plain_fingerprint(t) for _, t in kept]), {}
-    for (d, _), c in zip(kept, groups, strict=True):
-        least[c] = min(least.get(c, d), d)
-    kept = [r for r, c in zip(kept, groups, strict=True) if least[c] == r[0]]
-    texts = [t.encode() for _, t in kept]
-    return [(d, without(t, runs).decode(errors="ignore")) for (d, _), t, runs in zip(kept, texts, covered(texts, 400), strict=True)]
+    stay = set(without_near_copies(kept))
+    kept = [r for r in kept if r[0] in stay]
+    texts = without_passages([t.encode() for _, t in kept])
+    return [(d, t) for (d, _), t in zip(kept, texts, strict=True)]
 
 
 def test_all_stages_against_brute_force(spark):
