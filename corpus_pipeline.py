@@ -27,7 +27,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of texts linked by a Jaccard similarity of 0.8 over 5-word shingles the one with the least doc_id stays."""
+    """Of a component of texts linked by a Jaccard similarity of 0.8 over 5-word shingles the one with the least doc_id stays.
+
+    Operator 9's anchors give the closest links; bands of MinHash values give those that fingerprints of 64 bits miss.
+    """
     return keep_one_similar(docs)
 
 
@@ -44,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact_dedup),
-    ("minhash near-dedup", near_dedup),
+    ("simhash near-dedup", near_dedup),
     ("suffix-array dedup", repeats),
     ("packing", packing),
 ]
