@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions.checks import slug_ok
 from quarrylight.operators import graph, joins, ledger, lookup
 from quarrylight.plans import audit, history, search, symbols
 from quarrylight.sources import gitlog
@@ -117,6 +118,23 @@ class Engine:
             for name in self.tables:
                 before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
 
+    def get_architecture(self, project: str) -> DataFrame:
+        """imports: project, src, dst; one row a module with how many it uses and is used by."""
+        edges = self._table("imports", project).select("src", "dst").distinct()
+        out, into = edges.groupBy(F.col("src").alias("module")).agg(F.count("*").alias("uses")), edges.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("used_by"))
+        return out.join(into, "module", "full_outer").fillna(0).orderBy("module")
+
+    def get_code_snippet(self, project: str, path: str, first: int, last: int) -> DataFrame:
+        """source_files: project, path, text."""
+        return search.snippet(self._table("source_files", project), path, first, last)
+
+    def detect_changes(self, project: str) -> DataFrame:
+        """manifests: project, at, path, blob; files that differ between the last two manifests of a project."""
+        rows = self._table("manifests", project)
+        times = [r["at"] for r in rows.select("at").distinct().orderBy(F.desc("at")).limit(2).collect()]
+        at = lambda k: rows.where(F.col("at") == F.lit(times[k])) if k < len(times) else rows.limit(0)
+        return history.dirty_files(at(1).select("path", "blob"), at(0).select("path", "blob")).orderBy("path")
+
     # git -------------------------------------------------------------------------------------------------------------
 
     def git_log(self, project: str, limit: int = 50, since: datetime | None = None, author: str | None = None) -> tuple[DataFrame, bool]:
@@ -128,6 +146,20 @@ class Engine:
         """blame_texts: project, path, text."""
         return gitlog.blame(self._table("blame_texts", project).where(F.col("path") == path))
 
+    def git_show(self, project: str, sha: str) -> DataFrame:
+        """diff_texts: project, sha, text (a commit's diff); its files with their counts of lines."""
+        return gitlog.diff(self._table("diff_texts", project).where(F.col("sha") == sha).withColumn("blob", F.col("sha"))).drop("blob").orderBy("path")
+
+    def git_diff(self, project: str, sha: str, full: bool = False) -> tuple[DataFrame, bool]:
+        """(lines of a commit's diff, whether there are more): up to 2000 in full, else 500."""
+        text = self._table("diff_texts", project).where(F.col("sha") == sha)
+        lines = text.select(F.posexplode(F.split("text", "\r?\n")).alias("line", "content")).orderBy("line")
+        return lookup.truncated(lines, 2000 if full else 500)
+
+    def git_ls_tree(self, project: str) -> tuple[DataFrame, bool]:
+        """(up to 500 files of a tree, whether there are more). tree_texts: project, text."""
+        return lookup.truncated(gitlog.ls_tree(self._table("tree_texts", project)).orderBy("path"), 500)
+
     # memory ------------------------------------------------------------------------------------------------------------
 
     def lookup(self, table: str, filters: Mapping[str, object], order_by: str, limit: int = 20) -> tuple[DataFrame, int, list[str]]:
@@ -152,6 +184,42 @@ class Engine:
         asked = self._table("projects").sparkSession.createDataFrame([(x,) for x in slugs], "slug string")
         return ledger.slug_kind(asked, self._table("bundle_members"), self._table("projects"))
 
+    def register_project(self, new: DataFrame) -> DataFrame:
+        """The table of projects with new or changed ones (slug and its columns); slugs keep their form."""
+        wrong = [r["slug"] for r in new.where(~slug_ok(F.col("slug"))).select("slug").take(5)]
+        if wrong:
+            raise ValueError(f"no slug: {', '.join(map(str, wrong))}")
+        return ledger.merge_projects(self._table("projects"), new, [c for c in ("language_profile", "created_at") if c in new.columns])
+
+    def add_to_bundle(self, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members with the new ones, errors). new: bundle, slug."""
+        return ledger.add_members(self._table("bundle_members"), new, self._table("projects"))
+
+    def delete_bundle(self, bundle: str, cascade: bool = False) -> DataFrame:
+        return ledger.delete_bundle(self._table("bundle_members"), bundle, cascade)
+
+    def list_extractors(self) -> DataFrame:
+        """extractors with when each last ran, over all projects."""
+        last = self._table("runs").groupBy("extractor").agg(F.max("started_at").alias("last_run_at"))
+        return self._table("extractors").join(last, "extractor", "left").orderBy("extractor")
+
+    def project_overview(self, project: str) -> DataFrame:
+        """label, n, last_run_at: rows of a project in every table that has projects."""
+        own = {k: v.where(F.col("project") == project) for k, v in self.tables.items() if "project" in v.columns}
+        return search.overview(own, self._table("runs", project))
+
+    def decide(self, decisions: DataFrame, makers: Sequence[str], slices: str = r"^[A-Z]+-\d+$") -> tuple[DataFrame, DataFrame]:
+        """(decisions to be kept, those with an error and which)."""
+        return ledger.valid_decisions(decisions, makers, slices)
+
+    def splice_decision(self, section: str, body: str) -> DataFrame:
+        """decision_texts (slug, text) with a section's body replaced or appended, and whether that changes anything."""
+        return search.spliced(self._table("decision_texts"), "text", section, body)
+
+    def supersede_decision(self, changes: DataFrame) -> DataFrame:
+        """decision_documents (slug, title, status, body) after changes (old, new, reason)."""
+        return ledger.superseded(self._table("decision_documents"), changes)
+
     def health(self) -> DataFrame:
         return audit.health(self.tables, self._table("runs"), self._table("projects"))
 

@@ -92,3 +92,35 @@ def naming_choice(name: Column) -> Column:
 def redacted(message: Column, home: str, most: int = 200) -> Column:
     """Home folder as ~, new lines as blanks, at most so many characters."""
     return F.substring(F.regexp_replace(F.replace(message, F.lit(home), F.lit("~")), r"[\r\n]+", " "), 1, most)
+
+
+def module_by_anchor(path: Column) -> Column:
+    """The folder after Sources or Tests, else the one before src, else the first part."""
+    parts = F.split(path, "/")
+    at = lambda name: F.array_position(parts, name).cast("int")
+    after = lambda name: (at(name) > 0) & (at(name) < F.size(parts))
+    out = F.when(after("Sources"), F.try_element_at(parts, at("Sources") + 1)).when(after("Tests"), F.try_element_at(parts, at("Tests") + 1))
+    return out.when(at("src") > 1, F.try_element_at(parts, F.greatest(at("src") - 1, F.lit(1)))).otherwise(F.element_at(parts, 1))
+
+
+def module_by_parent(path: Column) -> Column:
+    """The part after Sources or Tests, else the file's folder, else root."""
+    parts = F.split(path, "/")
+    at = lambda name: F.array_position(parts, name).cast("int")
+    after = lambda name: (at(name) > 0) & (at(name) < F.size(parts))
+    out = F.when(after("Sources"), F.try_element_at(parts, at("Sources") + 1)).when(after("Tests"), F.try_element_at(parts, at("Tests") + 1))
+    return out.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))).otherwise("root")
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """The line, from 1, of the character at an offset from 0."""
+    before = F.substring(text, F.lit(1), offset)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+# Parts of paths where an application puts its objects together.
+COMPOSITION = ("appdelegate", "approot", "assembler", "assembly", "bootstrap", "compositionroot", "container", "di", "module", "scenedelegate")
+
+
+def is_composition_root(path: Column) -> Column:
+    return F.lower(path).rlike("|".join(COMPOSITION))

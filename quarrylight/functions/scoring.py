@@ -139,3 +139,8 @@ def edge_confidence(kind: Column, resolution: Column, trigger: Column, partly: S
 def control_kind(context: Column) -> Column:
     """button, image, icon, textfield, tappable_view or other."""
     return F.when(F.lower(context).isin("button", "image", "icon", "textfield", "tappable_view"), F.lower(context)).otherwise("other")
+
+
+def surface_of(rule: Column) -> Column:
+    """android for rules that name it or its toolkit, else ios."""
+    return F.when(F.lower(rule).rlike("compose|android"), "android").otherwise("ios")

@@ -84,3 +84,11 @@ def hash_statistics(ids: DataFrame, column: str) -> DataFrame:
     """total, distinct, collisions, negative and share_negative of 64-bit ids."""
     found = ids.agg(F.count("*").alias("total"), F.count_distinct(column).alias("distinct_ids"), F.count_if(F.col(column) < 0).alias("negative"))
     return found.withColumns({"collisions": F.col("total") - F.col("distinct_ids"), "share_negative": F.when(F.col("total") > 0, F.col("negative") / F.col("total"))})
+
+
+def sites_per_group(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], most: int = 20) -> DataFrame:
+    """keys, n and sites: the first `most` distinct sites of each group in order. Ranked before they are gathered."""
+    distinct = rows.select(*keys, *fields).distinct()
+    first = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*fields))).where(F.col("_n") <= most)
+    sites = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("sites"))
+    return sites.join(distinct.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-# Fixed value: the form of slugs.
-SLUG = r"^[a-z0-9][a-z0-9-]{0,62}$"
+from quarrylight.functions.checks import SLUG  # noqa: F401 - the form of slugs
 
 
 class SchemaDrift(ValueError):
@@ -127,3 +127,48 @@ def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], list], bat
             yield pd.Series([v for a in range(0, len(texts), batch) for v in embed(texts[a : a + batch])])
 
     return rows.withColumn("embedding", vectors(text))
+
+
+class BudgetExceeded(RuntimeError):
+    """A run has used up its budget."""
+
+
+def check_budget(written: int, most: int, phase: str, override: bool = False) -> None:
+    """To be called before a phase writes anything."""
+    if written >= most and not override:
+        raise BudgetExceeded(f"before {phase}: {written} of {most} rows are written")
+
+
+def check_resume(last_error: str | None, override: bool = False) -> None:
+    """A run that ended for its budget isn't taken up again before someone allows it."""
+    if last_error == "budget_exceeded" and not override:
+        raise BudgetExceeded("the last run ended with budget_exceeded")
+
+
+def phase_states(phases: DataFrame, most: int) -> DataFrame:
+    """phases (run_id, place, written, last_error) with written_before and state: resume_blocked, budget_exceeded or ok.
+
+    What a phase writes counts for the later ones; a run has a few phases, so its window is small.
+    """
+    w = Window.partitionBy("run_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = phases.withColumn("written_before", F.coalesce(F.sum("written").over(w), F.lit(0)))
+    state = F.when(F.col("last_error") == "budget_exceeded", "resume_blocked").when(F.col("written_before") >= most, "budget_exceeded").otherwise("ok")
+    return rows.withColumn("state", state)
+
+
+def count_of(rows: DataFrame, run_id: str, phase: str) -> int:
+    """How many rows a run wrote in a phase."""
+    return rows.where((F.col("run_id") == run_id) & (F.col("phase") == phase)).count()
+
+
+def superseded(records: DataFrame, changes: DataFrame) -> DataFrame:
+    """records (slug, title, status, body) after changes (old, new, reason): the old ones get their status and a banner once,
+    the new ones are active and come in if they are unknown."""
+    old = changes.groupBy(F.col("old").alias("slug")).agg(F.max("new").alias("_by"))
+    new = changes.select(F.col("new").alias("slug"), F.lit(True).alias("_on")).distinct()
+    rows = records.join(old, "slug", "left").join(new, "slug", "left")
+    banner = F.concat(F.lit("**SUPERSEDED by "), F.col("_by"), F.lit("**\n\n"), F.col("body"))
+    body = F.when(F.col("_by").isNotNull() & ~F.col("body").startswith("**SUPERSEDED by"), banner).otherwise(F.col("body"))
+    status = F.when(F.col("_by").isNotNull(), "superseded").when(F.col("_on"), "active").otherwise(F.col("status"))
+    unknown = new.join(records.select("slug"), "slug", "left_anti").select("slug", F.col("slug").alias("title"), F.lit("active").alias("status"), F.lit("").alias("body"))
+    return rows.select("slug", "title", status.alias("status"), body.alias("body")).unionByName(unknown)

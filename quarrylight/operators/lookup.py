@@ -91,3 +91,10 @@ def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 def over_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
     """The rows of each key beyond the first `cap`."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") > cap).drop("_n")
+
+
+def flagged(rows: DataFrame, order: Sequence[Column], limit: int, most: int = 1000) -> DataFrame:
+    """The first rows of an order, each with `truncated`: whether there are more. Only limit + 1 rows are gathered."""
+    limit = max(1, min(most, limit))
+    top = rows.orderBy(*order).limit(limit + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return top.withColumn("truncated", F.max("_n").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")

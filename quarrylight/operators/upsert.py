@@ -72,3 +72,26 @@ def mark_stale(rows: DataFrame, kept: DataFrame, key: str, seen: str, started: C
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def delete_counted(old: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(old without the rows of the keys, how many keys were asked for, whether they were there or not)."""
+    return delete_keys(old, gone, [key]), gone.select(key).distinct().count()
+
+
+def enriched(rows: DataFrame, samples: DataFrame, key: str, *values: Column) -> DataFrame:
+    """rows with values over their current samples; what has none any more is null again, so replacing samples resets them."""
+    return rows.join(samples.groupBy(key).agg(*values), key, "left")
+
+
+def valid_batches(batches: DataFrame, facts: DataFrame) -> DataFrame:
+    """The batches all of whose facts keep their scope; the others are left out as a whole.
+
+    batches: batch, file_path (null: of the run), language; facts: batch, kind (component, state, effect, diagnostic, edge),
+    file_path, language. A diagnostic of a run has no file; an effect's language may be unknown; an edge's doesn't count.
+    """
+    own = facts.withColumnsRenamed({"file_path": "_p", "language": "_l"}).join(batches, "batch")
+    path = F.when(F.col("kind") == "diagnostic", F.col("_p").eqNullSafe(F.col("file_path"))).otherwise(F.col("file_path").isNull() | F.col("_p").eqNullSafe(F.col("file_path")))
+    same = F.col("_l").eqNullSafe(F.col("language"))
+    language = F.when(F.col("kind") == "edge", F.lit(True)).when(F.col("kind") == "effect", same | (F.col("_l") == "unknown")).otherwise(same)
+    return batches.join(own.where(~(path & F.coalesce(language, F.lit(False)))).select("batch").distinct(), "batch", "left_anti")

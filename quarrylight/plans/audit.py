@@ -87,7 +87,7 @@ def render(project: str, top: DataFrame) -> str:
     return "\n".join(out if rows else [*out, "", "No findings."]) + "\n"
 
 
-def summaries(hotspots: DataFrame, dead: DataFrame, deps: DataFrame, owners: DataFrame, skew: DataFrame, public: DataFrame, contracts: DataFrame) -> DataFrame:
+def summaries(hotspots: DataFrame, dead: DataFrame, deps: DataFrame, owners: DataFrame, skew: DataFrame, public: DataFrame, contracts: DataFrame, testability: DataFrame) -> DataFrame:
     """section, statistic, value: the figures at the head of each section of a report."""
     figures = [
         hotspots.agg(F.count("*").cast("double").alias("file_count"), F.coalesce(F.max("hotspot_score"), F.lit(0.0)).alias("max_score")),
@@ -97,8 +97,9 @@ def summaries(hotspots: DataFrame, dead: DataFrame, deps: DataFrame, owners: Dat
         skew.agg(*(F.count_if(F.col("severity") == s).cast("double").alias(s) for s in ("major", "minor", "patch"))),
         public.agg(F.count_distinct("module").cast("double").alias("module_count")),
         contracts.agg(F.count_if(F.col("removed") > 0).cast("double").alias("breaking"), F.count_if(F.col("changed") > 0).cast("double").alias("signature_changes")),
+        testability.agg(F.count("style").cast("double").alias("patterns"), F.count_distinct("double").cast("double").alias("test_doubles"), F.count_distinct("site").cast("double").alias("untestable_sites")),
     ]
-    names = ["hotspot", "dead_symbols", "dependencies", "ownership", "version_skew", "public_api", "contracts"]
+    names = ["hotspot", "dead_symbols", "dependencies", "ownership", "version_skew", "public_api", "contracts", "testability"]
     parts = [f.unpivot([], f.columns, "statistic", "value").select(F.lit(n).alias("section"), "statistic", "value") for n, f in zip(names, figures, strict=True)]
     out = parts[0]
     for p in parts[1:]:

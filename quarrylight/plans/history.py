@@ -65,3 +65,30 @@ def dirty_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, state (dirty or deleted) between two manifests (path, blob); a rename is one of each."""
     joined = old.select("path", F.col("blob").alias("_old")).join(new.select("path", F.col("blob").alias("_new")), "path", "full_outer")
     return joined.where(~F.col("_old").eqNullSafe(F.col("_new"))).select("path", F.when(F.col("_new").isNull(), "deleted").otherwise("dirty").alias("state"))
+
+
+def ownership_plan(heads: DataFrame, old: DataFrame, new: DataFrame, most_files: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(project, dirty, deleted, exit_reason; the changed files) of the next ownership runs.
+
+    heads: project, last_head (null: never run), head; old, new: project, path, blob of the two heads. A project whose head
+    stands is no_change, one without changed files no_dirty, one with more than most_files max_files_exceeded; the others succeed.
+    """
+    a, b = old.select("project", "path", F.col("blob").alias("_old")), new.select("project", "path", F.col("blob").alias("_new"))
+    first = heads.where("last_head is null").select("project", F.lit(True).alias("_first"))
+    both = a.join(b, ["project", "path"], "full_outer").join(first, "project", "left")
+    changed = both.where(F.coalesce("_first", F.lit(False)) & F.col("_new").isNotNull() | F.col("_first").isNull() & ~F.col("_old").eqNullSafe(F.col("_new")))
+    files = changed.select("project", "path", F.when(F.col("_new").isNull(), "deleted").otherwise("dirty").alias("state"))
+    moved = heads.where(~F.col("last_head").eqNullSafe(F.col("head"))).select("project")
+    files = files.join(moved, "project", "left_semi")
+    counts = files.groupBy("project").agg(F.count_if(F.col("state") == "dirty").alias("dirty"), F.count_if(F.col("state") == "deleted").alias("deleted"))
+    rows = heads.join(counts, "project", "left").fillna(0, ["dirty", "deleted"])
+    reason = F.when(F.col("last_head").eqNullSafe(F.col("head")), "no_change").when(F.col("dirty") + F.col("deleted") == 0, "no_dirty").when(F.col("dirty") > most_files, "max_files_exceeded").otherwise("success")
+    plan = rows.select("project", "dirty", "deleted", reason.alias("exit_reason"))
+    return plan, files.join(plan.where("exit_reason = 'success'").select("project"), "project", "left_semi")
+
+
+def refreshed_ownership(edges: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
+    """edges without those of changed files, and what was found for the dirty ones; all by project and path."""
+    keys = ["project", "path"]
+    fresh = found.join(files.where("state = 'dirty'").select(*keys), keys, "left_semi")
+    return edges.join(files.select(*keys), keys, "left_anti").unionByName(fresh.select(edges.columns))

@@ -23,7 +23,7 @@ def markdown_sections(records: DataFrame, text: str) -> DataFrame:
     parts = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n##[ \t]+")
     own = records.withColumn("_p", F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))))
     name = F.upper(F.trim(F.regexp_extract("_p", r"^([^\n]*)", 1)))
-    return own.withColumns({"section": name, "body": F.trim(F.regexp_replace("_p", r"^[^\n]*\n?", ""))}).where(name.isin(*SECTIONS)).drop("_p")
+    return own.withColumns({"section": name, "body": F.regexp_replace(F.regexp_replace("_p", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")}).where(name.isin(*SECTIONS)).drop("_p")
 
 
 def spliced(records: DataFrame, text: str, section: str, body: str) -> DataFrame:
@@ -50,3 +50,14 @@ def overview(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     from quarrylight.operators.aggregates import label_counts
 
     return label_counts(tables).withColumn("last_run_at", F.lit(runs.agg(F.max("started_at")).first()[0]))
+
+
+def by_doc_id(records: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of one document."""
+    return records.where(F.col("doc_id") == doc_id)
+
+
+def snippet(files: DataFrame, path: str, first: int, last: int, most: int = 500) -> DataFrame:
+    """line, content of a file's lines first to last, at most so many."""
+    lines = files.where(F.col("path") == path).select(F.posexplode(F.split("text", "\r?\n")).alias("_n", "content"))
+    return lines.select((F.col("_n") + 1).alias("line"), "content").where(F.col("line").between(first, min(last, first + most - 1))).orderBy("line")

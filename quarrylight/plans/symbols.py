@@ -123,3 +123,11 @@ def dead_symbols(findings: DataFrame, public: DataFrame, shadows: DataFrame, blo
 
 def rank_within(rows: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def target_status(slugs: DataFrame, projects: DataFrame, deps: DataFrame) -> DataFrame:
+    """slug, status of each asked slug: not_registered, not_indexed (without dependencies) or indexed."""
+    known = projects.select("slug", F.lit(True).alias("_known")).distinct()
+    counted = deps.select("slug", F.lit(True).alias("_has")).distinct()
+    rows = slugs.select("slug").distinct().join(known, "slug", "left").join(counted, "slug", "left")
+    return rows.select("slug", F.when(F.col("_known").isNull(), "not_registered").when(F.col("_has").isNull(), "not_indexed").otherwise("indexed").alias("status"))

@@ -49,6 +49,57 @@ def test_code(engine):
         engine.find_public_api("p")
 
 
+def test_views_of_the_session_stay(spark, engine):
+    spark.range(7).createOrReplaceTempView("hotspots")
+    assert engine.query("select count(*) as n from hotspots").first()["n"] == 3
+    assert spark.table("hotspots").count() == 7
+    spark.catalog.dropTempView("hotspots")
+    engine.query("select 1 as one from commits").collect()
+    assert not spark.catalog.tableExists("commits") and not spark.catalog.tableExists("hotspots")
+
+
+def test_tools_over_texts(spark):
+    t = lambda rows, shape: spark.createDataFrame(rows, shape)
+    diff = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@\n-old\n+new\n+++ more\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -1 +0,0 @@\n-gone"
+    tools = Engine(
+        {
+            "diff_texts": t([("p", "s", diff)], "project string, sha string, text string"),
+            "tree_texts": t([("p", "100644 blob " + "a" * 40 + "\tx.py\n")], "project string, text string"),
+            "source_files": t([("p", "x.py", "1\n2\n3\n4")], "project string, path string, text string"),
+            "manifests": t([("p", 1, "a", "h1"), ("p", 2, "a", "h2"), ("p", 2, "b", "h1"), ("p", 0, "z", "h")], "project string, at int, path string, blob string"),
+            "imports": t([("p", "a", "b"), ("p", "a", "c"), ("p", "c", "b")], "project string, src string, dst string"),
+            "projects": t([("old", "swift")], "slug string, language string"),
+            "bundle_members": t([("x", "old")], "bundle string, slug string"),
+            "extractors": t([("e",), ("f",)], "extractor string"),
+            "runs": t([("p", "e", NOW)], "project string, extractor string, started_at timestamp"),
+            "decision_texts": t([("d", "# D\n## STACK\nold")], "slug string, text string"),
+            "decision_documents": t([("d1", "t", "active", "body")], "slug string, title string, status string, body string"),
+        }
+    )
+    assert [tuple(r) for r in tools.git_show("p", "s").select("path", "hunks", "added", "deleted").collect()] == [("x.py", 1, 2, 1), ("y", 1, 0, 1)]
+    lines, more = tools.git_diff("p", "s")
+    assert lines.count() == 12 and not more and tools.git_ls_tree("p")[0].first()["path"] == "x.py"
+    assert [r["content"] for r in tools.get_code_snippet("p", "x.py", 2, 3).collect()] == ["2", "3"]
+    assert [tuple(r) for r in tools.detect_changes("p").collect()] == [("a", "dirty"), ("b", "dirty")]
+    assert [tuple(r) for r in tools.get_architecture("p").collect()] == [("a", 2, 0), ("b", 0, 2), ("c", 1, 1)]
+    assert tools.register_project(t([("new", "kotlin")], "slug string, language string")).count() == 2
+    with pytest.raises(ValueError, match="no slug"):
+        tools.register_project(t([("Bad Slug", "x")], "slug string, language string"))
+    members, errors = tools.add_to_bundle(t([("x", "old"), ("y", "old"), ("y", "lost")], "bundle string, slug string"))
+    assert members.count() == 2 and errors.count() == 2
+    with pytest.raises(ValueError, match="has members"):
+        tools.delete_bundle("x")
+    assert tools.delete_bundle("x", cascade=True).count() == 0
+    assert [(r["extractor"], r["last_run_at"]) for r in tools.list_extractors().collect()] == [("e", NOW), ("f", None)]
+    assert {r["label"]: r["n"] for r in tools.project_overview("p").collect()}["manifests"] == 4
+    shape = "title string, body string, slice_ref string, maker string, confidence double"
+    good, bad = tools.decide(t([("t", "b", "GIM-1", "cto", 0.5), ("t", "b", "no", "cto", None)], shape), ["cto"])
+    assert good.count() == 1 and bad.first()["error"] == "slice_ref"
+    assert tools.splice_decision("STACK", "new").first()["text"] == "# D\n## STACK\nnew"
+    found = {r["slug"]: (r["status"], r["body"]) for r in tools.supersede_decision(t([("d1", "d2", "r")], "old string, new string, reason string")).collect()}
+    assert found == {"d1": ("superseded", "**SUPERSEDED by d2**\n\nbody"), "d2": ("active", "")}
+
+
 def test_impact(engine):
     found, more = engine.test_impact("f", "p")
     assert [(r["node"], r["hop"]) for r in found.collect()] == [("t.a", 1), ("t.b", 2)] and not more

@@ -159,6 +159,8 @@ def test_audit_figures(spark):
     found = audit.summaries(
         table([("a", 2.5)], "path string, hotspot_score double"), table([("skipped",), ("unused_candidate",)], "state string"), table([("test", "unresolved")], "scope string, version string"), table([("a", 0.1), ("b", None)], "path string, weight double"),
         table([("major",)], "severity string"), table([("m",)], "module string"), table([(1, 0), (0, 2)], "removed int, changed int"),
+        table([("init", "a", "x"), (None, "a", "y"), ("lazy", None, None)], "style string, double string, site string"),
     )
     got = {(r["section"], r["statistic"]): r["value"] for r in found.collect()}
     assert got["hotspot", "max_score"] == 2.5 and got["dependencies", "missing_lockfile"] == 1 and got["ownership", "diffuse_ownership_count"] == 1 and got["contracts", "breaking"] == 1
+    assert got["testability", "patterns"] == 2 and got["testability", "test_doubles"] == 1 and got["testability", "untestable_sites"] == 2

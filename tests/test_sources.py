@@ -3,7 +3,10 @@
 import datetime as dt
 
 
-from quarrylight.sources import api_dumps, feeds, gitlog, manifests, reports, scip, trees
+import pytest
+
+from quarrylight.operators import ledger
+from quarrylight.sources import api_dumps, config, feeds, gitlog, manifests, reports, scip, trees
 
 
 def texts(spark, *rows):
@@ -176,3 +179,24 @@ def test_trees(spark, tmp_path):
     modules = spark.createDataFrame([("core", "core"), ("deep", "core.deep"), ("x", "two"), ("y", "two")], "module string, name string")
     files = spark.createDataFrame([("a.kt", "kotlin", "import core.deep.Thing\nimport core.Other\nimport two\nimport none")], "path string, language string, text string")
     assert out(trees.imports(files, modules), "line", "module", "status") == [(1, "deep", "ok"), (2, "core", "ok"), (3, "x", "ambiguous")]
+
+
+def test_configuration_files(spark, tmp_path):
+    (tmp_path / "second.json").write_text('{"rules": []}')
+    name, text = config.first_file(spark, f"file://{tmp_path}", ["first.json", "second.json"])
+    assert name == "second.json" and config.read_text(text) == {"rules": []}
+    assert config.first_file(spark, f"file://{tmp_path}", ["none"]) == (None, None)
+    assert config.context_overrides('{"overrides": {"a/*": "test"}}') == {"a/*": "test"} and config.context_overrides(None) == {}
+    with pytest.raises(ValueError):
+        config.read_text("[1]")
+    assert out(config.allowlist(spark, "# x\n a \n\na\nb"), "literal") == [("a",), ("b",)]
+
+
+def test_budgets_of_runs():
+    ledger.check_budget(9, 10, "phase2")
+    ledger.check_budget(10, 10, "phase2", override=True)
+    ledger.check_resume("failed")
+    with pytest.raises(ledger.BudgetExceeded):
+        ledger.check_budget(10, 10, "phase2")
+    with pytest.raises(ledger.BudgetExceeded):
+        ledger.check_resume("budget_exceeded")
