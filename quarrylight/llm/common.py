@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,11 +29,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one run, each cutting the lineage; they survive the loss of executors."""
+    """Written tables of one run, each cutting the lineage; they survive the loss of executors.
+
+    A result may read them until it has been used, so they go when someone says so (drop_since) or when the program ends.
+    """
+
+    roots: list[tuple[SparkSession, str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.roots.append((spark, self.root))
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls.roots)
+
+    @classmethod
+    def drop_since(cls, mark: int) -> None:
+        """Delete what has been written since a mark; what reads it has been used."""
+        while len(cls.roots) > mark:
+            delete_path(*cls.roots.pop())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,6 +74,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _drop_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        Scratch.drop_since(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

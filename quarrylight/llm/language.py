@@ -3,7 +3,9 @@
 A text's UTF-8 bytes are read in stretches of `stretch` bytes, forward and backward; from both states every position gets
 language probabilities. A document's probabilities are their mean over the positions of letters (ASCII letters and all
 bytes of other characters). The network is trained by backpropagation through time on windows spread over whole
-texts of a bounded sample: about `most_documents` documents a language, chosen by a hash of doc_id.
+texts of a bounded sample: about `most_documents` documents a language, chosen by a hash of doc_id, of the `most_languages`
+most frequent languages (rarer ones are not learned and so never predicted). At most twice as many windows as that sample
+has on average are gathered, in the order of a hash; only ids that repeat very often reach that bound.
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null doc_id is carried through and never
 used for training; null langs teach nothing; without any language to learn all are `und`; repeated rows get equal values;
@@ -146,15 +148,19 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_windows(docs: DataFrame, most_documents: int, windows: int, stretch: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def training_windows(docs: DataFrame, most_documents: int, windows: int, stretch: int, most_languages: int = 1000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of bytes spread evenly over the whole texts of a bounded sample, their language's index, the languages."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000)
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not counts:
+        return np.zeros((0, stretch), np.uint8), np.zeros(0, np.int64), []
+    bound = 2 * len(counts) * most_documents * windows
+    counts = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, count long")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = usable.join(F.broadcast(counts), "lang").where(share < F.lit(float(most_documents)) / F.col("count"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 4 << 20):
             ids, langs, data, place = [], [], [], []
             for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = text.encode()
@@ -167,15 +173,15 @@ def training_windows(docs: DataFrame, most_documents: int, windows: int, stretch
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(data, pa.binary()), pa.array(place, pa.int32())], ["doc_id", "lang", "data", "place"])
 
     rows = sample.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, data binary, place int")
-    got = rows.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place", "data").limit(20 * most_documents * windows).toPandas()
+    got = rows.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place", "data").limit(bound).toPandas()
     languages = sorted(got["lang"].unique())
     data = np.frombuffer(b"".join(map(bytes, got["data"])), np.uint8).reshape(-1, stretch)
     return data, got["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(np.int64), languages
 
 
-def identify(docs: DataFrame, most_documents: int = 300, windows: int = 4, stretch: int = 64) -> DataFrame:
+def identify(docs: DataFrame, most_documents: int = 300, windows: int = 4, stretch: int = 64, most_languages: int = 1000) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score."""
-    data, labels, languages = training_windows(docs, most_documents, windows, stretch)
+    data, labels, languages = training_windows(docs, most_documents, windows, stretch, most_languages)
     tagger = ByteTagger(languages, stretch=stretch).fit(data, labels) if languages else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,7 +101,8 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int =
     scratch = Scratch(spark, "quality")
     rows = scratch.table(document_features(docs, *site_columns()), "features")
     sample = labelled_sample(labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), most_labelled)
-    seen = rows.join(F.broadcast(sample), "doc_id").select("x", "quality").limit(2 * most_labelled).toPandas()  # the sample's bound, twice for repeated rows
+    one = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("x", "text_key").alias("x"))  # of several rows with an id one
+    seen = one.orderBy("doc_id").select("x", "quality").toPandas()
     model = None
     if seen["quality"].nunique() > 1:
         model = Logistic().fit(np.stack(seen["x"]), seen["quality"].to_numpy(float))

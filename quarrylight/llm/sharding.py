@@ -2,8 +2,9 @@
 
 Arrivals are appended as small immutable shards (Parquet files). Shards of similar size form a tier; when a tier has
 `fanout` shards or more, runs of them are merged into files of about the target size. Every change ends with
-a manifest of the next version, written aside and renamed into place, which fails if another writer was first; readers see
-the old or the new version, never a part of either. Files of no kept version are removed afterwards.
+a manifest of the next version, written aside and renamed into place, which fails if another writer was first; that change
+then is made to the newer version. Readers see the old or the new version, never a part of either. Files of no kept version
+are removed once they are older than any write or read that may still need them.
 
 The driver handles names and sizes of shards only. Merged rows go straight to the task that writes their shard; a shard is
 bounded by the target size, so no key makes a task larger than others.
@@ -16,8 +17,11 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,13 +77,30 @@ class ShardStore:
 
     # appending, merging, reading ---------------------------------------------------------------------------------------
 
+    def _publish(self, change: Callable[[dict], tuple[str | None, list[dict]] | None], tries: int = 20) -> int | None:
+        """Commit what `change` makes of the last manifest (schema, shards), on a newer one if another writer was first.
+
+        None if `change` gives none: what it wanted to replace is gone.
+        """
+        for _ in range(tries):
+            now = self.manifest()
+            told = change(now)
+            if told is None:
+                return None
+            try:
+                self._commit(now["version"] + 1, *told)
+                return now["version"] + 1
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName() and now["version"] + 1 not in self.versions():
+                    raise
+        raise RuntimeError(f"{tries} other writers were first")
+
     def append(self, rows: DataFrame) -> int:
         """Add an arrival; each task's rows become a shard. Returns the new version."""
-        now = self.manifest()
-        folder = f"data/v{now['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+        folder = f"data/v{self.manifest()['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
         rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        self._commit(now["version"] + 1, rows.schema.json(), now["shards"] + self._shards_in(folder))
-        return now["version"] + 1
+        new = self._shards_in(folder)
+        return self._publish(lambda now: (rows.schema.json(), now["shards"] + new))
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(1, size) / self.smallest, self.fanout)) + 1) if size >= self.smallest else 0
@@ -119,21 +140,40 @@ class ShardStore:
             named = rows.withColumn(file, F.concat_ws("/", F.lit("data"), F.element_at(F.split(told["file_path"], "/"), -2), told["file_name"]))
             dealt = named.join(F.broadcast(places.toDF(file, target)), file).repartitionById(len(runs), F.col(target))
             dealt.select(rows.columns).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-            left = [x for x in now["shards"] if x["file"] not in group]
-            self._commit(now["version"] + 1, now["schema"], left + self._shards_in(folder))
+            new = self._shards_in(folder)
+
+            def swapped(last: dict, group=group, new=new) -> tuple[str | None, list[dict]] | None:
+                left = [x for x in last["shards"] if x["file"] not in group]
+                return (last["schema"], left + new) if len(left) + len(group) == len(last["shards"]) else None
+
+            if self._publish(swapped) is None:  # another writer has merged some of them
+                self._fs.delete(self._path(folder), True)
         return self.manifest()["version"]
 
-    def vacuum(self, retain: int = 1) -> None:
-        """Delete the shards that none of the last `retain` versions names."""
+    def vacuum(self, retain: int = 1, older_than_seconds: float = 86_400) -> None:
+        """Delete the manifests before the last `retain` ones, and the shards that none of those names.
+
+        Only what is older than older_than_seconds goes: a writer's arrival that isn't committed yet and shards that a
+        reader of an older version still reads are younger. 0 is for a store that nobody else uses just then.
+        """
+        stale = time.time() * 1000 - older_than_seconds * 1000
+        old = self.versions()[:-retain]
         kept = {x["file"] for v in self.versions()[-retain:] for x in self.manifest(v)["shards"]}
+        for status in self._listed("manifests"):
+            name = status.getPath().getName()
+            if status.getModificationTime() <= stale and (name.endswith(".tmp") or int(name[1:-5]) in old):
+                self._fs.delete(status.getPath(), False)
+        kept |= {x["file"] for v in self.versions() for x in self.manifest(v)["shards"]}
         for folder in self._listed("data"):
-            name = f"data/{folder.getPath().getName()}"
-            own = self._shards_in(name)
-            for x in own:
-                if x["file"] not in kept:
-                    self._fs.delete(self._path(x["file"]), False)
-            if not any(x["file"] in kept for x in own):
-                self._fs.delete(self._path(name), True)
+            files = list(self._fs.listStatus(folder.getPath()))
+            names = [f"data/{folder.getPath().getName()}/{x.getPath().getName()}" for x in files]
+            young = [x.getModificationTime() > stale for x in files]
+            if not any(young) and not any(x in kept for x in names) and folder.getModificationTime() <= stale:
+                self._fs.delete(folder.getPath(), True)
+                continue
+            for x, name, new in zip(files, names, young, strict=True):
+                if name not in kept and not new and x.getPath().getName().startswith("part-"):
+                    self._fs.delete(x.getPath(), False)
 
     def _read(self, schema: str | None, files: list[str]) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -152,7 +192,7 @@ def shard(docs: DataFrame, root: str, arrivals: int = 3, target_bytes: int = 32
     for k in range(arrivals):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
         store.compact()
-        store.vacuum()
+        store.vacuum(older_than_seconds=0)  # the only writer, and nobody reads yet
     return store
 
 

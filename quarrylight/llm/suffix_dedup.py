@@ -223,7 +223,7 @@ def cut_stretches(picks: DataFrame, length: int) -> DataFrame:
     kinds = [("gram", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("times", pa.int64()), ("lo", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 8 << 20):
             for row, text, stretches in zip(batch.column("row_id").to_pylist(), batch.column("text"), batch.column("stretches").to_pylist(), strict=True):
                 view = memoryview(text.as_buffer())
                 pieces = pa.array([bytes(view[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in stretches], pa.binary())
@@ -456,7 +456,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and the SHA-256 of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 8 << 20):
             out = []
             for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 text, runs = text.as_py(), merged(spans)

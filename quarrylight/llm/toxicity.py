@@ -5,7 +5,8 @@ before it. In training those are out-of-fold predictions, so that a later model
 Features are words and beginnings of words, chosen per category by their association with it in the labelled sample,
 and the shape of the text.
 
-The sample is bounded (`most_labelled` rows, chosen by a hash of doc_id); counting words over it is a Spark job, and the
+The sample is bounded (`most_labelled` documents, chosen by a hash of doc_id; of several rows with an id the one whose text
+has the least hash); counting words over it is a Spark job, and the
 driver gets only the chosen vocabulary and the sample's rows in it. Every document's whole text is scored.
 
 Defined results: null text counts as empty; a null doc_id is carried through; null labels are no labels; repeated rows get
@@ -111,7 +112,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
             found = [sorted({f for w in WORD.findall(t.as_py().decode(errors="replace").lower()) for f in word_features(w)}) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.string()))], [*part.schema.names, "words"])
 
-    seen = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", *names)
+    seen = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", *names)
     seen = scratch.table(seen.mapInArrow(words, f"doc_id long, text binary, {', '.join(f'{k} int' for k in names)}, words array<string>"), "sample")
     chosen = list(dict.fromkeys(f for k in names for f in _vocabulary(seen, k, vocabulary, least_rows)))
 
@@ -121,7 +122,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
             x = pa.array([hits.row(t.as_py()).astype(np.float32).tobytes() for t in part.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(k) for k in names), x], ["doc_id", *names, "x"])
 
-    got = seen.select("doc_id", "text", *names).mapInArrow(sample_rows, f"doc_id long, {', '.join(f'{k} int' for k in names)}, x binary").orderBy("doc_id").limit(most_labelled).toPandas()
+    got = seen.select("doc_id", "text", *names).mapInArrow(sample_rows, f"doc_id long, {', '.join(f'{k} int' for k in names)}, x binary").orderBy("doc_id").toPandas()  # as many rows as the sample has documents
     width = len(chosen) + N_FEATURES
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]) if len(got) else np.zeros((0, width), np.float32)
     chain = Chain().fit(x, got[names].to_numpy().reshape(-1, len(names)))

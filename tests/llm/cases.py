@@ -29,6 +29,7 @@ def rows(odd: bool = True) -> list[tuple]:
         (None, prose(5, 65), "xb", None, None), (None, None, None, None, None), (None, None, None, None, None), (400, None, "xa", "site2", None), (401, "", None, "", 0), (402, " \t\n", "xa", "/", 3),
         (403, "12345 !!", "xb", "a//b", 8), (404, LONG, "xa", "site2/p0", len(LONG)), (405, LONG + " x", None, "site2/p0", None), (7, prose(7, 67), "xb", "site1/p1", 0), (8, prose(999, 70), "xa", "site1/p1", 0),
         (406, "\x00 null ﻿ bytes   <|endoftext|> ▁▁ mark 😀", "xb", "x/y/z", 1), (407, "A", "xa", "x", 1), (-5, "Tiny Text here", "xa", "x", 1),
+        (5 * 10**18, prose(41, 66), "xa", "site0", 0), (-(2**63), prose(42, 66), "xb", "site1", 0), (2**63 - 1, prose(43, 66), "xb", "site1", 0),
     ]
     return plain + copies + near + shared + strange
 

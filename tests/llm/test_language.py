@@ -53,6 +53,28 @@ def test_every_position_counts_and_nothing_of_the_label():
     assert not np.allclose(tagger.pool([texts[0] + b" zzzzzz qqqq" * 40]), whole[:1], atol=1e-4)
 
 
+def test_the_query_is_the_network_over_whole_texts(spark):
+    """Against one process that trains on the same windows and reads every text whole."""
+    at = cases.sf()
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    data, labels, languages = op.training_windows(docs, 300, 4, 64)
+    tagger = op.ByteTagger(languages, stretch=64).fit(data, labels)
+    rows = docs.select("doc_id", "text").collect()
+    p = tagger.pool([(r["text"] or "").encode() for r in rows])
+    found = {r["doc_id"]: r for r in op.op4_language(spark, at).collect()}
+    for r, own in zip(rows, p, strict=True):
+        if op.A_LETTER.search(r["text"] or ""):
+            assert found[r["doc_id"]]["lang_pred"] == languages[own.argmax()] and abs(found[r["doc_id"]]["score"] - own.max()) < 1e-4
+
+
+def test_languages_are_bounded_by_a_parameter(spark):
+    rows = [(k, cases.prose(k, 40), f"l{k % 7}", "s", 1) for k in range(70)]
+    docs = cases.table(spark, rows)
+    assert len(op.training_windows(docs, 300, 4, 64)[2]) == 7
+    data, labels, languages = op.training_windows(docs, 300, 4, 64, most_languages=3)
+    assert len(languages) == 3 and len(data) == len(labels) and set(labels) == {0, 1, 2}
+
+
 def test_without_languages_or_letters(spark):
     rows = [(k, t, None, "s", 1) for k, t in enumerate(["abc def", "", None, "12 ²", "ß"])]
     assert {r["lang_pred"] for r in op.identify(cases.table(spark, rows)).collect()} == {"und"}

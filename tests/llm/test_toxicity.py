@@ -52,6 +52,33 @@ def test_held_out_labels(spark):
     assert np.mean([p >= 0.5 for p in toxic]) > 0.7 and np.mean([p >= 0.5 for p in clean]) < 0.03
 
 
+def test_the_query_against_one_process(spark):
+    """Words counted, chosen, and every document scored in plain Python."""
+    at = cases.sf()
+    docs = {r["doc_id"]: (r["text"] or "") for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{at}/labels.parquet").dropna().collect()}
+    ids = sorted(d for d in labels if d in docs)
+    y = np.array([[int(labels[d]["quality"] == 0), labels[d]["toxic"], int(labels[d]["quality"] == 0 and labels[d]["toxic"] == 1)] for d in ids])
+    words = [sorted({f for w in op.WORD.findall(docs[d].lower()) for f in op.word_features(w)}) for d in ids]
+    chosen = []
+    for own in y.T:
+        n, k, share = {}, {}, own.mean()
+        for found, one in zip(words, own, strict=True):
+            for f in found:
+                n[f], k[f] = n.get(f, 0) + 1, k.get(f, 0) + int(one)
+        part = lambda a, b: a * np.log(a / b) if a > 0 else 0.0
+        score = {f: part(k[f], n[f] * share) + part(n[f] - k[f], n[f] * (1 - share)) for f in n if n[f] >= 3} if 0 < share < 1 else {}
+        best = sorted((f for f in score if score[f] > 4), key=lambda f: (-score[f], f))[:150]
+        chosen += [f for f in best if f not in chosen]
+    hits = op.Hits(chosen)
+    rows = np.stack([hits.row(docs[d].encode()).astype(np.float32) for d in ids])
+    chain = op.Chain().fit(rows, y)
+    want = chain.predict(np.stack([hits.row(t.encode()) for t in docs.values()]))
+    found = {r["doc_id"]: r for r in op.op1_toxicity(spark, at).collect()}
+    for d, p in zip(docs, want, strict=True):
+        assert np.allclose([found[d]["p_unsound"], found[d]["p_toxic"], found[d]["p_toxic_unsound"]], p, atol=1e-3)
+
+
 def test_without_labels(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = op.toxicity(cases.table(spark, clashing=True), labels, {"toxic": F.col("toxic") == 1})
