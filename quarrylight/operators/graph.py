@@ -5,8 +5,11 @@ A round is a join on edges; its result is written to the shared folder where the
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quarrylight.session import cut
 
@@ -37,15 +40,56 @@ def reachability(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("reachability did not settle")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def components_of(edges: list[tuple]) -> list[tuple]:
+    """(node, component) of a few edges: depth first forward, then backward in the order of leaving."""
+    out, back = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+        back[b].append(a)
+
+    def walk(start, links: dict, seen: set) -> list:
+        left, path = [], [(start, iter(links[start]))]
+        seen.add(start)
+        while path:
+            node, rest = path[-1]
+            for x in rest:
+                if x not in seen:
+                    seen.add(x)
+                    path.append((x, iter(links[x])))
+                    break
+            else:
+                left.append(node)
+                path.pop()
+        return left
+
+    order, seen = [], set()
+    for node in sorted({x for e in edges for x in e}):
+        if node not in seen:
+            order += walk(node, out, seen)
+    found, seen = [], set()
+    for node in reversed(order):
+        if node not in seen:
+            own = walk(node, back, seen)
+            found += [(x, min(own)) for x in own] if len(own) > 1 else []
+    return found
+
+
+def strong_components(edges: DataFrame, most_rounds: int = 200, small: int = 20_000) -> DataFrame:
     """node, component (its least node) of every strongly connected component of two nodes or more.
 
     Nodes without way in or out are trimmed; then the least label is passed forward and, among nodes of one forward label,
-    backward from its owner. What both reach is a component; the rest goes on without it. No paths are built.
+    backward from its owner. What both reach is a component; the rest goes on without it. No paths are built. Once at most
+    `small` edges are left, the driver finishes them.
     """
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     for _ in range(most_rounds):
+        rest = left.take(small + 1)
+        if len(rest) <= small:
+            kind = left.schema["src"].dataType
+            shape = StructType([StructField("node", kind), StructField("component", kind)])
+            own = left.sparkSession.createDataFrame(components_of([tuple(r) for r in rest]), shape)
+            return own if found is None else found.unionByName(own)
         while True:
             size = left.count()
             left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))

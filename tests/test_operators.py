@@ -111,7 +111,8 @@ def test_filters_and_pages(spark):
 
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1)], "src int, dst int")
-    assert out(graph.strong_components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    for small in (0, 3, 20_000):  # rounds of joins to the end, some, or none
+        assert out(graph.strong_components(edges, small=small)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
     assert out(graph.trace(edges, spark.createDataFrame([(7,)], "node int"), 3)) == [(1, 1), (2, 2), (3, 3)]
     assert graph.reachability(edges).where("src = 7").count() == 5
     assert graph.strong_components(edges.where("src = 7")).count() == 0
