@@ -133,7 +133,7 @@ def similar_components(texts: DataFrame, scratch: Scratch, percent: int = 80, wo
     sets_of = scratch.table(sets_of, "sets")
     same = rows.join(sets_of.where("rows > 1"), ["d1", "d2"]).select(F.col("row_id").alias("u"), F.col("first").alias("v")).where("u <> v")
     one = rows.join(sets_of.select(F.col("first").alias("row_id")), "row_id", "left_semi")
-    keyed = scratch.table(one.select("row_id", "n", F.explode("keys").alias("key")), "keyed")
+    keyed = scratch.table(one.select("row_id", "n", F.posexplode("keys").alias("band", "key")), "keyed")
     shared = keyed.groupBy("key").agg(F.min(F.struct("row_id", "n")).alias("least"), F.count("*").alias("times")).where("times > 1")
     banded = scratch.table(keyed.join(shared.select("key", "least"), "key"), "banded")
     scratch.drop("keyed")
@@ -145,14 +145,16 @@ def similar_components(texts: DataFrame, scratch: Scratch, percent: int = 80, wo
     sets = scratch.table(set_table(texts.join(members, "row_id", "left_semi"), words_in), "members")
     edges = scratch.table(verified(star, sets, percent), "star")
     roots = scratch.table(connected_components(edges), "roots-1")
-    member = banded.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("key", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
+    member = banded.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("key", "band", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
     open_keys = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = member.join(open_keys, "key", "left_semi").join(one.select("row_id", *SKETCH), "row_id")
+    left = member.join(open_keys, "key", "left_semi").join(one.select("row_id", *SKETCH, "keys"), "row_id")
     left = scratch.table(left, "open")
-    other = left.withColumnsRenamed({"row_id": "v", "n": "m", "root": "other"} | {p: f"q{p}" for p in SKETCH})
+    other = left.drop("band").withColumnsRenamed({"row_id": "v", "n": "m", "root": "other", "keys": "its_keys"} | {p: f"q{p}" for p in SKETCH})
     differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p}"))) for p in SKETCH))
     may = differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-    rest = left.withColumnRenamed("row_id", "u").join(other, "key").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("other")) & sized(F.col("n"), F.col("m")) & may).select("u", "v").distinct()
+    # a pair meets in each band that it shares and becomes a row in the first of them
+    once = F.array_position(F.zip_with("keys", "its_keys", lambda a, b: a == b), True) == F.col("band") + 1
+    rest = left.withColumnRenamed("row_id", "u").join(other, "key").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("other")) & sized(F.col("n"), F.col("m")) & may & once).select("u", "v")
     rest = rest.join(star, ["u", "v"], "left_anti")
     more = verified(rest, sets, percent)
     found = connected_components(scratch.table(edges.unionByName(more).unionByName(same), "edges"))
