@@ -348,9 +348,9 @@ def envelope_errors(t: Tables) -> DataFrame:
     return ledger.envelope_errors(rows).select("event_id")
 
 
-@query("""WITH p AS (SELECT user_id AS run_id, event_id AS place, CAST(value AS BIGINT) AS written, CASE WHEN user_id % 5 = 0 THEN 'budget_exceeded' END AS last_error FROM events),
+@query("""WITH p AS (SELECT user_id AS run_id, event_id AS place, CAST(floor(value) AS BIGINT) AS written, CASE WHEN user_id % 5 = 0 THEN 'budget_exceeded' END AS last_error FROM events),
 c AS (SELECT *, coalesce(sum(written) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
-SELECT run_id, place, CAST(before AS BIGINT) AS written_before, CASE WHEN last_error IS NOT NULL THEN 'resume_blocked' WHEN before >= 500 THEN 'budget_exceeded' ELSE 'ok' END AS state FROM c""".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
+SELECT run_id, place, CAST(before AS BIGINT) AS written_before, CASE WHEN last_error IS NOT NULL THEN 'resume_blocked' WHEN before >= 500 THEN 'budget_exceeded' ELSE 'ok' END AS state FROM c""")
 def phase_budgets(t: Tables) -> DataFrame:
     rows = t.read("events").select(col("user_id").alias("run_id"), col("event_id").alias("place"), F.floor("value").alias("written"), F.when(col("user_id") % 5 == 0, "budget_exceeded").alias("last_error"))
     return ledger.phase_states(rows, 500).drop("written", "last_error")
