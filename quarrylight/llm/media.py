@@ -106,22 +106,21 @@ def sequences(pages: DataFrame, key: str, html: str, *carried: str) -> DataFrame
     return rows.mapInArrow(run, T.StructType([*rows.drop(html).schema, T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM_COLUMNS)))]))
 
 
-def resolve(found: DataFrame, key: str, store: DataFrame) -> DataFrame:
-    """One row an item: key, position, kind, text, ref, caption and the store's columns for its digest.
+def align(found: DataFrame, key: str, store: DataFrame, *columns: str) -> DataFrame:
+    """found with the store's columns in every item of its sequences (null where the store lacks the digest); order, positions
+    and captions stay as they are.
 
-    store: digest (unique) and further columns. References read sha256:<digest>.
+    found: key (unique), items and further columns; store: digest (unique) and the columns. References read sha256:<digest>.
+    What a page refers to goes through the digest join once, and the sequences move once, to meet what was found.
     """
-    items = found.select(key, F.explode("items").alias("i")).select(key, "i.*")
-    items = items.withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64)))
-    # items without a digest get keys of their own that match nothing, so that they don't meet in one task
-    items = items.withColumn("digest", F.coalesce("digest", F.concat_ws("-", F.lit("none"), F.xxhash64(key, "position"))))
-    return items.join(store, "digest", "left").drop("digest")
-
-
-def aligned(resolved: DataFrame, key: str, *columns: str) -> DataFrame:
-    """The resolved items as one ordered array a page."""
-    item = F.struct("position", "kind", "text", "ref", "caption", *columns)
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    digest = lambda x: F.when(x["ref"].startswith("sha256:"), F.substring(x["ref"], 8, 64))
+    taken = {c.lower() for c in found.columns}
+    own, media = (next(n for n in (name + "_" * k for k in range(99)) if n.lower() not in taken) for name in ("_key", "_media"))
+    refs = found.select(F.col(key).alias(own), F.explode(F.array_distinct(F.array_compact(F.transform("items", digest)))).alias("digest"))
+    known = refs.join(store.select("digest", F.struct(*columns).alias("_v")), "digest").groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("digest", "_v"))).alias(media))
+    value = lambda x: F.try_element_at(F.col(media), digest(x))
+    item = lambda x: F.struct(*(x[c].alias(c) for c in ("position", "kind", "text", "ref", "caption")), *(value(x)[c].alias(c) for c in columns))
+    return found.join(known, F.col(key) == F.col(own), "left").withColumn("items", F.transform("items", item)).select(*found.columns)
 
 
 def to_pgm(payload: bytes) -> bytes:
@@ -219,9 +218,9 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def document_sequences(stored: DataFrame, features: DataFrame) -> DataFrame:
-    """item and items: the whole page of each stored document, in order, with the features of its media."""
+    """item, doc_id, n_bytes and items: the whole page of each stored document, in order, with the features of its media."""
     columns = [c for c in features.columns if c != "digest"]
-    return aligned(resolve(stored.select("item", "items"), "item", features), "item", *columns)
+    return align(stored.select("item", "doc_id", "n_bytes", "items"), "item", features, *columns)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +232,5 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_payloads(documents(spark, sf_dir), scratch, texts=False)
     features = scratch.table(media_features(stored), "features")
     first = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0))
-    found = document_sequences(stored, features).select("item", first.alias("m"), F.size("items").cast("long").alias("n_items"))
-    return stored.select("item", "doc_id", "n_bytes").join(found, "item").select(
-        "doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption", "n_items"
-    )
+    found = document_sequences(stored, features).select("doc_id", "n_bytes", first.alias("m"), F.size("items").cast("long").alias("n_items"))
+    return found.select("doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption", "n_items")

@@ -67,9 +67,9 @@ def test_sequences_stay_in_order():
 def test_references_resolve_and_align(spark):
     pages = spark.createDataFrame([(1, '<p>a</p><img src="sha256:' + "ab" * 32 + '"><p>b</p><img src="sha256:' + "cd" * 32 + '" alt="lost">'), (2, None), (3, "")], "page_id long, html string")
     store = spark.createDataFrame([("ab" * 32, 7)], "digest string, media_bytes long")
-    items = op.aligned(op.resolve(op.sequences(pages, "page_id", "html"), "page_id", store), "page_id", "media_bytes").collect()
-    assert [(x["kind"], x["text"], x["caption"], x["media_bytes"]) for x in items[0]["items"]] == [("text", "a", None, None), ("media", None, None, 7), ("text", "b", None, None), ("media", None, "lost", None)]
-    assert len(items) == 1
+    items = {r["page_id"]: r["items"] for r in op.align(op.sequences(pages, "page_id", "html"), "page_id", store, "media_bytes").collect()}
+    assert [(x["kind"], x["text"], x["caption"], x["media_bytes"]) for x in items[1]] == [("text", "a", None, None), ("media", None, None, 7), ("text", "b", None, None), ("media", None, "lost", None)]
+    assert [x["position"] for x in items[1]] == [0, 1, 2, 3] and items[2] == items[3] == []
 
 
 def test_features_of_the_pages_table(spark):
