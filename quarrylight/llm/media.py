@@ -98,7 +98,7 @@ def sequences(pages: DataFrame, key: str, html: str, *carried: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
-        for part in slices(batches, html, 4 << 20):
+        for part in slices(batches, html, 2 << 20):
             rest = part.drop_columns([html])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([interleave(x) for x in part.column(html).to_pylist()], pa.list_(kind))], [*rest.schema.names, "items"])
 
@@ -164,7 +164,7 @@ def payload_pages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 2 << 20):
             out = []
             for x in part.column("text"):
                 raw = x.as_py()
@@ -200,7 +200,7 @@ def media_features(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in slices(batches, "media", 8 << 20):
+        for batch in slices(batches, "media", 2 << 20):
             out = []
             for digest, x in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
                 media = x.as_py()
