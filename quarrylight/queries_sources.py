@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,18 +113,15 @@ CASE l_linenumber WHEN 1 THEN 'def' WHEN 2 THEN 'assign' WHEN 3 THEN 'decl' ELSE
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT l_suppkey FROM lineitem)""")
 def symbol_index(t: Tables) -> DataFrame:
     """An index of each supplier's lines, local symbols among them, and one that is cut off."""
-
-    @F.pandas_udf("binary")
-    def encoded(paths: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([scip.index_bytes(p, "python", [(x["symbol"], int(x["roles"]), [int(n) for n in x["span"]]) for x in rows] + [("local 1", 1, [1, 1, 2])]) for p, rows in zip(paths, own, strict=True)])
-
     n = col("l_linenumber")
     symbol = text("scip-python pip pkg", col("l_partkey") % 7, " 1.0 C", col("l_partkey"), "#run().")
     span = F.array((col("l_orderkey") % 5000).cast("int"), n, n + col("l_quantity").cast("int"))
     roles = F.when(n == 1, 1).when(n == 2, 4).when(n == 3, 64).otherwise(8)
     path = text(F.when(col("l_suppkey") % 2 == 0, "src").otherwise("lib"), "/f", col("l_suppkey"), ".py")
-    files = t.read("lineitem").groupBy(path.alias("path")).agg(F.collect_list(F.struct(symbol.alias("symbol"), roles.alias("roles"), span.alias("span"))).alias("own"))
-    good = files.select("path", encoded("path", "own").alias("content"))
+    local = F.array(F.struct(F.lit("local 1").alias("symbol"), F.lit(1).alias("roles"), F.array(F.lit(1), F.lit(1), F.lit(2)).alias("span")))
+    own = F.concat(F.collect_list(F.struct(symbol.alias("symbol"), roles.alias("roles"), span.alias("span"))), local)
+    files = t.read("lineitem").groupBy(path.alias("path")).agg(own.alias("own"))
+    good = files.select("path", scip.encoded_index("path", "own").alias("content"))
     broken = files.select("path", F.unhex(F.lit("12FF01616263")).alias("content"))
     found = scip.index_occurrences(good.unionByName(broken).withColumn("length", F.octet_length("content")), "sha")
     return found.select("file_path", F.when(col("error").isNull(), col("language")).alias("language"), "qualified_name", "kind", "line", "col_start", "col_end")

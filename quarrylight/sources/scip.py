@@ -128,6 +128,12 @@ def index_bytes(path: str, language: str, occurrences: Iterator[tuple[str, int,
     return _field(2, _field(1, path.encode()) + own + _field(4, language.encode()))
 
 
+@F.pandas_udf("binary")
+def encoded_index(paths: pd.Series, own: pd.Series) -> pd.Series:
+    """An index a row: a path and its occurrences (structs of symbol, roles, span)."""
+    return pd.Series([index_bytes(p, "python", ((x["symbol"], int(x["roles"]), [int(n) for n in x["span"]]) for x in rows)) for p, rows in zip(paths, own, strict=True)])
+
+
 def synthetic_occurrences(spark: SparkSession, n: int, symbols: int = 1000, files: int = 100) -> DataFrame:
     """n occurrences in modular cycles: each tenth is a definition, every seventh lies in vendor code."""
     k = F.col("id")
