@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quarrylight.functions.ids import occurrence_kind, qualified_name, symbol_id
 from quarrylight.functions.paths import language_of
@@ -128,7 +129,7 @@ def index_bytes(path: str, language: str, occurrences: Iterator[tuple[str, int,
     return _field(2, _field(1, path.encode()) + own + _field(4, language.encode()))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encoded_index(paths: pd.Series, own: pd.Series) -> pd.Series:
     """An index a row: a path and its occurrences (structs of symbol, roles, span)."""
     return pd.Series([index_bytes(p, "python", ((x["symbol"], int(x["roles"]), [int(n) for n in x["span"]]) for x in rows)) for p, rows in zip(paths, own, strict=True)])
