@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express one, the SQL for its rows."""
 
-from quarrylight.llm import exact_dedup, language, media, packing, pieces, quality, sharding, simhash, suffix_dedup, toxicity
+from quarrylight.llm import exact_dedup, language, media, packing, pieces, quality, runs, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,5 +13,6 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op11_runs": runs.op11_runs,
 }
 ORACLE: dict[str, str] = {**exact_dedup.ORACLE}
