@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express one, the SQL for its rows."""
 
-from quarrylight.llm import exact_dedup, language, media, packing, pieces, quality, runs, sharding, simhash, suffix_dedup, toxicity
+from quarrylight.llm import exact_dedup, language, media, overlap, packing, pieces, quality, runs, sharding, simhash, spelling, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,5 +14,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op11_runs": runs.op11_runs,
+    "op12_ngram_join": overlap.op12_ngram_join,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLE: dict[str, str] = {**exact_dedup.ORACLE}
