@@ -90,6 +90,8 @@ def texts_of(texts, held={}):  # noqa: B006
 def test_occurrences(lists, need):
     times = Counter(x for s in lists for x in s)
     assert op.occurring([sorted(s) for s in lists], need) == sorted(x for x, n in times.items() if n >= need)
+    own = {x: need + x % 3 for x in times}
+    assert op.occurring([sorted(s) for s in lists], need, own) == sorted(x for x, n in times.items() if n >= own[x])
 
 
 @given(st.sets(st.integers(0, 400), min_size=1, max_size=150), st.sets(st.integers(0, 400), max_size=12), st.integers(0, 12))
