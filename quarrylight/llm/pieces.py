@@ -11,8 +11,9 @@ relaxing keeps one piece a position, and the path back from the end is the encod
 together, position by position; only very long ones are taken alone. Unigram vocabularies would keep the best sum
 instead; the operator refuses them.
 
-Words with two marks in a row are merged plainly: their pieces' scores tie, which position decides. Characters that no
-piece has become byte pieces.
+Pieces of marks alone tie and are merged last, from the left. So of a run of marks the last one goes to the lattice with the
+word that it starts, and the others are joined afterwards, in time linear in their number. Characters that no piece has become
+byte pieces.
 
 Defined results: null text counts as empty and has no pieces; a null doc_id is carried through; repeated rows get equal
 values; an empty table gives an empty result; further columns are ignored. A text round-trips unless it holds the word mark
@@ -63,8 +64,9 @@ class PieceModel:
         self.id_of = {p.piece: k for k, p in enumerate(told.pieces) if p.type == NORMAL}
         self.byte_id = {int(p.piece[3:5], 16): k for k, p in enumerate(told.pieces) if p.type == BYTE}
         self.value_of = {k: b for b, k in self.byte_id.items()}
-        if any(MARK in x.lstrip(MARK) for x in self.id_of):
+        if any(MARK in x[1:] for x in self.id_of if x.strip(MARK)):
             raise ValueError("a piece reaches across a word's start")
+        self.runs = {len(x) for x in self.id_of if x and not x.strip(MARK)}
         order = sorted((x for x in self.id_of if len(x) > 1), key=lambda x: (-told.pieces[self.id_of[x]].score, self.id_of[x]))
         self.rank = {x: -1 for x in self.id_of if len(x) == 1} | {x: k for k, x in enumerate(order)}
         self.halves: dict[str, tuple[str, str]] = {}
@@ -84,18 +86,20 @@ class PieceModel:
         pairs = [(a * n + b, k) for k, x in enumerate(self.names) for i in range(1, len(x)) if (a := get(x[:i])) is not None and (b := get(x[i:])) is not None]
         keys, made = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
         order = np.argsort(keys)
+        self.as_dict: dict[int, int] | None = None
         self.pair_keys, self.pair_ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(self.ranks[made[order]], NEVER)
 
-    def merge(self, text: str) -> list[str]:
-        """Plain merging: the best pair first, of equal ones the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min((self._tied(a + b), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == np.inf:
-                break
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+    def merged_marks(self, n: int) -> list[int]:
+        """The lengths of the pieces of a run of marks: the leftmost two that make a piece are merged, again and again.
+
+        What lies left of the first such pair is settled, so each mark joins a stack and merges there as long as it can.
+        """
+        out: list[int] = []
+        for _ in range(n):
+            out.append(1)
+            while len(out) > 1 and out[-2] + out[-1] in self.runs:
+                out[-2:] = [out[-2] + out[-1]]
+        return out
 
     def _tied(self, piece: str) -> float:
         """Runs of marks tie; they come last of all."""
@@ -112,6 +116,25 @@ class PieceModel:
         self.halves[piece] = parts[0], parts[1]
         return True
 
+    def follows(self, left: int, right: int) -> bool:
+        """`follow` for one pair."""
+        limit, ties, n = NEVER, False, len(self.names)
+        if self.as_dict is None:
+            self.as_dict = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+            self.as_lists = self.ranks.tolist(), self.left.tolist(), self.right.tolist()
+        ranks, lefts, rights = self.as_lists
+        while True:
+            across = self.as_dict.get(left * n + right, NEVER)
+            if across < limit or (across == limit and ties):
+                return False
+            a, b = ranks[left], ranks[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:  # the left piece was made later: undo it
+                limit, ties, left = a, False, rights[left]
+            else:
+                limit, ties, right = b, True, lefts[right]
+
     def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For pairs of numbered pieces, whether the encoding of both together is just these two.
 
@@ -207,15 +230,20 @@ class PieceEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of new words to the flat table."""
-        plain = [MARK * 2 in w for w in words]
-        ids, n = self.lattice([w for w, p in zip(words, plain, strict=True) if not p])
-        merged = [np.array(self._ids(self.model.merge(w)), np.uint32) for w, p in zip(words, plain, strict=True) if p]
-        order = np.argsort(np.array(plain), kind="stable")
-        sizes = np.empty(len(words), np.int64)
-        sizes[order] = np.concatenate([n, np.array([len(x) for x in merged], np.int64)])
-        starts = np.empty(len(words), np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
-        self.flat, self.at, self.n = np.concatenate([self.flat, ids, *merged]), np.concatenate([self.at, starts]), np.concatenate([self.n, sizes])
+        marks = [len(w) - len(w.lstrip(MARK)) for w in words]
+        cores = [w[m - 1 :] if m > 1 else w for w, m in zip(words, marks, strict=True)]
+        ids, n = self.lattice(cores)
+        ends, one, kept, done = np.cumsum(n), self.model.id_of[MARK], [], 0
+        for k in (k for k, m in enumerate(marks) if m > 1):
+            start = int(ends[k] - n[k])
+            joins = int(ids[start]) == one  # the lattice's first piece is a mark alone, which joins the run
+            run = [self.model.id_of[MARK * x] for x in self.model.merged_marks(marks[k] - 1 + joins)]
+            kept += [ids[done:start], np.array(run, np.uint32)]
+            done = start + joins
+            n[k] += len(run) - joins
+        ids = np.concatenate([*kept, ids[done:]])
+        starts = np.cumsum(n) - n + len(self.flat)
+        self.flat, self.at, self.n = np.concatenate([self.flat, ids]), np.concatenate([self.at, starts]), np.concatenate([self.n, n])
 
     def lattice(self, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has. Words of up to `together` characters are relaxed together."""
@@ -254,16 +282,19 @@ class PieceEncoder:
 
     def _relax_alone(self, edges: np.ndarray, end: np.ndarray, size: np.ndarray, piece: np.ndarray, last: np.ndarray) -> None:
         """The same for the edges of very long words, one at a time."""
-        done, held = -1, {}
-        for k in edges.tolist():
-            e = int(end[k])
-            if e != done:
-                pair = int(last[e - size[k]]), int(piece[k])
-                ok = pair[0] < 0 or held.get(pair)
-                if ok is None:
-                    ok = held[pair] = bool(self.model.follow(np.array(pair[:1]), np.array(pair[1:]))[0])
-                if ok:
-                    last[e], done = pair[1], e
+        done, held, follows = -1, {}, self.model.follows
+        kept = last.tolist() if len(edges) else []
+        for e, n, right in zip(end[edges].tolist(), size[edges].tolist(), piece[edges].tolist(), strict=True):
+            if e == done:
+                continue
+            left = kept[e - n]
+            ok = left < 0 or held.get((left, right))
+            if ok is None:
+                ok = held[left, right] = follows(left, right)
+            if ok:
+                kept[e], done = right, e
+        if len(edges):
+            last[:] = kept
 
     def _paths(self, words: list[str], starts: np.ndarray, lengths: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each word's end back to its start; an unknown character gives its bytes."""
@@ -289,11 +320,6 @@ class PieceEncoder:
             ids[unknown] = raw
         return ids, np.bincount(owner, minlength=len(words))
 
-    def _ids(self, parts: list[str]) -> list[int]:
-        """Pieces to ids; an unknown character gives its bytes."""
-        id_of, byte_id = self.model.id_of, self.model.byte_id
-        return [i for x in parts for i in ([id_of[x]] if x in id_of else [byte_id[b] for b in x.encode()])]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
             self._forget()

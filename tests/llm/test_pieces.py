@@ -1,3 +1,6 @@
+import random
+import time
+
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +39,40 @@ def test_marks_and_blanks(text):
         assert ENCODER.decode(ids) == text
 
 
+@given(st.lists(st.tuples(st.integers(0, 70), st.text("abe\n▁é", max_size=6)), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_runs_of_blanks(parts):
+    text = "".join(" " * n + word for n, word in parts)
+    assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode(text)
+
+
+def test_single_pairs_follow_as_many_do():
+    import numpy as np
+
+    r = random.Random(3)
+    n = len(ENCODER.model.names)
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(20_000)]
+    pairs += [(int(a), int(b)) for a, b in zip(ENCODER.model.left, ENCODER.model.right, strict=True) if a >= 0]
+    many = ENCODER.model.follow(*(np.array([p[k] for p in pairs]) for k in (0, 1)))
+    assert [ENCODER.model.follows(*p) for p in pairs] == many.tolist() and 0 < many.sum() < len(pairs)
+
+
+def test_very_long_words_take_time_in_proportion():
+    r = random.Random(1)
+    took = {}
+    for n in (100_000, 1_000_000):
+        for name, text in {"blanks": " " * n, "letters": "  " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "same": "  " + "a" * n}.items():
+            encoder = op.PieceEncoder(op.model_path())
+            began = time.process_time()
+            ids = encoder.encode([text])[0]
+            took[name, n] = time.process_time() - began
+            assert encoder.decode(ids) == text
+            if n == 100_000:
+                assert ids.tolist() == LIBRARY.encode(text)
+    assert all(took[name, 1_000_000] < 60 for name in ("blanks", "letters", "same")), took
+    assert all(took[name, 1_000_000] < 25 * (took[name, 100_000] + 0.2) for name in ("blanks", "letters", "same")), took
+
+
 def test_whole_table(spark):
     at = cases.sf()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
