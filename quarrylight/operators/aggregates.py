@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import heapq
+from collections.abc import Iterator, Sequence
+from functools import reduce, total_ordering
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.operators.lookup import ranked
+from quarrylight.session import cut
 
 
 def counts_with_zero(dimension: DataFrame, facts: DataFrame, keys: Sequence[str], name: str = "n", condition: Column | None = None) -> DataFrame:
@@ -56,6 +60,59 @@ def heavy_hitters(rows: DataFrame, key: str, most: int, slack: float = 0.1) -> D
     return ranked(counts, [F.desc("n"), F.asc(key)], "_r").where(F.col("_r") <= keys - drop).drop("_r") if drop else counts
 
 
+def bounded_counts(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """key, n, at_most and floor of at most `most` keys: counts that need bounded memory, however many keys there are.
+
+    A task counts up to most + most // 10 keys; one more, and the most // 10 keys of the least counts go (of equal counts the
+    later keys). What a key may have lost in a task is never more than the sum of the largest counts that went there. The
+    tasks' counts are added, and the `most` largest stay. True counts of kept keys lie within n and at_most; keys that
+    aren't kept have no more than floor. Rows aren't shuffled, only what the tasks have held. A null key isn't counted.
+    """
+    limit, drop = most + most // 10, max(1, most // 10)
+    shape = f"key {rows.schema[key].dataType.simpleString()}, n long, lost long, held long"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[Any, int] = {}
+        lost = held = 0
+        for part in parts:
+            for k in part["key"]:
+                counts[k] = counts.get(k, 0) + 1
+                if len(counts) > limit:
+                    held = max(held, len(counts))
+                    least = heapq.nsmallest(drop, ((n, Reversed(k)) for k, n in counts.items()))
+                    lost += least[-1][0]
+                    for _, k in least:
+                        del counts[k.key]
+        held = max(held, len(counts))
+        yield pd.DataFrame({"key": list(counts), "n": list(counts.values()), "lost": None, "held": None}, columns=["key", "n", "lost", "held"])
+        yield pd.DataFrame({"key": [None], "n": [None], "lost": [lost], "held": [held]})
+
+    tasks = cut(rows.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).mapInPandas(run, shape))
+    lost = tasks.agg(F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"), F.max("held").alias("held"))
+    added = tasks.where("lost is null").groupBy("key").agg(F.sum("n").alias("n"))
+    kept = added.orderBy(F.desc("n"), "key").limit(most + 1).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "key")))
+    beyond = kept.agg(F.coalesce(F.max(F.when(F.col("_r") > most, F.col("n"))), F.lit(0)).alias("beyond"))
+    bound = lost.crossJoin(beyond)  # two single rows
+    found = kept.where(F.col("_r") <= most).drop("_r").crossJoin(F.broadcast(bound))
+    return found.select(F.col("key").alias(key), "n", (F.col("n") + F.col("lost")).alias("at_most"), (F.col("lost") + F.col("beyond")).alias("floor"), F.col("held").alias("most_held"))
+
+
+@total_ordering
+class Reversed:
+    """A key whose order is the reverse of its own."""
+
+    def __init__(self, key: Any):
+        self.key = key
+
+    def __lt__(self, other: Reversed) -> bool:
+        return other.key < self.key
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Reversed) and other.key == self.key
+
+    __hash__ = None
+
+
 def top_share(rows: DataFrame, order: Sequence[Column], share: float = 0.05) -> DataFrame:
     """The top share of rows (at least one), with rank from 0 and confidence 1 - rank / cutoff."""
     cutoff = max(1, int(rows.count() * share))

@@ -144,12 +144,23 @@ def tier_importance(t: Tables) -> DataFrame:
     return rounded(t.read("part").select("p_partkey", score.alias("importance")), "importance")
 
 
-@query("""WITH l AS (SELECT p_partkey, p_name, p_size % 6 AS k FROM part) SELECT p_partkey % 9 AS file, CASE k WHEN 0 THEN 'type' WHEN 1 THEN 'protocol' WHEN 2 THEN 'lazy' WHEN 3 THEN 'service_locator' WHEN 4 THEN 'framework' ELSE 'type' END AS fact,
-CASE k WHEN 0 THEN 'T' || p_partkey WHEN 1 THEN 'P' || p_partkey WHEN 2 THEN 'v' || p_partkey WHEN 3 THEN 'x.resolve(' WHEN 4 THEN 'swinject' ELSE 'A' || p_partkey || 'Mock' END AS name FROM l UNION ALL SELECT p_partkey % 9, 'double', 'A' || p_partkey || 'Mock' FROM l WHERE k = 5""")
+FACT_LINES = {
+    "swift": ["public final class T%: Base {", "  internal protocol P% {}", "    lazy var v% = f()", "let a = x%.resolve(B.self)", "import Swinject", "struct A%Mock {", "var l% = [Int]()"],
+    "kotlin": ["data class U%(val a: String)", "sealed interface S%", "  val d% by lazy { f() }", "val a = D%.getInstance()", "import dagger.hilt.X", "object F%Fake", "val l% = mutableListOf(1)"],
+}
+FACTS = """(0, 1, 'type', 'T%'), (0, 1, 'subclass', 'T%'), (0, 2, 'protocol', 'P%'), (0, 3, 'lazy', 'v%'), (0, 4, 'service_locator', 'x%.resolve('), (0, 5, 'framework', 'swinject'), (0, 6, 'type', 'A%Mock'), (0, 6, 'double', 'A%Mock'), (0, 7, 'collection_constructor', '[Int]()'),
+(1, 1, 'type', 'U%'), (1, 1, 'init_injection', 'U%'), (1, 2, 'protocol', 'S%'), (1, 2, 'sealed', 'S%'), (1, 3, 'lazy', 'd%'), (1, 4, 'service_locator', 'D%.getInstance()'), (1, 5, 'framework', 'hilt'), (1, 6, 'type', 'F%Fake'), (1, 6, 'double', 'F%Fake'), (1, 7, 'collection_factory', 'mutableListOf')"""
+
+
+@query(f"""WITH f(k, n, fact, name) AS (VALUES {FACTS}) SELECT l_orderkey AS file, fact, replace(name, '%', CAST(l_partkey AS VARCHAR)) AS name FROM lineitem JOIN f ON l_orderkey % 2 = k AND l_linenumber = n""")
 def code_facts(t: Tables) -> DataFrame:
-    n, k = col("p_partkey"), col("p_size") % 6
-    line = F.when(k == 0, text("public final class T", n, " {")).when(k == 1, text("  internal protocol P", n, " {}")).when(k == 2, text("    lazy var v", n, " = f()")).when(k == 3, "let a = x.resolve(B.self)").when(k == 4, "import Swinject").otherwise(text("struct A", n, "Mock {"))
-    files = t.read("part").groupBy((n % 9).cast("string").alias("path")).agg(F.concat_ws("\n", F.collect_list(line)).alias("text")).withColumn("language", F.lit("swift"))
+    """A source file an order, with a line of code for each of its lines."""
+    line = F.lit(None).cast("string")
+    for k, language in enumerate(FACT_LINES):
+        for n, code in enumerate(FACT_LINES[language], 1):
+            line = F.when((col("l_orderkey") % 2 == k) & (col("l_linenumber") == n), F.replace(F.lit(code), F.lit("%"), col("l_partkey").cast("string"))).otherwise(line)
+    files = t.read("lineitem").groupBy(col("l_orderkey").cast("string").alias("path")).agg(F.concat_ws("\n", F.collect_list(line)).alias("text"))
+    files = files.withColumn("language", F.when(col("path").cast("long") % 2 == 0, "swift").otherwise("kotlin"))
     return facts.line_facts(files).select(col("path").cast("long").alias("file"), "fact", "name")
 
 

@@ -6,9 +6,12 @@ occurrences with range (1, packed), symbol (2) and roles (3).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -88,7 +91,10 @@ def occurrences_of(data: bytes) -> Iterator[tuple]:
 
 def scip_occurrences(spark: SparkSession, path: str, commit: str, most_bytes: int = 500 << 20) -> DataFrame:
     """Occurrences of all indexes under a path, with kind, language, symbol_id and qualified name; unreadable files give
-    one row with an error (too_large, malformed) and no symbol."""
+    one row with an error (too_large, malformed) and no symbol.
+
+    A file is one row here; `split_occurrences` reads files of any size in ranges.
+    """
     return index_occurrences(binary_files(spark, path, "*.scip"), commit, most_bytes)
 
 
@@ -97,20 +103,113 @@ def index_occurrences(files: DataFrame, commit: str, most_bytes: int = 500 << 20
     small = F.when(F.col("length") <= most_bytes, F.col("content"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in COLUMNS.split(", ")]
         for part in parts:
             for source, content in zip(part["path"], part["content"], strict=True):
-                try:
-                    rows = [(source, None, *x) for x in occurrences_of(content)] if content is not None else [(source, "too_large", *[None] * 7)]
-                except (ValueError, IndexError, UnicodeDecodeError):
-                    rows = [(source, "malformed", *[None] * 7)]
-                yield pd.DataFrame(rows, columns=names)
+                if content is None:
+                    yield _frame([(source, "too_large", *[None] * 7)])
+                else:
+                    yield from _decoded(source, content)
+
+    return _named(files.select("path", small.alias("content")).mapInPandas(run, COLUMNS), commit)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in COLUMNS.split(", ")])
+
+
+def _decoded(source: str, content: bytes) -> Iterator[pd.DataFrame]:
+    """The rows of whole documents; one row with an error if any of them can't be read."""
+    try:
+        yield _frame([(source, None, *x) for x in occurrences_of(content)])
+    except (ValueError, IndexError, UnicodeDecodeError):
+        yield _frame([(source, "malformed", *[None] * 7)])
 
-    rows = files.select("path", small.alias("content")).mapInPandas(run, COLUMNS)
+
+def _named(rows: DataFrame, commit: str) -> DataFrame:
     named = rows.withColumns({"kind": F.when(F.col("symbol").isNotNull(), occurrence_kind(F.col("roles"))), "language": language_of(F.col("file_path"), F.col("language")), "qualified_name": qualified_name("symbol"), "commit_sha": F.lit(commit)})
     return named.withColumn("symbol_id", symbol_id("qualified_name"))
 
 
+def opened(path: str) -> pa.NativeFile:
+    """A file of a store that pyarrow knows (local, HDFS, S3, GCS), for reads at any place; path as Spark names it."""
+    if path.startswith("file:") or ":/" not in path:
+        return pafs.LocalFileSystem().open_input_file(re.sub("^file:/*", "/", path))
+    system, at = pafs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
+def document_ranges(file: pa.NativeFile, most_bytes: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whole) of stretches of whole fields with about most_bytes each; a larger document stands alone.
+
+    Only the lengths before the fields are read. The last stretch isn't whole if the file ends within a field.
+    """
+    size = file.size()
+    start = at = 0
+    while at < size:
+        file.seek(at)
+        head = memoryview(file.read(min(20, size - at)))
+        try:
+            tag, own = _varint(head, 0)
+            if tag & 7 == 2:
+                length, own = _varint(head, own)
+                own += length
+            elif tag & 7 == 0:
+                _, own = _varint(head, own)
+            elif tag & 7 in (1, 5):
+                own += 8 if tag & 7 == 1 else 4
+            else:
+                raise ValueError("wire type")
+        except (IndexError, ValueError):
+            own = size  # no head of a field
+        if at + own > size:
+            if at > start:
+                yield start, at, True
+            yield at, size, False
+            return
+        if at > start and at + own - start > most_bytes:
+            yield start, at, True
+            start = at
+        at += own
+    if at > start:
+        yield start, at, True
+
+
+def split_occurrences(spark: SparkSession, path: str, commit: str, range_bytes: int = 8 << 20, most_bytes: int | None = None, tasks: int | None = None) -> DataFrame:
+    """What scip_occurrences gives, read in ranges: a task holds range_bytes of a file or one document, whichever is more.
+
+    One pass over the files seeks from length to length and gives ranges of whole documents; these are dealt evenly, so that
+    many tasks read one large file. A file that ends within a document gives its whole documents and one row with an error.
+    Files lie in a store that tasks can open (`opened`); elsewhere use scip_occurrences.
+    """
+    listed = binary_files(spark, path, "*.scip").select("path", "length")
+    small = listed if most_bytes is None else listed.where(F.col("length") <= most_bytes)
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for source in part["path"]:
+                with opened(source) as file:
+                    yield pd.DataFrame([(source, *r) for r in document_ranges(file, range_bytes)], columns=["path", "start", "end", "whole"])
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for source, start, end, whole in part.itertuples(index=False):
+                if not whole:
+                    yield _frame([(source, "malformed", *[None] * 7)])
+                    continue
+                with opened(source) as file:
+                    file.seek(start)
+                    yield from _decoded(source, file.read(end - start))
+
+    ranges = small.repartition("path").mapInPandas(scan, "path string, start long, end long, whole boolean")
+    # by a hash of the place, so that a repeated attempt deals the ranges as the first one did
+    dealt = ranges.repartition(tasks, "path", "start") if tasks else ranges.repartition("path", "start")
+    rows = dealt.mapInPandas(read, COLUMNS)
+    if most_bytes is not None:
+        large = listed.where(F.col("length") > most_bytes).select(F.col("path").alias("source"), F.lit("too_large").alias("error"))
+        rows = rows.unionByName(large, allowMissingColumns=True)
+    return _named(rows, commit)
+
+
 def _coded(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:
