@@ -2,7 +2,8 @@
 
 HTML becomes an ordered sequence of structs: text, or a media reference with its caption, each with its position. Payloads
 lie in a content-addressed store as 8-bit grey images (binary PGM, 64 samples a row); a join on the digest resolves the
-references, and the sequence is put together again in its order, so that positions and captions stay aligned.
+references, and the sequence is put together again in its order, so that positions and captions stay aligned. While
+sequences move to meet what was found for them, each is one compressed piece of bytes; its texts stay in it to the end.
 
 Defined results: null text or HTML counts as empty (an empty text's payload is 64 zero bytes, empty HTML an empty
 sequence); a reference that the store lacks stays with null media; a null doc_id is carried through; repeated rows get
@@ -12,6 +13,7 @@ equal values; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from html import escape
@@ -19,9 +21,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylight.llm.common import Scratch, documents, slices, text_or_empty
 
@@ -93,34 +97,68 @@ def interleave(html: str | None) -> list[dict]:
     return parser.items
 
 
+ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
+
+
+def packed(items: list[dict]) -> bytes:
+    """A sequence as compressed JSON."""
+    return zstandard.compress(json.dumps([list(x.values()) for x in items], ensure_ascii=False).encode(), 3)
+
+
+def unpacked(data: bytes) -> list[dict]:
+    return [dict(zip(ITEM.names, x, strict=True)) for x in json.loads(zstandard.decompress(data))]
+
+
 def sequences(pages: DataFrame, key: str, html: str, *carried: str) -> DataFrame:
-    """key, the carried columns and items: an ordered array of text and media-reference structs."""
+    """key, the carried columns, sequence (packed: an ordered list of text and media-reference structs) and digests, those
+    that its references (sha256:<digest>) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
         for part in slices(batches, html, 2 << 20):
-            rest = part.drop_columns([html])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([interleave(x) for x in part.column(html).to_pylist()], pa.list_(kind))], [*rest.schema.names, "items"])
+            rest, found, digests = part.drop_columns([html]), [], []
+            for x in part.column(html):
+                items = interleave(x.as_py())
+                found.append(packed(items))
+                digests.append(sorted({d for i in items if (d := digest_of(i))}))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary()), pa.array(digests, pa.list_(pa.string()))], [*rest.schema.names, "sequence", "digests"])
 
     rows = pages.select(F.col(key).cast("long").alias(key), *carried, html)
-    return rows.mapInArrow(run, T.StructType([*rows.drop(html).schema, T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM_COLUMNS)))]))
+    return rows.mapInArrow(run, T.StructType([*rows.drop(html).schema, T.StructField("sequence", T.BinaryType()), T.StructField("digests", T.ArrayType(T.StringType()))]))
+
+
+def digest_of(item: dict) -> str | None:
+    """The digest that a media reference names."""
+    ref = item["ref"] or ""
+    return ref[7:71] if item["kind"] == "media" and ref.startswith("sha256:") else None
 
 
 def align(found: DataFrame, key: str, store: DataFrame, *columns: str) -> DataFrame:
-    """found with the store's columns in every item of its sequences (null where the store lacks the digest); order, positions
-    and captions stay as they are.
+    """found with items in the place of sequence and digests: its structs in order, with the store's columns in every media
+    item (null where the store lacks the digest).
 
-    found: key (unique), items and further columns; store: digest (unique) and the columns. References read sha256:<digest>.
-    What a page refers to goes through the digest join once, and the sequences move once, to meet what was found.
+    found: key (unique), sequence, digests and further columns; store: digest (unique) and the columns. What a page refers
+    to goes through the digest join once, and the sequences move once, to meet what was found.
     """
-    digest = lambda x: F.when(x["ref"].startswith("sha256:"), F.substring(x["ref"], 8, 64))
     taken = {c.lower() for c in found.columns}
     own, media = (next(n for n in (name + "_" * k for k in range(99)) if n.lower() not in taken) for name in ("_key", "_media"))
-    refs = found.select(F.col(key).alias(own), F.explode(F.array_distinct(F.array_compact(F.transform("items", digest)))).alias("digest"))
-    known = refs.join(store.select("digest", F.struct(*columns).alias("_v")), "digest").groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("digest", "_v"))).alias(media))
-    value = lambda x: F.try_element_at(F.col(media), digest(x))
-    item = lambda x: F.struct(*(x[c].alias(c) for c in ("position", "kind", "text", "ref", "caption")), *(value(x)[c].alias(c) for c in columns))
-    return found.join(known, F.col(key) == F.col(own), "left").withColumn("items", F.transform("items", item)).select(*found.columns)
+    refs = found.select(F.col(key).alias(own), F.explode("digests").alias("digest"))
+    known = refs.join(store.select("digest", *columns), "digest").groupBy(own).agg(F.collect_list(F.struct("digest", *columns)).alias(media))
+    kinds = [store.schema[c] for c in columns]
+    shape = T.StructType([*T.StructType.fromDDL(ITEM_COLUMNS).fields, *(T.StructField(f.name, f.dataType) for f in kinds)])
+    rest = [c for c in found.columns if c not in ("sequence", "digests")]
+    joined = found.join(known, F.col(key) == F.col(own), "left").select(*rest, "sequence", media)
+    item = to_arrow_type(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "sequence", 1 << 18):
+            out = []
+            for data, held in zip(part.column("sequence"), part.column(media).to_pylist(), strict=True):
+                values = {x["digest"]: x for x in held or ()}
+                out.append([i | {c: values.get(digest_of(i), {}).get(c) for c in columns} for i in unpacked(data.as_py())])
+            kept = part.select(rest)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.list_(item))], [*kept.schema.names, "items"])
+
+    return joined.mapInArrow(run, T.StructType([*joined.select(*rest).schema, T.StructField("items", T.ArrayType(shape))]))
 
 
 def to_pgm(payload: bytes) -> bytes:
@@ -181,15 +219,9 @@ def payload_pages(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
 
 
-def store_payloads(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
-    """Written table: item (names a row), doc_id, n_bytes, digest, media, items (the sequence of the row's page).
-
-    texts: whether the items keep their texts; without, their places, kinds, references and captions stay.
-    """
-    made = sequences(payload_pages(docs), "doc_id", "html", "n_bytes", "digest", "media")
-    if not texts:
-        made = made.withColumn("items", F.transform("items", lambda x: x.withField("text", F.lit(None).cast("string"))))
-    made = made.withColumn("item", F.monotonically_increasing_id())
+def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written table: item (names a row), doc_id, n_bytes, digest, media, sequence and digests (of the row's page)."""
+    made = sequences(payload_pages(docs), "doc_id", "html", "n_bytes", "digest", "media").withColumn("item", F.monotonically_increasing_id())
     made.write.option("compression", "zstd").parquet(scratch.path("media"))
     return docs.sparkSession.read.schema(made.schema).parquet(scratch.path("media"))
 
@@ -220,17 +252,20 @@ def media_features(stored: DataFrame) -> DataFrame:
 def document_sequences(stored: DataFrame, features: DataFrame) -> DataFrame:
     """item, doc_id, n_bytes and items: the whole page of each stored document, in order, with the features of its media."""
     columns = [c for c in features.columns if c != "digest"]
-    return align(stored.select("item", "doc_id", "n_bytes", "items"), "item", features, *columns)
+    return align(stored.select("item", "doc_id", "n_bytes", "sequence", "digests"), "item", features, *columns)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's payload as the first media item of its own page, taken from the aligned sequence.
 
-    The result has no texts of items, so they are left behind where the pages are parsed and no exchange moves them.
+    text_bytes and items_crc32 (over position, kind, text, reference, caption and feature of each item, in order) hold the
+    whole sequence: every paragraph, caption and resolved reference of the page counts.
     """
     scratch = Scratch(spark, "media")
-    stored = store_payloads(documents(spark, sf_dir), scratch, texts=False)
+    stored = store_payloads(documents(spark, sf_dir), scratch)
     features = scratch.table(media_features(stored), "features")
     first = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0))
-    found = document_sequences(stored, features).select("doc_id", "n_bytes", first.alias("m"), F.size("items").cast("long").alias("n_items"))
-    return found.select("doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption", "n_items")
+    text_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x["text"]), F.lit(0)))
+    lines = F.transform("items", lambda x: F.concat_ws("\t", *(F.coalesce(x[c].cast("string"), F.lit("")) for c in ("position", "kind", "text", "ref", "caption", "feature"))))
+    found = document_sequences(stored, features).select("doc_id", "n_bytes", first.alias("m"), F.size("items").cast("long").alias("n_items"), text_bytes.alias("text_bytes"), F.crc32(F.array_join(lines, "\n").cast("binary")).alias("items_crc32"))
+    return found.select("doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption", "n_items", "text_bytes", "items_crc32")
