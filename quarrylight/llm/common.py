@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute
@@ -28,46 +32,83 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The folders that the run at hand has begun, where one says when they go; runs of other threads have their own.
+_begun: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("begun", default=None)
+_rest: list[tuple[SparkSession, str]] = []
+_lock, _using = threading.Lock(), Counter()
+
+
 class Scratch:
     """Written tables of one run, each cutting the lineage; they survive the loss of executors.
 
-    A result may read them until it has been used, so they go when someone says so (drop_since) or when the program ends.
+    A result may read them until it has been used, so they go when a `Scratch.until_used` that they were begun in ends, or else
+    when the program does.
     """
 
-    roots: list[tuple[SparkSession, str]] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.roots.append((spark, self.root))
-
-    @classmethod
-    def mark(cls) -> int:
-        return len(cls.roots)
-
-    @classmethod
-    def drop_since(cls, mark: int) -> None:
-        """Delete what has been written since a mark; what reads it has been used."""
-        while len(cls.roots) > mark:
-            delete_path(*cls.roots.pop())
+        own = _begun.get()
+        (_rest if own is None else own).append((spark, self.root))
+
+    @staticmethod
+    @contextlib.contextmanager
+    def until_used() -> Iterator[None]:
+        """What is begun within goes at the end: a result that reads it has been used by then."""
+        own: list[tuple[SparkSession, str]] = []
+        token = _begun.set(own)
+        try:
+            yield
+        finally:
+            _begun.reset(token)
+            for spark, root in own:
+                delete_path(spark, root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back; Spark removes the shuffle files of that job when it ends."""
-        before = self.spark.conf.get(SHUFFLES_GO, None)
-        self.spark.conf.set(SHUFFLES_GO, "true")
-        try:
+        with shuffles_go(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            self.spark.conf.set(SHUFFLES_GO, before) if before else self.spark.conf.unset(SHUFFLES_GO)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         delete_path(self.spark, self.path(name))
 
 
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go with their job. The setting is the session's: the last of several threads puts it back."""
+    key = id(spark)
+    with _lock:
+        if not _using[key]:
+            before = spark.conf.get(SHUFFLES_GO, None)
+            _held[key] = before
+            spark.conf.set(SHUFFLES_GO, "true")
+        _using[key] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _using[key] -= 1
+            if not _using[key]:
+                before = _held.pop(key)
+                spark.conf.set(SHUFFLES_GO, before) if before else spark.conf.unset(SHUFFLES_GO)
+
+
+_held: dict[int, str | None] = {}
+
+
+def shared_warehouse(spark: SparkSession) -> str:
+    """The warehouse, which has to be named on a cluster: unnamed, it is a folder of the driver's machine."""
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{os.getcwd()}/spark-warehouse"
+    if spark.sparkContext.master.split("[")[0] != "local" and folder.removeprefix("file:").rstrip("/") == own:
+        raise ValueError("spark.sql.warehouse.dir has to name a folder that driver and executors share")
+    return folder
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, so that any store works."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,7 +118,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _drop_all() -> None:
     with contextlib.suppress(Exception):  # the session may be gone already
-        Scratch.drop_since(0)
+        for spark, root in _rest:
+            delete_path(spark, root)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

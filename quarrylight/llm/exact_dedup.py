@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, documents, spare, text_or_empty
+from quarrylight.llm.common import Scratch, documents, shared_warehouse, spare, text_or_empty
 
 
 class DigestIndex:
@@ -26,6 +26,7 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+        shared_warehouse(spark)
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if spark.catalog.tableExists(table):

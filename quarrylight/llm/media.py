@@ -136,12 +136,12 @@ def align(found: DataFrame, key: str, store: DataFrame, *columns: str) -> DataFr
     """found with items in the place of sequence and digests: its structs in order, with the store's columns in every media
     item (null where the store lacks the digest).
 
-    found: key (unique), sequence, digests and further columns; store: digest (unique) and the columns. What a page refers
-    to goes through the digest join once, and the sequences move once, to meet what was found.
+    found: key (rows of one key refer to the same), sequence, digests and further columns; store: digest (unique) and the
+    columns. What a page refers to goes through the digest join once, and the sequences move once, to meet what was found.
     """
     taken = {c.lower() for c in found.columns}
     own, media = (next(n for n in (name + "_" * k for k in range(99)) if n.lower() not in taken) for name in ("_key", "_media"))
-    refs = found.select(F.col(key).alias(own), F.explode("digests").alias("digest"))
+    refs = found.select(F.col(key).alias(own), F.explode("digests").alias("digest")).distinct()
     known = refs.join(store.select("digest", *columns), "digest").groupBy(own).agg(F.collect_list(F.struct("digest", *columns)).alias(media))
     kinds = [store.schema[c] for c in columns]
     shape = T.StructType([*T.StructType.fromDDL(ITEM_COLUMNS).fields, *(T.StructField(f.name, f.dataType) for f in kinds)])
@@ -197,35 +197,50 @@ def page(raw: bytes, digest: str) -> str:
     return f"<article><h1>{escape(text[:60])}</h1><figure>{image}<figcaption>{len(raw)} bytes</figcaption></figure>{image.join(lines)}</article>"
 
 
-def payload_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html (page), digest, media. A task gives each payload once; other rows of the digest have null media."""
+def payload_of(raw: bytes) -> bytes:
+    """A text's bytes with zeros to whole rows, one at least."""
+    return raw + bytes(-len(raw) % WIDTH) if raw else bytes(WIDTH)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
+
+
+def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written table: digest, media. A task stores each payload once; tasks may store the same one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for part in slices(batches, "text", 2 << 20):
-            out = []
+            digests, media = [], []
             for x in part.column("text"):
-                raw = x.as_py()
-                payload = raw + bytes(-len(raw) % WIDTH) if raw else bytes(WIDTH)
+                payload = payload_of(x.as_py())
                 digest = hashlib.sha256(payload)
-                media = None
                 if digest.digest() not in seen:
                     seen.add(digest.digest())
-                    media = to_pgm(payload)
-                out.append((len(raw), page(raw, digest.hexdigest()), digest.hexdigest(), media))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "html", "digest", "media"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
-
+                    digests.append(digest.hexdigest())
+                    media.append(to_pgm(payload))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-def store_payloads(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written table: item (names a row), doc_id, n_bytes, digest, media, sequence and digests (of the row's page)."""
-    made = sequences(payload_pages(docs), "doc_id", "html", "n_bytes", "digest", "media").withColumn("item", F.monotonically_increasing_id())
+    made = _texts(docs).mapInArrow(run, "digest string, media binary")
     made.write.option("compression", "zstd").parquet(scratch.path("media"))
     return docs.sparkSession.read.schema(made.schema).parquet(scratch.path("media"))
 
 
+def payload_pages(docs: DataFrame) -> DataFrame:
+    """item (a hash of doc_id and digest), doc_id, n_bytes and html: each document's page, which refers to its payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            raw = [x.as_py() for x in part.column("text")]
+            digests = [hashlib.sha256(payload_of(x)).hexdigest() for x in raw]
+            pages = [page(x, d) for x, d in zip(raw, digests, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(digests, pa.string()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "digest", "html"])
+
+    found = _texts(docs).mapInArrow(run, "doc_id long, n_bytes long, digest string, html string")
+    return found.select(F.xxhash64("doc_id", "digest").alias("item"), "doc_id", "n_bytes", "html")
+
+
 def media_features(stored: DataFrame) -> DataFrame:
     """One row a digest, from the stored bytes read back: payload_bytes ... feature."""
 
@@ -244,15 +259,14 @@ def media_features(stored: DataFrame) -> DataFrame:
                 out.append((digest, len(payload), own, zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), image_features(samples)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
 
-    rows = stored.where("media is not null").select("digest", "media")
-    found = rows.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = stored.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.dropDuplicates(["digest"])
 
 
-def document_sequences(stored: DataFrame, features: DataFrame) -> DataFrame:
-    """item, doc_id, n_bytes and items: the whole page of each stored document, in order, with the features of its media."""
+def document_sequences(docs: DataFrame, features: DataFrame) -> DataFrame:
+    """item, doc_id, n_bytes and items: the whole page of each document, in order, with the features of its media."""
     columns = [c for c in features.columns if c != "digest"]
-    return align(stored.select("item", "doc_id", "n_bytes", "sequence", "digests"), "item", features, *columns)
+    return align(sequences(payload_pages(docs), "item", "html", "doc_id", "n_bytes"), "item", features, *columns)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,11 +275,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_bytes and items_crc32 (over position, kind, text, reference, caption and feature of each item, in order) hold the
     whole sequence: every paragraph, caption and resolved reference of the page counts.
     """
-    scratch = Scratch(spark, "media")
-    stored = store_payloads(documents(spark, sf_dir), scratch)
-    features = scratch.table(media_features(stored), "features")
+    scratch, docs = Scratch(spark, "media"), documents(spark, sf_dir)
+    features = scratch.table(media_features(store_payloads(docs, scratch)), "features")
+    scratch.drop("media")  # read back, verified and described: the result names payloads by digest and needs the bytes no more
     first = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0))
     text_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x["text"]), F.lit(0)))
     lines = F.transform("items", lambda x: F.concat_ws("\t", *(F.coalesce(x[c].cast("string"), F.lit("")) for c in ("position", "kind", "text", "ref", "caption", "feature"))))
-    found = document_sequences(stored, features).select("doc_id", "n_bytes", first.alias("m"), F.size("items").cast("long").alias("n_items"), text_bytes.alias("text_bytes"), F.crc32(F.array_join(lines, "\n").cast("binary")).alias("items_crc32"))
+    found = document_sequences(docs, features).select("doc_id", "n_bytes", first.alias("m"), F.size("items").cast("long").alias("n_items"), text_bytes.alias("text_bytes"), F.crc32(F.array_join(lines, "\n").cast("binary")).alias("items_crc32"))
     return found.select("doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "m.position", "m.caption", "n_items", "text_bytes", "items_crc32")

@@ -6,8 +6,8 @@ from tests.llm import cases
 def test_whole_texts_enter_the_sequences(spark):
     rows = [(1, "Head " * 20 + "\nsecond <b> & line\n\nthird line"), (2, "short"), (3, None), (4, cases.prose(9, 300))]
     scratch = Scratch(spark, "media-test")
-    stored = op.store_payloads(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
-    found = op.document_sequences(stored, scratch.table(op.media_features(stored), "features"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op.document_sequences(docs, scratch.table(op.media_features(op.store_payloads(docs, scratch)), "features"))
     got = {r["doc_id"]: r["items"] for r in found.collect()}
     for d, text in rows:
         items = got[d]
