@@ -60,9 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, last = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
-        mark = Scratch.mark()
-        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
-        Scratch.drop_since(mark)  # the stage's result is written
+        with Scratch.until_used():
+            docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
         if last:
             scratch.drop(last)
         last = f"stage-{k}"
