@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from quarrylight.functions.checks import slug_ok
 from quarrylight.operators import graph, joins, ledger, lookup
 from quarrylight.plans import audit, history, search, symbols
+from quarrylight.plans.runs import Outcome, Runner
 from quarrylight.sources import gitlog
+from quarrylight.streaming import detectors
 
 
 class UnknownTable(LookupError):
@@ -234,6 +236,26 @@ class Engine:
         text = "\n".join([f"# {project} ({role})", *(f"## {r['title']}\n{r['body']}" for r in last)])
         return text[: tokens * 4]
 
+    # operations ----------------------------------------------------------------------------------------------------------
+
+    def run_extractor(self, runner: Runner, name: str, project: str, state: str | None = None, timeout_seconds: float = 300.0) -> Outcome:
+        """Run an extractor of a runner; what it wrote is in the runner's tables, how it went in its ledger."""
+        return runner.run(name, project, state, timeout_seconds)
+
+    def unstick_issue(self, issue_id: str, tokens: Sequence[str], force: bool = False, most: int = 5) -> tuple[list[int], bool]:
+        """(ids of the processes that may hold an issue's lock, whether they may be ended). Nothing is ended here.
+
+        issues: issue_id, run_id, locked_at; processes: pid, etime, pcpu, command. Those that run as long as the lock is held,
+        or else those that have long been idle; more than `most` only by force. No lock, no processes.
+        """
+        own = self._table("issues").where(F.col("issue_id") == issue_id)
+        if not own.where("run_id is not null").take(1):
+            return [], False
+        processes = self._table("processes")
+        found = detectors.lock_holders(own, processes, tokens, self._now()).select("pid").distinct().orderBy("pid").limit(1000).collect()
+        found = found or detectors.long_idle(processes, tokens).select("pid").distinct().orderBy("pid").limit(1000).collect()
+        return [r["pid"] for r in found], bool(found) and (force or len(found) <= most)
+
     # audit -------------------------------------------------------------------------------------------------------------
 
     def audit(self, project: str, per_section: int = 100) -> str:

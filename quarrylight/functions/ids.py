@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 
 import pandas as pd
@@ -29,10 +28,13 @@ def stable_id(*parts: Column) -> Column:
     return stable_hash(F.concat_ws("||", *parts))
 
 
-@F.pandas_udf(StringType())
-def name_uuid(names: pd.Series) -> pd.Series:
+def name_uuid(name: Column | str) -> Column:
     """UUID version 5 in the object-identifier namespace."""
-    return names.map(lambda x: str(uuid.uuid5(uuid.NAMESPACE_OID, x)) if x is not None else None)
+    raw = (F.col(name) if isinstance(name, str) else name).cast("binary")
+    h = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_OID.hex)), raw))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.substring(F.lit("89ab"), F.conv(part(17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
 def doc_key(symbol: Column, path: Column, line: Column, column: Column, run: Column) -> Column:
@@ -102,19 +104,14 @@ def occurrence_kind(roles: Column) -> Column:
     return F.when(has(1), "def").when(has(64), "decl").when(has(4), "assign").otherwise("use")
 
 
-def _qualified(symbol: str) -> str:
-    parts = [x.replace("``", "`") for x in re.findall(r"(?:[^\s`]|`(?:[^`]|``)*`)+", symbol)]
-    if len(parts) <= 1:
-        return symbol
-    name = parts[2] if len(parts) > 2 else ""
-    rest = " ".join(parts[4:]) if len(parts) > 4 else parts[-1]
-    return f"{name} {rest}".strip() if name and name != "." and len(parts) > 4 else rest
-
-
-@F.pandas_udf(StringType())
-def qualified_name(symbols: pd.Series) -> pd.Series:
+def qualified_name(symbol: Column | str) -> Column:
     """A symbol without its scheme, manager and version; blanks within back-ticks don't part it."""
-    return symbols.map(lambda x: _qualified(x) if x is not None else None)
+    own = F.col(symbol) if isinstance(symbol, str) else symbol
+    words = F.regexp_extract_all(own, F.lit(r"((?:[^\s`]|`(?:[^`]|``)*+`)++)"), F.lit(1))
+    parts = F.transform(words, lambda x: F.replace(x, F.lit("``"), F.lit("`")))
+    name, full = F.get(parts, 2), F.size(parts) > 4
+    rest = F.when(full, F.array_join(F.slice(parts, F.lit(5), F.greatest(F.size(parts) - 4, F.lit(0))), " ")).otherwise(F.get(parts, F.size(parts) - 1))
+    return F.when(own.isNull() | (F.size(parts) <= 1), own).when(full & (name != "") & (name != "."), F.trim(F.concat_ws(" ", name, rest))).otherwise(rest)
 
 
 def prefixed_project(slug: Column) -> Column:

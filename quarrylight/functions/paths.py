@@ -89,6 +89,25 @@ def naming_choice(name: Column) -> Column:
     )
 
 
+def type_name_choice(name: Column) -> Column:
+    """upper_snake, upper_camel or other."""
+    snake = (F.upper(name) == name) & F.contains(name, F.lit("_"))
+    return F.when(snake, "upper_snake").when(name.rlike(r"^\p{Lu}[^_]*$"), "upper_camel").otherwise("other")
+
+
+def test_name_choice(name: Column) -> Column:
+    """By where a test class says that it is one: suffix_tests, prefix_test, suffix_spec or other."""
+    return F.when(name.endswith("Tests"), "suffix_tests").when(name.startswith("Test"), "prefix_test").when(name.endswith("Spec"), "suffix_spec").otherwise("other")
+
+
+def protocol_name_choice(name: Column) -> Column:
+    """By a protocol's ending: suffix_protocol, suffix_able, suffix_ing or other."""
+    out = F.when(F.lit(False), "")
+    for ending in ("Protocol", "able", "ing"):
+        out = out.when(name.endswith(ending), f"suffix_{ending.lower()}")
+    return out.otherwise("other")
+
+
 def redacted(message: Column, home: str, most: int = 200) -> Column:
     """Home folder as ~, new lines as blanks, at most so many characters."""
     return F.substring(F.regexp_replace(F.replace(message, F.lit(home), F.lit("~")), r"[\r\n]+", " "), 1, most)

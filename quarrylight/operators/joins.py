@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarrylight.session import cut
 
 
 def path_prefixes(path: Column) -> Column:
@@ -54,15 +58,38 @@ def overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str,
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, *values: str) -> DataFrame:
     """left with the values of right's last row of the key at or before its time.
 
-    One sort of both sides together; a window carries the last values forward.
+    Both sides are sorted together by key and time in ranges, so a hot key lies in many of them. Within a range a window
+    carries the last values on; what a key had at the end of earlier ranges, one row a key and range, is added to it.
     """
-    from pyspark.sql.window import Window
-
     mine = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)})
     theirs = right.select(*keys, at, F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    both = mine.unionByName(theirs, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, "_v.*")
+    rows = stretches(mine.unionByName(theirs, allowMissingColumns=True), keys, [F.col(at), F.col("_side")])
+    own = Window.partitionBy(*keys, "_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*keys, "_p").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_m"))).alias("_end"))
+    before = ends.withColumn("_came", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = before.where("_came is not null").select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_p").alias("_q"), "_came")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)), F.col("_p") == F.col("_q"))
+    found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(own)).where("_side = 1").join(carried, same, "left")
+    return found.withColumn("_v", F.coalesce("_v", "_came")).select(*left.columns, "_v.*")
+
+
+def stretches(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """rows sorted by keys and an order in ranges, with _p (the range) and _m (the place, growing along the order); written,
+    so that both stay what they are."""
+    by = [*map(F.col, keys), *order]
+    held = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()))
+    return held.withColumn("_p", F.shiftright("_m", 33))
+
+
+def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """rows with their place from 1 within the key, in an order that names ties; no task holds a hot key."""
+    held = stretches(rows, keys, order)
+    counts = held.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)), F.col("_p") == F.col("_q"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_m"))
+    return held.withColumn(name, own).join(starts, same).withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
@@ -116,11 +143,15 @@ def reconciled_owner(first: DataFrame, second: DataFrame, key: str, module: str)
 def suffix_lookup(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
     """asked (name) with status and match: the one known name that ends with it; none or several are told apart.
 
-    Names meet by their last part, so no pairs of all names are made.
+    An end is the whole name or begins after one of . / : #. Known names are cut to each length that an asked name has and
+    counted by what is left, partially first; the counts meet the asked names by equality. So names that share an end make no
+    pairs. Lengths are as few as the longest name allows.
     """
-    last = lambda c: F.element_at(F.split(c, r"[./:#]"), -1)
-    a, b = asked.select(name).distinct().withColumn("_l", last(F.col(name))), known.select(F.col(name).alias("_k")).distinct().withColumn("_l", last(F.col("_k")))
-    found = a.join(b, "_l").where(F.endswith(F.col("_k"), F.col(name))).groupBy(name).agg(F.count("*").alias("_n"), F.min("_k").alias("match"))
+    own = asked.select(name).where(F.length(name) > 0).distinct()
+    lengths = sorted(r[0] for r in own.select(F.length(name)).distinct().collect())
+    tried = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: (n == F.length("_k")) | F.substring(F.col("_k"), F.length("_k") - n, F.lit(1)).isin(".", "/", ":", "#") & (n < F.length("_k")))
+    ends = known.select(F.col(name).alias("_k")).distinct().select("_k", F.explode(F.transform(tried, lambda n: F.right("_k", n))).alias(name))
+    found = own.join(ends.groupBy(name).agg(F.count("*").alias("_n"), F.min("_k").alias("match")), name)
     status = F.when(F.coalesce("_n", F.lit(0)) == 0, "not_found").when(F.col("_n") == 1, "ok").otherwise("ambiguous")
     return asked.join(found, name, "left").withColumn("status", status).withColumn("match", F.when(F.col("_n") == 1, F.col("match"))).drop("_n")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,6 +88,19 @@ def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return held.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, place).drop("_m", "_p", "_before")
 
 
+def kth(rows: DataFrame, order: Sequence[str], k: int) -> Row | None:
+    """The k-th row (from 1) in an ascending order of columns that names ties; None if there are fewer.
+
+    A range-partitioned copy is counted by partition and only the partition that holds the row is sorted.
+    """
+    held = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    for r in held.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # a number a partition
+        if k <= r["n"]:
+            return held.where(F.col("_p") == r["_p"]).drop("_p").orderBy(*order).offset(k - 1).first()
+        k -= r["n"]
+    return None
+
+
 def over_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
     """The rows of each key beyond the first `cap`."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") > cap).drop("_n")

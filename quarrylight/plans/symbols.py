@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions import ids, scoring
 from quarrylight.operators.joins import snapshot_diff
-from quarrylight.operators.lookup import over_cap, ranked
+from quarrylight.operators.lookup import kth
+from quarrylight.session import cut
 
 KEPT_KINDS = ("def", "decl")
 
@@ -19,17 +20,32 @@ def evict(shadow: DataFrame, key: str, threshold: float, per_symbol: int, total:
     Definitions and declarations always stay. Round 1 removes up to `batch` of the least important below the threshold; round
     2 the oldest of a symbol beyond its cap; round 3 the least important beyond the total cap. Ties go by key.
     shadow: key, symbol, kind, importance, last_seen.
+
+    A round that removes the first of an order needs only the last row that goes: rows up to it in the order are marked, none
+    is joined. Rounds 1 and 2 are one pass over the table, which is written; the third counts and marks what was written.
     """
     movable = ~F.col("kind").isin(*KEPT_KINDS)
-    order = [F.asc("importance"), F.asc("last_seen"), F.asc(key)]
-    first = shadow.where(movable & (F.col("importance") < threshold)).orderBy(*order).limit(batch).select(key)
-    left = shadow.join(first, key, "left_anti")
-    second = over_cap(left.where(movable), ["symbol"], [F.desc("last_seen"), F.desc(key)], per_symbol).select(key)
-    left = left.join(second, key, "left_anti")
-    beyond = max(0, left.count() - total)
-    third = ranked(left.where(movable), order, "_r").where(F.col("_r") <= beyond).select(key) if beyond else left.select(key).limit(0)
-    gone = first.withColumn("evicted_in", F.lit(1)).unionByName(second.withColumn("evicted_in", F.lit(2))).unionByName(third.withColumn("evicted_in", F.lit(3)))
-    return shadow.join(gone, key, "left")
+    order = ["importance", "last_seen", key]
+    low = shadow.where(movable & (F.col("importance") < threshold)).select(F.struct(*order).alias("_o"))
+    last = low.orderBy("_o").limit(batch).agg(F.max("_o").alias("_o")).first()["_o"]
+    in_first = movable & (F.col("importance") < threshold) & _upto(last, shadow, order)
+    # those that are gone don't count for their symbol
+    place = F.row_number().over(Window.partitionBy("symbol", in_first, ~movable).orderBy(F.desc("last_seen"), F.desc(key)))
+    two = shadow.withColumn("_n", place).withColumn("evicted_in", F.when(in_first, 1).when(movable & (F.col("_n") > per_symbol), 2)).drop("_n")
+    held = cut(two)
+    counts = held.agg(F.count_if(F.col("evicted_in").isNull()).alias("left"), F.count_if(F.col("evicted_in").isNull() & movable).alias("movable")).first()
+    beyond = max(0, counts["left"] - total)
+    if not beyond:
+        return held
+    last = kth(held.where(F.col("evicted_in").isNull() & movable).select(*order), order, min(beyond, counts["movable"]))
+    return held.withColumn("evicted_in", F.when(F.col("evicted_in").isNull() & movable & _upto(last, held, order), 3).otherwise(F.col("evicted_in")))
+
+
+def _upto(last: Row | None, rows: DataFrame, order: list[str]) -> Column:
+    """Whether a row comes no later than `last` in an order."""
+    if last is None:
+        return F.lit(False)
+    return F.struct(*order) <= F.struct(*(F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in order))
 
 
 def phases(occurrences: DataFrame, budget: int) -> DataFrame:
@@ -81,14 +97,17 @@ def find_skew(groups: DataFrame, least: str = "unknown", top_n: int = 50) -> Dat
     return groups.where((F.col("version_count") > 1) & (rank >= floor)).orderBy(rank.desc(), F.desc("version_count"), F.asc("purl_root")).limit(top_n)
 
 
-def contract_snapshot(uses: DataFrame) -> DataFrame:
-    """consumer, producer, symbol with use_count, file_count, first_path and up to 5 evidence paths.
+def contract_snapshot(uses: DataFrame, most: int = 5) -> DataFrame:
+    """consumer, producer, symbol with use_count, file_count, first_path and up to `most` evidence paths.
 
-    uses: consumer, producer, symbol, path; a module's own uses don't count.
+    uses: consumer, producer, symbol, path; a module's own uses don't count. Paths are ranked before any are gathered, so a
+    symbol that very many files use holds a few of them only.
     """
-    return uses.where("consumer <> producer").groupBy("consumer", "producer", "symbol").agg(
-        F.count("*").alias("use_count"), F.count_distinct("path").alias("file_count"), F.min("path").alias("first_path"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("evidence_paths")
-    )
+    keys = ["consumer", "producer", "symbol"]
+    files = uses.where("consumer <> producer").groupBy(*keys, "path").agg(F.count("*").alias("uses"))
+    ranked_files = files.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("path")))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("path")))).alias("evidence_paths")
+    return ranked_files.groupBy(*keys).agg(F.sum("uses").alias("use_count"), F.count("path").alias("file_count"), F.min("path").alias("first_path"), shown)
 
 
 def contract_delta(old: DataFrame, new: DataFrame) -> DataFrame:

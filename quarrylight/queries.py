@@ -704,6 +704,6 @@ def ingest_progress(t: Tables) -> DataFrame:
     return windows.ingest_progress(rows.select("bundle", "member"), told)
 
 
-from quarrylight import queries_rows, queries_sources, queries_state  # noqa: E402, F401 - they register their own
+from quarrylight import queries_rows, queries_sources, queries_state, queries_tools  # noqa: E402, F401 - they register their own
 
 __all__ = ["ORACLE", "QUERIES"]

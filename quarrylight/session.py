@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config(map={k.replace("__", "."): v for k, v in settings.items()})
         .getOrCreate()
     )
@@ -41,7 +42,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read back from a checkpoint in the shared folder: its lineage ends here."""
+    """df read back from a checkpoint in the shared folder: its lineage ends here.
+
+    Spark deletes a checkpoint once nothing refers to it where spark.cleaner.referenceTracking.cleanCheckpoints is set, as it
+    is here and should be on a cluster; without it checkpoints stay.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions.paths import protocol_name_choice, test_name_choice, type_name_choice
 from quarrylight.sources.lexed import TOKEN
 
 SHAPE = r"^ ((?:(?:{modifiers}) )*)({keywords}) (\w+) (.*)$"
@@ -124,3 +125,27 @@ def doubles(facts: DataFrame) -> DataFrame:
     """path, line, name, kind of the test doubles among facts: by the end of the name."""
     kind = reduce(lambda c, k: c.when(F.col("name").endswith(k), k.lower()), DOUBLES, F.when(F.lit(False), ""))
     return facts.where("fact = 'double'").select("path", "line", "name", kind.alias("kind"))
+
+
+def signals(facts: DataFrame) -> DataFrame:
+    """path, line, rule, choice: the conventions that facts speak of, one row a fact that is a choice.
+
+    Types, test classes (in files of tests) and protocols are told by how they are named, the others by what they are.
+    """
+    test = F.col("path").rlike("(?i)(^|/)(tests?|src/test)/|tests?\\.(swift|kt)$")
+    fact, name = F.col("fact"), F.col("name")
+    rules = {
+        "structural.adt_pattern": {"enum": "enum", "sealed": "sealed", "subclass": "class_hierarchy"},
+        "structural.error_modeling": {"throws": "throws", "result": "result", "nullable": "nullable"},
+        "idiom.collection_init": {"collection_literal": "literal", "collection_factory": "literal", "collection_constructor": "constructor"},
+        "idiom.computed_vs_property": {"lazy": "lazy", "computed": "computed"},
+    }
+    told = [
+        F.when(fact == "type", F.struct(F.lit("naming.type_class").alias("rule"), type_name_choice(name).alias("choice"))),
+        F.when((fact == "type") & test, F.struct(F.lit("naming.test_class").alias("rule"), test_name_choice(name).alias("choice"))),
+        F.when(fact == "protocol", F.struct(F.lit("naming.module_protocol").alias("rule"), protocol_name_choice(name).alias("choice"))),
+    ]
+    for rule, choices in rules.items():
+        told += [F.when(fact == f, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("choice"))) for f, c in choices.items()]
+    found = facts.withColumn("_s", F.explode(F.array_compact(F.array(*told))))
+    return found.select("path", "line", "_s.rule", "_s.choice")

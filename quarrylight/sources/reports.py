@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions.paths import source_context
+
 DEAD_ITEM = "array<struct<ids: array<string>, name: string, location: string, accessibility: string, kind: string, hints: array<string>, modifiers: array<string>, attributes: array<string>, modules: array<string>>>"
 
 
@@ -54,6 +56,39 @@ def scan_report(reports: DataFrame) -> DataFrame:
     return found.groupBy("rule", "path", "start").agg(F.min_by(F.struct("end", "message", "severity"), rank).alias("v")).select("rule", "path", "start", "v.*")
 
 
+SCANNED = "results array<struct<check_id: string, path: string, start: struct<line: int>, end: struct<line: int>, extra: struct<message: string, severity: string, lines: string, metadata: struct<kind: string, context: string>>>>"
+# Severities, worst first, and what a scanner's words mean.
+WORST_FIRST = ("critical", "high", "medium", "low", "informational")
+SCANNED_SEVERITIES = {"CRITICAL": "critical", "HIGH": "high", "ERROR": "high", "WARNING": "medium", "INFO": "low"}
+
+
+def scanned(reports: DataFrame, default_kind: str | None = None) -> DataFrame:
+    """Every result of scanner reports (text: JSON): path, start_line, end_line, kind, severity, message, rule_id, context,
+    literal (what was matched, 100 characters), source_context (by the path).
+
+    A result without a kind has default_kind, or its rule's name; without lines it is on line 1; without an end it ends where
+    it starts; an unknown severity is informational.
+    """
+    rows = reports.select(F.explode(F.from_json("text", SCANNED)["results"]).alias("r")).select("r.*").where("path is not null or check_id is not null")
+    known = F.create_map(*(F.lit(x) for pair in SCANNED_SEVERITIES.items() for x in pair))
+    start, rule = F.coalesce("start.line", F.lit(1)), F.coalesce("check_id", F.lit("unknown"))
+    return rows.select(
+        F.coalesce("path", F.lit("")).alias("path"), start.alias("start_line"), F.coalesce("end.line", start).alias("end_line"),
+        F.coalesce("extra.metadata.kind", F.lit(default_kind) if default_kind else rule).alias("kind"), F.coalesce(known[F.upper("extra.severity")], F.lit("informational")).alias("severity"),
+        F.coalesce("extra.message", F.lit("")).alias("message"), rule.alias("rule_id"), F.coalesce("extra.metadata.context", F.lit("other")).alias("context"),
+        F.substring(F.trim(F.coalesce("extra.lines", F.lit(""))), 1, 100).alias("literal"),
+    ).withColumn("source_context", source_context(F.col("path")))
+
+
+def worst_scanned(reports: DataFrame) -> DataFrame:
+    """What `scanned` gives, of each path, lines and kind the worst; of equally bad ones the first by its rule and message."""
+    rows = scanned(reports)
+    rank = F.array_position(F.array(*map(F.lit, WORST_FIRST)), F.col("severity"))
+    keys = ["path", "start_line", "end_line", "kind"]
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(rank, "rule_id", "message")).alias("_v")).select(*keys, "_v.*")
+
+
 def translations(catalogs: DataFrame) -> DataFrame:
     """path, locale, keys from string catalogs (text: JSON with strings -> localizations)."""
     shape = "sourceLanguage string, strings map<string, struct<localizations: map<string, string>>>"

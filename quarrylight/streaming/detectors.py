@@ -149,3 +149,43 @@ def idle_processes(processes: DataFrame, tokens: Sequence[str], least_seconds: i
     rows = rows.where(reduce(lambda a, b: a & b, (F.contains("command", F.lit(t)) for t in tokens), F.col("etime_s") >= least_seconds))
     rows = rows.withColumn("cpu_ratio", F.when(F.col("etime_s") > 0, F.col("cpu_s") / F.col("etime_s")).otherwise(F.lit(0.0)))
     return rows.where((F.col("cpu_ratio") < idle_ratio) | F.coalesce(F.col("stream_age_seconds") > stream_seconds, F.lit(False)))
+
+
+ISSUE = "struct<id: string, assigneeAgentId: string, executionRunId: string, status: string, originKind: string, parentId: string, updatedAt: string>"
+
+
+def readable_issues(feed: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(issues, errors) of a feed with an issue a row (JSON): one that can't be read is an error row and stops no other."""
+    rows = feed.select(F.col(text).alias("text"), F.from_json(text, ISSUE).alias("j")).withColumn("at", F.col("j.updatedAt").try_cast("timestamp"))
+    error = F.when(F.col("j.id").isNull(), "malformed").when(F.col("j.status").isNull(), "no_status").when(F.col("at").isNull(), "no_time")
+    told = rows.withColumn("error", error)
+    issues = told.where("error is null").select(F.col("j.id").alias("issue_id"), F.col("j.assigneeAgentId").alias("assignee"), F.col("j.executionRunId").alias("run_id"), "j.status", F.col("j.originKind").alias("origin"), F.col("j.parentId").alias("parent_id"), F.col("at").alias("updated_at"))
+    return issues, told.where("error is not null").select(F.col("j.id").alias("issue_id"), "error", F.substring("text", 1, 200).alias("excerpt"))
+
+
+def tick_page(issues: DataFrame, order: Sequence[Column], most: int = 30) -> DataFrame:
+    """The issues that one tick looks at: the first of an order that names ties."""
+    return issues.orderBy(*order).limit(most)
+
+
+def _running(processes: DataFrame, tokens: Sequence[str]) -> DataFrame:
+    own = reduce(lambda a, b: a & b, (F.contains("command", F.lit(t)) for t in tokens))
+    return processes.where(own).select("pid", elapsed_seconds(F.col("etime")).cast("long").alias("ran"), F.col("pcpu").cast("double").alias("pcpu")).where("ran is not null")
+
+
+def lock_holders(issues: DataFrame, processes: DataFrame, tokens: Sequence[str], now: Column, within_seconds: int = 60) -> DataFrame:
+    """issue_id, pid, ran of the processes that run as long as an issue's lock is held, give or take.
+
+    issues: issue_id, run_id (null: no lock), locked_at; processes: pid, etime, pcpu, command, of which those count whose
+    command has all tokens. Times meet in buckets, so neither side is paired with all of the other.
+    """
+    bucket = 2 * within_seconds
+    locked = issues.where("run_id is not null").select("issue_id", seconds_between(now, F.col("locked_at")).cast("double").alias("held")).where("held is not null")
+    near = F.sequence(F.floor((F.col("held") - within_seconds) / bucket), F.floor((F.col("held") + within_seconds) / bucket))
+    found = locked.withColumn("_b", F.explode(near)).join(_running(processes, tokens).withColumn("_b", F.floor(F.col("ran") / bucket)), "_b")
+    return found.where(F.abs(F.col("ran") - F.col("held")) <= within_seconds).select("issue_id", "pid", "ran")
+
+
+def long_idle(processes: DataFrame, tokens: Sequence[str], minutes: float = 30.0, percent: float = 0.5) -> DataFrame:
+    """pid, ran of the processes of a command that have long run and use hardly any CPU."""
+    return _running(processes, tokens).where((F.col("ran") >= minutes * 60) & (F.col("pcpu") < percent)).select("pid", "ran")
