@@ -6,7 +6,7 @@ to the same buckets. Only DataFrame operations are used.
 
 Defined results: a null text counts as empty, so null and empty texts are equal; a null doc_id never beats
 another; rows that share doc_id and text are one document given twice and get the same values; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored. Texts are hashed whole, however long; ties of doc_id are one document.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ has on average are gathered, in the order of a hash; only ids that repeat very o
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null doc_id is carried through and never
 used for training; null langs teach nothing; without any language to learn all are `und`; repeated rows get equal values;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored. Texts are read whole, however long, in stretches; of equally
+probable languages the first by name is told. More languages than `most_languages` are an error, none is dropped.
 """
 
 from __future__ import annotations
@@ -151,7 +152,9 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def training_windows(docs: DataFrame, most_documents: int, windows: int, stretch: int, most_languages: int = 1000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of bytes spread evenly over the whole texts of a bounded sample, their language's index, the languages."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = usable.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages to learn: raise most_languages, which bounds the sample")
     if not counts:
         return np.zeros((0, stretch), np.uint8), np.zeros(0, np.int64), []
     bound = 2 * len(counts) * most_documents * windows

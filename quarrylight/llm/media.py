@@ -7,7 +7,8 @@ sequences move to meet what was found for them, each is one compressed piece of
 
 Defined results: null text or HTML counts as empty (an empty text's payload is 64 zero bytes, empty HTML an empty
 sequence); a reference that the store lacks stays with null media; a null doc_id is carried through; repeated rows get
-equal values; an empty table gives an empty result; further columns are ignored.
+equal values; an empty table gives an empty result; further columns are ignored. Texts are taken whole, however long (one
+text's page and payload lie in one task's memory); a reference that occurs twice resolves twice.
 """
 
 from __future__ import annotations

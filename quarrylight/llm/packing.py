@@ -8,7 +8,8 @@ leave some padding, below one tail a bin. Pieces still waiting at the end of a p
 two and set into sequences of a power-of-two length, which need no padding.
 
 Defined results: a null text counts as empty and yields the end-of-text token alone; a null doc_id is carried
-through; repeated rows are packed as often as they occur; an empty table gives an empty result.
+through; repeated rows are packed as often as they occur; an empty table gives an empty result; texts are encoded
+whole, however long, and cut into pieces; further columns are ignored.
 """
 
 from __future__ import annotations

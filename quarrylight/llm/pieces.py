@@ -17,7 +17,7 @@ byte pieces.
 
 Defined results: null text counts as empty and has no pieces; a null doc_id is carried through; repeated rows get equal
 values; an empty table gives an empty result; further columns are ignored. A text round-trips unless it holds the word mark
-itself, which decodes to a blank.
+itself, which decodes to a blank. Texts are encoded whole, however long, and so are words, in time linear in their length.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ languages in sections).
 
 Defined results: null text counts as empty and is rejected like an empty one by the classifier's evidence; a null source or
 lang is a site of its own; repeated rows get equal values; with no labelled rows of both kinds, all evidence is 0.5 and
-nothing is rejected; an empty table gives an empty result; further columns are ignored.
+nothing is rejected; an empty table gives an empty result; further columns are ignored. Texts are read whole, however long.
 """
 
 from __future__ import annotations

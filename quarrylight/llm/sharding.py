@@ -10,7 +10,8 @@ The driver handles names and sizes of shards only. Merged rows go straight to th
 bounded by the target size, so no key makes a task larger than others.
 
 Defined results: all columns and rows are kept as they are, nulls, empty and repeated ones too; an empty arrival commits
-a version without new shards; a shard that alone exceeds the target stays as it is.
+a version without new shards; a shard that alone exceeds the target stays as it is; very long texts
+are rows like others; an empty table has a version without shards.
 """
 
 from __future__ import annotations

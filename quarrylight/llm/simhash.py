@@ -6,11 +6,12 @@ bits of its anchor. A fingerprint goes to the anchor of every point within half
 within the covering radius plus the threshold. Of two fingerprints within the threshold, a point midway lies within
 half the threshold of both, so both reach that point's anchor. Fingerprints are compared per anchor only, and an
 anchor's links are thinned to a spanning forest there. Equal fingerprints are one fingerprint throughout, so copies
-are never compared.
+are never compared, and a hot anchor is dealt to points (see `links`).
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a null
 doc_id is carried through and never is a component's id unless all ids of the component are null; repeated rows get
-equal values; an empty table gives an empty result; further columns are ignored.
+equal values; an empty table gives an empty result; further columns are ignored. Texts are read whole, however long; a bit that
+is set in exactly half the shingles is 0.
 """
 
 from __future__ import annotations
@@ -140,8 +141,15 @@ def forest(fps: np.ndarray, threshold: int, small: int = 512) -> tuple[np.ndarra
     return fps[label[member]], fps[member]
 
 
-def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
-    """Edges (u, v) between fingerprints (column fp) that connect all within threshold bits of each other."""
+def links(distinct: DataFrame, threshold: int = 2, most_held: int = 4096) -> DataFrame:
+    """Edges (u, v) between fingerprints (column fp) that connect all within threshold bits of each other.
+
+    An anchor with more than `most_held` fingerprints is hot: theirs are dealt to all points within half the threshold of
+    them instead, and each point links what reaches it. Two that share a point are within the threshold, and two within an
+    even threshold share one, so nothing is lost and no task holds the anchor.
+    """
+    if threshold % 2:
+        most_held = 1 << 62  # an odd threshold has no midpoint: two that share a point may be too far apart
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = CoveringCode()
@@ -171,9 +179,25 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
             yield found(anchors[:last], fps[:last])
         yield found(*held)
 
-    copies = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    near = copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
-    return near.distinct()
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = np.array([0, *(sum(1 << b for b in bits) for r in range(1, threshold // 2 + 1) for bits in combinations(range(64), r))], np.uint64)
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for a in range(0, len(fps), 1024):
+                some = fps[a : a + 1024]
+                reached = (some[:, None] ^ flips[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(reached.view(np.int64)), pa.array(np.repeat(some, len(flips)).view(np.int64))], ["point", "fp"])
+
+    scratch = Scratch(distinct.sparkSession, "links")
+    copies = scratch.table(distinct.select("fp").mapInArrow(replicate, "anchor long, fp long"), "copies")
+    counts = scratch.table(copies.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    cold = copies.join(counts.where(F.col("n") <= most_held).select("anchor"), "anchor", "left_semi")
+    near = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
+    hot = copies.join(counts.where(F.col("n") > most_held).select("anchor"), "anchor", "left_semi").select("fp").distinct()
+    reached = hot.mapInArrow(points, "point long, fp long")
+    least = reached.groupBy("point").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select("point", "u")
+    met = reached.join(least, "point").where("u <> fp").select("u", F.col("fp").alias("v"))
+    return near.unionByName(met).distinct()
 
 
 def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:

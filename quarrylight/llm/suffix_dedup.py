@@ -19,7 +19,7 @@ joins may be split. The result is exact; hashes of 128 bits stand for equal stri
 
 Defined results: null text counts as empty; texts below `length` bytes lose nothing; a null doc_id is carried through;
 a document given twice (rows equal in doc_id and text) is two documents, which repeat each other; an empty table gives
-an empty result; further columns are ignored.
+an empty result; further columns are ignored. Texts are taken whole, however long.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from quarrylight.llm import language as op
 from tests.llm import cases
@@ -67,12 +68,11 @@ def test_the_query_is_the_network_over_whole_texts(spark):
             assert found[r["doc_id"]]["lang_pred"] == languages[own.argmax()] and abs(found[r["doc_id"]]["score"] - own.max()) < 1e-4
 
 
-def test_languages_are_bounded_by_a_parameter(spark):
+def test_all_languages_are_learned(spark):
     rows = [(k, cases.prose(k, 40), f"l{k % 7}", "s", 1) for k in range(70)]
     docs = cases.table(spark, rows)
-    assert len(op.training_windows(docs, 300, 4, 64)[2]) == 7
-    data, labels, languages = op.training_windows(docs, 300, 4, 64, most_languages=3)
-    assert len(languages) == 3 and len(data) == len(labels) and set(labels) == {0, 1, 2}
+    data, labels, languages = op.training_windows(docs, 300, 4, 64)
+    assert len(languages) == 7 and len(data) == len(labels) and set(labels) == set(range(7))
 
 
 def test_without_languages_or_letters(spark):
@@ -81,3 +81,10 @@ def test_without_languages_or_letters(spark):
     found = {r["doc_id"]: r for r in op.identify(cases.table(spark)).collect()}
     assert [found[k]["lang_pred"] for k in (400, 401, 402, 403)] == ["und"] * 4 and found[403]["score"] == 0
     assert found[404]["lang_pred"] in ("xa", "xb")
+
+
+def test_more_languages_than_the_bound_are_an_error(spark):
+    docs = spark.createDataFrame([(k, "some text here", f"l{k % 5}") for k in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        op.training_windows(docs, 10, 1, 64, most_languages=4)
+    assert len(op.training_windows(docs, 10, 1, 64, most_languages=5)[2]) == 5

@@ -106,14 +106,15 @@ def test_forest_of_large_and_small_groups():
         assert groups([find(x) for x in fps]) == groups([fps[c] for c in components(fps)]), place
 
 
-def test_links_over_partitions(spark):
+def test_links_over_partitions_and_hot_anchors(spark):
     fps = chained(600, 5)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = op.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3))
-    found = {r["node"]: r["root"] for r in op.connected_components(edges).collect()}
     want = components(fps)
     groups = lambda labels: {frozenset(x for x, y in zip(signed, labels, strict=True) if y == z) for z in set(labels)}
-    assert groups([found.get(x, x) for x in signed]) == groups([signed[c] for c in want])
+    for most_held in (4096, 3, 0):  # some anchors, or all of them, are hot
+        edges = op.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3), most_held=most_held)
+        found = {r["node"]: r["root"] for r in op.connected_components(edges).collect()}
+        assert groups([found.get(x, x) for x in signed]) == groups([signed[c] for c in want])
 
 
 def test_one_document_of_each_group_stays(spark):
