@@ -14,7 +14,8 @@ never more than their symmetric difference, and no similar pair is ruled out. To
 band would.
 
 Defined results: a text without words has the set of the empty shingle, one of fewer words than a shingle that of all its
-words; null text counts as empty; a null doc_id is carried through; an empty table gives an empty result.
+words; null text counts as empty; a null doc_id is carried through; an empty table gives an empty result; texts are taken
+whole, however long; of equal doc_ids the row that comes first stays; further columns are kept.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def signatures(texts: DataFrame, words_in: int, bands: int, in_band: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(SEED).integers(1, 1 << 63, bands * in_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 2 << 20):
             sets = [shingles(x, words_in) for x in part.column("text").to_pylist()]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets), ">i8").reshape(-1, 2).astype(np.int64)
             keys = pa.array([band_keys(x, factors, bands).view(np.int64) for x in sets], pa.list_(pa.int64()))
@@ -97,7 +98,7 @@ def set_table(texts: DataFrame, words_in: int) -> DataFrame:
     """row_id and set: the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 2 << 20):
             sets = [shingles(x, words_in).astype("<u8").tobytes() for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(sets, pa.binary())], ["row_id", "set"])
 

@@ -60,7 +60,7 @@ def signatures(texts: DataFrame, words_in: int, percent: int) -> DataFrame:
     of keys that a partner has, too); texts: row_id, doc_id and text (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 2 << 20):
             sets = [shingles(x, words_in) if x.strip() else np.zeros(0, np.uint64) for x in part.column("text").to_pylist()]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets), ">i8").reshape(-1, 2).astype(np.int64)
             sizes = [len(x) for x in sets]
@@ -180,7 +180,7 @@ def _members(sets: DataFrame) -> DataFrame:
     """(id, key): a row a member of sets (row_id, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "set", 8 << 20):
+        for part in slices(batches, "set", 2 << 20):
             held = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("set")]
             ids = np.repeat(part.column("row_id").to_numpy(), [len(x) for x in held])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["id", "key"])
