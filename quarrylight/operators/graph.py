@@ -26,8 +26,12 @@ def trace(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def reachability(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(src, dst) of every path, by doubling its length each round."""
+def reachability(edges: DataFrame, most_rounds: int = 40, most_pairs: int = 1_000_000_000) -> DataFrame:
+    """(src, dst) of every path, by doubling its length each round.
+
+    The result has a row a pair, which may be the square of the nodes: more than most_pairs are an error, and `trace` answers
+    for given nodes without it.
+    """
     held = cut(edges.select("src", "dst").distinct())
     size = held.count()
     for _ in range(most_rounds):
@@ -36,6 +40,8 @@ def reachability(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         now = held.count()
         if now == size:
             return held
+        if now > most_pairs:
+            raise ValueError(f"more than {most_pairs} pairs of nodes reach each other: ask from given nodes by trace")
         size = now
     raise RuntimeError("reachability did not settle")
 

@@ -156,9 +156,14 @@ def phase_states(phases: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("state", state)
 
 
+def counts_of(rows: DataFrame) -> DataFrame:
+    """run_id, phase, n: how many rows each run wrote in each phase."""
+    return rows.groupBy("run_id", "phase").agg(F.count("*").alias("n"))
+
+
 def count_of(rows: DataFrame, run_id: str, phase: str) -> int:
     """How many rows a run wrote in a phase."""
-    return rows.where((F.col("run_id") == run_id) & (F.col("phase") == phase)).count()
+    return counts_of(rows.where((F.col("run_id") == run_id) & (F.col("phase") == phase))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def superseded(records: DataFrame, changes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +78,23 @@ def project_slugs(t: Tables) -> DataFrame:
 URL_PATH = "regexp_extract(url, '^https?://([^?#]*)', 1)"
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 5 = 2 OR page_id % 5 = 0 THEN 'core' WHEN page_id % 5 = 1 THEN 'app' WHEN page_id % 5 = 3 THEN 'app' ELSE 'f' END AS by_anchor,
-CASE WHEN page_id % 5 = 2 OR page_id % 5 = 0 THEN 'core' WHEN page_id % 5 = 1 THEN 'src' WHEN page_id % 5 = 3 THEN 'x' ELSE 'root' END AS by_parent FROM pages""")
+PLACE = f"rtrim({URL_PATH}, '/')"
+
+
+def _place() -> Column:
+    """Where a page lies: its host and path."""
+    return F.rtrim(F.regexp_extract("url", "^https?://([^?#]*)", 1), F.lit("/"))
+
+
+@query(f"""WITH p AS (SELECT page_id, string_split(replace(replace(replace({PLACE} || '/', '/en/', '/src/'), '/fr/', '/Sources/'), '/de/', '/Tests/'), '/') AS parts FROM pages),
+q AS (SELECT page_id, parts, len(parts) AS n, coalesce(list_position(parts, 'Sources'), 0) AS a, coalesce(list_position(parts, 'Tests'), 0) AS b, coalesce(list_position(parts, 'src'), 0) AS c FROM p)
+SELECT page_id, CASE WHEN a > 0 AND a < n THEN parts[a + 1] WHEN b > 0 AND b < n THEN parts[b + 1] WHEN c > 1 THEN parts[c - 1] ELSE parts[1] END AS by_anchor,
+CASE WHEN a > 0 AND a < n THEN parts[a + 1] WHEN b > 0 AND b < n THEN parts[b + 1] WHEN n > 1 THEN parts[n - 1] ELSE 'root' END AS by_parent FROM q""")
 def inferred_modules(t: Tables) -> DataFrame:
-    k = col("page_id") % 5
-    path = F.when(k == 0, "app/Sources/core/a.swift").when(k == 1, "app/src/a.py").when(k == 2, "Tests/core/x/t.swift").when(k == 3, "app/x/y.kt").otherwise("f")
+    """Pages as files, whose folders by language play those that sources and tests have."""
+    path = F.concat(_place(), F.lit("/"))
+    for language, folder in (("en", "src"), ("fr", "Sources"), ("de", "Tests")):
+        path = F.replace(path, F.lit(f"/{language}/"), F.lit(f"/{folder}/"))
     return t.read("pages").select("page_id", paths.module_by_anchor(path).alias("by_anchor"), paths.module_by_parent(path).alias("by_parent"))
 
 
@@ -102,14 +116,21 @@ def redacted_messages(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", paths.redacted(text("in /home/me/repo: ", col("url"), "\r\nnext"), "/home/me").alias("message"))
 
 
-@query("""SELECT n_nationkey, n_nationkey % 2 = 0 AS slug, n_nationkey % 3 = 0 AS qualified, n_nationkey % 4 <> 3 AS ref, n_nationkey % 5 <> 0 AS relative, n_nationkey % 2 = 1 AS mount FROM nation""")
+NAMES = f"""SELECT {PLACE} AS name FROM pages UNION SELECT unnest(string_split({PLACE}, '/')) FROM pages UNION SELECT unnest(string_split({URL_PATH}, '.')) FROM pages UNION SELECT p_name FROM part UNION SELECT replace(p_name, ' ', '-') FROM part UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation UNION SELECT url FROM pages UNION SELECT '../' || p_brand FROM part"""
+
+
+@query(f"""SELECT name, regexp_full_match(name, '[a-z0-9][a-z0-9-]{{0,62}}') AS slug, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_-]*([.][A-Za-z_][A-Za-z0-9_-]*)*') AS qualified, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._/@~^-]{{0,199}}') AS ref,
+regexp_full_match(name, '[A-Za-z0-9._-]+(/[A-Za-z0-9._-]+)*') AND NOT list_contains(string_split(name, '/'), '..') AS relative, regexp_full_match(name, '[a-z][a-z0-9-]{{0,15}}') AS mount FROM ({NAMES})""")
 def checked_names(t: Tables) -> DataFrame:
-    k = col("n_nationkey")
-    pick = lambda c, good, bad: F.when(c, good).otherwise(F.lit(bad))
-    return t.read("nation").select(
-        "n_nationkey", checks.slug_ok(pick(k % 2 == 0, "ab-1", "-ab")).alias("slug"), checks.qualified_ok(pick(k % 3 == 0, "a.b_c.D", "a..b")).alias("qualified"), checks.ref_ok(pick(k % 4 != 3, "v1.0~2", "-x")).alias("ref"),
-        checks.relative_ok(pick(k % 5 != 0, "a/b.c", "a/../b")).alias("relative"), checks.mount_ok(pick(k % 2 == 1, "hs", None)).alias("mount"),
-    )
+    """Hosts, paths and their parts, names of parts, customers and nations: which forms each keeps."""
+    pages, part = t.read("pages"), t.read("part")
+    whole = F.regexp_extract("url", "^https?://([^?#]*)", 1)
+    found = [pages.select(F.explode(F.concat(F.array(_place(), col("url")), F.split(_place(), "/"), F.split(whole, r"\."))).alias("name"))]
+    found += [part.select(F.explode(F.array("p_name", F.replace("p_name", F.lit(" "), F.lit("-")), text("../", col("p_brand")))).alias("name")), t.read("customer").select(col("c_name").alias("name")), t.read("nation").select(col("n_name").alias("name"))]
+    name = col("name")
+    return reduce(DataFrame.unionByName, found).distinct().select(
+        "name", checks.slug_ok(name).alias("slug"), checks.qualified_ok(name).alias("qualified"), checks.ref_ok(name).alias("ref"), checks.relative_ok(name).alias("relative"), checks.mount_ok(name).alias("mount")
+    )
 
 
 @query("SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id * 7) % 60 + CASE WHEN event_id % 10 >= 5 THEN 1 ELSE 0 END AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6, 6) AS since FROM events")
@@ -175,31 +196,33 @@ def first_known_key(t: Tables) -> DataFrame:
     return joins.first_key_wins(rows, "keys", known, "key", "found", "p_partkey").select("p_partkey", "found")
 
 
-PLACES = "(SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/b/f' WHEN 1 THEN 'a/c/f' WHEN 2 THEN 'x/f' ELSE 'lone' END AS path FROM pages)"
-
-
-def _placed(t: Tables) -> DataFrame:
-    k = col("page_id") % 4
-    return t.read("pages").select("page_id", F.when(k == 0, "a/b/f").when(k == 1, "a/c/f").when(k == 2, "x/f").otherwise("lone").alias("path"))
+OWNED = f"""p AS (SELECT page_id, url, {PLACE} AS path FROM pages), h AS (SELECT *, split_part(path, '/', 1) AS host FROM p),
+r AS (SELECT DISTINCT host AS root, regexp_extract(host, '[^.]*$') AS module FROM h WHERE host NOT LIKE 'm.%' UNION SELECT DISTINCT host || '/fr', 'fr' FROM h WHERE starts_with(path, host || '/fr')),
+o AS (SELECT page_id, any_value(url) AS url, any_value(host) AS host, count(DISTINCT module) AS n, min(module) AS module FROM h LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id)"""
 
 
 def _owned(t: Tables) -> DataFrame:
-    roots = t.spark.createDataFrame([("a/b/", "m1"), ("a", "m1"), ("a/c", "m2"), ("x", "m3")], "root string, module string")
-    return joins.owner_by_prefix(_placed(t), roots, "path", "root", "module")
+    """Hosts belong to their domain, but mobile ones to nobody, and French folders to another."""
+    places = t.read("pages").select("page_id", "url", _place().alias("path")).withColumn("host", F.substring_index("path", "/", 1))
+    domains = places.where(~col("host").startswith("m.")).select(col("host").alias("root"), F.substring_index("host", ".", -1).alias("module"))
+    french = places.where(F.startswith("path", F.concat("host", F.lit("/fr")))).select(F.concat("host", F.lit("/fr/")).alias("root"), F.lit("fr").alias("module"))
+    return joins.owner_by_prefix(places, domains.unionByName(french).distinct(), "path", "root", "module")
 
 
-@query(f"SELECT page_id, CASE path WHEN 'a/b/f' THEN 'm1' WHEN 'x/f' THEN 'm3' END AS module, CASE path WHEN 'a/b/f' THEN 'resolved' WHEN 'a/c/f' THEN 'ambiguous' WHEN 'x/f' THEN 'resolved' ELSE 'unresolved' END AS status FROM {PLACES}")
+@query(f"WITH {OWNED} SELECT page_id, CASE WHEN n = 1 THEN module END AS module, CASE n WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM o")
 def owners_by_prefix(t: Tables) -> DataFrame:
     return _owned(t).select("page_id", "module", "status")
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'm1' END WHEN 2 THEN CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'm3' END WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'm9' END END AS module,
-CASE page_id % 4 WHEN 1 THEN 'ambiguous' WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'resolved' ELSE 'unresolved' END ELSE CASE WHEN page_id % 3 = 0 THEN 'ambiguous' ELSE 'resolved' END END AS status FROM pages""")
+@query(f"""WITH {OWNED}, b AS (SELECT *, CASE WHEN starts_with(url, 'https') THEN regexp_extract(host, '[^.]*$') END AS other FROM o),
+c AS (SELECT *, n > 1 OR (n = 1 AND other IS NOT NULL AND other <> module) AS clash FROM b)
+SELECT page_id, CASE WHEN clash THEN NULL WHEN n = 1 THEN module ELSE other END AS module, CASE WHEN clash THEN 'ambiguous' WHEN n = 1 OR other IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status FROM c""")
 def reconciled_owners(t: Tables) -> DataFrame:
-    """A second resolution that names m9 for some pages and nothing for the others."""
-    named = col("page_id") % 3 == 0
-    second = t.read("pages").select("page_id", F.when(named, "m9").alias("module"), F.when(named, "resolved").otherwise("unresolved").alias("status"))
-    return joins.reconciled_owner(_owned(t).select("page_id", "module", "status"), second, "page_id", "module")
+    """A second resolution that names the domain of secure pages and nothing for the others."""
+    first = _owned(t)
+    named = col("url").startswith("https")
+    second = first.select("page_id", F.when(named, F.substring_index("host", ".", -1)).alias("module"), F.when(named, "resolved").otherwise("unresolved").alias("status"))
+    return joins.reconciled_owner(first.select("page_id", "module", "status"), second, "page_id", "module")
 
 
 @query("""WITH s AS (SELECT DISTINCT event_type AS kind, user_id AS file, CAST(event_id % 5 AS INTEGER) AS line FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY file, line) AS k, count(*) OVER (PARTITION BY kind) AS n FROM s)
@@ -314,12 +337,16 @@ def bundle_additions(t: Tables) -> DataFrame:
     return fresh.unionByName(errors)
 
 
-@query("SELECT 'n' || n_nationkey AS slug, CASE n_nationkey % 3 WHEN 0 THEN 'bundle' WHEN 1 THEN 'project' ELSE 'unknown' END AS kind FROM nation")
+@query(f"""WITH p AS (SELECT string_split({PLACE}, '/') AS parts, url FROM pages), l AS (SELECT unnest(parts) AS slug FROM p UNION SELECT string_split(parts[1], '.')[1] FROM p)
+SELECT slug, CASE WHEN slug IN (SELECT string_split(parts[1], '.')[1] FROM p WHERE starts_with(url, 'https')) THEN 'bundle' WHEN slug IN (SELECT string_split(parts[1], '.')[1] FROM p UNION SELECT parts[2] FROM p WHERE len(parts) > 1) THEN 'project' ELSE 'unknown' END AS kind FROM l""")
 def slug_kinds(t: Tables) -> DataFrame:
-    asked = t.read("nation").select(text("n", col("n_nationkey")).alias("slug"), (col("n_nationkey") % 3).alias("k"))
-    bundles = asked.select(F.when(col("k") == 0, col("slug")).otherwise("b").alias("bundle"))
-    projects = asked.select(F.when(col("k") < 2, col("slug")).otherwise("p").alias("slug"))
-    return ledger.slug_kind(asked.select("slug"), bundles, projects)
+    """Parts of addresses: first names of secure hosts are bundles, those of all hosts and their first folders projects."""
+    parts, label = F.split(_place(), "/"), F.substring_index(_place(), ".", 1)
+    pages = t.read("pages")
+    asked = pages.select(F.explode(F.array_append(parts, label)).alias("slug")).distinct()
+    bundles = pages.where(col("url").startswith("https")).select(label.alias("bundle"))
+    projects = pages.select(F.explode(F.array_compact(F.array(label, F.get(parts, F.lit(1))))).alias("slug"))
+    return ledger.slug_kind(asked, bundles, projects)
 
 
 @query("SELECT 'project/' || n_name AS group_id, 'all' AS asked FROM nation UNION ALL SELECT 'project/NATION_3', 'one' UNION ALL SELECT 'home', 'none'")
@@ -367,10 +394,10 @@ def phase_budgets(t: Tables) -> DataFrame:
     return ledger.phase_states(rows, 500).drop("written", "last_error")
 
 
-@query("SELECT count(*) AS n FROM events WHERE user_id = 3 AND event_type = 'view'")
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS phase, count(*) AS n FROM events GROUP BY 1, 2")
 def rows_of_a_phase(t: Tables) -> DataFrame:
-    rows = t.read("events").select(col("user_id").cast("string").alias("run_id"), col("event_type").alias("phase"))
-    return t.spark.createDataFrame([(ledger.count_of(rows, "3", "view"),)], "n long")
+    """How many rows each run wrote in each phase."""
+    return ledger.counts_of(t.read("events").select(col("user_id").cast("string").alias("run_id"), col("event_type").alias("phase")))
 
 
 @query("""SELECT 'a' || n_nationkey AS slug, CASE WHEN n_nationkey % 3 = 0 THEN 'superseded' WHEN n_nationkey % 3 = 1 AND n_nationkey > 0 THEN 'active' ELSE 'draft' END AS status, CASE WHEN n_nationkey % 3 = 0 THEN '**SUPERSEDED by a' || (n_nationkey + 1) || '**' || chr(10) || chr(10) || 'text' ELSE 'text' END AS body FROM nation
