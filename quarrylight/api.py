@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.checks import slug_ok
 from quarrylight.operators import graph, joins, ledger, lookup
+from quarrylight.operators.stored import PostingIndex
 from quarrylight.plans import audit, history, search, symbols
 from quarrylight.plans.runs import Outcome, Runner
 from quarrylight.sources import gitlog
@@ -26,8 +27,9 @@ class UnknownTable(LookupError):
 class Engine:
     """Answers from tables; every answer is a plan that Spark runs when it is read."""
 
-    def __init__(self, tables: Mapping[str, DataFrame], as_of: datetime | None = None):
-        self.tables, self.as_of = dict(tables), as_of
+    def __init__(self, tables: Mapping[str, DataFrame], as_of: datetime | None = None, indexes: Mapping[str, PostingIndex] | None = None):
+        """indexes: by the names of tables, postings that serve questions for single terms in their place."""
+        self.tables, self.as_of, self.indexes = dict(tables), as_of, dict(indexes or {})
 
     def _table(self, name: str, project: str | None = None) -> DataFrame:
         if name not in self.tables:
@@ -58,10 +60,11 @@ class Engine:
         return history.find_owners(self._table("owned_by", project).where(F.col("path") == path), self._held(top_n, 20))
 
     def find_references(self, names: Sequence[str], project: str) -> DataFrame:
-        """occurrences, evicted: project, symbol; runs: project."""
-        asked = self._table("occurrences").sparkSession.createDataFrame([(project, x) for x in names], "project string, symbol string")
-        own = [self._table(t, project).join(F.broadcast(asked), ["project", "symbol"], "left_semi") for t in ("occurrences", "evicted")]
-        return symbols.find_references(*own, self._table("runs", project), asked)
+        """occurrences, evicted: project, symbol (tables, or indexes by symbol); runs: project."""
+        runs = self._table("runs", project)
+        asked = runs.sparkSession.createDataFrame([(project, x) for x in names], "project string, symbol string")
+        own = [self.indexes[t].lookup(*names, project=project) if t in self.indexes else self._table(t, project).join(F.broadcast(asked), ["project", "symbol"], "left_semi") for t in ("occurrences", "evicted")]
+        return symbols.find_references(*own, runs, asked)
 
     def find_version_skew(self, slugs: Sequence[str] | None = None, ecosystem: str | None = None, least: str = "unknown", top_n: int = 50) -> DataFrame:
         """dependencies: slug, purl, ecosystem, version, scope_id. All projects, or a bundle's."""
@@ -97,6 +100,13 @@ class Engine:
         hit = callers.join(self._table("tests", project).select(F.col("name").alias("node")).distinct(), "node", "left_semi")
         return lookup.truncated(hit.orderBy("hop", "node"), self._held(limit, 500))
 
+    def find_occurrences(self, symbol: int, phases: Sequence[str], commit: str | None = None) -> DataFrame:
+        """postings: symbol_id, doc_key, phase, commit_sha (a table, or an index by symbol_id); one a document key."""
+        if "postings" in self.indexes:
+            return search.served_documents(self.indexes["postings"], symbol, list(phases), commit)
+        rows = self._table("postings")
+        return search.term_documents(rows if commit is None else rows.where(F.col("commit_sha") == commit), symbol, list(phases))
+
     def search_code(self, project: str, pattern: str, limit: int = 100) -> DataFrame:
         """source_files: project, path, text."""
         return search.code_lines(self._table("source_files", project), pattern).orderBy("path", "line").limit(self._held(limit, 1000))

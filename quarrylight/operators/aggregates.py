@@ -126,9 +126,21 @@ def status_counts(rows: DataFrame, known: Sequence[str], column: str = "status")
 
 
 def trailing_counts(rows: DataFrame, keys: Sequence[str], at: str, seconds: int, name: str = "n") -> DataFrame:
-    """rows with the number of the key's rows in the last seconds up to each, itself included."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return rows.withColumn(name, F.count("*").over(w))
+    """rows with the number of the key's rows in the last seconds up to each, itself included.
+
+    Time is dealt to buckets of that many seconds. A row's count is that of its own bucket up to it and that of the bucket
+    before from its beginning on, so a window holds what a key does in one bucket, never all of a hot key.
+    """
+    sec = F.unix_seconds(F.col(at).cast("timestamp"))
+    counted = rows.groupBy(*keys, sec.alias("_s")).agg(F.count("*").alias("_c")).withColumns({"_b": F.floor(F.col("_s") / seconds), "_at": F.col("_s")})
+    asked = counted.withColumns({"_b": F.col("_b") - 1, "_at": F.col("_s") - seconds})
+    bucket = Window.partitionBy(*keys, "_b")
+    own = counted.withColumn("_n", F.sum("_c").over(bucket.orderBy("_at")))
+    both = counted.withColumn("_q", F.lit(0)).unionByName(asked.withColumns({"_c": F.lit(0).cast("long"), "_q": F.lit(1)}))
+    before = both.withColumn("_n", F.sum("_c").over(bucket.orderBy(F.desc("_at")))).where("_q = 1 and _s is not null")
+    found = own.select(*keys, "_s", "_n").unionByName(before.select(*keys, "_s", "_n")).groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_s").alias("_t")).agg(F.sum("_n").alias(name))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), sec.eqNullSafe(F.col("_t")))
+    return rows.join(found, same).select(*rows.columns, name)
 
 
 def keep_worst(rows: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:

@@ -92,6 +92,17 @@ def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return held.withColumn(name, own).join(starts, same).withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
 
 
+def running_max(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """rows with the largest value of the key up to each, in an order that names ties; no task holds a hot key."""
+    held = stretches(rows.withColumn(name, value), keys, order)
+    ends = held.groupBy(*keys, "_p").agg(F.max(name).alias("_end"))
+    before = F.max("_end").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    came = ends.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_p").alias("_q"), before.alias("_before"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)), F.col("_p") == F.col("_q"))
+    own = F.max(name).over(Window.partitionBy(*keys, "_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn(name, own).join(came, same).withColumn(name, F.greatest(name, "_before")).select(*rows.columns, name)
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
     """keys, change (added, removed, changed, same) and both sides' compared columns (old_, new_)."""
     a = old.select(*keys, F.lit(True).alias("_old"), *(F.col(c).alias(f"old_{c}") for c in compared))

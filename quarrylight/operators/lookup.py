@@ -102,8 +102,10 @@ def kth(rows: DataFrame, order: Sequence[str], k: int) -> Row | None:
 
 
 def over_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
-    """The rows of each key beyond the first `cap`."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") > cap).drop("_n")
+    """The rows of each key beyond the first `cap` of an order that names ties; no task holds a hot key."""
+    from quarrylight.operators.joins import placed
+
+    return placed(rows, keys, order, "_n").where(F.col("_n") > cap).drop("_n")
 
 
 def flagged(rows: DataFrame, order: Sequence[Column], limit: int, most: int = 1000) -> DataFrame:

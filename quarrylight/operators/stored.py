@@ -155,9 +155,9 @@ class PostingIndex:
         """All postings; grouped by term and key within their buckets."""
         return self._current(self.spark.table(self.table))
 
-    def lookup(self, value, **equal) -> DataFrame:
-        """The postings of one term, read from its bucket; equal: values that further columns have (a list: any of them)."""
-        found = self._current(self.spark.table(self.table).where(F.col(self.term) == F.lit(value)))
+    def lookup(self, *values, **equal) -> DataFrame:
+        """The postings of one term or a few, read from their buckets; equal: values of further columns (a list: any of them)."""
+        found = self._current(self.spark.table(self.table).where(F.col(self.term).isin(*values)))
         for column, wanted in equal.items():
             found = found.where(F.col(column).isin(*wanted) if isinstance(wanted, (list, tuple, set)) else F.col(column) == F.lit(wanted))
         return found

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.operators.stored import PostingIndex
+
 SECTIONS = ("PURPOSE", "STACK", "ARCHITECTURE", "PATTERNS", "TRADEOFFS", "PHILOSOPHY")
 
 
@@ -18,6 +20,16 @@ def term_documents(postings: DataFrame, symbol: int, phases: list[str], key: str
     return postings.where((F.col("symbol_id") == symbol) & F.col("phase").isin(*phases)).dropDuplicates([key])
 
 
+def served_documents(index: PostingIndex, symbol: int, phases: list[str], commit: str | None = None) -> DataFrame:
+    """The same from an index of postings (symbol_id, doc_key, phase, commit_sha): only the symbol's bucket is read."""
+    return index.lookup(symbol, phase=phases, **({} if commit is None else {"commit_sha": commit}))
+
+
+def served_record(index: PostingIndex, doc_id: str) -> DataFrame:
+    """The rows of one document from an index by doc_id."""
+    return index.lookup(doc_id)
+
+
 def markdown_sections(records: DataFrame, text: str) -> DataFrame:
     """records with section and body: what follows each second-level heading of a known name."""
     parts = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n##[ \t]+")

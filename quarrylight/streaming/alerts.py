@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from quarrylight.operators.joins import placed, running_max
+
 ACTIONS = "issue_id string, finding string, action string, tier int, at timestamp"
 STATE = "snapshot string, alerted_at timestamp, tier int"
 
@@ -114,12 +116,12 @@ def alert_ticks(alerts: DataFrame, feed: str, tick: str, order: list[str], hard:
     """alerts with sent_at: the tick in which each goes out if a feed sends `hard` a tick, the oldest first.
 
     The k-th alert of a feed takes a slot after its predecessor's and none before its own tick, so its slot is k plus the
-    largest of (tick * hard - place) up to it. A feed's queue lies in one partition of the window.
+    largest of (tick * hard - place) up to it. Both are carried over ranges, so no task holds a feed's queue.
     """
-    w = Window.partitionBy(feed).orderBy(tick, *order)
-    rows = alerts.withColumn("_k", F.row_number().over(w) - 1)
-    slot = F.col("_k") + F.max(F.col(tick) * hard - F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("sent_at", F.floor(slot / hard)).drop("_k")
+    by = [F.col(c) for c in (tick, *order)]
+    rows = placed(alerts, [feed], by, "_k").withColumn("_k", F.col("_k") - 1)
+    slots = running_max(rows, [feed], by, F.col(tick) * hard - F.col("_k"), "_late")
+    return slots.withColumn("sent_at", F.floor((F.col("_k") + F.col("_late")) / hard)).drop("_k", "_late")
 
 
 def ranked_within(findings: DataFrame, keys: list[str], most: int) -> DataFrame:

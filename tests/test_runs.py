@@ -131,3 +131,19 @@ def test_processes_that_hold_a_lock(spark):
     many = spark.createDataFrame([(k, "45:00", 0.0, "tool") for k in range(6)], processes.schema)
     crowded = Engine({"issues": issues, "processes": many}, as_of=now)
     assert crowded.unstick_issue("b", ["tool"])[1] is False and crowded.unstick_issue("b", ["tool"], force=True)[1] is True
+
+
+def test_trailing_counts_against_brute_force(spark):
+    import datetime as dt
+    import random
+
+    from quarrylight.operators import aggregates
+
+    r = random.Random(2)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(k, r.choice([1, 1, 1, 2, None]), start + dt.timedelta(seconds=r.randrange(4000)) if r.random() < 0.95 else None) for k in range(500)]
+    for seconds in (1, 60, 977):
+        found = {x["id"]: x["n"] for x in aggregates.trailing_counts(spark.createDataFrame(rows, "id long, key long, at timestamp"), ["key"], "at", seconds).collect()}
+        for k, key, at in rows:
+            near = [t for _, j, t in rows if j == key and ((t is None and at is None) or (t is not None and at is not None and 0 <= (at - t).total_seconds() <= seconds))]
+            assert found[k] == len(near)

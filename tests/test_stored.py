@@ -1,5 +1,6 @@
 import pytest
 
+from quarrylight.api import Engine
 from quarrylight.operators import aggregates, stored
 
 
@@ -80,6 +81,28 @@ def test_postings_are_read_from_one_bucket(spark):
         index.drop()
 
 
+def test_questions_are_served_from_indexes(spark):
+    occurrences = spark.range(300).selectExpr("concat('s', id % 30) AS symbol", "id AS doc_key", "IF(id % 2 = 0, 'p', 'q') AS project")
+    postings = spark.range(300).selectExpr("id % 30 AS symbol_id", "concat('d', id) AS doc_key", "IF(id % 3 = 0, 'p1', 'p2') AS phase", "concat('c', id % 2) AS commit_sha")
+    by_symbol, by_id = stored.PostingIndex(spark, "served_occurrences", "symbol", "doc_key", 8), stored.PostingIndex(spark, "served_postings", "symbol_id", "doc_key", 8)
+    tables = {"runs": spark.createDataFrame([("p",)], "project string"), "evicted": occurrences.where("doc_key = 2"), "occurrences": occurrences, "postings": postings}
+    try:
+        by_symbol.drop()
+        by_id.drop()
+        by_symbol.add(occurrences)
+        by_id.add(postings)
+        plain, served = Engine(tables), Engine(tables, indexes={"occurrences": by_symbol, "postings": by_id})
+        rows = lambda df: sorted((tuple(sorted(r.asDict().items())) for r in df.collect()), key=repr)
+        assert rows(plain.find_references(["s2", "s4", "none"], "p")) == rows(served.find_references(["s2", "s4", "none"], "p"))
+        assert "SelectedBucketsCount: 1 out of 8" in served.find_references(["s2"], "p")._jdf.queryExecution().toString()
+        found = served.find_occurrences(6, ["p1"], "c0")
+        assert rows(found) == rows(plain.find_occurrences(6, ["p1"], "c0")) and found.count() == 10
+        assert "SelectedBucketsCount: 1 out of 8" in found._jdf.queryExecution().toString()
+    finally:
+        by_symbol.drop()
+        by_id.drop()
+
+
 @pytest.mark.parametrize("most", [1, 7, 50, 1000])
 def test_bounded_counts(spark, most):
     values = [k % (k % 13 + 1) * 100 + k % 7 for k in range(3000)] + list(range(10_000, 10_500))
