@@ -3,7 +3,8 @@
 Arrivals are appended as small immutable shards (Parquet files). Shards of similar size form a tier; when a tier has
 `fanout` shards or more, runs of them are merged into files of about the target size. Every change ends with
 a manifest of the next version, written aside and renamed into place, which fails if another writer was first; that change
-then is made to the newer version. Readers see the old or the new version, never a part of either. Files of no kept version
+then is made to the newer version. A manifest is a root that names parts, each with up to 10,000 shards; a change writes the parts that
+it changes, the others stay. Readers see the old or the new version, never a part of either. Files of no kept version
 are removed once they are older than any write or read that may still need them.
 
 The driver handles names and sizes of shards only. Merged rows go straight to the task that writes their shard; a shard is
@@ -20,6 +21,7 @@ import json
 import math
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import Scratch, documents, spare
 
+#: Shards that one part of a manifest names.
+MOST_IN_PART = 10_000
+
 
 class ShardStore:
     """Shards and manifests under one folder of the shared store."""
@@ -52,26 +57,47 @@ class ShardStore:
     def versions(self) -> list[int]:
         return sorted(int(x.getPath().getName()[1:-5]) for x in self._listed("manifests") if x.getPath().getName().endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """{"version": n, "schema": ..., "shards": [{"file", "bytes"}, ...]}; version 0 is empty."""
-        known = self.versions()
-        version = version if version is not None else (known[-1] if known else 0)
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(f"manifests/v{version:08d}.json"))
+    def _read_json(self, name: str) -> dict:
+        stream = self._fs.open(self._path(name))
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _commit(self, version: int, schema: str | None, shards: list[dict]) -> None:
-        aside, place = self._path(f"manifests/{uuid.uuid4().hex}.tmp"), self._path(f"manifests/v{version:08d}.json")
-        out = self._fs.create(aside, False)
-        out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode()))
+    def _write_json(self, name: str, told: dict) -> None:
+        out = self._fs.create(self._path(name), False)
+        out.write(bytearray(json.dumps(told).encode()))
         out.close()
+
+    def _root_of(self, version: int) -> dict:
+        """{"version", "schema", "parts": {name: number of shards}}: a version's root."""
+        return self._read_json(f"manifests/v{version:08d}.json")
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{"version": n, "schema": ..., "shards": [{"file", "bytes", "part"}, ...]}; version 0 is empty."""
+        known = self.versions()
+        version = version if version is not None else (known[-1] if known else 0)
+        if not version:
+            return {"version": 0, "schema": None, "shards": []}
+        root = self._root_of(version)
+        shards = [x | {"part": name} for name in root["parts"] for x in self._read_json(f"parts/{name}.json")["shards"]]
+        return {"version": root["version"], "schema": root["schema"], "shards": shards, "parts": root["parts"]}
+
+    def _commit(self, version: int, schema: str | None, shards: list[dict], parts: dict[str, int] | None = None) -> None:
+        """Write a version's root and rename it into place. Of the last version's parts (with their numbers of shards) those that
+        are whole stay as they are; what is new or left of others goes to new parts."""
+        held = Counter(x.get("part") for x in shards)
+        kept = {name: n for name, n in (parts or {}).items() if held[name] == n}
+        rest = [{"file": x["file"], "bytes": x["bytes"]} for x in shards if x.get("part") not in kept]
+        for a in range(0, len(rest), MOST_IN_PART):
+            name, own = uuid.uuid4().hex, rest[a : a + MOST_IN_PART]
+            self._write_json(f"parts/{name}.json", {"shards": own})
+            kept[name] = len(own)
+        aside, place = f"manifests/{uuid.uuid4().hex}.tmp", f"manifests/v{version:08d}.json"
+        self._write_json(aside, {"version": version, "schema": schema, "parts": kept})
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         no_overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, place, no_overwrite)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path(aside), self._path(place), no_overwrite)
 
     def _shards_in(self, folder: str) -> list[dict]:
         return [{"file": f"{folder}/{x.getPath().getName()}", "bytes": x.getLen()} for x in self._listed(folder) if x.getPath().getName().startswith("part-")]
@@ -89,7 +115,7 @@ class ShardStore:
             if told is None:
                 return None
             try:
-                self._commit(now["version"] + 1, *told)
+                self._commit(now["version"] + 1, *told, now.get("parts"))
                 return now["version"] + 1
             except Py4JJavaError as e:
                 if "AlreadyExists" not in e.java_exception.getClass().getName() and now["version"] + 1 not in self.versions():
@@ -139,7 +165,7 @@ class ShardStore:
             rows = self._read(now["schema"], list(group))
             file, target, told = spare(rows, "file"), spare(rows, "target"), rows.metadataColumn("_metadata")
             named = rows.withColumn(file, F.concat_ws("/", F.lit("data"), F.element_at(F.split(told["file_path"], "/"), -2), told["file_name"]))
-            dealt = named.join(F.broadcast(places.toDF(file, target)), file).repartitionById(len(runs), F.col(target))
+            dealt = named.join(places.toDF(file, target), file).repartitionById(len(runs), F.col(target))
             dealt.select(rows.columns).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             new = self._shards_in(folder)
 
@@ -165,6 +191,10 @@ class ShardStore:
             if status.getModificationTime() <= stale and (name.endswith(".tmp") or int(name[1:-5]) in old):
                 self._fs.delete(status.getPath(), False)
         kept |= {x["file"] for v in self.versions() for x in self.manifest(v)["shards"]}
+        named = {name for v in self.versions() for name in self._root_of(v)["parts"]}
+        for status in self._listed("parts"):
+            if status.getModificationTime() <= stale and status.getPath().getName().removesuffix(".json") not in named:
+                self._fs.delete(status.getPath(), False)
         for folder in self._listed("data"):
             files = list(self._fs.listStatus(folder.getPath()))
             names = [f"data/{folder.getPath().getName()}/{x.getPath().getName()}" for x in files]

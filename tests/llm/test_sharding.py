@@ -59,6 +59,24 @@ def test_a_writer_that_comes_second_adds_to_the_newer_version(spark, tmp_path):
     assert own()["version"] == 3 and two.read().count() == 9
 
 
+def test_a_change_writes_only_the_parts_it_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "MOST_IN_PART", 3)
+    store = op.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000, fanout=4, smallest=1_000)
+    docs = cases.table(spark, [(k, cases.prose(k, 300), "xa", "s", 1) for k in range(40)])
+    store.append(docs.where("doc_id < 32").repartition(8))
+    first = store._root_of(1)["parts"]
+    assert sorted(first.values()) == [2, 3, 3]
+    store.append(docs.where("doc_id >= 32").coalesce(1))
+    second = store._root_of(2)["parts"]
+    assert first.items() < second.items() and len(second) == 4  # the old parts stay, one is new
+    assert len(store.manifest(1)["shards"]) == 8 and len(store.manifest()["shards"]) == 9
+    store.compact()
+    store.vacuum(older_than_seconds=0)
+    left = {x.name.removesuffix(".json") for x in (tmp_path / "s/parts").iterdir() if x.name.endswith(".json")}
+    assert left == set(store._root_of(store.versions()[-1])["parts"])
+    assert cases.plain_rows(store.read()) == cases.plain_rows(docs)
+
+
 def test_an_unfinished_write_is_not_seen(spark, tmp_path):
     store = op.ShardStore(spark, f"file://{tmp_path}/s")
     store.append(cases.table(spark))
