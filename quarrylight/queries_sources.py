@@ -128,9 +128,11 @@ def symbol_index(t: Tables) -> DataFrame:
 
 
 @query("""SELECT 'pkg.sym' || (k % 1000) AS symbol, CASE WHEN k % 10 = 0 THEN 'def' ELSE 'use' END AS kind, CASE WHEN k % 7 = 0 THEN 'vendor/f' ELSE 'src/f' END || (k % 100) || '.py' AS file_path, CAST(k % 500 AS INTEGER) AS line, CAST(k % 80 AS INTEGER) AS col_start
-FROM (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS k)""")
+FROM (SELECT l_orderkey * 31 + l_partkey * 7 + l_linenumber AS k FROM lineitem)""")
 def synthetic_occurrences(t: Tables) -> DataFrame:
-    return scip.synthetic_occurrences(t.spark, t.read("lineitem").count())
+    """An occurrence for each line, by a number made of its keys."""
+    rows = t.read("lineitem").select((col("l_orderkey") * 31 + col("l_partkey") * 7 + col("l_linenumber")).alias("number"))
+    return scip.numbered_occurrences(rows, "number")
 
 
 # trees ------------------------------------------------------------------------------------------------------------------

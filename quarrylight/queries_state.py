@@ -156,8 +156,8 @@ def _written(rows: DataFrame, folder: str) -> DataFrame:
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            os.makedirs(folder, exist_ok=True)
             for name, content in zip(part["name"], part["content"], strict=True):
+                os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
                 with open(f"{folder}/{name}.tmp", "wb") as file:
                     file.write(content)
                 os.replace(f"{folder}/{name}.tmp", f"{folder}/{name}")  # a repeated attempt writes the same

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from quarrylight.queries_rows import FACT_LINES
 from quarrylight.queries_sources import joined, naive, text
 from quarrylight.registry import query
 from quarrylight.session import shared_folder
-from quarrylight.sources import facts, reports
+from quarrylight.sources import facts, reports, trees
 from quarrylight.streaming import detectors
 
 
@@ -190,3 +192,27 @@ def project_overview(t: Tables) -> DataFrame:
 def project_list(t: Tables) -> DataFrame:
     rows = t.read("events").select(text("user-", col("user_id")).alias("slug")).distinct()
     return Engine({"projects": rows}).list_projects()
+
+
+@query("""SELECT fqn, line FROM (SELECT p_brand || '.' || p_name AS fqn, p_partkey AS line FROM part) ORDER BY fqn, line LIMIT 500""")
+def capped_answers(t: Tables) -> DataFrame:
+    """The public API of a project, of which a question gets 500 rows at most, however many it asks for."""
+    rows = t.read("part").select(F.lit("p").alias("project"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"), col("p_partkey").alias("line"))
+    return Engine({"public_api": rows}).find_public_api("p", 100_000).select("fqn", "line")
+
+
+NAMES = ["Package.swift", "libs.versions.toml", "build.gradle.kts", "pyproject.toml", "module.api"]
+
+
+@query("""WITH f AS (SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN 'node_modules/' ELSE '' END || 'n' || s_nationkey || '/s' || s_suppkey || '/' || ['Package.swift', 'libs.versions.toml', 'build.gradle.kts', 'pyproject.toml', 'module.api'][s_suppkey % 5 + 1] AS path, s_name AS text, s_nationkey FROM supplier)
+SELECT path, text, split_part(path, '/', 3) AS name FROM f WHERE s_nationkey % 4 <> 0""")
+def discovered_files(t: Tables) -> DataFrame:
+    """Manifests and API dumps found by their names in a tree that suppliers make, outside folders of others' code."""
+    from quarrylight.queries_state import _local, _written
+
+    name = F.get(F.array(*map(F.lit, NAMES)), (col("s_suppkey") % 5).cast("int"))
+    folder = F.concat(F.when(col("s_nationkey") % 4 == 0, "node_modules/").otherwise(""), text("n", col("s_nationkey"), "/s", col("s_suppkey")))
+    root = _local(t, "tree")
+    _written(t.read("supplier").select(F.concat_ws("/", folder, name).alias("name"), F.encode("s_name", "UTF-8").alias("content")), root).count()
+    found = [trees.named_files(t.spark, root, pattern) for pattern in NAMES]
+    return reduce(DataFrame.unionByName, found).withColumn("name", F.element_at(F.split("path", "/"), -1))

@@ -236,6 +236,11 @@ def encoded_index(paths: pd.Series, own: pd.Series) -> pd.Series:
 
 def synthetic_occurrences(spark: SparkSession, n: int, symbols: int = 1000, files: int = 100) -> DataFrame:
     """n occurrences in modular cycles: each tenth is a definition, every seventh lies in vendor code."""
-    k = F.col("id")
+    return numbered_occurrences(spark.range(n), "id", symbols, files)
+
+
+def numbered_occurrences(rows: DataFrame, number: str, symbols: int = 1000, files: int = 100) -> DataFrame:
+    """The same, an occurrence for each row by a number that it has."""
+    k = F.col(number)
     path = F.when(k % 7 == 0, F.concat(F.lit("vendor/f"), (k % files).cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("src/f"), (k % files).cast("string"), F.lit(".py")))
-    return spark.range(n).select(F.concat(F.lit("pkg.sym"), (k % symbols).cast("string")).alias("symbol"), F.when(k % 10 == 0, "def").otherwise("use").alias("kind"), path.alias("file_path"), (k % 500).cast("int").alias("line"), (k % 80).cast("int").alias("col_start"))
+    return rows.select(F.concat(F.lit("pkg.sym"), (k % symbols).cast("string")).alias("symbol"), F.when(k % 10 == 0, "def").otherwise("use").alias("kind"), path.alias("file_path"), (k % 500).cast("int").alias("line"), (k % 80).cast("int").alias("col_start"))

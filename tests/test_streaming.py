@@ -160,3 +160,13 @@ def test_ingest_progress(spark):
     members = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c"), ("z", "d")], "bundle string, member string")
     results = spark.createDataFrame([("x", "a", True), ("y", "c", False)], "bundle string, member string, ok boolean")
     assert sorted(tuple(r) for r in windows.ingest_progress(members, results).collect()) == [("x", 2, 1, 0, "running"), ("y", 1, 1, 1, "failed"), ("z", 1, 0, 0, "running")]
+
+
+def test_issues_that_cant_be_read_stop_no_other(spark):
+    feed = spark.createDataFrame([('{"id": "1", "status": "todo", "updatedAt": "2026-01-01T00:00:00Z"}',), ("{",), ('{"id": "2", "updatedAt": "2026-01-01T00:00:00Z"}',), ('{"id": "3", "status": "todo", "updatedAt": "never"}',), (None,)], "text string")
+    good, errors = detectors.readable_issues(feed)
+    assert [(r["issue_id"], r["status"]) for r in good.collect()] == [("1", "todo")]
+    assert sorted((str(r["issue_id"]), r["error"]) for r in errors.collect()) == [("2", "no_status"), ("3", "no_time"), ("None", "malformed"), ("None", "malformed")]
+    many = spark.range(100).selectExpr("cast(id AS string) AS issue_id", "id % 7 AS at")
+    page = detectors.tick_page(many, [F.col("at"), F.col("issue_id")], 30)
+    assert page.count() == 30 and page.agg(F.max("at")).first()[0] <= 2
