@@ -28,6 +28,14 @@ def joined(rows: DataFrame, keys: list[str], part: Column, before: Column | str
     return both.select(*keys, text(before, col("_t"), after).alias("text"))
 
 
+def own(sign: str = "_") -> Column:
+    """A name for each brand and each 200 parts: files by it grow in number with the table, not in length."""
+    return F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(sign), F.floor(col("p_partkey") / 200).cast("string"))
+
+
+OWN = "replace(p_brand, '#', '') || '_' || p_partkey // 200"
+
+
 def sha(c: Column) -> Column:
     return F.concat(F.md5(c.cast("string")), F.lit("00000000"))
 
@@ -67,7 +75,7 @@ def git_numstat(t: Tables) -> DataFrame:
 @query(f"""SELECT '100644' AS mode, 'blob' AS kind, {SHA.format("p_partkey")} AS blob, p_brand || '/' || p_name AS path FROM part""")
 def git_tree(t: Tables) -> DataFrame:
     line = text("100644 blob ", sha(col("p_partkey")), "\t", col("p_brand"), "/", col("p_name"), "\n")
-    return gitlog.ls_tree(joined(t.read("part"), ["p_brand"], line))
+    return gitlog.ls_tree(joined(t.read("part").withColumn("own", own()), ["own"], line))
 
 
 @query("""SELECT 'p' || l_partkey AS path, 's' || l_suppkey || '@example.org' AS email, 'Supplier ' || l_suppkey AS name, count(*) AS lines, max(l_shipdate) AS last_commit_at FROM lineitem GROUP BY l_partkey, l_suppkey""")
@@ -175,36 +183,36 @@ def module_imports(t: Tables) -> DataFrame:
 # manifests ----------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_brand || '/pyproject.toml' AS declared_in, 'Pkg_' || p_partkey AS name, '>=' || p_size AS "constraint", 'compile' AS scope, CASE WHEN p_size < 10 THEN 'unresolved' ELSE p_size || '.1' END AS version,
+@query(f"""SELECT {OWN} || '/pyproject.toml' AS declared_in, 'Pkg_' || p_partkey AS name, '>=' || p_size AS "constraint", 'compile' AS scope, CASE WHEN p_size < 10 THEN 'unresolved' ELSE p_size || '.1' END AS version,
 'pkg:pypi/pkg-' || p_partkey || '@' || CASE WHEN p_size < 10 THEN 'unresolved' ELSE p_size || '.1' END AS purl FROM part""")
 def python_manifests(t: Tables) -> DataFrame:
-    part = t.read("part")
+    part = t.read("part").withColumn("own", own())
     name, size = text("Pkg_", col("p_partkey")), col("p_size")
-    projects = joined(part, ["p_brand"], text('"', name, ">=", size, '"'), "[project]\ndependencies = [", "]\n", ", ").select(text(col("p_brand"), "/pyproject.toml").alias("path"), "text")
-    own = text('[[package]]\nname = "', F.when(size < 10, text("other-", col("p_partkey"))).otherwise(text("pkg-", col("p_partkey"))), '"\nversion = "', size, '.1"\n')
-    locks = joined(part, ["p_type"], own).select(text(col("p_type"), "/uv.lock").alias("path"), "text")
+    projects = joined(part, ["own"], text('"', name, ">=", size, '"'), "[project]\ndependencies = [", "]\n", ", ").select(text(col("own"), "/pyproject.toml").alias("path"), "text")
+    entry = text('[[package]]\nname = "', F.when(size < 10, text("other-", col("p_partkey"))).otherwise(text("pkg-", col("p_partkey"))), '"\nversion = "', size, '.1"\n')
+    locks = joined(part, ["p_type", "own"], entry).select(text(col("p_type"), col("own"), "/uv.lock").alias("path"), "text")
     return manifests.python_dependencies(projects, locks)
 
 
-@query("""SELECT p_brand || '/Package.swift' AS declared_in, 'https://github.com/Org/Lib' || p_partkey || '.git' AS url, p_size || '.0.0' AS "constraint", CASE WHEN p_size < 10 THEN 'unresolved' ELSE p_size || '.2.0' END AS version,
+@query(f"""SELECT {OWN} || '/Package.swift' AS declared_in, 'https://github.com/Org/Lib' || p_partkey || '.git' AS url, p_size || '.0.0' AS "constraint", CASE WHEN p_size < 10 THEN 'unresolved' ELSE p_size || '.2.0' END AS version,
 'pkg:github/org/lib' || p_partkey || '@' || CASE WHEN p_size < 10 THEN 'unresolved' ELSE p_size || '.2.0' END AS purl FROM part""")
 def swift_manifests(t: Tables) -> DataFrame:
-    part, k, size = t.read("part"), col("p_partkey"), col("p_size")
-    files = joined(part, ["p_brand"], text('.package(url: "https://github.com/Org/Lib', k, '.git", from: "', size, '.0.0"),\n')).select(text(col("p_brand"), "/Package.swift").alias("path"), "text")
+    part, k, size = t.read("part").withColumn("own", own()), col("p_partkey"), col("p_size")
+    files = joined(part, ["own"], text('.package(url: "https://github.com/Org/Lib', k, '.git", from: "', size, '.0.0"),\n')).select(text(col("own"), "/Package.swift").alias("path"), "text")
     pin = text('{"location": "git@github.com:Org/', F.when(size < 10, "Other").otherwise("Lib"), k, '", "state": {"version": "', size, '.2.0"}}')
-    pins = joined(part, ["p_type"], pin, '{"pins": [', "]}", ", ")
-    return manifests.swift_dependencies(files, pins.select(text(col("p_type")).alias("path"), "text"))
+    pins = joined(part, ["p_type", "own"], pin, '{"pins": [', "]}", ", ")
+    return manifests.swift_dependencies(files, pins.select(text(col("p_type"), col("own")).alias("path"), "text"))
 
 
-@query("""SELECT replace(p_brand, '#', '') || '/build.gradle.kts' AS declared_in, CASE WHEN p_size % 2 = 0 THEN 'io.acme:lib' ELSE 'org.plain:lib' END || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'compile' ELSE 'test' END AS scope, p_size || '.5' AS version,
+@query(f"""SELECT {OWN} || '/build.gradle.kts' AS declared_in, CASE WHEN p_size % 2 = 0 THEN 'io.acme:lib' ELSE 'org.plain:lib' END || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'compile' ELSE 'test' END AS scope, p_size || '.5' AS version,
 'pkg:maven/' || CASE WHEN p_size % 2 = 0 THEN 'io.acme/lib' ELSE 'org.plain/lib' END || p_partkey || '@' || p_size || '.5' AS purl FROM part""")
 def gradle_manifests(t: Tables) -> DataFrame:
-    part, k, size = t.read("part").withColumn("place", F.replace("p_brand", F.lit("#"), F.lit(""))), col("p_partkey"), col("p_size")
+    part, k, size = t.read("part").withColumn("place", own()), col("p_partkey"), col("p_size")
     line = F.when(size % 2 == 0, text("implementation(libs.acme.lib", k, ")\n")).otherwise(text('testImplementation("org.plain:lib', k, ":", size, '.5")\n'))
     scripts = joined(part, ["place"], line).select(text(col("place"), "/build.gradle.kts").alias("path"), "text")
     entry = text("acme-lib", k, ' = { module = "io.acme:lib', k, '", version.ref = "v', size, '" }\n')
     versions = "[versions]\n" + "".join(f'v{n} = "{n}.5"\n' for n in range(1, 51)) + "[libraries]\n"
-    catalogs = joined(part, ["p_type"], entry, versions).select(text(col("p_type")).alias("path"), "text")
+    catalogs = joined(part, ["p_type", "place"], entry, versions).select(text(col("p_type"), col("place")).alias("path"), "text")
     return manifests.gradle_dependencies(catalogs, scripts)
 
 
@@ -232,21 +240,22 @@ def gradle_module_edges(t: Tables) -> DataFrame:
 # public APIs ----------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'com.acme.' || replace(p_brand, '#', '') || '.' || CASE WHEN p_size % 2 = 0 THEN 'run' || p_partkey || '(a: Int)' ELSE 'size' || p_partkey END AS fqn, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'property' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'protected' ELSE 'public' END AS visibility FROM part
-UNION ALL SELECT DISTINCT 'com.acme.' || replace(p_brand, '#', ''), 'interface', 'public' FROM part""")
+@query(f"""SELECT 'com.acme.' || {OWN} || '.' || CASE WHEN p_size % 2 = 0 THEN 'run' || p_partkey || '(a: Int)' ELSE 'size' || p_partkey END AS fqn, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'property' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'protected' ELSE 'public' END AS visibility FROM part
+UNION ALL SELECT DISTINCT 'com.acme.' || {OWN}, 'interface', 'public' FROM part""")
 def kotlin_api(t: Tables) -> DataFrame:
-    part, k, size = t.read("part").withColumn("own", F.replace("p_brand", F.lit("#"), F.lit(""))), col("p_partkey"), col("p_size")
+    part, k, size = t.read("part").withColumn("own", own()), col("p_partkey"), col("p_size")
     seen = F.when(size % 3 == 0, "protected").otherwise("public")
     member = F.when(size % 2 == 0, text("\t", seen, " final fun run", k, " (a:   Int): Boolean\n")).otherwise(text("\t", seen, " abstract val size", k, ": Long\n"))
     files = joined(part, ["own"], member, text("// tool\npublic abstract interface com/acme/", col("own"), " : com/acme/Base {\n"), "}\n")
     return api_dumps.kotlin_api(files.select(text(col("own"), ".api").alias("path"), "text")).select("fqn", "kind", "visibility")
 
 
-@query("""SELECT replace(p_brand, '#', '') || '.' || CASE WHEN p_size % 2 = 0 THEN 'run' || p_partkey || '(a: Int)' ELSE 'size' || p_partkey END AS fqn, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'property' END AS kind FROM part
-UNION ALL SELECT DISTINCT replace(p_brand, '#', ''), 'struct' FROM part UNION ALL SELECT DISTINCT 'after' || replace(p_brand, '#', '') || '()', 'function' FROM part""")
+@query(f"""SELECT {OWN} || '.' || CASE WHEN p_size % 2 = 0 THEN 'run' || p_partkey || '(a: Int)' ELSE 'size' || p_partkey END AS fqn, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'property' END AS kind FROM part
+UNION ALL SELECT DISTINCT {OWN}, 'struct' FROM part UNION ALL SELECT DISTINCT 'after' || {OWN} || '()', 'function' FROM part""")
 def swift_api(t: Tables) -> DataFrame:
-    part, k, size = t.read("part").withColumn("own", F.replace("p_brand", F.lit("#"), F.lit(""))), col("p_partkey"), col("p_size")
-    member = F.when(size % 2 == 0, text("  public func run", k, "(a:   Int) -> Bool\n")).otherwise(text("  public var size", k, ": Int { get }\n"))
+    part, k, size = t.read("part").withColumn("own", own()), col("p_partkey"), col("p_size")
+    body = text("  public func run", k, "(a:   Int) -> Bool {\n    if a > 0 {\n      return true\n    }\n    return false\n  }\n")
+    member = F.when(size % 4 == 0, body).when(size % 2 == 0, text("  public func run", k, "(a:   Int) -> Bool\n")).otherwise(text("  public var size", k, ": Int { get }\n"))
     files = joined(part, ["own"], member, text("// tool\npublic struct ", col("own"), " {\n"), text("}\npublic func after", col("own"), "()\n"))
     return api_dumps.swift_api(files.select(text(col("own"), ".swiftinterface").alias("path"), "text")).select("fqn", "kind")
 
