@@ -42,6 +42,16 @@ def tokens(files: DataFrame) -> DataFrame:
     return placed.withColumn("pos", F.row_number().over(of_file()) - 1).select("path", "language", "pos", "tok", F.col("line").cast("int").alias("line"), "gap", "statement")
 
 
+def with_comments(rows: DataFrame) -> DataFrame:
+    """tokens with comment: whether one lies behind // on its line or between /* and */."""
+    slash = (F.col("tok") == "/") & ~F.lead("gap").over(of_file())
+    ends = (F.col("tok") == "*") & (ahead(1) == "/") & ~F.lead("gap").over(of_file())
+    marked = rows.withColumns({"_line": F.when(slash & (ahead(1) == "/"), True), "_block": F.when(slash & (ahead(1) == "*"), True).when(ends, False)})
+    of_line = Window.partitionBy("path", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.last("_block", ignorenulls=True).over(of_file().rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("comment", F.coalesce(F.max("_line").over(of_line), F.lit(False)) | F.coalesce(block, F.lit(False))).drop("_line", "_block")
+
+
 def is_string(c: Column, filled: bool = True) -> Column:
     """Whether a token is a string (with something in it)."""
     return c.startswith('"') & (F.length(c) > (2 if filled else 1))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.sources.lexed import ahead, behind, brackets, count_in, follows, is_string, of_file, tokens
+from quarrylight.sources.lexed import ahead, behind, brackets, count_in, follows, is_string, of_file, tokens, with_comments
 
 # Rule, its kind, severity, category and language.
 RULES = """
@@ -58,14 +58,15 @@ def crypto_path(path: Column) -> Column:
 def _on_tokens(rows: DataFrame) -> DataFrame:
     """Findings of the rules that look at the next few tokens: path, rule, first_line, last_line."""
     tok = F.col("tok")
-    operand = ~F.coalesce(behind(1), F.lit("")).isin(".", "*", "/", "%", "+", "-", "&")  # the left side is the name alone
+    # rules of syntax don't look into comments, those of text do
+    operand = ~F.col("comment") & ~F.coalesce(behind(1), F.lit("")).isin(".", "*", "/", "%", "+", "-", "&")  # the left side is the name alone
 
     def sum_of(names: tuple[str, ...], sign: str) -> Column:
         return tok.isin(*names) & operand & follows(sign) & ~F.coalesce(ahead(2), F.lit("")).isin("=", ">", sign, "*", "/")
 
     optional = tok.endswith("try") & follows("?", near=True)
     string = is_string(ahead(1))
-    secret = tok.isin("let", "var") & ahead(1).isin(*SECRET_VALUES) & (ahead(2) == ":") & (ahead(3) == "String") & (ahead(4) == "=")
+    secret = ~F.col("comment") & tok.isin("let", "var") & ahead(1).isin(*SECRET_VALUES) & (ahead(2) == ":") & (ahead(3) == "String") & (ahead(4) == "=")
     swift: list[tuple[str, Column, int]] = [
         ("generic_catch_all", tok.endswith("catch") & follows("{"), 1),
         ("error_as_string", tok.endswith("throw") & string & F.lead("gap").over(of_file()), 1),
@@ -81,7 +82,7 @@ def _on_tokens(rows: DataFrame) -> DataFrame:
         ("decimal_raw_uint_arithmetic_div", sum_of(UNIT_AMOUNTS, "/"), 2),
         ("decimal_raw_uint_arithmetic_mul", sum_of(UNIT_AMOUNTS, "*"), 2),
     ]
-    kotlin = [("loc_hardcoded_compose", (tok == "Text") & follows("(", is_string(ahead(2)), ")"), 3)]
+    kotlin = [("loc_hardcoded_compose", ~F.col("comment") & (tok == "Text") & follows("(", is_string(ahead(2)), ")"), 3)]
     # what follows try? ends with its line or a semicolon
     same = F.lead("statement", 2).over(of_file())
     last = F.max(F.struct("pos", "line")).over(Window.partitionBy("path", "statement"))
@@ -134,8 +135,9 @@ def _on_calls(rows: DataFrame) -> DataFrame:
     t = lambda n: F.get("close._tail", 11 - n)
     swift, kotlin = F.col("language") == "swift", F.col("language") == "kotlin"
     image = swift & b(1).endswith("Image") & F.col("_tight") & ~F.coalesce(reduce(lambda a, c: a | c, (F.col("close._near").startswith(x) for x in LABELS)), F.lit(False))
-    click = kotlin & (F.slice("_before", 3, 3) == F.array(*map(F.lit, ("Modifier", ".", "clickable")))) & ~F.coalesce(F.col("close._after") == "semantics", F.lit(False))
-    stored = swift & (F.col("_before") == F.array(*map(F.lit, ("UserDefaults", ".", "standard", ".", "set")))) & (t(3) == "forKey") & (t(2) == ":")
+    code = ~F.col("comment")
+    click = kotlin & code & (F.slice("_before", 3, 3) == F.array(*map(F.lit, ("Modifier", ".", "clickable")))) & ~F.coalesce(F.col("close._after") == "semantics", F.lit(False))
+    stored = swift & code & (F.col("_before") == F.array(*map(F.lit, ("UserDefaults", ".", "standard", ".", "set")))) & (t(3) == "forKey") & (t(2) == ":")
     joined = stored & (t(4) == ",") & (F.slice("close._tail", 1, 7) == F.array(*map(F.lit, (".", "joined", "(", "separator", ":", '" "', ")"))))
     secret = stored & F.replace(t(1), F.lit('"'), F.lit("")).isin(*SECRET_KEYS)
     line = lambda n: F.get("_lines", 5 - n)
@@ -155,5 +157,25 @@ def findings(files: DataFrame) -> DataFrame:
     """
     known = files.where(F.col("language").isin("swift", "kotlin"))
     catching, calling = known.where(F.contains("text", F.lit("catch"))), known.where(F.col("text").rlike(r"Image\(|clickable|UserDefaults"))
-    found = reduce(DataFrame.unionByName, (_on_tokens(tokens(known)), _on_blocks(tokens(catching)), _on_calls(tokens(calling))))
+    found = reduce(DataFrame.unionByName, (_on_tokens(with_comments(tokens(known))), _on_blocks(tokens(catching)), _on_calls(with_comments(tokens(calling)))))
     return found.join(F.broadcast(rule_table(files.sparkSession).drop("language")), "rule").select("path", "rule", "kind", "severity", "category", "first_line", "last_line")
+
+
+def error_sites(files: DataFrame) -> DataFrame:
+    """path, first_line, last_line, kind, rethrows of each place that meets an error: catch (a block without blocks in it),
+    try_optional, nil_coalesce_try_optional. rethrows: the block speaks of throwing."""
+    rows = tokens(files.where((F.col("language") == "swift") & F.col("text").rlike(r"catch|try\s*\?")))
+    optional = F.col("tok").endswith("try") & follows("?", near=True) & (F.coalesce(ahead(2), F.lit(";")) != ";")
+    of_statement = Window.partitionBy("path", "statement")
+    said = rows.withColumns({"_end": F.max(F.struct("pos", "line")).over(of_statement), "_coalesce": F.max(F.when(F.col("tok") == "??", F.col("pos"))).over(of_statement)})
+    tried = said.select("path", F.col("line").alias("first_line"), F.lead("_end", 2).over(of_file())["line"].alias("last_line"), F.lead("_coalesce", 2).over(of_file()).alias("_c"), "pos", optional.alias("_is")).where("_is")
+    tried = tried.select("path", "first_line", "last_line", F.when(F.col("_c") > F.col("pos") + 2, "nil_coalesce_try_optional").otherwise("try_optional").alias("kind"), F.lit(False).alias("rethrows"))
+    brace, throws = F.col("tok").isin("{", "}"), F.contains("tok", F.lit("throw"))
+    running = of_file().rowsBetween(Window.unboundedPreceding, 0)
+    before = of_file().rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.col("tok").endswith("catch") & (F.lead("gap").over(of_file()) | (ahead(1) == "{"))
+    marked = rows.withColumns({"_braces": F.sum(brace.cast("int")).over(running), "_segment": F.coalesce(F.sum(brace.cast("int")).over(before), F.lit(0)), "_throws": F.sum(throws.cast("int")).over(running)})
+    marked = marked.withColumn("_head", F.max(F.when(begins, F.struct("_segment", (-F.col("pos")).alias("at"), "line"))).over(of_file()))
+    caught = brackets(marked, "{", "}", "_braces", "_throws").where((F.col("_head._segment") == F.col("_segment")) & (F.col("close._braces") == F.col("_braces") + 1))
+    blocks = caught.select("path", F.col("_head.line").alias("first_line"), F.col("close.line").alias("last_line"), F.lit("catch").alias("kind"), (F.col("close._throws") > F.col("_throws")).alias("rethrows"))
+    return blocks.unionByName(tried).distinct()

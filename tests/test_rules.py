@@ -36,6 +36,8 @@ SWIFT = [
     ('UserDefaults.standard.set(\n  w, forKey: "seed")\nUserDefaults.standard.set(w, forKey: "theme")\n', [("mnemonic_userdefaults_storage", 0, 1)]),
     ('UserDefaults.standard.set(list.joined(separator: " "), forKey: k)\n', [("words_joined_userdefaults", 0, 0)]),
     ("/* nothing */\nlet c = '\"'\n", []),
+    ("// of wei/gwei, amount + fee\n/* let privateKey: String = x\n balance - 1 */ s = 1 // a\nt = balance - 2\n", [("bignum_overflow_unguarded_sub", 3, 3)]),
+    ("// throw \"text\"\n", [("error_as_string", 0, 0)]),
     ("", []),
 ]
 KOTLIN = [
@@ -70,6 +72,13 @@ def test_rules_over_pieces_in_any_order(spark):
     assert {r["severity"] for r in found.where("rule = 'empty_catch_in_crypto_path'").collect()} == {"CRITICAL"}
 
 
+def test_error_sites(spark):
+    text = "do { try f() } catch { return }\ncatch let e as X {\n  throw e\n}\ncatch { if a { } }\nlet a = try? f()\nlet b = try? f() ?? 1\nlet c = try!\n"
+    found = rules.error_sites(spark.createDataFrame([("a.swift", "swift", text), ("b.kt", "kotlin", text), ("c.swift", "swift", None)], "path string, language string, text string"))
+    want = [("catch", 1, 1, False), ("catch", 2, 4, True), ("nil_coalesce_try_optional", 7, 7, False), ("try_optional", 6, 6, False)]
+    assert sorted((r["kind"], r["first_line"], r["last_line"], r["rethrows"]) for r in found.collect()) == want
+
+
 def plain_blocks(text):
     out, held, quoted, line, k = [], [], False, 1, 0
     while k < len(text):
@@ -118,7 +127,7 @@ def lexed_signs(text):
 def test_texts_move_once(spark):
     files = spark.createDataFrame([("a", "swift", "x")], "path string, language string, text string")
     rows = lexed.tokens(files)
-    plan = rules._on_tokens(rows)._jdf.queryExecution().executedPlan().toString()
+    plan = rules._on_tokens(lexed.with_comments(rows))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
 
