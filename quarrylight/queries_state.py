@@ -58,14 +58,31 @@ FINDINGS = """(0, 'generic_catch_all', 1, 1, false), (0, 'empty_catch_in_crypto_
 @query(f"""WITH l AS (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), f(k, rule, a, b, crypto) AS (VALUES {FINDINGS})
 SELECT doc_id, rule, CAST(3 * i + a AS INTEGER) AS first_line, CAST(3 * i + b AS INTEGER) AS last_line FROM l JOIN f ON length(line) % {len(STATEMENTS)} = k WHERE NOT crypto OR n_chars > 2000""")
 def scanner_findings(t: Tables) -> DataFrame:
-    """Every line of every document as a statement of a source file; names of long documents speak of wallets."""
+    """What the rules find in every line of every document, as a statement of a source file."""
+    return _by_document(rules.findings(_sources(t))).select("doc_id", "rule", "first_line", "last_line")
+
+
+def _sources(t: Tables) -> DataFrame:
+    """A file a document, in which each line is a statement; names of long documents speak of wallets."""
     word = lambda x: F.concat(F.lit("x"), F.regexp_extract(x, "[A-Za-z]+", 0))
     pieces = F.array(*map(F.lit, STATEMENTS))
     made = F.transform(F.split("text", "\n"), lambda x: F.replace(F.get(pieces, F.length(x) % len(STATEMENTS)), F.lit("W"), word(x)))
     path = text("app/", F.when(col("n_chars") > 2000, "Wallet").otherwise("View"), "-", col("doc_id"), ".swift")
-    files = t.read("documents").select(path.alias("path"), F.lit("swift").alias("language"), F.array_join(made, "\n").alias("text"))
-    found = rules.findings(files)
-    return found.select(F.regexp_extract("path", r"-(-?\d+)\.swift", 1).cast("long").alias("doc_id"), "rule", "first_line", "last_line")
+    return t.read("documents").select(path.alias("path"), F.lit("swift").alias("language"), F.array_join(made, "\n").alias("text"))
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    return found.withColumn("doc_id", F.regexp_extract("path", r"-(-?\d+)\.swift", 1).cast("long"))
+
+
+SITES = "(0, 'catch', 1, 2), (1, 'catch', 1, 3), (2, 'try_optional', 1, 1), (3, 'nil_coalesce_try_optional', 1, 2)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), f(k, kind, a, b) AS (VALUES {SITES})
+SELECT doc_id, kind, CAST(3 * i + a AS INTEGER) AS first_line, CAST(3 * i + b AS INTEGER) AS last_line, false AS rethrows FROM l JOIN f ON length(line) % {len(STATEMENTS)} = k""")
+def error_sites(t: Tables) -> DataFrame:
+    """Where the same files meet an error."""
+    return _by_document(rules.error_sites(_sources(t))).select("doc_id", "kind", "first_line", "last_line", "rethrows")
 
 
 # state with timers ----------------------------------------------------------------------------------------------------

@@ -42,10 +42,34 @@ def tokens(files: DataFrame) -> DataFrame:
     return placed.withColumn("pos", F.row_number().over(of_file()) - 1).select("path", "language", "pos", "tok", F.col("line").cast("int").alias("line"), "gap", "statement")
 
 
+def around(rows: DataFrame, ahead: int = 5, behind: int = 1) -> DataFrame:
+    """tokens with what stands around each, as columns for `ahead`, `gap_ahead`, `line_ahead` and `behind`."""
+    w = of_file()
+    columns = {f"{short}{n}": F.lead(c, n).over(w) for n in range(1, ahead + 1) for short, c in (("a", "tok"), ("g", "gap"), ("l", "line"))}
+    return rows.withColumns(columns | {f"b{n}": F.lag("tok", n).over(w) for n in range(1, behind + 1)})
+
+
+def ahead(n: int) -> Column:
+    """The n-th token after this one."""
+    return F.col(f"a{n}")
+
+
+def gap_ahead(n: int) -> Column:
+    return F.col(f"g{n}")
+
+
+def line_ahead(n: int) -> Column:
+    return F.col(f"l{n}") if n else F.col("line")
+
+
+def behind(n: int) -> Column:
+    return F.col(f"b{n}")
+
+
 def with_comments(rows: DataFrame) -> DataFrame:
-    """tokens with comment: whether one lies behind // on its line or between /* and */."""
-    slash = (F.col("tok") == "/") & ~F.lead("gap").over(of_file())
-    ends = (F.col("tok") == "*") & (ahead(1) == "/") & ~F.lead("gap").over(of_file())
+    """tokens (with what is around them) with comment: whether one lies behind // on its line or between /* and */."""
+    slash = (F.col("tok") == "/") & ~gap_ahead(1)
+    ends = (F.col("tok") == "*") & (ahead(1) == "/") & ~gap_ahead(1)
     marked = rows.withColumns({"_line": F.when(slash & (ahead(1) == "/"), True), "_block": F.when(slash & (ahead(1) == "*"), True).when(ends, False)})
     of_line = Window.partitionBy("path", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     block = F.last("_block", ignorenulls=True).over(of_file().rowsBetween(Window.unboundedPreceding, 0))
@@ -57,14 +81,6 @@ def is_string(c: Column, filled: bool = True) -> Column:
     return c.startswith('"') & (F.length(c) > (2 if filled else 1))
 
 
-def ahead(n: int) -> Column:
-    return F.lead("tok", n).over(of_file())
-
-
-def behind(n: int) -> Column:
-    return F.lag("tok", n).over(of_file())
-
-
 def follows(*signs: str | Column | None, near: bool = False) -> Column:
     """Whether the next tokens are these; a column is a condition of its own; near: without blanks before them."""
     found = F.lit(True)
@@ -74,7 +90,7 @@ def follows(*signs: str | Column | None, near: bool = False) -> Column:
         elif sign is not None:
             found &= sign
         if near:
-            found &= ~F.lead("gap", n).over(of_file())
+            found &= ~gap_ahead(n)
     return F.coalesce(found, F.lit(False))
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.sources.lexed import ahead, behind, brackets, count_in, follows, is_string, of_file, tokens, with_comments
+from quarrylight.sources.lexed import ahead, around, behind, brackets, count_in, follows, gap_ahead, is_string, line_ahead, of_file, tokens, with_comments
 
 # Rule, its kind, severity, category and language.
 RULES = """
@@ -69,12 +69,12 @@ def _on_tokens(rows: DataFrame) -> DataFrame:
     secret = ~F.col("comment") & tok.isin("let", "var") & ahead(1).isin(*SECRET_VALUES) & (ahead(2) == ":") & (ahead(3) == "String") & (ahead(4) == "=")
     swift: list[tuple[str, Column, int]] = [
         ("generic_catch_all", tok.endswith("catch") & follows("{"), 1),
-        ("error_as_string", tok.endswith("throw") & string & F.lead("gap").over(of_file()), 1),
+        ("error_as_string", tok.endswith("throw") & string & gap_ahead(1), 1),
         ("error_as_string", (tok == "Result") & follows(".", "failure", "(", is_string(ahead(4), False), ")", near=True), 5),
         ("address_no_checksum_validation", tok.rlike('^"0[x][0-9a-fA-F]{10,}"$'), 0),
         ("wei_eth_unit_mix_string", tok.isin(*(f'"{u}"' for u in UNITS)), 0),
         ("loc_hardcoded_swiftui", tok.endswith("Text") & follows("(", is_string(ahead(2)), ")", near=True), 3),
-        ("loc_hardcoded_uikit", (tok == ".") & ~F.coalesce(F.lead("gap").over(of_file()), F.lit(True)) & follows("text", "=") & is_string(ahead(3)), 3),
+        ("loc_hardcoded_uikit", (tok == ".") & ~F.coalesce(gap_ahead(1), F.lit(True)) & follows("text", "=") & is_string(ahead(3)), 3),
         ("loc_hardcoded_uikit", tok.endswith("setTitle") & follows("(", is_string(ahead(2)), ",", near=True), 3),
         ("private_key_type_string", secret, 4),
         ("bignum_overflow_unguarded", sum_of(SUMS, "+"), 2),
@@ -84,20 +84,17 @@ def _on_tokens(rows: DataFrame) -> DataFrame:
     ]
     kotlin = [("loc_hardcoded_compose", ~F.col("comment") & (tok == "Text") & follows("(", is_string(ahead(2)), ")"), 3)]
     # what follows try? ends with its line or a semicolon
-    same = F.lead("statement", 2).over(of_file())
-    last = F.max(F.struct("pos", "line")).over(Window.partitionBy("path", "statement"))
-    said = rows.withColumn("_end", last).withColumn("_coalesce", F.max(F.when(tok == "??", F.col("pos"))).over(Window.partitionBy("path", "statement")))
+    of_statement = Window.partitionBy("path", "statement")
+    said = rows.withColumns({"_end": F.max(F.struct("pos", "line")).over(of_statement), "_coalesce": F.max(F.when(tok == "??", F.col("pos"))).over(of_statement)})
+    said = said.withColumns({"_end": F.lead("_end", 2).over(of_file()), "_coalesce": F.lead("_coalesce", 2).over(of_file())})
 
     def found(rule: str, holds: Column, n: int, language: str) -> Column:
-        return F.when((F.col("language") == language) & holds, F.struct(F.lit(rule).alias("rule"), (F.lead("line", n).over(of_file()) if n else F.col("line")).alias("last_line")))
+        return F.when((F.col("language") == language) & holds, F.struct(F.lit(rule).alias("rule"), line_ahead(n).alias("last_line")))
 
-    tries = (F.col("language") == "swift") & optional & same.isNotNull() & (F.coalesce(ahead(2), F.lit(";")) != ";")
-    end = F.lead("_end", 2).over(of_file())
-    swallowed = F.lead("_coalesce", 2).over(of_file())
+    tries = (F.col("language") == "swift") & optional & (F.coalesce(ahead(2), F.lit(";")) != ";")
     tried = [
-        F.when(tries, F.struct(F.lit("try_optional_swallow").alias("rule"), end["line"].alias("last_line"))),
-        F.when(tries & crypto_path(F.col("path")), F.struct(F.lit("try_optional_in_crypto_path").alias("rule"), end["line"].alias("last_line"))),
-        F.when(tries & (swallowed > F.col("pos") + 2), F.struct(F.lit("nil_coalesce_swallows_error").alias("rule"), end["line"].alias("last_line"))),
+        F.when(tries & holds, F.struct(F.lit(rule).alias("rule"), F.col("_end.line").alias("last_line")))
+        for rule, holds in (("try_optional_swallow", F.lit(True)), ("try_optional_in_crypto_path", crypto_path(F.col("path"))), ("nil_coalesce_swallows_error", F.col("_coalesce") > F.col("pos") + 2))
     ]
     all_of = F.array(*(found(*x, "swift") for x in swift), *(found(*x, "kotlin") for x in kotlin), *tried)
     return said.withColumn("_all", F.array_compact(all_of)).withColumn("_f", F.explode("_all")).select("path", "_f.rule", F.col("line").alias("first_line"), "_f.last_line")
@@ -108,11 +105,11 @@ def _on_blocks(rows: DataFrame) -> DataFrame:
     tok = F.col("tok")
     segment = F.coalesce(F.sum(F.when(tok.isin("{", "}"), 1).otherwise(0)).over(of_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marked = rows.where("language = 'swift'").withColumn("_segment", segment)
-    begins = tok.endswith("catch") & (F.lead("gap").over(of_file()) | (ahead(1) == "{"))
+    begins = tok.endswith("catch") & (gap_ahead(1) | (ahead(1) == "{"))
     # the first catch since the last brace: of running maxima the one with the least position
     head = F.max(F.when(begins, F.struct("_segment", (-F.col("pos")).alias("at"), "line"))).over(of_file())
-    logs = follows("logger", ".", ahead(3).isin(*LOG_LEVELS), "(") & ~F.lead("gap", 2).over(of_file()) & ~F.lead("gap", 3).over(of_file()) & ~F.lead("gap", 4).over(of_file())
-    prints = follows("print", "(") & ~F.lead("gap", 2).over(of_file())
+    logs = follows("logger", ".", ahead(3).isin(*LOG_LEVELS), "(") & ~gap_ahead(2) & ~gap_ahead(3) & ~gap_ahead(4)
+    prints = follows("print", "(") & ~gap_ahead(2)
     marked = marked.withColumns({"_head": head, "_first": ahead(1), "_logs": logs | prints, "_last": behind(1), "_parens": F.sum(count_in(tok, ")")).over(of_file())})
     caught = brackets(marked, "{", "}", "_last", "_parens").where((F.col("_head._segment") == F.col("_segment")) & F.col("close").isNotNull())
     inside = F.col("close.pos") - F.col("pos") - 1
@@ -126,10 +123,9 @@ def _on_calls(rows: DataFrame) -> DataFrame:
     """Findings on what stands at the end of a call or right after it."""
     tail = F.array(*(F.coalesce(behind(n), F.lit("")) for n in range(11, 0, -1)))
     before = F.array(*(F.coalesce(behind(n), F.lit("")) for n in range(5, 0, -1)))
-    follow = F.when(~F.lead("gap").over(of_file()) & ~F.lead("gap", 2).over(of_file()) & (ahead(1) == "."), ahead(2))
+    follow = F.when(~gap_ahead(1) & ~gap_ahead(2) & (ahead(1) == "."), ahead(2))
     after = F.when(ahead(1) == ".", ahead(2))
-    first = F.when(behind(5).isNotNull(), F.lag("line", 5).over(of_file()))
-    marked = rows.withColumns({"_tail": tail, "_before": before, "_near": follow, "_after": after, "_tight": ~F.col("gap"), "_first": first, "_lines": F.array(*(F.lag("line", n).over(of_file()) for n in range(5, 0, -1)))})
+    marked = rows.withColumns({"_tail": tail, "_before": before, "_near": follow, "_after": after, "_tight": ~F.col("gap"), "_lines": F.array(*(F.lag("line", n).over(of_file()) for n in range(5, 0, -1)))})
     calls = brackets(marked, "(", ")", "_tail", "_near", "_after").where("close is not null")
     b = lambda n: F.get("_before", 5 - n)
     t = lambda n: F.get("close._tail", 11 - n)
@@ -157,14 +153,14 @@ def findings(files: DataFrame) -> DataFrame:
     """
     known = files.where(F.col("language").isin("swift", "kotlin"))
     catching, calling = known.where(F.contains("text", F.lit("catch"))), known.where(F.col("text").rlike(r"Image\(|clickable|UserDefaults"))
-    found = reduce(DataFrame.unionByName, (_on_tokens(with_comments(tokens(known))), _on_blocks(tokens(catching)), _on_calls(with_comments(tokens(calling)))))
+    found = reduce(DataFrame.unionByName, (_on_tokens(with_comments(around(tokens(known)))), _on_blocks(around(tokens(catching), 4)), _on_calls(with_comments(around(tokens(calling), 2, 11)))))
     return found.join(F.broadcast(rule_table(files.sparkSession).drop("language")), "rule").select("path", "rule", "kind", "severity", "category", "first_line", "last_line")
 
 
 def error_sites(files: DataFrame) -> DataFrame:
     """path, first_line, last_line, kind, rethrows of each place that meets an error: catch (a block without blocks in it),
     try_optional, nil_coalesce_try_optional. rethrows: the block speaks of throwing."""
-    rows = tokens(files.where((F.col("language") == "swift") & F.col("text").rlike(r"catch|try\s*\?")))
+    rows = around(tokens(files.where((F.col("language") == "swift") & F.col("text").rlike(r"catch|try\s*\?"))), 2)
     optional = F.col("tok").endswith("try") & follows("?", near=True) & (F.coalesce(ahead(2), F.lit(";")) != ";")
     of_statement = Window.partitionBy("path", "statement")
     said = rows.withColumns({"_end": F.max(F.struct("pos", "line")).over(of_statement), "_coalesce": F.max(F.when(F.col("tok") == "??", F.col("pos"))).over(of_statement)})
@@ -173,7 +169,7 @@ def error_sites(files: DataFrame) -> DataFrame:
     brace, throws = F.col("tok").isin("{", "}"), F.contains("tok", F.lit("throw"))
     running = of_file().rowsBetween(Window.unboundedPreceding, 0)
     before = of_file().rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.col("tok").endswith("catch") & (F.lead("gap").over(of_file()) | (ahead(1) == "{"))
+    begins = F.col("tok").endswith("catch") & (gap_ahead(1) | (ahead(1) == "{"))
     marked = rows.withColumns({"_braces": F.sum(brace.cast("int")).over(running), "_segment": F.coalesce(F.sum(brace.cast("int")).over(before), F.lit(0)), "_throws": F.sum(throws.cast("int")).over(running)})
     marked = marked.withColumn("_head", F.max(F.when(begins, F.struct("_segment", (-F.col("pos")).alias("at"), "line"))).over(of_file()))
     caught = brackets(marked, "{", "}", "_braces", "_throws").where((F.col("_head._segment") == F.col("_segment")) & (F.col("close._braces") == F.col("_braces") + 1))
