@@ -70,10 +70,25 @@ def with_comments(rows: DataFrame) -> DataFrame:
     """tokens (with what is around them) with comment: whether one lies behind // on its line or between /* and */."""
     slash = (F.col("tok") == "/") & ~gap_ahead(1)
     ends = (F.col("tok") == "*") & (ahead(1) == "/") & ~gap_ahead(1)
-    marked = rows.withColumns({"_line": F.when(slash & (ahead(1) == "/"), True), "_block": F.when(slash & (ahead(1) == "*"), True).when(ends, False)})
-    of_line = Window.partitionBy("path", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.last("_block", ignorenulls=True).over(of_file().rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("comment", F.coalesce(F.max("_line").over(of_line), F.lit(False)) | F.coalesce(block, F.lit(False))).drop("_line", "_block")
+    running = of_file().rowsBetween(Window.unboundedPreceding, 0)
+    line = F.last(F.when(slash & (ahead(1) == "/"), F.col("line")), ignorenulls=True).over(running)
+    block = F.last(F.when(slash & (ahead(1) == "*"), True).when(ends, False), ignorenulls=True).over(running)
+    return rows.withColumn("comment", F.coalesce(line == F.col("line"), F.lit(False)) | F.coalesce(block, F.lit(False)))
+
+
+def with_statement_ends(rows: DataFrame) -> DataFrame:
+    """tokens (with what is around them) with end: the last line of the statement that begins two tokens later; and coalesces:
+    whether a ?? follows its first token. One sort backwards, in which what comes next has been seen."""
+    back = Window.partitionBy("path").orderBy(F.desc("pos"))
+    running = back.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.lag("statement").over(back) != F.col("statement"), F.lit(True))
+    seen = rows.withColumn("_last", last).withColumns({
+        "_end": F.last(F.when(F.col("_last"), F.col("line")), ignorenulls=True).over(running),
+        "_next": F.last(F.when(F.col("tok") == "??", F.struct("pos", "statement")), ignorenulls=True).over(running),
+    })
+    two = seen.withColumns({"end": F.lag("_end", 2).over(back), "_next": F.lag("_next", 2).over(back), "_own": F.lag("statement", 2).over(back)})
+    follows_it = (F.col("_next.statement") == F.col("_own")) & (F.col("_next.pos") > F.col("pos") + 2)
+    return two.withColumn("coalesces", F.coalesce(follows_it, F.lit(False))).drop("_last", "_end", "_next", "_own")
 
 
 def is_string(c: Column, filled: bool = True) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.sources.lexed import ahead, around, behind, brackets, count_in, follows, gap_ahead, is_string, line_ahead, of_file, tokens, with_comments
+from quarrylight.sources.lexed import ahead, around, behind, brackets, count_in, follows, gap_ahead, is_string, line_ahead, of_file, tokens, with_comments, with_statement_ends
 
 # Rule, its kind, severity, category and language.
 RULES = """
@@ -83,21 +83,20 @@ def _on_tokens(rows: DataFrame) -> DataFrame:
         ("decimal_raw_uint_arithmetic_mul", sum_of(UNIT_AMOUNTS, "*"), 2),
     ]
     kotlin = [("loc_hardcoded_compose", ~F.col("comment") & (tok == "Text") & follows("(", is_string(ahead(2)), ")"), 3)]
-    # what follows try? ends with its line or a semicolon
-    of_statement = Window.partitionBy("path", "statement")
-    said = rows.withColumns({"_end": F.max(F.struct("pos", "line")).over(of_statement), "_coalesce": F.max(F.when(tok == "??", F.col("pos"))).over(of_statement)})
-    said = said.withColumns({"_end": F.lead("_end", 2).over(of_file()), "_coalesce": F.lead("_coalesce", 2).over(of_file())})
 
     def found(rule: str, holds: Column, n: int, language: str) -> Column:
         return F.when((F.col("language") == language) & holds, F.struct(F.lit(rule).alias("rule"), line_ahead(n).alias("last_line")))
 
     tries = (F.col("language") == "swift") & optional & (F.coalesce(ahead(2), F.lit(";")) != ";")
     tried = [
-        F.when(tries & holds, F.struct(F.lit(rule).alias("rule"), F.col("_end.line").alias("last_line")))
-        for rule, holds in (("try_optional_swallow", F.lit(True)), ("try_optional_in_crypto_path", crypto_path(F.col("path"))), ("nil_coalesce_swallows_error", F.col("_coalesce") > F.col("pos") + 2))
+        F.when(tries & holds, F.struct(F.lit(rule).alias("rule"), F.col("end").alias("last_line")))
+        for rule, holds in (("try_optional_swallow", F.lit(True)), ("try_optional_in_crypto_path", crypto_path(F.col("path"))), ("nil_coalesce_swallows_error", F.col("coalesces")))
     ]
+    # the tokens with which a finding may begin
+    words = ("Result", "let", "var", *SUMS, *UNIT_AMOUNTS, *(f'"{u}"' for u in UNITS))
+    may = reduce(lambda a, b: a | b, (tok.endswith(w) for w in ("catch", "throw", "try", "Text", "setTitle")), tok.isin(*words) | tok.startswith('"0x') | ((tok == ".") & (ahead(1) == "text")))
     all_of = F.array(*(found(*x, "swift") for x in swift), *(found(*x, "kotlin") for x in kotlin), *tried)
-    return said.withColumn("_all", F.array_compact(all_of)).withColumn("_f", F.explode("_all")).select("path", "_f.rule", F.col("line").alias("first_line"), "_f.last_line")
+    return rows.where(may).withColumn("_f", F.explode(F.array_compact(all_of))).select("path", "_f.rule", F.col("line").alias("first_line"), "_f.last_line")
 
 
 def _on_blocks(rows: DataFrame) -> DataFrame:
@@ -153,7 +152,7 @@ def findings(files: DataFrame) -> DataFrame:
     """
     known = files.where(F.col("language").isin("swift", "kotlin"))
     catching, calling = known.where(F.contains("text", F.lit("catch"))), known.where(F.col("text").rlike(r"Image\(|clickable|UserDefaults"))
-    found = reduce(DataFrame.unionByName, (_on_tokens(with_comments(around(tokens(known)))), _on_blocks(around(tokens(catching), 4)), _on_calls(with_comments(around(tokens(calling), 2, 11)))))
+    found = reduce(DataFrame.unionByName, (_on_tokens(with_statement_ends(with_comments(around(tokens(known))))), _on_blocks(around(tokens(catching), 4)), _on_calls(with_comments(around(tokens(calling), 2, 11)))))
     return found.join(F.broadcast(rule_table(files.sparkSession).drop("language")), "rule").select("path", "rule", "kind", "severity", "category", "first_line", "last_line")
 
 
@@ -162,10 +161,7 @@ def error_sites(files: DataFrame) -> DataFrame:
     try_optional, nil_coalesce_try_optional. rethrows: the block speaks of throwing."""
     rows = around(tokens(files.where((F.col("language") == "swift") & F.col("text").rlike(r"catch|try\s*\?"))), 2)
     optional = F.col("tok").endswith("try") & follows("?", near=True) & (F.coalesce(ahead(2), F.lit(";")) != ";")
-    of_statement = Window.partitionBy("path", "statement")
-    said = rows.withColumns({"_end": F.max(F.struct("pos", "line")).over(of_statement), "_coalesce": F.max(F.when(F.col("tok") == "??", F.col("pos"))).over(of_statement)})
-    tried = said.select("path", F.col("line").alias("first_line"), F.lead("_end", 2).over(of_file())["line"].alias("last_line"), F.lead("_coalesce", 2).over(of_file()).alias("_c"), "pos", optional.alias("_is")).where("_is")
-    tried = tried.select("path", "first_line", "last_line", F.when(F.col("_c") > F.col("pos") + 2, "nil_coalesce_try_optional").otherwise("try_optional").alias("kind"), F.lit(False).alias("rethrows"))
+    tried = with_statement_ends(rows).where(optional).select("path", F.col("line").alias("first_line"), F.col("end").alias("last_line"), F.when(F.col("coalesces"), "nil_coalesce_try_optional").otherwise("try_optional").alias("kind"), F.lit(False).alias("rethrows"))
     brace, throws = F.col("tok").isin("{", "}"), F.contains("tok", F.lit("throw"))
     running = of_file().rowsBetween(Window.unboundedPreceding, 0)
     before = of_file().rowsBetween(Window.unboundedPreceding, -1)

@@ -127,7 +127,7 @@ def lexed_signs(text):
 def test_texts_move_once(spark):
     files = spark.createDataFrame([("a", "swift", "x")], "path string, language string, text string")
     rows = lexed.tokens(files)
-    plan = rules._on_tokens(lexed.with_comments(lexed.around(rows)))._jdf.queryExecution().executedPlan().toString()
+    plan = rules._on_tokens(lexed.with_statement_ends(lexed.with_comments(lexed.around(rows))))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
 
