@@ -28,9 +28,10 @@ def tokens(files: DataFrame) -> DataFrame:
     """A row a token that isn't blank: path, language, pos (from 0, without blanks), tok, line, gap (blanks before it) and
     statement (a number that grows at each line and semicolon).
 
-    files: path (unique), language, text. Comments are tokens like all else; a quote without its partner is a sign.
+    files: path (unique), language, text. Comments are tokens like all else; a quote without its partner is a sign. Texts are
+    few bytes for the work that they make, so their partitions are as many as the session's shuffles have, never fewer.
     """
-    found = files.repartition("path").select("path", "language", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    found = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").select("path", "language", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     before = of_file().rowsBetween(Window.unboundedPreceding, -1)
     blank = F.col("tok").rlike(BLANK)
     placed = found.withColumns({

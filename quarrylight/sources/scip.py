@@ -178,7 +178,7 @@ def split_occurrences(spark: SparkSession, path: str, commit: str, range_bytes:
     """What scip_occurrences gives, read in ranges: a task holds range_bytes of a file or one document, whichever is more.
 
     One pass over the files seeks from length to length and gives ranges of whole documents; these are dealt evenly, so that
-    many tasks read one large file. A file that ends within a document gives its whole documents and one row with an error.
+    many tasks (`tasks`, or as many as the session's shuffles have) read one large file. A file that ends within a document gives its whole documents and one row with an error.
     Files lie in a store that tasks can open (`opened`); elsewhere use scip_occurrences.
     """
     listed = binary_files(spark, path, "*.scip").select("path", "length")
@@ -200,9 +200,10 @@ def split_occurrences(spark: SparkSession, path: str, commit: str, range_bytes:
                     file.seek(start)
                     yield from _decoded(source, file.read(end - start))
 
-    ranges = small.repartition("path").mapInPandas(scan, "path string, start long, end long, whole boolean")
-    # by a hash of the place, so that a repeated attempt deals the ranges as the first one did
-    dealt = ranges.repartition(tasks, "path", "start") if tasks else ranges.repartition("path", "start")
+    ranges = small.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInPandas(scan, "path string, start long, end long, whole boolean")
+    # by a hash of the place, so that a repeated attempt deals the ranges as the first one did; a range is a few bytes that stand
+    # for many, so the number of tasks is fixed and not left to the rows' size
+    dealt = ranges.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
     rows = dealt.mapInPandas(read, COLUMNS)
     if most_bytes is not None:
         large = listed.where(F.col("length") > most_bytes).select(F.col("path").alias("source"), F.lit("too_large").alias("error"))
