@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -51,3 +53,43 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+class Steps:
+    """Tables that a loop writes one after another, compressed, in the shared folder: each cuts the lineage.
+
+    A table that is read no more is dropped by the loop, the others go when the program ends. Unlike checkpoints they don't wait
+    for a collector of garbage.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.next = spark, shared_folder(spark, name), 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        _begun.append((spark, self.root))
+
+    def table(self, df: DataFrame, *gone: DataFrame) -> DataFrame:
+        """df written and read back; those of `gone` that were written here are dropped then."""
+        self.next += 1
+        path = f"{self.root}/{self.next}"
+        df.write.parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(held)] = held, path
+        for old in gone:
+            if id(old) in self.paths:
+                _delete(self.spark, self.paths.pop(id(old))[1])
+        return held
+
+
+_begun: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for spark, root in _begun:
+            _delete(spark, root)

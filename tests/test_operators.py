@@ -118,6 +118,19 @@ def test_graphs(spark):
     assert graph.strong_components(edges.where("src = 7")).count() == 0
 
 
+def test_components_leave_no_checkpoints(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "cut", lambda df: (_ for _ in ()).throw(AssertionError("a checkpoint of every round")), raising=False)
+    pairs = [(10 * k + n, 10 * k + (n + 1) % 4) for k in range(4) for n in range(4)] + [(10 * k, 10 * k + 10) for k in range(3)] + [(30, -1), (-2, 0), (35, 10)]
+    pairs += [(10, 35), (35, 35), (10, 35)]
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    whole = sorted((10 * k + n, 10 * k) for k in range(4) for n in range(4))
+    whole = sorted([*whole, (35, 10)])
+    for chunk, small in ((100_000, 20_000), (1, 0), (7, 20_000)):  # one chunk, none of use, some that cut rings
+        assert out(graph.strong_components(edges, small=small, chunk=chunk)) == whole
+    named = edges.select(*(F.col(c).cast("string").alias(c) for c in ("src", "dst")))
+    assert graph.strong_components(named, chunk=7).count() == len(whole)
+
+
 def test_ledgers(spark):
     log = spark.createDataFrame([("r", "start", day(1), "p", "x", None, None, None, None), ("r", "end", day(1, 1), "p", "x", True, None, 5, 6), ("s", "start", day(2), "p", "x", None, None, None, None)], "run_id string, event string, at timestamp, project string, extractor string, success boolean, error_code string, nodes long, edges long")
     assert out(ledger.runs(log).select("run_id", "success", "nodes", "duration_ms")) == [("r", True, 5, 3_600_000), ("s", None, None, None)]
