@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,5 +212,4 @@ def discovered_files(t: Tables) -> DataFrame:
     folder = F.concat(F.when(col("s_nationkey") % 4 == 0, "node_modules/").otherwise(""), text("n", col("s_nationkey"), "/s", col("s_suppkey")))
     root = _local(t, "tree")
     _written(t.read("supplier").select(F.concat_ws("/", folder, name).alias("name"), F.encode("s_name", "UTF-8").alias("content")), root).count()
-    found = [trees.named_files(t.spark, root, pattern) for pattern in NAMES]
-    return reduce(DataFrame.unionByName, found).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return trees.named_files(t.spark, root, *NAMES).withColumn("name", F.element_at(F.split("path", "/"), -1))

@@ -6,19 +6,17 @@ occurrences with range (1, packed), symbol (2) and roles (3).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from quarrylight.functions.ids import occurrence_kind, qualified_name, symbol_id
 from quarrylight.functions.paths import language_of
-from quarrylight.sources.trees import binary_files
+from quarrylight.sources.trees import binary_files, store_of
 
 COLUMNS = "source string, error string, file_path string, language string, symbol string, roles int, line int, col_start int, col_end int"
 
@@ -131,10 +129,8 @@ def _named(rows: DataFrame, commit: str) -> DataFrame:
 
 
 def opened(path: str) -> pa.NativeFile:
-    """A file of a store that pyarrow knows (local, HDFS, S3, GCS), for reads at any place; path as Spark names it."""
-    if path.startswith("file:") or ":/" not in path:
-        return pafs.LocalFileSystem().open_input_file(re.sub("^file:/*", "/", path))
-    system, at = pafs.FileSystem.from_uri(path)
+    """A file of a store (`trees.store_of`), for reads at any place; path as Spark names it."""
+    system, at = store_of(path)
     return system.open_input_file(at)
 
 

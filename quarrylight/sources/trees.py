@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from fnmatch import fnmatchcase
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.paths import language_of, module_of, source_context
+from quarrylight.session import Steps
 
 # Folders never entered, and extensions whose functions are measured.
 STOP_FOLDERS = (".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", "target", ".gradle", "Pods", ".build", "DerivedData", "vendor", ".idea")
@@ -43,9 +48,58 @@ def source_rows(files: DataFrame, root: str, extensions: Sequence[str] = MEASURE
     return found.withColumns({"language": language_of(F.col("path")), "module": module_of(F.col("path")), "context": source_context(F.col("path"))})
 
 
-def named_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """path, text of files whose name matches a glob, such as *.api, outside stop folders."""
-    return binary_files(spark, root, pattern).select(relative(F.col("path"), root).alias("path"), F.decode(F.col("content"), "UTF-8").alias("text")).where(~in_stop_folder(F.col("path")))
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """A store that pyarrow knows (local, HDFS, S3, GCS), and the place in it; path as Spark names it."""
+    if path.startswith("file:") or ":/" not in path:
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def walked(spark: SparkSession, root: str, patterns: Sequence[str] = ("*",), tasks: int | None = None) -> DataFrame:
+    """path (below root), length of the files whose names match one of the globs, outside stop folders.
+
+    Tasks list the folders, one level of the tree after another, so the driver sees no names; stop folders aren't entered.
+    """
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = store_of(root.rstrip("/"))
+        for part in parts:
+            for folder in part["path"]:
+                found = system.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                own = [(f"{folder}/{x.base_name}".lstrip("/"), x.size or 0, x.type == pafs.FileType.Directory) for x in found if x.base_name not in STOP_FOLDERS]
+                own = [x for x in own if x[2] or any(fnmatchcase(x[0].rsplit("/", 1)[-1], p) for p in patterns)]
+                for at in range(0, len(own), 10_000):
+                    yield pd.DataFrame(own[at : at + 10_000], columns=["path", "length", "folder"])
+
+    steps, found = Steps(spark, "walked"), None
+    level = spark.createDataFrame([("",)], "path string")
+    while level.take(1):
+        came = steps.table(level.repartition(tasks, "path").mapInPandas(listed, "path string, length long, folder boolean"))
+        files = came.where("not folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        level = came.where("folder").select("path")
+    return found
+
+
+def named_files(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
+    """path, text of files whose name matches a glob, such as *.api, outside stop folders. Tasks find and read them."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = store_of(root.rstrip("/"))
+        for part in parts:
+            held, size = [], 0
+            for path in part["path"]:
+                with system.open_input_file(f"{base}/{path}") as file:
+                    held.append((path, file.read().decode("utf-8", "replace")))
+                size += len(held[-1][1])
+                if size > 4 << 20:
+                    yield pd.DataFrame(held, columns=["path", "text"])
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=["path", "text"])
+
+    found = walked(spark, root, patterns).select("path")
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInPandas(read, "path string, text string")
 
 
 def skipped_files(spark: SparkSession, root: str, most_bytes: int, generated: str = r"(^|/)(generated|vendor|Pods)(/|$)") -> DataFrame:

@@ -181,6 +181,16 @@ def test_trees(spark, tmp_path):
     assert out(trees.imports(files, modules), "line", "module", "status") == [(1, "deep", "ok"), (2, "core", "ok"), (3, "x", "ambiguous")]
 
 
+def test_named_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "binary_files", lambda *_: (_ for _ in ()).throw(AssertionError("listed by the driver")))
+    for name in ("a.api", "x/y/b.api", "x/c.toml", "x/d.txt", "node_modules/z/e.api", "x/build/f.toml"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() + b"\xff")
+    found = trees.named_files(spark, str(tmp_path), "*.api", "*.toml")
+    assert out(found, "path", "text") == [(n, n + "\ufffd") for n in ("a.api", "x/c.toml", "x/y/b.api")]
+    assert trees.named_files(spark, str(tmp_path), "*.none").count() == 0
+
+
 def test_configuration_files(spark, tmp_path):
     (tmp_path / "second.json").write_text('{"rules": []}')
     name, text = config.first_file(spark, f"file://{tmp_path}", ["first.json", "second.json"])
