@@ -6,13 +6,12 @@ occurrences with range (1, packed), symbol (2) and roles (3).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from quarrylight.functions.ids import occurrence_kind, qualified_name, symbol_id
 from quarrylight.functions.paths import language_of
@@ -225,10 +224,32 @@ def index_bytes(path: str, language: str, occurrences: Iterator[tuple[str, int,
     return _field(2, _field(1, path.encode()) + own + _field(4, language.encode()))
 
 
-@F.pandas_udf(BinaryType())
-def encoded_index(paths: pd.Series, own: pd.Series) -> pd.Series:
-    """An index a row: a path and its occurrences (structs of symbol, roles, span)."""
-    return pd.Series([index_bytes(p, "python", ((x["symbol"], int(x["roles"]), [int(n) for n in x["span"]]) for x in rows)) for p, rows in zip(paths, own, strict=True)])
+def _once(value: Column, what: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is used several times and computed once."""
+    return F.get(F.transform(F.array(value), what), F.lit(0))
+
+
+def _hex_number(number: Column) -> Column:
+    """A number from 0 below 2^35 in the wire's form, as hexadecimal digits."""
+    byte = lambda n, k, more: F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(0x7F).bitwiseOR(0x80 if more else 0)), 2, "0")
+    sized = lambda n, size: F.concat(*(byte(n, k, k + 1 < size) for k in range(size)))
+    return _once(number.cast("long"), lambda n: F.when(n < 1 << 7, sized(n, 1)).when(n < 1 << 14, sized(n, 2)).when(n < 1 << 21, sized(n, 3)).when(n < 1 << 28, sized(n, 4)).otherwise(sized(n, 5)))
+
+
+def _hex_field(number: int, value: Column) -> Column:
+    return _once(value, lambda v: F.concat(F.lit(f"{number << 3 | 2:02X}"), _hex_number(F.length(v) / 2), v))
+
+
+def encoded_index(path: Column, own: Column) -> Column:
+    """An index of one document: a path and its occurrences (structs of symbol, roles, span)."""
+    text = lambda c: F.hex(F.encode(c, "UTF-8"))
+
+    def one(x: Column) -> Column:
+        span = F.array_join(F.transform(x["span"], lambda n: _hex_number(n)), "")
+        return _hex_field(2, F.concat(_hex_field(1, span), _hex_field(2, text(x["symbol"])), F.lit("18"), _hex_number(x["roles"])))
+
+    whole = F.concat(_hex_field(1, text(path)), F.array_join(F.transform(own, one), ""), _hex_field(4, text(F.lit("python"))))
+    return F.unhex(_hex_field(2, whole))
 
 
 def synthetic_occurrences(spark: SparkSession, n: int, symbols: int = 1000, files: int = 100) -> DataFrame:

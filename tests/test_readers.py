@@ -6,9 +6,10 @@ import json
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.functions import keccak
-from quarrylight.sources import paged, profiles, scip
+from quarrylight.sources import gitlog, paged, profiles, scip
 from quarrylight.sources.scip import _coded as coded
 from quarrylight.sources.scip import _field as field
 
@@ -210,3 +211,21 @@ def test_selectors(spark):
     assert got.pop(long) == "0x" + keccak.keccak([long.encode()])[0].hex()[:8]
     known.pop(long)
     assert got == known
+
+
+def test_indexes_are_encoded_without_python(spark):
+    """A batch of occurrences is many times its size as objects of Python."""
+    rows = [("src/\u00e4.py", [("pkg \u20ac#m().", 1, [0, 127, 128]), ("x" * 300, 8, [70_000, 16_384, 2_097_151, 300_000_000])]), ("", [])]
+    own = spark.createDataFrame(rows, "path string, own array<struct<symbol string, roles int, span array<int>>>").select("path", scip.encoded_index(F.col("path"), F.col("own")).alias("content"))
+    assert {r["path"]: bytes(r["content"]) for r in own.collect()} == {p: scip.index_bytes(p, "python", o) for p, o in rows}
+    assert "Python" not in own._jdf.queryExecution().toString()
+
+
+def test_diff_needs_no_exchange(spark):
+    a = "diff --git a/o.py b/n.py\nindex 1..2\n--- a/o.py\n+++ b/n.py\n@@ -1 +1 @@ f\n kept\n-gone\n+++ new\n+x\r\n@@ -9 +9 @@\n--- old\n"
+    b = "diff --git a/bin b/bin\nBinary files differ\n"
+    c = "diff --git a/d b/d\n--- a/d\n+++ /dev/null\n@@ -1 +0 @@\n-x"
+    blobs = spark.createDataFrame([("k", "preamble\n+++ b/no\n" + a + b + c), ("l", c), ("m", "nothing"), ("n", None)], "blob string, text string")
+    found = gitlog.diff(blobs)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("k", "n.py", "o.py", 2, 2, 2), ("k", None, None, 0, 0, 0), ("k", None, "d", 1, 0, 1), ("l", None, "d", 1, 0, 1)], key=repr)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
