@@ -89,7 +89,8 @@ def git_blame(t: Tables) -> DataFrame:
 @query("""SELECT l_orderkey AS blob, 'p' || l_partkey AS path, min(CASE WHEN l_linestatus = 'F' THEN 'old' || l_partkey ELSE 'p' || l_partkey END) AS old_path, count(*) AS hunks, CAST(sum(l_linenumber) AS BIGINT) AS added, count(*) AS deleted
 FROM lineitem GROUP BY l_orderkey, l_partkey""")
 def git_diff(t: Tables) -> DataFrame:
-    rows = t.read("lineitem")
+    # dealt by order, so that its files and its text are put together where its rows are
+    rows = t.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_linestatus").repartition("l_orderkey")
     hunk = text("@@ -1,2 +1,3 @@ f\n kept\n-gone\n", F.expr("repeat('+++ new\n', l_linenumber)"))
     old = F.min(F.when(col("l_linestatus") == "F", text("old", col("l_partkey"))).otherwise(text("p", col("l_partkey"))))
     files = rows.groupBy("l_orderkey", "l_partkey").agg(old.alias("_old"), F.concat_ws("", F.collect_list(hunk)).alias("_h"))
@@ -129,7 +130,7 @@ def symbol_index(t: Tables) -> DataFrame:
     local = F.array(F.struct(F.lit("local 1").alias("symbol"), F.lit(1).alias("roles"), F.array(F.lit(1), F.lit(1), F.lit(2)).alias("span")))
     own = F.concat(F.collect_list(F.struct(symbol.alias("symbol"), roles.alias("roles"), span.alias("span"))), local)
     files = t.read("lineitem").groupBy(path.alias("path")).agg(own.alias("own"))
-    good = files.select("path", scip.encoded_index("path", "own").alias("content"))
+    good = files.select("path", scip.encoded_index(col("path"), col("own")).alias("content"))
     broken = files.select("path", F.unhex(F.lit("12FF01616263")).alias("content"))
     found = scip.index_occurrences(good.unionByName(broken).withColumn("length", F.octet_length("content")), "sha")
     return found.select("file_path", F.when(col("error").isNull(), col("language")).alias("language"), "qualified_name", "kind", "line", "col_start", "col_end")

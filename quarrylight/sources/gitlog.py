@@ -46,20 +46,16 @@ def ls_tree(blobs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def diff(blobs: DataFrame, text: str = "text") -> DataFrame:
-    """path, old_path, hunks, added, deleted of each file of `git diff` or `git show`, in blobs named by a column `blob`."""
-    from pyspark.sql.window import Window
-
-    lines = blobs.select("blob", F.posexplode(F.split(text, "\r?\n")).alias("_n", "line"))
-    w = Window.partitionBy("blob").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.col("line").startswith("diff --git ")
-    rows = lines.withColumns({"_f": F.sum(head.cast("int")).over(w), "_at": F.last(F.when(head, "head").when(F.col("line").startswith("@@ "), "hunk"), ignorenulls=True).over(w)})
-    inside = (F.col("_at") == "hunk") & ~F.col("line").startswith("@@ ")
-    named = lambda mark: F.max(F.when(F.col("_at") == "head", F.nullif(F.regexp_extract("line", rf"^{mark} [ab]/(.*)$", 1), F.lit(""))))
-    count = lambda mark: F.count_if(inside & F.col("line").startswith(mark))
-    found = rows.where("_f > 0").groupBy("blob", "_f").agg(
-        named(r"\+\+\+").alias("path"), named("---").alias("old_path"), F.count_if((F.col("_at") == "hunk") & F.col("line").startswith("@@ ")).alias("hunks"), count("+").alias("added"), count("-").alias("deleted")
-    )
-    return found.drop("_f")
+    """path, old_path, hunks, added, deleted of each file of `git diff` or `git show`, in blobs named by a column `blob`.
+
+    A text is cut where files begin and each file where its first hunk does, in the row that has it: nothing moves.
+    """
+    files = blobs.select("blob", F.explode(F.split(text, "\r?\n(?=diff --git )")).alias("_f")).where(F.startswith("_f", F.lit("diff --git ")))
+    lines = F.split(F.regexp_replace("_f", r"(?s)\r?\n@@ .*", ""), "\r?\n")
+    rows = files.select("blob", lines.alias("_head"), F.split(F.regexp_extract("_f", r"(?s)\r?\n(@@ .*)", 1), "\r?\n").alias("_body"))
+    named = lambda mark: F.array_max(F.transform("_head", lambda x: F.nullif(F.regexp_extract(x, rf"^{mark} [ab]/(.*)$", 1), F.lit(""))))
+    count = lambda mark: F.size(F.filter("_body", lambda x: x.startswith(mark))).cast("long")
+    return rows.select("blob", named(r"\+\+\+").alias("path"), named("---").alias("old_path"), count("@@ ").alias("hunks"), count("+").alias("added"), count("-").alias("deleted"))
 
 
 def capped(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
