@@ -205,17 +205,15 @@ def paged_feed(t: Tables) -> DataFrame:
 
 @query("""SELECT 'f' || l_suppkey || '.py' AS file_path, 'pkg C' || l_partkey || '#run().' AS qualified_name, CASE WHEN l_linenumber = 1 THEN 'def' ELSE 'use' END AS kind, CAST(l_orderkey % 5000 AS INTEGER) AS line, l_linenumber AS col_start FROM lineitem""")
 def split_index(t: Tables) -> DataFrame:
-    """An index file of several documents for each nation of suppliers, read in ranges of a few documents."""
+    """An index file of several documents for each nation and thousand of suppliers, read in ranges of a few documents."""
     n = col("l_linenumber")
     use = F.struct(text("scip-python pip pkg 1.0 C", col("l_partkey"), "#run().").alias("symbol"), F.when(n == 1, 1).otherwise(8).alias("roles"), F.array((col("l_orderkey") % 5000).cast("int"), n, n + 5).alias("span"))
     files = t.read("lineitem").groupBy("l_suppkey").agg(F.collect_list(use).alias("own")).withColumn("path", text("f", col("l_suppkey"), ".py"))
-    one = files.join(t.read("supplier").select(col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").select("s_nationkey", scip.encoded_index("path", "own").alias("part"))
-
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [f"{group['s_nationkey'].iloc[0]}.scip"], "content": [b"".join(group["part"])]})
-
+    one = files.join(t.read("supplier").select(col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").select("s_nationkey", F.floor(col("l_suppkey") / 1000).alias("block"), scip.encoded_index(col("path"), col("own")).alias("part"))
+    # files grow in number with the table, not in length
+    whole = one.groupBy("s_nationkey", "block").agg(F.unhex(F.array_join(F.collect_list(F.hex("part")), "")).alias("content"))
     folder = _local(t, "indexes")
-    _written(one.groupBy("s_nationkey").applyInPandas(whole, "name string, content binary"), folder).count()
+    _written(whole.select(text(col("s_nationkey"), "-", col("block"), ".scip").alias("name"), "content"), folder).count()
     found = scip.split_occurrences(t.spark, folder, "sha", range_bytes=1 << 16)
     return found.select("file_path", "qualified_name", "kind", "line", "col_start")
 
