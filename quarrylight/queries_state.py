@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -218,19 +219,25 @@ def split_index(t: Tables) -> DataFrame:
     return found.select("file_path", "qualified_name", "kind", "line", "col_start")
 
 
+@lru_cache(maxsize=10_000)
+def _sample(line: int, quantity: int) -> bytes:
+    """A sample whose leaf and thread go by a line's number; of the sixth no symbol, of the seventh no file."""
+    field, coded = scip._field, scip._coded
+    symbol = coded(3 << 3) + coded((1 << 64) - 1) if line == 6 else field(3, line)  # -1: no symbol
+    leaf = field(1, line) + field(2, 2 if line == 7 else 1) + symbol
+    return field(1, field(2, 10 + line % 3) + field(3, leaf) + field(3, field(1, 99)) + field(4, quantity - 1))
+
+
 @query("""WITH s AS (SELECT l_suppkey AS trace, CASE l_linenumber WHEN 6 THEN 'lib.so!0x6' WHEN 7 THEN 'unknown' ELSE 'sym' || l_linenumber END AS symbol, CASE WHEN l_linenumber % 3 < 2 THEN 't' || l_linenumber % 3 END AS thread, CAST(sum(greatest(CAST(l_quantity AS BIGINT) - 1, 1)) AS BIGINT) AS cpu_samples FROM lineitem GROUP BY 1, 2, 3)
 SELECT trace, symbol, thread, cpu_samples, round(cpu_samples / sum(cpu_samples) OVER (PARTITION BY trace), 9) AS cpu_share FROM s""")
 def binary_profiles(t: Tables) -> DataFrame:
     """A profile of each supplier's lines: files, symbols and threads by reference, some of them dangling."""
-    field, coded = scip._field, scip._coded
+    field = scip._field
 
     def encode(group: pd.DataFrame) -> pd.DataFrame:
         symbols = b"".join(field(3, s.encode()) for s in ("sym0", "sym1", " sym2 ", "", "sym4", "sym5")) + b"".join(field(4, s.encode()) for s in ("", "", "", "sym3"))
         out = [field(3, field(1, 1) + field(2, b"lib.so") + symbols), field(4, field(1, 10) + field(3, b"t0")), field(4, field(1, 11) + field(3, b"t1"))]
-        for line, quantity in zip(group["l_linenumber"], group["l_quantity"], strict=True):
-            symbol = coded(3 << 3) + coded((1 << 64) - 1) if line == 6 else field(3, int(line))  # -1: no symbol
-            leaf = field(1, int(line)) + field(2, 2 if line == 7 else 1) + symbol
-            out.append(field(1, field(2, 10 + int(line) % 3) + field(3, leaf) + field(3, field(1, 99)) + field(4, int(quantity) - 1)))
+        out += [_sample(int(line), int(quantity)) for line, quantity in zip(group["l_linenumber"], group["l_quantity"], strict=True)]
         body = b"".join(len(r).to_bytes(4, "little") + r for r in out)
         content = profiles.MAGIC + (1).to_bytes(2, "little") + body + bytes(4)
         return pd.DataFrame({"path": [str(group["l_suppkey"].iloc[0])], "length": [len(content)], "content": [content]})

@@ -1,19 +1,22 @@
 """Binary profiles: a head, then records behind their lengths, which refer to tables of files, symbols and threads.
 
-A record is read once in the task that has its file and becomes rows; what a sample refers to is joined by file, so the tables of
+A record is read once in the task that has its file and becomes rows, those of equal samples one; what a sample refers to is joined by file, so the tables of
 names need not fit anywhere as a whole.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.session import Steps
 from quarrylight.sources.scip import fields
 
 # The head of a profile, its version, the largest file, the share from which a function is hot.
@@ -56,11 +59,12 @@ def records(data: bytes) -> Iterator[memoryview]:
         at += 4 + size
 
 
-def _sample(body: memoryview) -> tuple:
+@lru_cache(maxsize=1 << 14)  # samples of a hot function are often equal
+def _sample(body: bytes) -> tuple:
     """The leaf of a sample's call chain, its thread and its weight, one at least."""
     thread = count = 0
     leaf = None
-    for k, v in fields(body):
+    for k, v in fields(memoryview(body)):
         if k == 2:
             thread = v
         elif k == 4:
@@ -76,7 +80,7 @@ def rows_of(data: bytes) -> Iterator[tuple]:
     for record in records(data):
         for number, body in fields(record):
             if number == SAMPLE:
-                yield _sample(body)
+                yield _sample(bytes(body))
             elif number == THREAD:
                 own = dict(fields(body))
                 yield "thread", None, None, own.get(1, 0), None, None, _text(own.get(3, 0))
@@ -96,6 +100,17 @@ def rows_of(data: bytes) -> Iterator[tuple]:
                         yield "symbol", key, n, None, None, None, name
 
 
+def _summed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """rows_of with one row for all samples of a leaf and thread; a profile is bounded, and so are they."""
+    weights: Counter = Counter()
+    for row in rows:
+        if row[0] == "sample":
+            weights[row[:5]] += row[5]
+        else:
+            yield row
+    yield from ((*key, weight, None) for key, weight in weights.items())
+
+
 def profile_records(files: DataFrame) -> DataFrame:
     """The records of profiles (path, length, content) as rows; of an unreadable profile one row with its error."""
     names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -107,7 +122,7 @@ def profile_records(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame([(path, "too_large", *[None] * 7)], columns=names)
                     continue
                 try:
-                    found = ((path, None, *r) for r in rows_of(content))
+                    found = ((path, None, *r) for r in _summed(rows_of(content)))
                     while some := list(islice(found, 20_000)):
                         yield pd.DataFrame(some, columns=names).astype(dict.fromkeys(("id", "symbol_id", "thread_id", "address", "weight"), "Int64"))
                 except (Unreadable, ValueError, IndexError) as problem:
@@ -123,7 +138,7 @@ def profiles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A leaf is named by its symbol, else by its file and address, else it is unknown. A profile without samples, or with a
     record that can't be read, has an error and no samples.
     """
-    rows = profile_records(files)
+    rows = Steps(files.sparkSession, "profiles").table(profile_records(files))  # read once, used several times
     errors = rows.where("error is not null").select("path", "error")
     samples = rows.where("kind = 'sample'").groupBy("path", "id", "symbol_id", "thread_id", "address").agg(F.sum("weight").alias("cpu_samples"))
     empty = files.select("path").join(samples.select("path").distinct(), "path", "left_anti").join(errors, "path", "left_anti").withColumn("error", F.lit("no_samples"))

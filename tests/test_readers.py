@@ -229,3 +229,24 @@ def test_diff_needs_no_exchange(spark):
     found = gitlog.diff(blobs)
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([("k", "n.py", "o.py", 2, 2, 2), ("k", None, None, 0, 0, 0), ("k", None, "d", 1, 0, 1), ("l", None, "d", 1, 0, 1)], key=repr)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_share_tasks(spark, tmp_path):
+    nodes = [{"number": k, "updatedAt": f"2026-01-01T00:{k // 60:02d}:{k % 60:02d}Z"} for k in range(60)]
+    put_feed(tmp_path / "feed", nodes, size=3)
+    found = paged.paged(spark, str(tmp_path / "feed"))
+    assert sorted(r["number"] for r in found.collect()) == list(range(60)) and found.rdd.getNumPartitions() == 1
+    few = paged.paged(spark, str(tmp_path / "feed"), pages="3")
+    assert sorted(r["number"] for r in few.collect()) == list(range(60)) and few.rdd.getNumPartitions() == 7
+
+
+def test_a_profile_is_read_once(spark):
+    leaf = field(3, field(1, 5) + field(2, 1) + field(3, 0))
+    records = [field(3, field(1, 1) + field(2, b"l.so") + field(3, b"main"))] + [field(1, field(2, 9) + leaf + field(4, n)) for n in (0, 2, 2, 2)]
+    body = profiles.MAGIC + (1).to_bytes(2, "little") + b"".join(len(r).to_bytes(4, "little") + r for r in records) + bytes(4)
+    rows = spark.createDataFrame([("a", len(body), body)], "path string, length long, content binary")
+    read = profiles.profile_records(rows).where("kind = 'sample'").collect()
+    assert [(r["weight"], r["symbol_id"]) for r in read] == [(7, 0)]
+    found, errors = profiles.profiles(rows)
+    assert [(r["symbol"], r["cpu_samples"]) for r in found.collect()] == [("main", 7)] and errors.count() == 0
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()
