@@ -1,7 +1,7 @@
 """A feed that is given in pages, newest first, as a table and as a stream whose offset is what has been seen.
 
 A page is {"remaining": n, "nodes": [{"number", "updatedAt", ...}], "next": cursor or null}. The driver follows the cursors
-down to what has been seen and plans a partition a page; the nodes themselves are read in tasks. A page that can't be had is tried
+down to what has been seen and plans a partition for some pages that follow each other (option `pages`); the nodes themselves are read in tasks. A page that can't be had is tried
 again, three times in all with growing pauses; below a floor of remaining calls reading ends with an error at once.
 """
 
@@ -29,6 +29,7 @@ class Pages:
     def __init__(self, options: dict[str, str]):
         self.address = options["address"].rstrip("/")
         self.tries, self.pause, self.floor = int(options.get("tries", 3)), float(options.get("pause", 0.5)), int(options.get("floor", 100))
+        self.each = int(options.get("pages", 100))
 
     def get(self, cursor: str) -> dict[str, Any]:
         for n in range(self.tries):
@@ -57,10 +58,10 @@ def seen_of(node: dict[str, Any]) -> tuple[str, int]:
     return node["updatedAt"], int(node["number"])
 
 
-class Page(InputPartition):
-    def __init__(self, cursor: str, after: dict, upto: dict | None):
-        super().__init__(cursor)
-        self.cursor, self.after, self.upto = cursor, after, upto
+class SomePages(InputPartition):
+    def __init__(self, cursors: list[str], after: dict, upto: dict | None):
+        super().__init__(cursors)
+        self.cursors, self.after, self.upto = cursors, after, upto
 
 
 class _Reading:
@@ -78,20 +79,21 @@ class _Reading:
         at = max(n["updatedAt"] for n in nodes)
         return {"at": at, "numbers": sorted(int(n["number"]) for n in nodes if n["updatedAt"] == at)}
 
-    def planned(self, after: dict, upto: dict | None) -> list[Page]:
-        out, cursor = [], ""
+    def planned(self, after: dict, upto: dict | None) -> list[SomePages]:
+        cursors, cursor = [], ""
         while cursor is not None:
             page = self.pages.get(cursor)
             if page["nodes"] and max(n["updatedAt"] for n in page["nodes"]) < after["at"]:
                 break  # all older than what has been seen
-            out.append(Page(cursor, after, upto))
+            cursors.append(cursor)
             if page["nodes"] and min(n["updatedAt"] for n in page["nodes"]) < after["at"]:
                 break
             cursor = page["next"]
-        return out
+        each = self.pages.each
+        return [SomePages(cursors[k : k + each], after, upto) for k in range(0, len(cursors), each)]
 
-    def nodes(self, part: Page) -> Iterator[tuple[int, str, str]]:
-        for node in self.pages.get(part.cursor)["nodes"]:
+    def nodes(self, part: SomePages) -> Iterator[tuple[int, str, str]]:
+        for node in (n for cursor in part.cursors for n in self.pages.get(cursor)["nodes"]):
             at, number = seen_of(node)
             new = at > part.after["at"] or (at == part.after["at"] and number not in part.after["numbers"])
             old = part.upto is None or at < part.upto["at"] or (at == part.upto["at"] and number in part.upto["numbers"])
@@ -103,10 +105,10 @@ class PagedTable(_Reading, DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.pages, self.since = Pages(options), options.get("since", "")
 
-    def partitions(self) -> Sequence[Page]:
+    def partitions(self) -> Sequence[SomePages]:
         return self.planned({"at": self.since, "numbers": []}, None)
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: SomePages) -> Iterator[tuple]:
         yield from self.nodes(partition)
 
 
@@ -120,15 +122,15 @@ class PagedStream(_Reading, DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         return self.newest()
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Page]:
+    def partitions(self, start: dict, end: dict) -> Sequence[SomePages]:
         return self.planned(start, end)
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: SomePages) -> Iterator[tuple]:
         yield from self.nodes(partition)
 
 
 class PagedFeed(DataSource):
-    """Options: address; since (an ISO time: older nodes are left out), tries, pause (seconds), floor (calls)."""
+    """Options: address; since (an ISO time: older nodes are left out), tries, pause (seconds), floor (calls), pages (in a task)."""
 
     @classmethod
     def name(cls) -> str:
