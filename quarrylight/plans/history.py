@@ -31,29 +31,33 @@ def find_hotspots(found: DataFrame, top_n: int = 20, min_score: float = 0.0) ->
     return found.where(F.coalesce("hotspot_score", F.lit(0.0)) >= min_score).orderBy(F.desc("hotspot_score"), "path").limit(top_n)
 
 
-def recency_churn(touched: DataFrame, commits: DataFrame, authors: DataFrame, as_of: Column, decay_days: float = 90.0) -> DataFrame:
+def recency_churn(touched: DataFrame, commits: DataFrame, authors: DataFrame, as_of: Column, decay_days: float = 90.0, parts: int | None = None) -> DataFrame:
     """path, author, recency_score, commit_count, last_touched_at of human authors, merges left out.
 
+    parts: the tasks that files are dealt to, where the session's shuffles have too few for the rows.
+
     commits: sha, author, committed_at, is_merge; authors: author, is_bot. A null flag leaves a row out, as NOT does.
     """
     own = commits.where(~F.col("is_merge")).join(authors.where(~F.col("is_bot")).select("author"), "author")
     age = F.unix_timestamp(as_of) - F.unix_timestamp(F.col("committed_at").cast("timestamp"))
-    return touched.join(own, "sha").groupBy("path", "author").agg(
+    rows = touched.join(own, "sha")
+    return (rows.repartition(parts, "path") if parts else rows).groupBy("path", "author").agg(
         F.sum(scoring.recency_weight(age, decay_days)).alias("recency_score"), F.count("*").alias("commit_count"), F.max("committed_at").alias("last_touched_at")
     )
 
 
-def ownership(blame: DataFrame, churned: DataFrame, alpha: float = 0.5) -> DataFrame:
+def ownership(blame: DataFrame, churned: DataFrame, alpha: float = 0.5, parts: int | None = None) -> DataFrame:
     """One row a file and author with any share: weight = alpha blame share + (1 - alpha) recency share.
 
     blame: path, author, lines; churned: what recency_churn gives. Sums by file and author are one row a pair, so both sides
-    are stacked and summed once instead of joined.
+    are stacked and summed once instead of joined. parts: as for recency_churn.
     """
     none = lambda name: F.lit(None).cast(churned.schema[name].dataType).alias(name)
     a = blame.select("path", "author", "lines", none("recency_score"), none("commit_count"), none("last_touched_at"))
     b = churned.select("path", "author", F.lit(None).cast(blame.schema["lines"].dataType).alias("lines"), "recency_score", "commit_count", "last_touched_at")
     # dealt by file: sums by file and author, the file's totals and its shares need no further exchange
-    both = a.unionByName(b).repartition("path").groupBy("path", "author").agg(
+    rows = a.unionByName(b)
+    both = (rows.repartition(parts, "path") if parts else rows.repartition("path")).groupBy("path", "author").agg(
         F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("recency_score"), F.lit(0.0)).alias("recency_score"),
         F.coalesce(F.sum("commit_count"), F.lit(0)).alias("commit_count"), F.max("last_touched_at").alias("last_touched_at"),
     )

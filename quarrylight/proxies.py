@@ -21,13 +21,17 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def parts(self, name: str, most_rows: int = 500_000) -> int:
+        """Tasks for the rows of a table: as many as the session's shuffles have, more where one would get over most_rows."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.read(name).count() // most_rows))
+
     def commits(self) -> DataFrame:
         return self.read("orders").select(
             F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("timestamp").alias("committed_at"), F.col("o_custkey").alias("author"), (F.col("o_orderstatus") == "P").alias("is_merge")
         )
 
     def touched(self) -> DataFrame:
-        return self.read("lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path")).distinct()
+        return self.read("lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path")).repartition(self.parts("lineitem"), "sha").distinct()
 
     def files(self) -> DataFrame:
         return self.read("part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("ccn"), F.col("p_name").alias("name"))
@@ -36,7 +40,8 @@ class Tables:
         return self.read("customer").select(F.col("c_custkey").alias("author"), F.col("c_name").alias("name"), (F.col("c_mktsegment") == "MACHINERY").alias("is_bot"), F.col("c_nationkey").alias("module"))
 
     def blame(self) -> DataFrame:
-        return self.read("lineitem").groupBy(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author")).agg(F.sum("l_quantity").alias("lines"))
+        rows = self.read("lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), "l_quantity").repartition(self.parts("lineitem"), "path")
+        return rows.groupBy("path", "author").agg(F.sum("l_quantity").alias("lines"))
 
     def last_commit(self) -> datetime:
         return self.commits().agg(F.max("committed_at")).first()[0]

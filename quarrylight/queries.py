@@ -75,8 +75,8 @@ def churn_with_zero(t: Tables) -> DataFrame:
 
 
 def _owners(t: Tables) -> DataFrame:
-    churned = history.recency_churn(t.touched(), t.commits(), t.authors(), F.lit(t.last_commit()), 90.0)
-    return history.ownership(t.blame(), churned)
+    churned = history.recency_churn(t.touched(), t.commits(), t.authors(), F.lit(t.last_commit()), 90.0, parts=t.parts("lineitem"))
+    return history.ownership(t.blame(), churned, parts=t.parts("lineitem"))
 
 
 @query(f"WITH {OWNERS} SELECT path, author, round(weight + 1e-9, 6) AS weight, round(blame_share + 1e-9, 6) AS blame_share, round(churn_share + 1e-9, 6) AS churn_share, lines_attributed, commit_count FROM owners WHERE weight > 0")

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylight.plans import history
 from quarrylight.operators import aggregates, graph, joins, ledger, lookup, upsert
 from quarrylight.plans import audit
 
@@ -178,3 +179,11 @@ def test_audit_figures(spark):
     got = {(r["section"], r["statistic"]): r["value"] for r in found.collect()}
     assert got["hotspot", "max_score"] == 2.5 and got["dependencies", "missing_lockfile"] == 1 and got["ownership", "diffuse_ownership_count"] == 1 and got["contracts", "breaking"] == 1
     assert got["testability", "patterns"] == 2 and got["testability", "test_doubles"] == 1 and got["testability", "untestable_sites"] == 2
+
+
+def test_ownership_deals_files_by_rows(spark):
+    blame = spark.createDataFrame([("f", "a", 3), ("f", "b", 1)], "path string, author string, lines long")
+    churned = spark.createDataFrame([("f", "a", 1.0, 2, day(1))], "path string, author string, recency_score double, commit_count long, last_touched_at timestamp")
+    found = history.ownership(blame, churned, parts=37)
+    assert ", 37)" in found._jdf.queryExecution().executedPlan().toString()
+    assert out(found.select("author", "lines_attributed")) == [("a", 3), ("b", 1)]
