@@ -107,3 +107,26 @@ def test_decisions():
     assert timers.decided([], held, "i", at(50), at(3), limits)[0] == "wake"
     for_good = timers.Escalation(at(2), 4, False)
     assert timers.decided([], for_good, "i", at(50), at(3), limits) == ("held", for_good)
+
+
+def test_rows_of_a_key_wait_in_blocks(spark, tmp_path, monkeypatch):
+    """However many rows of one agent a batch brings, no state value and no run of a task holds them all."""
+    monkeypatch.setattr(timers, "RUN_ROWS", 300)
+    monkeypatch.setattr(timers, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(timers, "KNOWN_ISSUES", 3)
+    r = random.Random(5)
+    limits = timers.WakeLimits(issue_seconds=300, cap=3, window_seconds=900, most_cleared=1)
+    rows = [("a", f"i{r.randrange(9)}", at(r.random() * 900), at(r.random() * 900) if r.random() < 0.3 else None) for _ in range(1200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        shape = "agent string, issue string, at timestamp, touched timestamp"
+        found = run(spark, tmp_path, [rows[:1000]], shape, lambda s: timers.governed_wakes(s, limits, "400 minutes"), "hot")
+        sizes = [len(x["user_map_value"]["us"]) for x in spark.read.format("statestore").option("stateVarName", "blocks").load(str(tmp_path / "hot" / "state")).select("user_map_value").collect()]
+        assert max(sizes) <= 40 and 300 < sum(sizes) < 600 and 0 < found.count() == 1000 - sum(sizes)
+        late = max(x[2] for x in rows[:1000]) - dt.timedelta(minutes=400)
+        more = [x for x in rows[1000:] if x[2] > late]
+        found = run(spark, tmp_path, [more, [("end", "x", at(5000), None)]], shape, lambda s: timers.governed_wakes(s, limits, "400 minutes"), "hot")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(("a", *x) for x in governed([(t, i, touched) for _, i, t, touched in rows[:1000] + more], limits))
+    assert sorted((x["agent"], x["issue"], x["at"], x["decision"], x["escalations"]) for x in found.where("agent <> 'end'").collect()) == want
