@@ -130,3 +130,10 @@ def test_rows_of_a_key_wait_in_blocks(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = sorted(("a", *x) for x in governed([(t, i, touched) for _, i, t, touched in rows[:1000] + more], limits))
     assert sorted((x["agent"], x["issue"], x["at"], x["decision"], x["escalations"]) for x in found.where("agent <> 'end'").collect()) == want
+
+
+def test_a_batch_of_a_finding_is_one_state_value(spark, tmp_path):
+    rows = [(str(k % 3), "f", at(k), k % 7 > 0, "s", True) for k in range(300)] + [("0", "f", None, True, "s", True)]
+    run(spark, tmp_path, [rows], OBSERVED, lambda s: timers.timed_actions(s, late="1000 minutes"), "few")
+    blocks = spark.read.format("statestore").option("stateVarName", "blocks").load(str(tmp_path / "few" / "state"))
+    assert sorted(len(x["user_map_value"]["us"]) for x in blocks.select("user_map_value").collect()) == [100, 100, 100]
