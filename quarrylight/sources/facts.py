@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.paths import protocol_name_choice, test_name_choice, type_name_choice
-from quarrylight.sources.lexed import TOKEN
 
 SHAPE = r"^ ((?:(?:{modifiers}) )*)({keywords}) (\w+) (.*)$"
 # Modifiers that may stand before a declaration, and its keywords; the longer of two keywords first.
@@ -74,51 +73,81 @@ FRAMEWORKS = {
 }
 
 
+#: What lexed.TOKEN finds but for blanks.
+WORD = r'(?s)"(?:[^"\\\n]|\\[^\n])*"|[\p{L}_][\p{L}\p{N}_]*|\p{N}[\p{L}\p{N}_]*|\?\?|->|\S'
+
+
 def read_line(line: Column) -> Column:
     """The tokens of a line with a blank before and after each; strings have nothing in them."""
-    kept = F.filter(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^\s"))
+    kept = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
     emptied = F.transform(kept, lambda t: F.when(t.startswith('"') & (F.length(t) > 1), '""').otherwise(t))
-    return F.concat(F.lit(" "), F.array_join(emptied, " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(F.when(F.contains(line, F.lit('"')), emptied).otherwise(kept), " "), F.lit(" "))
+
+
+def _shape(language: str) -> str:
+    return SHAPE.format(modifiers=MODIFIERS[language].replace(" ", "|"), keywords=KEYWORDS[language].replace(" ", "|"))
+
+
+def _said() -> Column:
+    """Modifiers, keyword, name and tail of a line that declares something in its language; null of others."""
+    said, nul = F.lit(None).cast("array<string>"), "\0"
+    for language in DECLARED:
+        parts = F.split(F.regexp_replace("_read", _shape(language), nul.join(f"${k}" for k in range(1, 5))), nul, 4)
+        said = F.when((F.col("language") == language) & F.col("_read").rlike(_shape(language)), parts).otherwise(said)
+    return said
 
 
-def _declared(language: str) -> list[Column]:
-    said = F.col(f"_{language}")
-    keyword, modifiers = said["keyword"], F.filter(F.split(said["modifiers"], " "), lambda m: m != "")
+#: A fact, whether a line tells it, its name.
+Told = tuple[str, Column, Column]
 
-    def fact(name: str, keywords: str, may: str, must: str, tail: str) -> Column:
-        holds = keyword.isin(*keywords.split()) & (F.size(F.array_except(modifiers, F.array(*map(F.lit, may.split())).cast("array<string>"))) == 0)
+
+def _declared(language: str) -> list[Told]:
+    modifiers, keyword, name, tail = (F.get("_said", F.lit(k)) for k in range(4))
+
+    def fact(fact_name: str, keywords: str, may: str, must: str, tail_has: str) -> Told:
+        allowed = modifiers.rlike(f"^(?:(?:{may.replace(' ', '|')}) )*$") if may else F.lit(False)
+        holds = F.col("_said").isNotNull() & (F.col("language") == language) & keyword.isin(*keywords.split()) & ((modifiers == "") | allowed)
         for m in must.split():
-            holds &= F.array_contains(modifiers, m)
-        if tail:
-            holds &= said["tail"].rlike(tail)
-        return F.when((F.col("language") == language) & holds, F.struct(F.lit(name).alias("fact"), said["name"].alias("name")))
+            holds &= F.contains(F.concat(F.lit(" "), modifiers), F.lit(f" {m} "))
+        return fact_name, holds & tail.rlike(tail_has) if tail_has else holds, name
 
     return [fact(*shape) for shape in DECLARED[language]]
 
 
-def _told(language: str) -> list[Column]:
+def _told(language: str) -> list[Told]:
     own = F.col("language") == language
-    found = [F.when(own & F.col("_read").rlike(p), F.struct(F.lit(f).alias("fact"), F.replace(F.regexp_extract("_read", p, 1), F.lit(" "), F.lit("")).alias("name"))) for f, p in TOLD[language]]
+    found = [(f, own & F.col("_read").rlike(p), F.replace(F.regexp_extract("_read", p, 1), F.lit(" "), F.lit(""))) for f, p in TOLD[language]]
     for name, marks in FRAMEWORKS[language].items():
         holds = reduce(lambda a, b: a | b, (F.contains("_read", F.lit(f" {m} ")) for m in marks))
         if name == "dagger":
             holds &= ~F.contains("_read", F.lit("import dagger . hilt "))
-        found.append(F.when(own & holds, F.struct(F.lit("framework").alias("fact"), F.lit(name).alias("name"))))
+        found.append(("framework", own & holds, F.lit(name)))
     return found
 
 
+def _each(rows: DataFrame, conditions: list[Column], name: str) -> DataFrame:
+    """A row for each condition that holds, with its number from 0.
+
+    The numbers are a column first, which is compiled, and nothing but numbers, or what is compiled gets too long to run fast.
+    A generator would interpret the conditions, and one that isn't outer would put a filter before itself that evaluates them twice.
+    """
+    holding = F.array(*(F.when(c, F.lit(n)) for n, c in enumerate(conditions)))
+    return rows.withColumn("_all", holding).withColumn(name, F.explode_outer("_all")).drop("_all").where(F.col(name).isNotNull())
+
+
 def line_facts(files: DataFrame) -> DataFrame:
     """path, language, line, fact, name of all that lines tell; of the fact `framework` the name is the framework's.
 
     files: path, language, text. A line may tell several facts.
     """
     lines = files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("_n", "_line")).withColumn("_read", read_line(F.col("_line")))
-    for language in DECLARED:
-        p = SHAPE.format(modifiers=MODIFIERS[language].replace(" ", "|"), keywords=KEYWORDS[language].replace(" ", "|"))
-        lines = lines.withColumn(f"_{language}", F.struct(*(F.regexp_extract("_read", p, k).alias(n) for k, n in enumerate(("modifiers", "keyword", "name", "tail"), 1))))
-    told = [c for language in DECLARED for c in _declared(language) + _told(language)]
-    found = lines.withColumn("_f", F.explode(F.array_compact(F.array(*told))))
-    return found.select("path", "language", (F.col("_n") + 1).alias("line"), "_f.fact", "_f.name")
+    declared, told = ([x for language in DECLARED for x in f(language)] for f in (_declared, _told))
+    found = _each(lines.withColumn("_said", _said()), [holds for _, holds, _ in declared + told], "_f")
+    name = F.when(F.col("_f") < len(declared), declared[0][2])
+    for n, (_, _, own) in enumerate(told, len(declared)):
+        name = name.when(F.col("_f") == n, own)
+    fact = F.get(F.array(*(F.lit(f) for f, _, _ in declared + told)), F.col("_f"))
+    return found.select("path", "language", (F.col("_n") + 1).alias("line"), fact.alias("fact"), name.alias("name"))
 
 
 def doubles(facts: DataFrame) -> DataFrame:
@@ -140,12 +169,9 @@ def signals(facts: DataFrame) -> DataFrame:
         "idiom.collection_init": {"collection_literal": "literal", "collection_factory": "literal", "collection_constructor": "constructor"},
         "idiom.computed_vs_property": {"lazy": "lazy", "computed": "computed"},
     }
-    told = [
-        F.when(fact == "type", F.struct(F.lit("naming.type_class").alias("rule"), type_name_choice(name).alias("choice"))),
-        F.when((fact == "type") & test, F.struct(F.lit("naming.test_class").alias("rule"), test_name_choice(name).alias("choice"))),
-        F.when(fact == "protocol", F.struct(F.lit("naming.module_protocol").alias("rule"), protocol_name_choice(name).alias("choice"))),
-    ]
-    for rule, choices in rules.items():
-        told += [F.when(fact == f, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("choice"))) for f, c in choices.items()]
-    found = facts.withColumn("_s", F.explode(F.array_compact(F.array(*told))))
-    return found.select("path", "line", "_s.rule", "_s.choice")
+    told = [("naming.type_class", fact == "type", type_name_choice(name)), ("naming.test_class", (fact == "type") & test, test_name_choice(name)), ("naming.module_protocol", fact == "protocol", protocol_name_choice(name))]
+    told += [(rule, fact == f, F.lit(c)) for rule, choices in rules.items() for f, c in choices.items()]
+    found = _each(facts, [holds for _, holds, _ in told], "_s")
+    choice = reduce(lambda c, x: c.when(F.col("_s") == x[0], x[1][2]), enumerate(told), F.when(F.lit(False), ""))
+    rule = F.get(F.array(*(F.lit(r) for r, _, _ in told)), F.col("_s"))
+    return found.select("path", "line", rule.alias("rule"), choice.alias("choice"))
