@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.sources import facts
+from quarrylight.sources.lexed import TOKEN
 
 
 @pytest.mark.parametrize("of", [facts.line_facts, lambda files: facts.signals(facts.line_facts(files))], ids=["facts", "signals"])
@@ -14,3 +16,20 @@ def test_conditions_are_compiled_once(spark, of):
     plan = of(files)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum(line.count("RLIKE") for line in plan) < 60
     assert not [line for line in plan if re.match(r"\W*(Generate|Filter)\b", line) and ("RLIKE" in line or "_said" in line)]
+
+
+def test_tokens_of_odd_lines(spark):
+    lines = ["", "  ", 'let a = "x  \\" y" + b', 'open " quote', "a b c\u0085d", "\x0b\f\t e", "é?? -> \U0001f600\x001a", '""', "func f() throws {"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    kept = F.filter(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^\s"))
+    emptied = F.transform(kept, lambda t: F.when(t.startswith('"') & (F.length(t) > 1), '""').otherwise(t))
+    want = F.concat(F.lit(" "), F.array_join(emptied, " "), F.lit(" "))
+    assert not rows.where(facts.read_line(F.col("line")) != want).collect()
+
+
+def test_facts_of_odd_lines(spark):
+    text = "public lazy var x = f()\nlazy open class A\x00B\n\nfinal class C: D { let a = x.resolve(B.self) }\nclass\nvar"
+    files = spark.createDataFrame([("a", "swift", text), ("b", "kotlin", text), ("c", "go", text), ("d", "swift", None)], "path string, language string, text string")
+    found = sorted((r["path"], r["line"], r["fact"], r["name"]) for r in facts.line_facts(files).collect())
+    want = [("a", 2, "type", "A"), ("a", 4, "service_locator", "x.resolve("), ("a", 4, "subclass", "C"), ("a", 4, "type", "C")]
+    assert found == want
