@@ -175,10 +175,12 @@ CASE WHEN o_orderkey % 4 = 0 THEN 'deep' WHEN o_orderkey % 4 = 1 THEN 'one' ELSE
 def module_imports(t: Tables) -> DataFrame:
     k = col("o_orderkey")
     said = F.when(k % 4 == 0, "import core.deep.Thing").when(k % 4 == 1, "from two import x").when(k % 4 == 2, "  import core.Other").otherwise("import elsewhere")
-    lines = t.read("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), said.alias("s")))).alias("_l"))
+    parts = t.parts("orders")
+    orders = t.read("orders").repartition(parts, "o_custkey")
+    lines = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), said.alias("s")))).alias("_l"))
     files = lines.select(text("f", col("o_custkey")).alias("path"), F.lit("kotlin").alias("language"), F.concat_ws("\n", F.transform("_l", lambda x: F.concat(F.lit("# note\n"), x["s"]))).alias("text"))
     modules = t.spark.createDataFrame([("core", "core"), ("deep", "core.deep"), ("one", "two"), ("other", "two")], "module string, name string")
-    return trees.imports(files, modules)
+    return trees.imports(files, modules, parts)
 
 
 # manifests ----------------------------------------------------------------------------------------------------------------

@@ -113,18 +113,20 @@ def left_out(files: DataFrame, most_bytes: int, generated: str = r"(^|/)(generat
     return files.withColumn("reason", reason).where("reason is not null").select("path", "reason")
 
 
-def imports(files: DataFrame, modules: DataFrame) -> DataFrame:
+def imports(files: DataFrame, modules: DataFrame, parts: int | None = None) -> DataFrame:
     """path, line, module, status (ok, ambiguous) of each import that names a known module or a prefix of it.
 
     files: path, language, text; modules: module, name (what an import says). Swift names match as a whole; of dotted names
-    every beginning is tried and the longest known one counts.
+    every beginning is tried and the longest known one counts. parts: the tasks that lines are dealt to, where the session's
+    shuffles have too few.
     """
     lines = files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("_n", "content"))
     said = F.regexp_extract("content", r"^\s*(?:@testable\s+)?(?:import|from)\s+(?:(?:class|struct|func|enum|protocol)\s+)?([A-Za-z_][\w.]*)", 1)
     found = lines.withColumn("said", said).where("said <> ''")
-    parts = F.split("said", r"\.")
-    tries = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws(".", F.slice(parts, 1, n)))
-    tried = found.select("path", (F.col("_n") + 1).alias("line"), F.explode(tries).alias("name")).join(modules, "name")
-    best = tried.groupBy("path", "line").agg(F.max(F.length("name")).alias("_l"))
-    kept = tried.join(best, ["path", "line"]).where(F.length("name") == F.col("_l"))
-    return kept.groupBy("path", "line").agg(F.min("module").alias("module"), F.when(F.count_distinct("module") > 1, "ambiguous").otherwise("ok").alias("status"))
+    names = F.split("said", r"\.")
+    tries = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.concat_ws(".", F.slice(names, 1, n)))
+    # of one line the length of a beginning names it, so the longest is found by one sum, without a join
+    known = modules.groupBy("name").agg(F.min("module").alias("_a"), F.max("module").alias("_b"))
+    tried = found.select("path", (F.col("_n") + 1).alias("line"), F.explode(tries).alias("name")).join(known, "name")
+    best = (tried.repartition(parts, "path", "line") if parts else tried).groupBy("path", "line").agg(F.max(F.struct(F.length("name"), "_a", "_b")).alias("_m"))
+    return best.select("path", "line", F.col("_m._a").alias("module"), F.when(F.col("_m._a") != F.col("_m._b"), "ambiguous").otherwise("ok").alias("status"))

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.sources import facts
+from quarrylight.sources import facts, trees
 from quarrylight.sources.lexed import TOKEN
 
 
@@ -33,3 +33,12 @@ def test_facts_of_odd_lines(spark):
     found = sorted((r["path"], r["line"], r["fact"], r["name"]) for r in facts.line_facts(files).collect())
     want = [("a", 2, "type", "A"), ("a", 4, "service_locator", "x.resolve("), ("a", 4, "subclass", "C"), ("a", 4, "type", "C")]
     assert found == want
+
+
+def test_imports_need_no_join_of_their_own_rows(spark):
+    text = "import a.b.c\nimport a.x\nfrom two import y\nimport none\nimport nothing"
+    files = spark.createDataFrame([("f", "kotlin", text), ("g", "kotlin", None)], "path string, language string, text string")
+    modules = spark.createDataFrame([("m", "a"), ("n", "a.b"), ("p", "two"), ("q", "two"), (None, "none")], "module string, name string")
+    found = trees.imports(files, modules, 3)
+    assert sorted(tuple(r) for r in found.collect()) == [("f", 1, "n", "ok"), ("f", 2, "m", "ok"), ("f", 3, "p", "ambiguous"), ("f", 4, None, "ok")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
