@@ -46,22 +46,30 @@ def recency_churn(touched: DataFrame, commits: DataFrame, authors: DataFrame, as
     )
 
 
-def ownership(blame: DataFrame, churned: DataFrame, alpha: float = 0.5, parts: int | None = None) -> DataFrame:
-    """One row a file and author with any share: weight = alpha blame share + (1 - alpha) recency share.
+def _by_file(rows: DataFrame, parts: int | None) -> DataFrame:
+    return rows.repartition(parts, "path") if parts else rows.repartition("path")
 
-    blame: path, author, lines; churned: what recency_churn gives. Sums by file and author are one row a pair, so both sides
-    are stacked and summed once instead of joined. parts: as for recency_churn.
-    """
+
+def _stacked(blame: DataFrame, churned: DataFrame, parts: int | None) -> DataFrame:
+    """The sums of both by file and author, dealt by file."""
     none = lambda name: F.lit(None).cast(churned.schema[name].dataType).alias(name)
     a = blame.select("path", "author", "lines", none("recency_score"), none("commit_count"), none("last_touched_at"))
     b = churned.select("path", "author", F.lit(None).cast(blame.schema["lines"].dataType).alias("lines"), "recency_score", "commit_count", "last_touched_at")
     # dealt by file: sums by file and author, the file's totals and its shares need no further exchange
     rows = a.unionByName(b)
-    both = (rows.repartition(parts, "path") if parts else rows.repartition("path")).groupBy("path", "author").agg(
+    return _by_file(rows, parts).groupBy("path", "author").agg(
         F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("recency_score"), F.lit(0.0)).alias("recency_score"),
         F.coalesce(F.sum("commit_count"), F.lit(0)).alias("commit_count"), F.max("last_touched_at").alias("last_touched_at"),
     )
-    return _weighted(both, alpha)
+
+
+def ownership(blame: DataFrame, churned: DataFrame, alpha: float = 0.5, parts: int | None = None) -> DataFrame:
+    """One row a file and author with any share: weight = alpha blame share + (1 - alpha) recency share.
+
+    blame: path, author, lines; churned: what recency_churn gives. Sums by file and author are one row a pair, so both sides
+    are stacked and summed once instead of joined. parts: as for recency_churn.
+    """
+    return _weighted(_stacked(blame, churned, parts), alpha)
 
 
 def _weighted(both: DataFrame, alpha: float) -> DataFrame:
@@ -111,30 +119,30 @@ def refreshed_ownership(edges: DataFrame, files: DataFrame, found: DataFrame) ->
     return edges.join(files.select(*keys), keys, "left_anti").unionByName(fresh.select(edges.columns))
 
 
-def ownership_state(blame: DataFrame, churned: DataFrame, as_of: Column) -> DataFrame:
+def ownership_state(blame: DataFrame, churned: DataFrame, as_of: Column, parts: int | None = None) -> DataFrame:
     """What the next run goes on from: path, author, lines, recency_score, commit_count, last_touched_at, as_of."""
-    a = blame.groupBy("path", "author").agg(F.sum("lines").alias("lines"))
-    both = a.join(churned, ["path", "author"], "full_outer").fillna({"lines": 0, "commit_count": 0, "recency_score": 0.0})
-    return both.withColumn("as_of", as_of.cast("timestamp"))
+    return _stacked(blame, churned, parts).withColumn("as_of", as_of.cast("timestamp"))
 
 
-def refreshed_state(state: DataFrame, blame: DataFrame, churned: DataFrame, files: DataFrame, as_of: Column, decay_days: float = 90.0) -> DataFrame:
+def refreshed_state(state: DataFrame, blame: DataFrame, churned: DataFrame, files: DataFrame, as_of: Column, decay_days: float = 90.0, parts: int | None = None) -> DataFrame:
     """The state of the changed files, from their old state and what is new: blame of the dirty files, churn of new commits.
 
     files: path, state (dirty or deleted). An old sum of weights is moved to the new time by one factor, as all its weights
-    shrink alike; the state of other files keeps its own time, which doesn't matter to shares.
+    shrink alike; the state of other files keeps its own time, which doesn't matter to shares. parts: as for recency_churn.
     """
     dirty = files.where("state = 'dirty'").select("path")
     age = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("as_of")
-    old = state.join(dirty, "path", "left_semi").select("path", "author", F.lit(0).cast("double").alias("lines"), (F.col("recency_score") * scoring.recency_weight(age, decay_days)).alias("recency_score"), "commit_count", "last_touched_at")
-    come = churned.join(dirty, "path", "left_semi").select("path", "author", F.lit(0).cast("double").alias("lines"), "recency_score", "commit_count", "last_touched_at")
-    own = blame.join(dirty, "path", "left_semi").select("path", "author", F.col("lines").cast("double").alias("lines"), F.lit(0.0).alias("recency_score"), F.lit(0).cast("long").alias("commit_count"), F.lit(None).cast(state.schema["last_touched_at"].dataType).alias("last_touched_at"))
-    merged = old.unionByName(come).unionByName(own).groupBy("path", "author").agg(
+    old = state.select("path", "author", F.lit(0).cast("double").alias("lines"), (F.col("recency_score") * scoring.recency_weight(age, decay_days)).alias("recency_score"), "commit_count", "last_touched_at")
+    come = churned.select("path", "author", F.lit(0).cast("double").alias("lines"), "recency_score", "commit_count", "last_touched_at")
+    own = blame.select("path", "author", F.col("lines").cast("double").alias("lines"), F.lit(0.0).alias("recency_score"), F.lit(0).cast("long").alias("commit_count"), F.lit(None).cast(state.schema["last_touched_at"].dataType).alias("last_touched_at"))
+    # dealt by file once: neither the files nor the sums need a further exchange
+    merged = _by_file(old.unionByName(come).unionByName(own), parts).join(dirty, "path", "left_semi").groupBy("path", "author").agg(
         F.sum("lines").alias("lines"), F.sum("recency_score").alias("recency_score"), F.sum("commit_count").alias("commit_count"), F.max("last_touched_at").alias("last_touched_at")
     )
     return merged.withColumns({"lines": F.col("lines").cast(state.schema["lines"].dataType), "as_of": as_of.cast("timestamp")}).select(state.columns)
 
 
-def ownership_of_state(state: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """The edges that a state tells, as `ownership` gives them."""
-    return _weighted(state.drop("as_of"), alpha)
+def ownership_of_state(state: DataFrame, alpha: float = 0.5, parts: int | None = None) -> DataFrame:
+    """The edges that a state tells, as `ownership` gives them. parts: as for recency_churn."""
+    rows = state.drop("as_of")
+    return _weighted(rows.repartition(parts, "path") if parts else rows, alpha)

@@ -262,13 +262,13 @@ def incremental_ownership(t: Tables) -> DataFrame:
     """Ownership of a state of half a year ago, with the files touched since computed anew from it: equal to the whole."""
     now = t.last_commit()
     then = F.lit(now) - F.expr("interval 180 days")
-    commits, touched, authors, blame = t.commits(), t.touched(), t.authors(), t.blame()
+    commits, touched, authors, blame, parts = t.commits(), t.touched(), t.authors(), t.blame(), t.parts("lineitem")
     old, new = commits.where(col("committed_at") <= then), commits.where(col("committed_at") > then)
-    state = cut(history.ownership_state(blame, history.recency_churn(touched, old, authors, then), then))
+    state = cut(history.ownership_state(blame, history.recency_churn(touched, old, authors, then, parts=parts), then, parts))
     files = touched.join(new.select("sha"), "sha", "left_semi").select("path").distinct().withColumn("state", F.lit("dirty"))
-    fresh = history.refreshed_state(state, blame, history.recency_churn(touched, new, authors, F.lit(now)), files, F.lit(now))
-    whole = state.join(files.select("path"), "path", "left_anti").unionByName(fresh)
+    fresh = history.refreshed_state(state, blame, history.recency_churn(touched, new, authors, F.lit(now), parts=parts), files, F.lit(now), parts=parts)
+    whole = state.repartition(parts, "path").join(files.select("path"), "path", "left_anti").unionByName(fresh)
     lifted = {c: F.col(c) + 1e-9 for c in ("weight", "blame_share", "churn_share")}
-    return rounded(history.ownership_of_state(whole).drop("last_touched_at").withColumns(lifted), *lifted)
+    return rounded(history.ownership_of_state(whole, parts=parts).drop("last_touched_at").withColumns(lifted), *lifted)
 
 
