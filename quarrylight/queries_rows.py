@@ -451,7 +451,7 @@ def skew_targets(t: Tables) -> DataFrame:
 d AS (SELECT project, count(*) FILTER (project % 5 = 4 OR o.blob IS DISTINCT FROM n.blob) AS dirty FROM o JOIN n USING (project, path) WHERE project % 5 <> 3 GROUP BY 1)
 SELECT project, coalesce(dirty, 0) AS dirty, 0 AS deleted, CASE WHEN project % 5 = 3 THEN 'no_change' WHEN coalesce(dirty, 0) = 0 THEN 'no_dirty' WHEN dirty > 40 THEN 'max_files_exceeded' ELSE 'success' END AS exit_reason FROM p LEFT JOIN d USING (project)""")
 def ownership_runs(t: Tables) -> DataFrame:
-    rows = t.read("lineitem").select(col("l_suppkey").alias("project"), col("l_partkey").alias("path"), "l_quantity", "l_returnflag")
+    rows = t.read("lineitem").select(col("l_suppkey").alias("project"), col("l_partkey").alias("path"), "l_quantity", "l_returnflag").repartition(t.parts("lineitem"), "project", "path")
     blob = F.sum(F.when((col("project") % 3 != 0) | (col("l_returnflag") != "R"), col("l_quantity")))
     k = col("project") % 5
     heads = rows.select("project").distinct().select("project", F.when(k == 3, "h2").when(k != 4, "h1").alias("last_head"), F.lit("h2").alias("head"))

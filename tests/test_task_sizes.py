@@ -6,7 +6,7 @@ from quarrylight import queries
 from quarrylight.proxies import Tables
 
 
-@pytest.mark.parametrize("name", ["incremental_ownership"])
+@pytest.mark.parametrize("name", ["incremental_ownership", "ownership_runs"])
 def test_tasks_grow_with_the_table(spark, small, monkeypatch, name):
     monkeypatch.setattr(Tables, "parts", lambda self, table, most_rows=0: 7)
     plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
