@@ -13,6 +13,10 @@ from pyspark.sql.window import WindowSpec
 #: A string on one line, a word, a number, blanks, two signs that belong together, any other sign. Nothing is left out.
 TOKEN = r'(?s)"(?:[^"\\\n]|\\[^\n])*"|[\p{L}_][\p{L}\p{N}_]*|\p{N}[\p{L}\p{N}_]*|\s+|\?\?|->|.'
 BLANK = r"^\s"
+#: What TOKEN finds in a line but for blanks, each with the blanks before it; no token but blanks goes beyond a line.
+SPACED = r'(?s)[ \t\x0B\f\r]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\p{L}_][\p{L}\p{N}_]*+|\p{N}[\p{L}\p{N}_]*+|\?\?|->|.)'
+BLANKS = " \t\x0b\f\r"
+PIECE = 256  # tokens that become rows together
 
 
 def of_file() -> WindowSpec:
@@ -43,6 +47,39 @@ def tokens(files: DataFrame) -> DataFrame:
     return placed.withColumn("pos", F.row_number().over(of_file()) - 1).select("path", "language", "pos", "tok", F.col("line").cast("int").alias("line"), "gap", "statement")
 
 
+def in_context(files: DataFrame, ahead: int, behind: int) -> DataFrame:
+    """around(tokens(files)) without the statement, by no window and no sort; line_behind has lines too.
+
+    files: as for `tokens`; further columns stay. A file's tokens are dealt to pieces that overlap by what is asked for, and a
+    row reads its piece: no row is longer than a piece.
+    """
+
+    def read(line: Column, n: Column) -> Column:
+        found = F.regexp_extract_all(F.rtrim(line, F.lit(BLANKS)), F.lit(SPACED), F.lit(0))
+        gap = lambda x, k: ((n > 0) & (k == 0)) | F.ascii(x).isin(*map(ord, BLANKS))
+        return F.transform(found, lambda x, k: F.struct(F.ltrim(x, F.lit(BLANKS)).alias("tok"), (n + 1).alias("line"), gap(x, k).alias("gap")))
+
+    def piece(start: Column) -> Column:
+        end = F.least(start + PIECE, F.greatest(F.size("_all"), F.lit(1))) - 1 + ahead
+        return F.struct(start.alias("start"), F.transform(F.sequence(start - behind, end), lambda k: F.get("_all", k)).alias("piece"))
+
+    # generators are outer and nothing is filtered before them: what is filtered or inferred there is computed twice
+    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    lists = dealt.withColumn("_all", F.flatten(F.transform(F.split("text", "\n"), read))).drop("text")
+    last = F.greatest(F.size("_all") - 1, F.lit(0))
+    pieces = lists.withColumn("_p", F.explode_outer(F.transform(F.sequence(F.lit(0), last, F.lit(PIECE)), piece))).drop("_all")
+    kept = [c for c in pieces.columns if c != "_p"]
+    rows = pieces.select(*kept, F.col("_p.start").alias("_start"), F.col("_p.piece").alias("_piece"))
+    rows = rows.select("*", F.posexplode_outer("_piece").alias("_at", "_t")).where((F.col("_at") >= behind) & (F.col("_at") < F.size("_piece") - ahead) & F.col("_t.tok").isNotNull())
+    own = [(F.col("_start") + F.col("_at") - behind).alias("pos"), *(F.col("_t")[c].alias(c) for c in ("tok", "line", "gap"))]
+    # one slice, and columns of it later: code for all of them beside the generator is too long to be compiled
+    rows = rows.select(*kept, *own, F.slice("_piece", F.col("_at") - behind + 1, F.lit(behind + 1 + ahead)).alias("_near"))
+    near = lambda n, c: F.get("_near", F.lit(behind + n))[c]
+    later = [near(n, c).alias(f"{short}{n}") for n in range(1, ahead + 1) for c, short in (("tok", "a"), ("gap", "g"), ("line", "l"))]
+    earlier = [near(-n, c).alias(f"{short}{n}") for n in range(1, behind + 1) for c, short in (("tok", "b"), ("line", "m"))]
+    return rows.select(*kept, "pos", "tok", "line", "gap", *later, *earlier)
+
+
 def around(rows: DataFrame, ahead: int = 5, behind: int = 1) -> DataFrame:
     """tokens with what stands around each, as columns for `ahead`, `gap_ahead`, `line_ahead` and `behind`."""
     w = of_file()
@@ -67,6 +104,10 @@ def behind(n: int) -> Column:
     return F.col(f"b{n}")
 
 
+def line_behind(n: int) -> Column:
+    return F.col(f"m{n}")
+
+
 def with_comments(rows: DataFrame) -> DataFrame:
     """tokens (with what is around them) with comment: whether one lies behind // on its line or between /* and */."""
     slash = (F.col("tok") == "/") & ~gap_ahead(1)

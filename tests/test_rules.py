@@ -192,3 +192,21 @@ def test_facts_of_lines(spark):
     named = facts.doubles(found).select("name", "kind").orderBy("name").collect()
     assert [tuple(r) for r in named] == [("ApiFake", "fake"), ("ApiMock", "mock")]
     assert found.where(F.col("line") != 1).count() == 0
+
+
+def test_findings_read_a_text_once(spark):
+    files = spark.createDataFrame([("a", "swift", "x")], "path string, language string, text string")
+    for of in (rules.findings, rules.error_sites):
+        plan = of(files)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and plan.count("Union") == 0
+
+
+def test_context_is_what_windows_tell(spark):
+    r = random.Random(3)
+    pieces = ["a1 ", "try? ", "?? ", '"b c"', '"d\\" ', "\n", " \t\n \n", ";", "{", "}", "->", "é_2", "\r\n", "\u0085", "\x0b", "/*", "// ", "\x1f", "\U0001f600"]
+    rows = [(str(k), r.choice(["swift", "go"]), "".join(r.choice(pieces) for _ in range(n))) for k, n in enumerate([0, 1, 2, 7, lexed.PIECE, 2000, 5000] * 3)]
+    files = spark.createDataFrame([*rows, ("none", "swift", None), ("blank", "swift", " \n\t ")], "path string, language string, text string")
+    want = lexed.around(lexed.tokens(files), 5, 2).drop("statement")
+    got = lexed.in_context(files, 5, 2).select(want.columns)
+    assert got.count() == want.count() > 10_000
+    assert not got.exceptAll(want).take(1)
