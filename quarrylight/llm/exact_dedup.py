@@ -1,6 +1,7 @@
 """Exact dedup over a persistent digest index.
 
-The index is a table bucketed and sorted by digest. A batch of new rows is reduced to one row a digest,
+The index is a table bucketed and sorted by digest. One that stays has a name and lies in the warehouse, one of a single run lies
+with the run's other tables in the shared folder and needs no warehouse. A batch of new rows is reduced to one row a digest,
 anti-joined with the index by a sort-merge join (the index side needs no shuffle) and what is new is appended
 to the same buckets. Only DataFrame operations are used.
 
@@ -16,18 +17,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, documents, shared_warehouse, spare, text_or_empty
+from quarrylight.llm.common import Scratch, delete_path, documents, shared_warehouse, spare, text_or_empty
 
 
 class DigestIndex:
     """A bucketed, sorted table (digest, keep_id) in the warehouse; first come, first kept.
 
     buckets: of a new index; by default as many as the session's shuffles have partitions, so that a task writes one file.
+    path: of a new index that lies in this folder instead, which driver and executors share.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        shared_warehouse(spark)
-        self.spark, self.table = spark, table
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, path: str | None = None):
+        if path is None:
+            shared_warehouse(spark)
+        self.spark, self.table, self.place = spark, table, {} if path is None else {"path": path}
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if spark.catalog.tableExists(table):
             self.buckets = int(spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Num Buckets'").first()["data_type"])
@@ -37,7 +40,7 @@ class DigestIndex:
             rows.repartition(self.buckets, "digest")
             .write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest")
-            .saveAsTable(self.table)
+            .options(**self.place).saveAsTable(self.table)
         )
 
     def add(self, batch: DataFrame) -> None:
@@ -52,6 +55,8 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        for path in self.place.values():  # Spark leaves the files of a table with a path
+            delete_path(self.spark, path)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -75,12 +80,12 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None, batches: int = 2, i
     rule (first come, first kept) keeps the largest doc_id over all parts.
 
     index: name of an index table that stays: what it holds from earlier runs is kept before any new document, and what is
-    new is appended. Without a name the index goes when the result is known.
+    new is appended; it needs a shared warehouse. Without a name the index lies in the shared folder and goes when the result is known.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     rows = scratch.table(digests(docs), "digests")
-    held = DigestIndex(spark, index or f"digest_index_{uuid.uuid4().hex}", buckets)
+    held = DigestIndex(spark, index or f"digest_index_{uuid.uuid4().hex}", buckets, None if index else scratch.path("index"))
     for part in deal(rows, batches):
         held.add(part)
     groups = rows.groupBy("digest").agg(F.count("*").alias("group_size")).join(held.rows().hint("merge"), "digest")

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from quarrylight.llm import quality
+from quarrylight.llm import exact_dedup, quality
 from tests.llm import cases
 from tests.llm.test_near_copies import brute as without_near_copies
 from tests.llm.test_packing import check
@@ -41,3 +41,14 @@ def test_stages_take_odd_tables(spark, tmp_path):
             if k + 1 < len(corpus_pipeline.STAGES):
                 assert docs.columns == columns
         assert (docs.count() == 0) == (name == "empty")
+
+
+def test_no_stage_needs_a_warehouse(spark, tmp_path, monkeypatch):
+    own = cases.folder(spark, str(tmp_path), cases.table(spark, cases.rows(odd=False)))
+    want = cases.plain_rows(corpus_pipeline.run(spark, own).select("doc_id", "start", "length", "ids_crc32"))
+
+    def unnamed(_):
+        raise ValueError("spark.sql.warehouse.dir has to name a folder that driver and executors share")
+
+    monkeypatch.setattr(exact_dedup, "shared_warehouse", unnamed)
+    assert cases.plain_rows(corpus_pipeline.run(spark, own).select("doc_id", "start", "length", "ids_crc32")) == want
