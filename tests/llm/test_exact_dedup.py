@@ -1,9 +1,11 @@
 import hashlib
+import os
 from collections import defaultdict
 
 import duckdb
 import pytest
 
+from quarrylight.llm import common
 from quarrylight.llm import exact_dedup as op
 from tests.llm import cases
 
@@ -47,6 +49,26 @@ def test_only_a_named_index_stays(spark):
     op.DigestIndex(spark, name).drop()
 
 
+def test_an_index_without_a_name_needs_no_warehouse(spark, monkeypatch):
+    def unnamed(_):
+        raise ValueError("spark.sql.warehouse.dir has to name a folder that driver and executors share")
+
+    seen, drop = [], op.DigestIndex.drop
+
+    def seen_first(index):
+        at = index.spark.sql(f"DESCRIBE FORMATTED {index.table}").where("col_name = 'Location'").first()["data_type"].removeprefix("file:")
+        seen.append((at, os.path.isdir(at)))
+        drop(index)
+
+    monkeypatch.setattr(op, "shared_warehouse", unnamed)
+    monkeypatch.setattr(op.DigestIndex, "drop", seen_first)
+    assert cases.plain_rows(op.exact_dedup(cases.table(spark), buckets=4)) == brute(cases.rows())
+    shared, ((at, there),) = common.shared_folder(spark).removeprefix("file://"), seen
+    assert at.startswith(f"{shared}/") and there and not os.path.exists(at)
+    with pytest.raises(ValueError):
+        op.exact_dedup(cases.table(spark), buckets=4, index="digest_index_of_no_warehouse")
+
+
 def test_sql_gives_the_same(spark):
     at = cases.sf()
     db = duckdb.connect()
